@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 #: rows per block of a dense index
 BLOCK_ROWS = 262_144
 
-#: number of hash blocks used for pseudo-random orders
-HASH_BLOCKS = 4096
+#: leading hex digits of a hash that name its block (65,536 uniform blocks)
+HASH_DIGITS = 4
 
 
 def hash_hex(*parts) -> Column:
@@ -31,8 +31,8 @@ def hash_hex(*parts) -> Column:
 
 
 def hash_block(hex_col: Column) -> Column:
-    """Block id of a hash order: its first three hex digits (uniform)."""
-    return F.conv(F.substring(hex_col, 1, 3), 16, 10).cast("int")
+    """Block id of a hash order: its leading hex digits."""
+    return F.conv(F.substring(hex_col, 1, HASH_DIGITS), 16, 10).cast("int")
 
 
 def hash_uniform(*parts) -> Column:
@@ -64,19 +64,19 @@ def number_rows(
         df = df.withColumn(out, F.row_number().over(w.orderBy(*order)).cast("long") - 1)
         return df.withColumn(total, F.count(F.lit(1)).over(w)) if total else df
     d = df.withColumn("__blk", block)
-    sizes = d.groupBy(*keys, "__blk").agg(F.count(F.lit(1)).alias("__n"))
+    sizes = d.groupBy(*keys, "__blk").agg(F.count(F.lit(1)).alias("__cnt"))
     wk = W.partitionBy(*keys).orderBy("__blk")
     offs = sizes.withColumn(
-        "__off", F.coalesce(F.sum("__n").over(wk.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        "__off", F.coalesce(F.sum("__cnt").over(wk.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     )
     if total:
-        offs = offs.withColumn(total, F.sum("__n").over(W.partitionBy(*keys)))
-    offs = offs.drop("__n")
-    loc = d.withColumn("__rn", F.row_number().over(W.partitionBy(*keys, "__blk").orderBy(*order)) - 1)
+        offs = offs.withColumn(total, F.sum("__cnt").over(W.partitionBy(*keys)))
+    offs = offs.drop("__cnt")
+    loc = d.withColumn("__lrn", F.row_number().over(W.partitionBy(*keys, "__blk").orderBy(*order)) - 1)
     return (
         loc.join(offs, [*keys, "__blk"])
-        .withColumn(out, F.col("__rn") + F.col("__off"))
-        .drop("__rn", "__off", "__blk")
+        .withColumn(out, F.col("__lrn") + F.col("__off"))
+        .drop("__lrn", "__off", "__blk")
     )
 
 
