@@ -1,8 +1,9 @@
 """Rotation and rigid-transform expressions.
 
-Small vectors are lists of scalar columns, so the same formulas serve array
-columns and array lambdas.  Quaternions are (x, y, z, w) with w >= 0; matrices
-are row-major lists of nine; a rigid transform is twelve values, rotation first.
+Small vectors are lists of SQL terms.  A whole formula reaches Spark as one
+``F.expr`` text, which is far cheaper to build than a tree of column calls.
+Quaternions are (x, y, z, w) with w >= 0; matrices are row-major lists of nine;
+a rigid transform is twelve values, rotation first.
 """
 
 from __future__ import annotations
@@ -14,20 +15,63 @@ from pyspark.sql import Column, functions as F
 Vec = list
 
 
-def comps(arr, n: int, start: int = 0) -> Vec:
-    c = F.col(arr) if isinstance(arr, str) else arr
-    return [F.get(c, F.lit(start + i)) for i in range(n)]
+def _txt(x) -> str:
+    return str(x) if isinstance(x, str) else f"{float(x)!r}D"
 
 
-def pack(v: Sequence[Column]) -> Column:
-    return F.array(*v)
+class Term(str):
+    """SQL text of a double expression with arithmetic operators."""
+
+    def __add__(self, o):
+        return Term(f"({str(self)} + {_txt(o)})")
+
+    def __radd__(self, o):
+        return Term(f"({_txt(o)} + {str(self)})")
+
+    def __sub__(self, o):
+        return Term(f"({str(self)} - {_txt(o)})")
+
+    def __rsub__(self, o):
+        return Term(f"({_txt(o)} - {str(self)})")
+
+    def __mul__(self, o):
+        return Term(f"({str(self)} * {_txt(o)})")
+
+    def __rmul__(self, o):
+        return Term(f"({_txt(o)} * {str(self)})")
+
+    def __truediv__(self, o):
+        return Term(f"({str(self)} / {_txt(o)})")
+
+    def __neg__(self):
+        return Term(f"(-{str(self)})")
+
+
+def fn(name: str, *args) -> Term:
+    return Term(f"{name}({', '.join(_txt(a) for a in args)})")
+
+
+def when(cond: str, a, b) -> Term:
+    return Term(f"(CASE WHEN {cond} THEN {_txt(a)} ELSE {_txt(b)} END)")
+
+
+def comps(arr: str, n: int, start: int = 0) -> Vec:
+    return [Term(f"get({arr}, {start + i})") for i in range(n)]
+
+
+def array_sql(v: Sequence) -> str:
+    return f"array({', '.join(_txt(x) for x in v)})"
+
+
+def pack(v: Sequence) -> Column:
+    return F.expr(array_sql(v))
 
 
 def lits(v: Sequence[float]) -> Vec:
-    return [F.lit(float(x)) for x in v]
+    return [Term(_txt(float(x))) for x in v]
 
 
-def dot(a: Vec, b: Vec) -> Column:
+def dot(a: Vec, b: Vec) -> Term:
     s = a[0] * b[0]
     for x, y in zip(a[1:], b[1:]):
         s = s + x * y
@@ -50,19 +94,19 @@ def vscale(a: Vec, k) -> Vec:
     return [x * k for x in a]
 
 
-def vnorm(a: Vec) -> Column:
-    return F.sqrt(dot(a, a))
+def vnorm(a: Vec) -> Term:
+    return fn("sqrt", dot(a, a))
 
 
 # ------------------------------------------------------------- quaternions
 def rotvec_to_quat(r: Vec) -> Vec:
     n = vnorm(r)
-    s = F.when(n < 1e-8, F.lit(0.5) - n * n / 48.0).otherwise(F.sin(n / 2) / n)
-    return [*vscale(r, s), F.cos(n / 2)]
+    s = when(f"{n} < 1e-8D", 0.5 - n * n / 48.0, fn("sin", n / 2) / n)
+    return [*vscale(r, s), fn("cos", n / 2)]
 
 
 def canonical(q: Vec) -> Vec:
-    s = F.when(q[3] < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+    s = when(f"{q[3]} < 0", -1.0, 1.0)
     return [x * s for x in q]
 
 
@@ -71,10 +115,16 @@ def quat_unit(q: Vec) -> Vec:
     return [x / n for x in q]
 
 
+def quat_normal(q: Vec) -> Vec:
+    """Unit length and canonical sign in one step."""
+    k = when(f"{q[3]} < 0", -1.0, 1.0) / vnorm(q)
+    return vscale(q, k)
+
+
 def quat_to_rotvec(q: Vec) -> Vec:
     """Rotation vector of at most pi; ``q`` must be canonical."""
     n = vnorm(q[:3])
-    k = F.when(n < 1e-14, F.lit(2.0)).otherwise(2.0 * F.atan2(n, q[3]) / n)
+    k = when(f"{n} < 1e-14D", 2.0, 2.0 * fn("atan2", n, q[3]) / n)
     return vscale(q[:3], k)
 
 
@@ -112,12 +162,11 @@ def mat_to_quat(m: Vec) -> Vec:
         "y": [m01 + m10, 1 - m00 + m11 - m22, m12 + m21, m02 - m20],
         "z": [m02 + m20, m12 + m21, 1 - m00 - m11 + m22, m10 - m01],
     }
-    top = F.greatest(tr, m00, m11, m22)
-    raw = [
-        F.when(tr == top, w).when(m00 == top, x).when(m11 == top, y).otherwise(z)
+    top = fn("greatest", tr, m00, m11, m22)
+    return [
+        when(f"{tr} = {top}", w, when(f"{m00} = {top}", x, when(f"{m11} = {top}", y, z)))
         for w, x, y, z in zip(cand["w"], cand["x"], cand["y"], cand["z"])
     ]
-    return raw
 
 
 # ---------------------------------------------------------------- matrices
@@ -135,8 +184,8 @@ def mat_vec(a: Vec, v: Vec) -> Vec:
 
 def euler_to_mat(e: Vec) -> Vec:
     """Fixed-axis x, then y, then z."""
-    cx, cy, cz = [F.cos(x) for x in e]
-    sx, sy, sz = [F.sin(x) for x in e]
+    cx, cy, cz = [fn("cos", x) for x in e]
+    sx, sy, sz = [fn("sin", x) for x in e]
     return [
         cz * cy, cz * sy * sx - sz * cx, cz * sy * cx + sz * sx,
         sz * cy, sz * sy * sx + cz * cx, sz * sy * cx - cz * sx,
@@ -146,9 +195,9 @@ def euler_to_mat(e: Vec) -> Vec:
 
 def mat_to_euler(m: Vec) -> Vec:
     return [
-        F.atan2(m[7], m[8]),
-        F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -m[6]))),
-        F.atan2(m[3], m[0]),
+        fn("atan2", m[7], m[8]),
+        fn("asin", fn("greatest", -1.0, fn("least", 1.0, -m[6]))),
+        fn("atan2", m[3], m[0]),
     ]
 
 
@@ -162,6 +211,12 @@ def tf_mul(a: Vec, b: Vec) -> Vec:
     return [*mat_mul(a[:9], b[:9]), *vadd(mat_vec(a[:9], b[9:]), a[9:])]
 
 
+def tf_left_div(a: Vec, b: Vec) -> Vec:
+    """inv(a) * b."""
+    rt = mat_t(a[:9])
+    return [*mat_mul(rt, b[:9]), *mat_vec(rt, vsub(b[9:], a[9:]))]
+
+
 def tf_inv(a: Vec) -> Vec:
     rt = mat_t(a[:9])
     return [*rt, *[-x for x in mat_vec(rt, a[9:])]]

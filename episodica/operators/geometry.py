@@ -24,44 +24,44 @@ def rot_convert(df: DataFrame, src: str, kind: str, to: str, out: str) -> DataFr
     if kind == to:
         return df.withColumn(out, F.col(src))
     if kind == "rotvec":
-        df = df.withColumn("__q", R.pack(R.rotvec_to_quat(c)))
+        df = df.withColumn("__rq", R.pack(R.rotvec_to_quat(c)))
     elif kind == "quat":
-        df = df.withColumn("__q", R.pack(R.quat_unit(c)))
+        df = df.withColumn("__rq", R.pack(R.quat_unit(c)))
     elif kind == "euler":
-        df = df.withColumn("__m", R.pack(R.euler_to_mat(c)))
+        df = df.withColumn("__rm", R.pack(R.euler_to_mat(c)))
     elif kind == "rot6d":
-        df = _gram_schmidt(df, src, "__m")
+        df = _gram_schmidt(df, src, "__rm")
     else:
-        df = df.withColumn("__m", F.col(src))
-    if "__q" in df.columns and to in ("rotvec", "quat"):
-        df = df.withColumn("__q", R.pack(R.canonical(R.comps("__q", 4))))
-    elif "__q" in df.columns:
-        df = df.withColumn("__m", R.pack(R.quat_to_mat(R.comps("__q", 4))))
+        df = df.withColumn("__rm", F.col(src))
+    if "__rq" in df.columns and to in ("rotvec", "quat"):
+        df = df.withColumn("__rq", R.pack(R.canonical(R.comps("__rq", 4))))
+    elif "__rq" in df.columns:
+        df = df.withColumn("__rm", R.pack(R.quat_to_mat(R.comps("__rq", 4))))
     elif to in ("rotvec", "quat"):
-        df = df.withColumn("__r", R.pack(R.mat_to_quat(R.comps("__m", 9))))
-        df = df.withColumn("__q", R.pack(R.quat_unit(R.comps("__r", 4)))).drop("__r")
-        df = df.withColumn("__q", R.pack(R.canonical(R.comps("__q", 4))))
+        df = df.withColumn("__rr", R.pack(R.mat_to_quat(R.comps("__rm", 9))))
+        df = df.withColumn("__rq", R.pack(R.quat_unit(R.comps("__rr", 4)))).drop("__rr")
+        df = df.withColumn("__rq", R.pack(R.canonical(R.comps("__rq", 4))))
     if to == "rotvec":
-        res = R.pack(R.quat_to_rotvec(R.comps("__q", 4)))
+        res = R.pack(R.quat_to_rotvec(R.comps("__rq", 4)))
     elif to == "quat":
-        res = F.col("__q")
+        res = F.col("__rq")
     elif to == "mat":
-        res = F.col("__m")
+        res = F.col("__rm")
     elif to == "euler":
-        res = R.pack(R.mat_to_euler(R.comps("__m", 9)))
+        res = R.pack(R.mat_to_euler(R.comps("__rm", 9)))
     else:
-        res = R.pack(R.mat_to_rot6d(R.comps("__m", 9)))
-    return df.withColumn(out, res).drop("__q", "__m")
+        res = R.pack(R.mat_to_rot6d(R.comps("__rm", 9)))
+    return df.withColumn(out, res).drop("__rq", "__rm")
 
 
 def _gram_schmidt(df: DataFrame, src: str, out: str, eps: float = 1e-12) -> DataFrame:
     a1, a2 = R.comps(src, 3), R.comps(src, 3, 3)
-    n1 = F.greatest(R.vnorm(a1), F.lit(eps))
+    n1 = R.fn("greatest", R.vnorm(a1), eps)
     df = df.withColumn("__b1", R.pack([x / n1 for x in a1]))
     b1 = R.comps("__b1", 3)
     df = df.withColumn("__b2", R.pack(R.vsub(a2, R.vscale(b1, R.dot(b1, a2)))))
     b2 = R.comps("__b2", 3)
-    n2 = F.greatest(R.vnorm(b2), F.lit(eps))
+    n2 = R.fn("greatest", R.vnorm(b2), eps)
     df = df.withColumn("__b2", R.pack([x / n2 for x in b2]))
     b2 = R.comps("__b2", 3)
     return df.withColumn(out, R.pack([*b1, *b2, *R.cross(b1, b2)])).drop("__b1", "__b2")
@@ -92,27 +92,32 @@ def pose_convert(df: DataFrame, src: str, kind: str, to: str, out: str) -> DataF
 
 
 def to_tf(df: DataFrame, src: str, out: str) -> DataFrame:
-    return pose_convert(df, src, "pose6", "tf", out)
+    """6-vector pose -> transform."""
+    d = df.withColumn("__rq", R.pack(R.rotvec_to_quat(R.comps(src, 3, 3))))
+    return d.withColumn(out, R.pack([*R.quat_to_mat(R.comps("__rq", 4)), *R.comps(src, 3)])).drop("__rq")
 
 
 def from_tf(df: DataFrame, src: str, out: str) -> DataFrame:
-    return pose_convert(df, src, "tf", "pose6", out)
+    """Transform -> 6-vector pose."""
+    d = df.withColumn("__rr", R.pack(R.mat_to_quat(R.comps(src, 9))))
+    d = d.withColumn("__rr", R.pack(R.quat_normal(R.comps("__rr", 4))))
+    return d.withColumn(out, R.pack([*R.comps(src, 3, 9), *R.quat_to_rotvec(R.comps("__rr", 4))])).drop("__rr")
 
 
-def _tf(x) -> list[Column]:
-    return R.comps(x, 12) if isinstance(x, (str, Column)) else R.lits(x)
+def _tf(x) -> list:
+    return R.comps(x, 12) if isinstance(x, str) else R.lits(x)
 
 
 # --------------------------------------------------------------- transforms
 def pose_transform(df: DataFrame, pose: str, tx, side: str = "left", invert: bool = False, out: str | None = None) -> DataFrame:
     """Multiply a 6-vector pose by a constant (12 numbers) or a per-row transform column."""
     d = to_tf(df, pose, "__p")
-    if invert:
-        d = d.withColumn("__x", R.pack(R.tf_inv(_tf(tx))))
+    p, x = R.comps("__p", 12), _tf(tx)
+    if side == "left":
+        y = R.tf_left_div(x, p) if invert else R.tf_mul(x, p)
     else:
-        d = d.withColumn("__x", F.col(tx) if isinstance(tx, str) else R.pack(_tf(tx)))
-    a, b = ("__x", "__p") if side == "left" else ("__p", "__x")
-    d = d.withColumn("__y", R.pack(R.tf_mul(_tf(a), _tf(b)))).drop("__p", "__x")
+        y = R.tf_mul(p, R.tf_inv(x) if invert else x)
+    d = d.withColumn("__y", R.pack(y)).drop("__p")
     return from_tf(d, "__y", out or pose).drop("__y")
 
 
@@ -124,7 +129,7 @@ def project_point(df: DataFrame, point: str, intrinsics: Sequence[float], out: s
     """Pinhole projection with a row-major 3x3 camera matrix."""
     d = df.withColumn("__h", R.pack(R.mat_vec(R.lits(intrinsics), R.comps(point, 3))))
     h = R.comps("__h", 3)
-    return d.withColumn(out, F.array(h[0] / h[2], h[1] / h[2])).drop("__h")
+    return d.withColumn(out, R.pack([h[0] / h[2], h[1] / h[2]])).drop("__h")
 
 
 def apply_delta_pose(df: DataFrame, pose: str, delta: str, out: str) -> DataFrame:
@@ -154,10 +159,8 @@ def pose_represent(df: DataFrame, pose: str, base: str, mode: str, out: str, bac
         raise ValueError(f"unknown pose representation {mode}")
     d = to_tf(to_tf(df, pose, "__p"), base, "__b")
     p, b = R.comps("__p", 12), R.comps("__b", 12)
-    if mode == "relative" and not backward:
-        d = d.withColumn("__b", R.pack(R.tf_inv(b)))
     if mode == "relative":
-        res = R.tf_mul(b, p)
+        res = R.tf_mul(b, p) if backward else R.tf_left_div(b, p)
     elif not backward:
         res = [*R.mat_mul(p[:9], R.mat_t(b[:9])), *R.vsub(p[9:], b[9:])]
     else:
@@ -182,16 +185,16 @@ def _undelta(df, delta, base, out, keys, idx):
     keys = list(keys)
     specs = {f"__s{i}": ("sum", F.get(delta, F.lit(i))) for i in range(3)}
     d = prefix(df, keys, idx, specs)
-    d = d.withColumn("__q", R.pack(R.rotvec_to_quat(R.comps(delta, 3, 3))))
+    d = d.withColumn("__rq", R.pack(R.rotvec_to_quat(R.comps(delta, 3, 3))))
     # ordered quaternions of one chunk: its horizon bounds the list
-    order = d.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"), F.col("__q").alias("q")))).alias("__l"))
+    order = d.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"), F.col("__rq").alias("q")))).alias("__l"))
     d = d.join(order, keys).withColumn("__b", R.pack(R.rotvec_to_quat(R.comps(base, 3, 3))))
-    head = F.filter("__l", lambda e: e["i"] <= F.col(idx))
-    prod = F.aggregate(head, F.col("__b"), lambda acc, e: R.pack(R.quat_mul(R.comps(e["q"], 4), R.comps(acc, 4))))
-    d = d.withColumn("__c", prod).withColumn("__c", R.pack(R.canonical(R.comps("__c", 4))))
-    pos = [F.col(f"__s{i}") + F.get(base, F.lit(i)) for i in range(3)]
+    step = R.array_sql(R.quat_mul(R.comps("e.q", 4), R.comps("acc", 4)))
+    d = d.withColumn("__c", F.expr(f"aggregate(filter(__l, e -> e.i <= {idx}), __b, (acc, e) -> {step})"))
+    d = d.withColumn("__c", R.pack(R.canonical(R.comps("__c", 4))))
+    pos = R.vadd([R.Term(f"__s{i}") for i in range(3)], R.comps(base, 3))
     return d.withColumn(out, R.pack([*pos, *R.quat_to_rotvec(R.comps("__c", 4))])).drop(
-        "__q", "__l", "__b", "__c", *specs)
+        "__rq", "__l", "__b", "__c", *specs)
 
 
 def _finite(c: Column) -> Column:
@@ -201,12 +204,11 @@ def _finite(c: Column) -> Column:
 def to_camera_frame(frames: DataFrame, poses: Sequence[str], camera: str = "camera_ego_pose") -> DataFrame:
     """Poses in the current camera frame; a missing or non-finite camera counts as the identity."""
     ok = F.coalesce(F.forall(camera, _finite), F.lit(False))
-    d = frames.withColumn("__cam", F.when(ok, F.col(camera)).otherwise(F.array(*R.lits([0.0] * 6))))
-    d = to_tf(d, "__cam", "__c")
-    d = d.withColumn("__inv", R.pack(R.tf_inv(R.comps("__c", 12)))).drop("__c", "__cam")
+    d = frames.withColumn("__cam", F.when(ok, F.col(camera)).otherwise(R.pack([0.0] * 6)))
+    d = to_tf(d, "__cam", "__c").drop("__cam")
     for p in poses:
-        d = pose_transform(d, p, "__inv")
-    return d.drop("__inv")
+        d = pose_transform(d, p, "__c", invert=True)
+    return d.drop("__c")
 
 
 # ------------------------------------------------------------------ the rig
@@ -236,9 +238,9 @@ def rig_calibrate(frames: DataFrame, camera: str, wrists: dict[str, str], finger
         d = pose_transform(d, col, "__cam", invert=True)
         d = pose_transform(d, col, RIG_HALF_TURN)
         bias = RIG_BIAS[side]
-        d = d.withColumn(col, R.pack([x * float(m) + float(b) for x, m, b in zip(R.comps(col, 6), RIG_REFLECT, bias)]))
-        if wrist:
-            d = d.withColumn(col, R.pack([x + float(s) for x, s in zip(R.comps(col, 6), RIG_TRACKER_SHIFT)]))
+        shift = RIG_TRACKER_SHIFT if wrist else [0.0] * 6
+        d = d.withColumn(col, R.pack([
+            x * float(m) + float(b + s) for x, m, b, s in zip(R.comps(col, 6), RIG_REFLECT, bias, shift)]))
         d = pose_transform(d, col, "__cam")
         if wrist:
             d = pose_transform(d, col, RIG_STANDARD[side], "right")
@@ -283,9 +285,9 @@ HAND_SPREADS = {
 }
 
 
-def _signed_angle(u, v, n) -> Column:
+def _signed_angle(u, v, n) -> R.Term:
     c = R.dot(u, v) / (R.vnorm(u) * R.vnorm(v) + 1e-8)
-    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))) * F.signum(R.dot(R.cross(u, v), n))
+    return R.fn("acos", R.fn("greatest", -1.0, R.fn("least", 1.0, c))) * R.fn("signum", R.dot(R.cross(u, v), n))
 
 
 def hand_joint_angles(df: DataFrame, keypoints: str, wrist: str, side: str, out: str = "hand_joints") -> DataFrame:
@@ -296,40 +298,39 @@ def hand_joint_angles(df: DataFrame, keypoints: str, wrist: str, side: str, out:
     """
     sgn = 1.0 if side == "right" else -1.0
     d = to_tf(df, wrist, "__w")
-    d = d.withColumn("__i", R.pack(R.tf_inv(R.comps("__w", 12)))).drop("__w")
+    w = R.comps("__w", 12)
     pts = [*R.lits([0, 0, 0])]
     for k in range(20):
-        pts += R.tf_point(R.comps("__i", 12), R.comps(keypoints, 3, 3 * k))
-    d = d.withColumn(f"{out}_points", R.pack(pts)).drop("__i")
+        pts += R.mat_vec(R.mat_t(w[:9]), R.vsub(R.comps(keypoints, 3, 3 * k), w[9:]))
+    d = d.withColumn(f"{out}_points", R.pack(pts)).drop("__w")
 
     def bone(ab):
         a, b = ab
         return R.vsub(R.comps(f"{out}_points", 3, 3 * b), R.comps(f"{out}_points", 3, 3 * a))
 
     d = d.withColumn("__n", R.pack(R.vscale(R.cross(bone((0, 5)), bone((0, 13))), sgn)))
-    normals, flats = {}, {}
-    for name, (u, v, w) in HAND_SPREADS.items():
-        d = d.withColumn(f"__p_{name}", R.pack(R.cross(bone(v), bone(w))))
-        p = R.comps(f"__p_{name}", 3)
-        d = d.withColumn(f"__p_{name}", R.pack([x / (R.vnorm(p) + 1e-8) for x in p]))
-        p = R.comps(f"__p_{name}", 3)
-        flats[name] = R.vsub(bone(u), R.vscale(p, R.dot(bone(u), p)))
-        d = d.withColumn(f"__f_{name}", R.pack(flats[name]))
-        normals[name] = f"__f_{name}"
+    d = d.withColumns({f"__c_{n}": R.pack(R.cross(bone(v), bone(w))) for n, (_, v, w) in HAND_SPREADS.items()})
+    unit = {n: R.comps(f"__c_{n}", 3) for n in HAND_SPREADS}
+    d = d.withColumns({f"__p_{n}": R.pack([x / (R.vnorm(p) + 1e-8) for x in p]) for n, p in unit.items()})
+    flat = {}
+    for n, (u, _, _) in HAND_SPREADS.items():
+        p = R.comps(f"__p_{n}", 3)
+        flat[f"__f_{n}"] = R.pack(R.vsub(bone(u), R.vscale(p, R.dot(bone(u), p))))
+    d = d.withColumns(flat)
     angles = []
     for name, _ in HAND_ANGLES:
         if name in HAND_SPREADS:
-            flat, ref, n = R.comps(normals[name], 3), bone(HAND_SPREADS[name][1]), R.comps("__n", 3)
+            flat, ref, n = R.comps(f"__f_{name}", 3), bone(HAND_SPREADS[name][1]), R.comps("__n", 3)
             ang = _signed_angle(ref, flat, n) if side == "right" else _signed_angle(flat, ref, n)
         else:
             u, v, n = HAND_BENDS[name]
             nv = R.vscale(bone(n), sgn) if n else R.cross(bone(u), bone(v))
             ang = _signed_angle(bone(u), bone(v), nv)
             if name == "palm":
-                ang = F.pi() / 2 - ang
+                ang = R.fn("pi") / 2 - ang
         angles.append(ang)
     d = d.withColumn(out, R.pack(angles)).withColumn(f"{out}_idx", F.array(*[F.lit(s) for _, s in HAND_ANGLES]))
-    return d.drop("__n", *[f"__p_{n}" for n in HAND_SPREADS], *[f"__f_{n}" for n in HAND_SPREADS])
+    return d.drop("__n", *[f"__{p}_{n}" for n in HAND_SPREADS for p in "cpf"])
 
 
 def lift_landmarks(df: DataFrame, points: str, width: float, height: float, mirror: bool = False) -> DataFrame:
@@ -340,15 +341,15 @@ def lift_landmarks(df: DataFrame, points: str, width: float, height: float, mirr
     """
     wrist, mid = R.comps(points, 2), R.comps(points, 2, 27)
     size = R.vnorm(R.vsub(wrist, mid))
-    d = df.withColumn("__d", F.when(size > 0, F.lit(0.1 * width) / size).otherwise(F.lit(0.5)))
-    k = F.col("__d") * 0.5
+    d = df.withColumn("__d", F.expr(R.when(f"{size} > 0", R.Term(f"{0.1 * width!r}D") / size, 0.5)))
+    k = R.Term("__d") * 0.5
     out = []
     for i in range(21):
         x, y, z = R.comps(points, 3, 3 * i)
         nx = (x - width / 2) / (width / 2)
         nx = -nx if mirror else nx
         ny = (y - height / 2) / (height / 2)
-        out += [nx * k, -ny * k, F.col("__d") + z * 0.05]
+        out += [nx * k, -ny * k, R.Term("__d") + z * 0.05]
     d = d.withColumn("landmarks", R.pack(out)).drop("__d")
 
     def unit(df, col):
@@ -363,16 +364,16 @@ def lift_landmarks(df: DataFrame, points: str, width: float, height: float, mirr
     d = unit(d.withColumn("__z", R.pack(R.cross(x, y))), "__z")
     z = R.comps("__z", 3)
     # the axes are the matrix columns
-    d = d.withColumn("__m", R.pack([x[0], y[0], z[0], x[1], y[1], z[1], x[2], y[2], z[2]]))
-    d = rot_convert(d.withColumnRenamed("__m", "__axes"), "__axes", "mat", "rotvec", "__r")
-    return d.withColumn("wrist_pose", F.concat(F.slice("landmarks", 1, 3), F.col("__r"))).drop("__x", "__y", "__z", "__r", "__axes")
+    d = d.withColumn("__rm", R.pack([x[0], y[0], z[0], x[1], y[1], z[1], x[2], y[2], z[2]]))
+    d = rot_convert(d.withColumnRenamed("__rm", "__axes"), "__axes", "mat", "rotvec", "__rr")
+    return d.withColumn("wrist_pose", F.concat(F.slice("landmarks", 1, 3), F.col("__rr"))).drop("__x", "__y", "__z", "__rr", "__axes")
 
 
 def keypoints_to_world(df: DataFrame, points: str, wrist: str, n_points: int, out: str) -> DataFrame:
     """Local points (flat) -> world, by wrist pose (position, then quaternion w, x, y, z)."""
     q = R.comps(wrist, 4, 3)
-    d = df.withColumn("__q", R.pack(R.quat_unit([q[1], q[2], q[3], q[0]])))
-    d = d.withColumn("__t", F.concat(R.pack(R.quat_to_mat(R.comps("__q", 4))), F.slice(wrist, 1, 3))).drop("__q")
+    d = df.withColumn("__rq", R.pack(R.quat_unit([q[1], q[2], q[3], q[0]])))
+    d = d.withColumn("__t", F.concat(R.pack(R.quat_to_mat(R.comps("__rq", 4))), F.slice(wrist, 1, 3))).drop("__rq")
     pts = []
     for k in range(n_points):
         pts += R.tf_point(R.comps("__t", 12), R.comps(points, 3, 3 * k))
@@ -395,12 +396,12 @@ def pointcloud_prepare(points: DataFrame, cameras: DataFrame, max_dist: float =
     ``points(cloud_id, point_idx, xyz, ...)``; ``cameras(cloud_id, camera_pose)``.
     """
     ok = F.forall("xyz", _finite)
-    d = points.where(ok).where(R.vnorm(R.comps("xyz", 3)) < max_dist)
+    d = points.where(ok).where(F.expr(f"{R.vnorm(R.comps('xyz', 3))} < {float(max_dist)!r}D"))
     if every > 1:
         d = number_rows(d, [key], [idx], F.floor(F.col(idx) / block_rows), "__n").where(F.col("__n") % every == 0).drop("__n")
     d = d.join(to_tf(cameras.select(key, "camera_pose"), "camera_pose", "__c").drop("camera_pose"), key)
     d = transform_point(d, "xyz", "__c", "__w").drop("__c")
-    w = R.comps("__w", 3)
+    w = [F.get("__w", F.lit(i)) for i in range(3)]
     vox = [F.floor(c / voxel).alias(n) for c, n in zip(w, ("vx", "vy", "vz"))]
     return d.select(*vox, *[c.alias(n) for c, n in zip(w, "xyz")]).groupBy("vx", "vy", "vz").agg(
         F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in "xyz"])
@@ -416,9 +417,9 @@ def interp_pose(frames: DataFrame, speed: float, pose: str, keys: Sequence[str]
         "__b", R.pack(R.rotvec_to_quat(R.comps(nxt, 3, 3))))
     b = b.withColumn("__d", R.pack(R.quat_mul(R.quat_conj(R.comps("__a", 4)), R.comps("__b", 4))))
     b = b.withColumn("__d", R.pack(R.canonical(R.comps("__d", 4))))
-    b = b.withColumn("__r", R.pack(R.vscale(R.quat_to_rotvec(R.comps("__d", 4)), F.col("w"))))
-    b = b.withColumn("__s", R.pack(R.rotvec_to_quat(R.comps("__r", 3))))
+    b = b.withColumn("__rr", R.pack(R.vscale(R.quat_to_rotvec(R.comps("__d", 4)), R.Term("w"))))
+    b = b.withColumn("__s", R.pack(R.rotvec_to_quat(R.comps("__rr", 3))))
     b = b.withColumn("__s", R.pack(R.quat_mul(R.comps("__a", 4), R.comps("__s", 4))))
     b = b.withColumn("__s", R.pack(R.canonical(R.comps("__s", 4))))
-    pos = [x + (y - x) * F.col("w") for x, y in zip(R.comps(pose, 3), R.comps(nxt, 3))]
+    pos = [x + (y - x) * R.Term("w") for x, y in zip(R.comps(pose, 3), R.comps(nxt, 3))]
     return b.select(*keys, "grid_idx", "t", R.pack([*pos, *R.quat_to_rotvec(R.comps("__s", 4))]).alias(pose))

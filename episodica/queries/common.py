@@ -123,3 +123,23 @@ def sql_longer(source: str, keys: str, arr: str = "v", pos: str = "dim", val: st
         f"SELECT {keys}, CAST(i_ - 1 AS BIGINT) AS {pos}, {sql_rnd('x_', digits)} AS {val} FROM "
         f"(SELECT {keys}, unnest({arr}) AS x_, unnest(range(1, len({arr}) + 1)) AS i_ FROM {source})"
     )
+
+
+def forms(df: DataFrame, keys: list[str], cols: list[str], digits: int = 6) -> DataFrame:
+    """Several array columns in long form: keys, form, dim, value."""
+    from episodica.registry import rnd
+
+    pick = F.explode(F.array(*[F.struct(F.lit(c).alias("form"), F.col(c).alias("a")) for c in cols])).alias("f_")
+    d = df.select(*keys, pick).select(*keys, "f_.form", F.posexplode("f_.a").alias("p_", "x_"))
+    return d.select(*keys, "form", F.col("p_").cast("bigint").alias("dim"), rnd(F.col("x_"), digits).alias("value"))
+
+
+def sql_forms(source: str, keys: str, cols: list[str], digits: int = 6) -> str:
+    from episodica.registry import sql_rnd
+
+    parts = [
+        f"SELECT {keys}, '{c}' AS form, CAST(i_ - 1 AS BIGINT) AS dim, {sql_rnd('x_', digits)} AS value FROM "
+        f"(SELECT {keys}, unnest({c}) AS x_, unnest(range(1, len({c}) + 1)) AS i_ FROM {source})"
+        for c in cols
+    ]
+    return "\nUNION ALL ".join(parts)
