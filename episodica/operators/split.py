@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from episodica.plans.ordered import hash_block, hash_hex, number_rows
 
-SPLIT_VERSION = 2
+SPLIT_VERSION = 4
 
 
 def val_count(total: Column, val_ratio: float) -> Column:

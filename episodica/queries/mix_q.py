@@ -104,16 +104,16 @@ def _stored(m):
     i = F.col("config_index")
     key = F.when(i % 5 != 0, F.array("train_key", "val_key")).when(i % 10 == 0, F.array("legacy_train_key")) \
         .otherwise(F.array(F.lit("train_episode_idx")))
-    return m.select("norm_domain", F.explode(key).alias("key"), F.when(i % 13 == 0, 1).otherwise(2).alias("version"))
+    return m.select("norm_domain", F.explode(key).alias("key"), F.when(i % 13 == 0, 1).otherwise(4).alias("version"))
 
 
-STORED = """stored AS (SELECT norm_domain, CASE WHEN config_index % 13 = 0 THEN 1 ELSE 2 END AS version,
+STORED = """stored AS (SELECT norm_domain, CASE WHEN config_index % 13 = 0 THEN 1 ELSE 4 END AS version,
   unnest(CASE WHEN config_index % 5 <> 0 THEN [train_key, val_key] WHEN config_index % 10 = 0 THEN [legacy_train_key] ELSE ['train_episode_idx'] END) AS key FROM manifest)"""
 
 
 @query("c5_manifest_reuse", f"""WITH {MANIFEST}, {STORED},
 need AS (SELECT DISTINCT norm_domain, unnest([train_key, val_key]) AS key FROM manifest),
-have AS (SELECT DISTINCT norm_domain, key FROM stored WHERE version = 2)
+have AS (SELECT DISTINCT norm_domain, key FROM stored WHERE version = 4)
 SELECT norm_domain, count(*) - count(h.key) AS n_missing, count(*) = count(h.key) AS reusable
 FROM need LEFT JOIN have h USING (norm_domain, key) GROUP BY 1""")
 def c5_reuse(spark, sf):
