@@ -86,10 +86,10 @@ def repair_glitches(frames: DataFrame, joints: str, limit: float = 100.0, keys:
 
 
 def clean_flag(c: Column) -> Column:
-    """NaN -> 0, +Inf -> 1, -Inf -> 0, values above 0.5 -> 1."""
+    """Binary usage flag: above 0.5 -> 1, else 0; NaN and -Inf count as 0, +Inf as 1."""
     inf = F.lit(float("inf"))
     x = F.when(F.isnan(c) | (c == -inf), F.lit(0.0)).when(c == inf, F.lit(1.0)).otherwise(c)
-    return F.when(x > 0.5, F.lit(1.0)).otherwise(x)
+    return F.when(x > 0.5, F.lit(1)).otherwise(F.lit(0))
 
 
 def delta_score(frames: DataFrame, data: str, keys: Sequence[str] = EP, out: str = "score") -> DataFrame:

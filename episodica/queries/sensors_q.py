@@ -52,11 +52,11 @@ def f3(spark, sf):
     return d.select("episode_id", *bigint("frame_idx"), rnd(F.get("j", F.lit(0))).alias("j0"), F.get("j", F.lit(1)).cast("bigint").alias("j1"))
 
 
-@query("f4_clean_flags", f"""SELECT event_id, CASE WHEN event_id % 7 IN (0, 2) THEN 0.0::DOUBLE WHEN event_id % 7 = 1 THEN 1.0::DOUBLE WHEN value / 20 > 0.5 THEN 1.0::DOUBLE ELSE {sql_rnd('value / 20')} END AS flag FROM events""")
+@query("f4_clean_flags", """SELECT event_id, CASE WHEN event_id % 7 IN (0, 2) THEN 0::BIGINT WHEN event_id % 7 = 1 THEN 1 WHEN value / 20 > 0.5 THEN 1 ELSE 0 END AS flag FROM events""")
 def f4(spark, sf):
     m = F.col("event_id") % 7
     raw = F.when(m == 0, F.lit(float("nan"))).when(m == 1, F.lit(float("inf"))).when(m == 2, F.lit(float("-inf"))).otherwise(F.col("value") / 20)
-    return events(spark, sf).select("event_id", rnd(S.clean_flag(raw)).alias("flag"))
+    return events(spark, sf).select("event_id", S.clean_flag(raw).cast("bigint").alias("flag"))
 
 
 SCORES = STREAMS + """,
