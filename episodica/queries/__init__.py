@@ -1,3 +1,6 @@
 """Registered queries; importing this package fills the registry."""
 
-from episodica.queries import align_q, episodes_q, geometry_q, mix_q, records_q, sensors_q, sources_q  # noqa: F401
+from episodica.queries import (  # noqa: F401
+    align_q, episodes_q, flagship, geometry_q, metrics_q, mix_q, normalize_q, records_q, sensors_q, sources_q,
+    streaming_q,
+)
