@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from episodica.plans.ordered import explode_range, halo, number_rows
+from episodica.plans.ordered import explode_range, halo, number_rows, prefix
 from episodica.plans.ranges import range_join
 from episodica.sources.frames import EPISODE
 
@@ -45,10 +45,10 @@ def episode_index(frames: DataFrame) -> DataFrame:
     wf = W.partitionBy("domain").orderBy("file_id").rowsBetween(*before)
     files = files.select("domain", "file_id", F.coalesce(F.sum("fl").over(wf), z).alias("f_off"),
                          F.coalesce(F.sum("fe").over(wf), z).alias("f_eps"))
-    we = W.partitionBy("domain", "file_id").orderBy("episode_id").rowsBetween(*before)
-    eps = eps.withColumn("e_off", F.coalesce(F.sum("length").over(we), z)).withColumn(
-        "e_no", F.coalesce(F.count("length").over(we), z)
-    )
+    # a file may hold very many episodes: running sums go block by block
+    eps = prefix(eps, ["domain", "file_id"], "episode_id",
+                 {"e_off": ("sum", F.col("length")), "e_no": ("sum", F.lit(1).cast("long"))}, current=False, rows=EPISODE_BLOCK)
+    eps = eps.fillna(0, ["e_off", "e_no"])
     d = eps.join(files, ["domain", "file_id"]).join(doms, "domain")
     start = F.col("d_off") + F.col("f_off") + F.col("e_off")
     return d.select(

@@ -15,6 +15,7 @@ from episodica.functions.layout import block_of, block_ranges, dim_label
 from episodica.operators.geometry import _gram_schmidt
 from episodica.plans.ordered import number_rows
 from episodica.plans.quantiles import exact_quantiles
+from episodica.plans.small import keep
 
 APE_FLOOR = 0.001
 GROUP = ("domain", "batch_id")
@@ -82,11 +83,16 @@ def pose_errors(steps: DataFrame, pred: str, truth: str, mask: str, trim: float
     on = lambda a, n: F.forall(F.slice(mask, a, n), lambda x: x > 0)
     fin = F.forall(F.concat("__a", "__b"), lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
     d = d.select(*keys, F.when(on(1, 3), F.expr(pos)).alias("pos"), F.when(on(4, 6) & fin, F.degrees(F.expr(R.fn("acos", cos)))).alias("rot"))
-    out = None
-    for c, name in (("pos", "position_error"), ("rot", "rotation_error_deg")):
-        g = _trim(d.where(F.col(c).isNotNull()), keys, c, trim).groupBy(*keys).agg(F.avg(c).alias(name))
-        out = g if out is None else out.join(g, keys, "full_outer")
-    return out
+    names = {"pos": "position_error", "rot": "rotation_error_deg"}
+    if not 0 < trim < 0.5:
+        g = d.groupBy(*keys).agg(*[F.avg(c).alias(n) for c, n in names.items()])
+    else:
+        # quantiles read the errors several times; a written table also keeps the
+        # geometry out of pushed-down filters
+        d = keep(d, "pose-errors")
+        pos, rot = [_trim(d.where(F.col(c).isNotNull()), keys, c, trim).groupBy(*keys).agg(F.avg(c).alias(n)) for c, n in names.items()]
+        g = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).drop("__n").join(pos, keys, "left").join(rot, keys, "left")
+    return g
 
 
 def at_edge(value: Column) -> Column:

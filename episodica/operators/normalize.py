@@ -205,7 +205,7 @@ def _over(vec: str, fn, nested: bool) -> Column:
 
 def _with_stats(samples: DataFrame, vec: str, stats: DataFrame, keys: Sequence[str], width: int, fn) -> DataFrame:
     nested = samples.schema[vec].dataType.elementType.typeName() == "array"
-    d = samples.join(lookup(stat_arrays(stats, keys, width)), list(keys), "left")
+    d = samples.join(lookup(stat_arrays(stats, keys, width), 20_000), list(keys), "left")
     size = F.size(F.get(vec, F.lit(0))) if nested else F.size(vec)
     wrong = F.raise_error(F.lit(f"{vec} is not {width} wide")).cast(samples.schema[vec].dataType)
     body = F.when(F.col("__lo").isNull(), F.col(vec)).otherwise(_over(vec, fn, nested))

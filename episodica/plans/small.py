@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from episodica.session import scratch_path
 
-#: rows up to which a lookup table may be broadcast
+#: rows and bytes up to which a lookup table may be broadcast
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 << 20
 
 
 def keep(df: DataFrame, name: str = "kept") -> DataFrame:
@@ -21,12 +22,13 @@ def keep(df: DataFrame, name: str = "kept") -> DataFrame:
 def lookup(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Evaluate a summary table once and return it as a join side.
 
-    At most ``max_rows`` rows are fetched.  If the table is that small it comes
+    At most ``max_rows`` rows are fetched (pass less for wide rows).  If the table
+    is that small, and below ``BROADCAST_BYTES``, it comes
     back as a local relation with a broadcast hint, so its size is proven.  A
     larger table is written to the shared folder and joined by shuffle instead.
     """
     head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows > max_rows:
+    if head.num_rows > max_rows or head.nbytes > BROADCAST_BYTES:
         return keep(df, "lookup")
     # columnar fetch keeps doubles bit-exact; the schema is pinned to the source's
     return F.broadcast(df.sparkSession.createDataFrame(head, schema=df.schema))

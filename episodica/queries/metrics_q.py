@@ -77,12 +77,20 @@ def _steps(spark, sf):
     return vectors(spark, sf).select("domain", F.floor(F.col("vec_id") / 100).alias("batch_id"), F.slice("v", 1, 9).alias("p"), F.slice("v", 10, 9).alias("g"), m.alias("m"))
 
 
-@query("i3_pose_errors", f"""WITH {VECTORS}, {POSE} SELECT domain, batch_id, {sql_rnd('avg(pos)')} AS position_error, {sql_rnd('avg(rot)', 5)} AS rotation_error_deg FROM e GROUP BY 1, 2 HAVING count(pos) + count(rot) > 0""")
+@query("i3_pose_errors", f"""WITH {VECTORS}, {POSE} SELECT domain, batch_id, {sql_rnd('avg(pos)')} AS position_error, {sql_rnd('avg(rot)', 5)} AS rotation_error_deg FROM e GROUP BY 1, 2""")
 def i3(spark, sf):
     d = M.pose_errors(_steps(spark, sf), "p", "g", "m")
     return d.select("domain", "batch_id", rnd(F.col("position_error")).alias("position_error"), rnd(F.col("rotation_error_deg"), 5).alias("rotation_error_deg"))
 
 
+@query("i3_pose_errors_trimmed", f"""WITH {VECTORS}, {POSE},
+q AS (SELECT domain, batch_id, quantile_cont(pos, 0.1) AS p0, quantile_cont(pos, 0.9) AS p1, quantile_cont(rot, 0.1) AS r0, quantile_cont(rot, 0.9) AS r1 FROM e GROUP BY 1, 2)
+SELECT domain, batch_id, {sql_rnd('avg(pos) FILTER (WHERE pos BETWEEN p0 AND p1)')} AS position_error, {sql_rnd('avg(rot) FILTER (WHERE rot >= r0 - 1e-9 AND rot <= r1 + 1e-9)', 5)} AS rotation_error_deg FROM e JOIN q USING (domain, batch_id) GROUP BY 1, 2""")
+def i3_trim(spark, sf):
+    d = M.pose_errors(_steps(spark, sf), "p", "g", "m", trim=0.1)
+    return d.select("domain", "batch_id", rnd(F.col("position_error")).alias("position_error"), rnd(F.col("rotation_error_deg"), 5).alias("rotation_error_deg"))
+
+
 @query("i4_metric_rollup", f"""WITH {VECTORS}, {PAIRS}, {BLOCKS},
 m AS (SELECT domain, batch_id, 'rmse/' || block AS name, CASE WHEN (batch_id + domain) % 4 = 0 THEN -1.0::DOUBLE ELSE sqrt(avg(err * err)) END AS v FROM x GROUP BY domain, batch_id, block)
 SELECT domain, name, {sql_rnd('coalesce(avg(v) FILTER (WHERE v >= 0), -1.0::DOUBLE)')} AS value, count(*) FILTER (WHERE v >= 0) AS n_batches, grouping(domain) = 1 AS is_total FROM m GROUP BY GROUPING SETS ((name), (domain, name))""")

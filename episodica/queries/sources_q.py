@@ -63,7 +63,7 @@ SELECT domain, count(*) AS n_frames, count(DISTINCT file_id) AS n_files, count(D
        {sql_rnd('sum(q0)', 4)} AS s0 FROM frames GROUP BY domain""")
 def a2(spark, sf):
     root = scratch_path(spark, "frames")
-    frames(spark, sf).repartition("domain").write.partitionBy("domain").parquet(root)
+    frames(spark, sf).hint("rebalance", "domain").write.partitionBy("domain").parquet(root)
     doms = table(spark, sf, "nation").select(
         F.col("n_name").alias("name"), F.concat(F.lit(root + "/domain="), "n_name").alias("path"),
         F.col("n_nationkey").cast("bigint").alias("config_index"))
