@@ -67,7 +67,7 @@ def test_camera_frame_identity_when_not_finite(spark):
 
 
 def test_slerp_midpoint_takes_the_short_way(spark):
-    rows = [(1, 0, 0.0, [0.0, 0, 0, 0, 0, 3.0]), (1, 1, 1.0, [2.0, 0, 0, 0, 0, -3.0])]
+    rows = [(1, 0, 0.0, [0.0, 0.0, 0.0, 0.0, 0.0, 3.0]), (1, 1, 1.0, [2.0, 0.0, 0.0, 0.0, 0.0, -3.0])]
     d = spark.createDataFrame(rows, "episode_id long, frame_idx long, ts double, pose array<double>")
     r = {x.grid_idx: x.pose for x in G.interp_pose(d, 2.0, "pose").collect()}
     assert np.allclose(rod(r[1][3:]), rod([0, 0, np.pi]), atol=1e-9) and r[1][0] == pytest.approx(1.0)
