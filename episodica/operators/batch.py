@@ -28,10 +28,9 @@ def domain_batches(
     # a tail row at slot p repeats at p + r, p + 2r, ... below the batch size
     fill = F.when(in_tail & (rest > 0), F.sequence(slot, F.lit(b - 1).cast("bigint"), F.greatest(rest, F.lit(1)))) \
         .otherwise(F.array(slot))
+    # one row per batch: its first sample
+    plan = d.where(F.col("__rn") % b == 0).select("domain", "batch_in_domain")
     d = d.withColumn("slot", F.explode(fill)).drop("__rn")
-    plan = samples.groupBy("domain").agg(F.count(F.lit(1)).alias("__m"))
-    plan = plan.withColumn("batch_in_domain", F.explode(
-        F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("__m") / b) - 1))).drop("__m")
     plan = plan.withColumn("__h", hash_hex(seed, epoch, "batch", F.col("domain"), F.col("batch_in_domain")))
     plan = number_rows(plan, [], ["__h"], hash_block(F.col("__h")), "batch_no").drop("__h")
     d = d.join(plan, ["domain", "batch_in_domain"]).drop("__n")

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from episodica.plans.ordered import hash_block, hash_hex, number_rows
+from episodica.plans.ordered import explode_range, hash_block, hash_hex, number_rows
 
 SPLIT_VERSION = 4
 
@@ -49,8 +49,7 @@ def entry_prefixes(entries: DataFrame, pools: DataFrame) -> DataFrame:
     n = F.when(F.col("n_selected") <= F.col("n_pool"), F.col("n_selected")).otherwise(
         F.raise_error(F.lit("an entry selects more episodes than its source pool holds")).cast("bigint")
     )
-    pos = F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1))
-    return d.withColumn("position", F.explode(pos)).drop("n_pool", "n_selected")
+    return explode_range(d, F.lit(0), n - 1, "position", spread=True).drop("n_pool", "n_selected")
 
 
 def split_by_source(entries: DataFrame, pools: DataFrame, val_ratio: float, seed: int = 0) -> DataFrame:
@@ -59,8 +58,8 @@ def split_by_source(entries: DataFrame, pools: DataFrame, val_ratio: float, seed
     The pool is each source's whole episode list, so an identity is on the same
     side in every entry that holds it.
     """
-    src = entries.select("norm_domain", "source_id").distinct().join(pools, "source_id").where("n_pool > 0")
-    pool = src.withColumn("position", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_pool") - 1)))
+    src = entries.select("norm_domain", "source_id").distinct().join(pools, "source_id")
+    pool = explode_range(src, F.lit(0), F.col("n_pool") - 1, "position", spread=True)
     drawn = _draw(pool.drop("n_pool"), ["source_id", "position"], val_ratio, seed)
     d = entry_prefixes(entries, pools).join(drawn, ["norm_domain", "source_id", "position"])
     return d.withColumn("split", _label(F.col("is_val"))).drop("is_val")

@@ -161,13 +161,17 @@ def prefix(
     return d.drop(*drop)
 
 
-def explode_range(df: DataFrame, lo: Column, hi: Column, out: str, chunk: int = 65_536) -> DataFrame:
+def explode_range(df: DataFrame, lo: Column, hi: Column, out: str, chunk: int = 65_536, spread: bool = False) -> DataFrame:
     """One row per integer in [lo, hi]; rows with ``lo > hi`` vanish.
 
-    Two nested explodes keep each array short however wide the range is.
+    Two nested explodes keep each array short however wide the range is.  With
+    ``spread`` the chunk starts are redistributed first, so one very wide row is
+    expanded by many tasks.
     """
     d = df.withColumn("__lo", lo.cast("long")).withColumn("__hi", hi.cast("long")).where("__lo <= __hi")
     d = d.withColumn("__from", F.explode(F.sequence(F.col("__lo"), F.col("__hi"), F.lit(chunk).cast("long"))))
+    if spread:
+        d = d.repartition("__from", *[c for c, t in df.dtypes if t in ("string", "bigint", "int")])
     d = d.withColumn(
         out, F.explode(F.sequence(F.col("__from"), F.least(F.col("__hi"), F.col("__from") + F.lit(chunk - 1))))
     )

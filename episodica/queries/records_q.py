@@ -288,7 +288,7 @@ def j2(spark, sf):
 
 
 POOL = """base AS (SELECT DISTINCT source AS task, 'do ' || source AS text FROM documents),
-ex0 AS (SELECT source AS task, doc_id, 'please ' || source || ' ' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 1 + doc_id % 13) AS text FROM documents WHERE doc_id % 4 = 0),
+ex0 AS (SELECT source AS task, doc_id, 'please ' || source || ' ' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 1 + doc_id % 13) AS text FROM documents),
 ex AS (SELECT task, row_number() OVER (PARTITION BY task ORDER BY doc_id) - 1 AS pos, text FROM ex0),
 n AS (SELECT task, max(pos) + 1 AS n FROM ex GROUP BY 1),
 pool AS (SELECT task, pos AS cand_no, CASE WHEN length(text) < 22 THEN rpad(text, 22, ' ') ELSE text END AS text FROM ex WHERE length(text) <= 22
@@ -301,7 +301,7 @@ def _pool(spark, sf):
 
     d = table(spark, sf, "documents").select(F.col("source").alias("task"), "doc_id")
     base = d.select("task", F.concat(F.lit("do "), "task").alias("text")).distinct()
-    ex = d.where("doc_id % 4 = 0").select("task", "doc_id", F.concat(
+    ex = d.select("task", "doc_id", F.concat(
         F.lit("please "), "task", F.lit(" "), F.substring(F.md5(F.col("doc_id").cast("string")), F.lit(1), (1 + F.col("doc_id") % 13).cast("int"))).alias("text"))
     ex = number_rows(ex, ["task"], ["doc_id"], F.floor(F.col("doc_id") / 100_000), "pos")
     return d, base, J.instruction_pool(base, ex, 22)
