@@ -192,6 +192,12 @@ def action_chunk(
     d = d.withColumn("__a", ahead).where(home).drop("__blk")
     n = F.floor((F.size("__a") - 1) / stride) + 1
     d = d.withColumn("n_valid", n.cast("int"))
+    if stride == 1:  # the last step is the last frame: append copies of it, no lambda needed
+        def padded(c: str) -> Column:
+            v = F.col("__a")[c]
+            return F.concat(v, F.array_repeat(F.element_at(v, -1), F.lit(horizon) - F.size(v)))
+
+        return d.select(*[c for c in d.columns if c != "__a"], *[padded(c).alias(f"chunk_{c}") for c in cols])
     last = F.size("__a") - 1 if clamp else (F.col("n_valid") - 1) * stride
     idx = F.transform(F.sequence(F.lit(0), F.lit(horizon - 1)), lambda k: F.least(k * stride, last))
     d = d.withColumn("__i", idx)

@@ -60,18 +60,22 @@ def vector_cells(samples: DataFrame, keys: Sequence[str], vec: str, mask: str |
     A chunk keeps its step as ``t`` only with ``per_time``.
     """
     keys = list(keys)
-    d = samples.select(*keys, F.col(vec).alias("v"), *([F.col(mask).alias("m")] if mask else []))
     chunked = samples.schema[vec].dataType.elementType.typeName() == "array"
-    t = []
+    dim, t = F.col("dim").cast("bigint").alias("dim"), []
+    if mask is None:  # plain explodes, no struct per cell
+        d = samples.select(*keys, F.col(vec).alias("v"))
+        if chunked:
+            d = d.select(*keys, F.posexplode("v").alias("t", "v"))
+            t = [F.col("t").cast("bigint").alias("t")] if per_time else []
+        d = d.select(*keys, *t, F.posexplode("v").alias("dim", "value"))
+        return d.select(*keys, *(["t"] if t else []), dim, F.col("value").cast("double").alias("value"), F.lit(True).alias("valid"))
+    d = samples.select(*keys, F.arrays_zip(F.col(vec).alias("v"), F.col(mask).alias("m")).alias("z"))
     if chunked:
-        pairs = F.arrays_zip("v", "m") if mask else F.arrays_zip("v")
-        d = d.select(*keys, F.posexplode(pairs).alias("t", "z")).select(*keys, "t", "z.*")
+        d = d.select(*keys, F.posexplode("z").alias("t", "z")).select(*keys, "t", F.arrays_zip(F.col("z.v").alias("v"), F.col("z.m").alias("m")).alias("z"))
         t = [F.col("t").cast("bigint").alias("t")] if per_time else []
-    pairs = F.arrays_zip("v", "m") if mask else F.arrays_zip("v")
-    d = d.select(*keys, *t, F.posexplode(pairs).alias("dim", "z"))
-    valid = (F.col("z.m") > 0) if mask else F.lit(True)
-    return d.select(*keys, *(["t"] if t else []), F.col("dim").cast("bigint").alias("dim"),
-                    F.col("z.v").cast("double").alias("value"), F.coalesce(valid, F.lit(False)).alias("valid"))
+    d = d.select(*keys, *t, F.posexplode("z").alias("dim", "z"))
+    return d.select(*keys, *(["t"] if t else []), dim, F.col("z.v").cast("double").alias("value"),
+                    F.coalesce(F.col("z.m") > 0, F.lit(False)).alias("valid"))
 
 
 def norm_fit(samples: DataFrame, keys: Sequence[str], vec: str, norm_type: str, mask: str | None = None, per_time: bool = False) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.types import StructType
 
-from episodica.plans.ordered import hot_groups, index_block, number_rows
+from episodica.plans.ordered import hot_groups, number_rows
 from episodica.plans.small import lookup
 
 EPISODE = ("domain", "file_id", "episode_id")
@@ -83,16 +83,17 @@ def file_numbers(frames: DataFrame, per_file: int = 100) -> DataFrame:
 
 
 def append_episodes(frames: DataFrame, path: str, per_file: int = 100) -> None:
-    """Append whole episodes, ``per_file`` episodes to a file, laid out by domain.
+    """Append whole episodes, ``per_file`` episodes to a logical file, one folder per domain.
 
-    Rows are placed by (domain, file_no) and block of frames, so a small group is
-    one file and a huge episode is written by many tasks.
+    ``file_no`` is a clustered column rather than a folder: row-group statistics
+    prune on it without a tiny file per hundred episodes.  The rebalance hint lets
+    Spark merge small groups and split a huge one over several tasks.
     """
     out = file_numbers(frames, per_file)
     (
-        out.repartition("domain", "file_no", index_block("frame_idx", HOT_EPISODE_ROWS))
+        out.hint("rebalance", "domain", "file_no")
         .sortWithinPartitions("domain", "file_no", "episode_seq", "frame_idx")
-        .write.mode("append").partitionBy("domain", "file_no").parquet(path)
+        .write.mode("append").partitionBy("domain").parquet(path)
     )
 
 
