@@ -79,9 +79,9 @@ nx AS (SELECT *, lead(ts) OVER w AS ts2, lead(value) OVER w AS v2 FROM samples W
 br AS (SELECT gt.*, n.ts, n.ts2, n.value, n.v2, n.stream, n.k FROM gt ASOF JOIN nx n ON gt.episode_id = n.episode_id AND gt.t >= n.ts)"""
 
 
-@query("d7_resample_grid", f"WITH {SAMPLES}, {GRID} SELECT episode_id, grid_idx, {sql_rnd('t')} AS t FROM gt")
+@query("d7_resample_grid", f"WITH {SAMPLES}, {GRID} SELECT episode_id, grid_idx, CAST(floor(t * 1000.0::DOUBLE) AS BIGINT) AS t_ms FROM gt")
 def d7(spark, sf):
-    return A.resample_grid(samples(spark, sf), 1.7).select("episode_id", "grid_idx", rnd(F.col("t")).alias("t"))
+    return A.resample_grid(samples(spark, sf), 1.7).select("episode_id", "grid_idx", F.floor(F.col("t") * 1000.0).alias("t_ms"))
 
 
 @query("d8_interp_linear", f"""WITH {SAMPLES}, {GRID}
