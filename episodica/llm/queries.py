@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from episodica.llm.bitplanes import token_table
 from episodica.llm.vector_shards import pack_shards
 from episodica.registry import query
 
@@ -19,3 +20,15 @@ def op10_vector_shards(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "tokens",
     )
+
+
+def word_tokenizer() -> str:
+    """Vocabulary file of the public tokenizers; a parameter of the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op4_bitplane_ids")
+def op4_bitplane_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return token_table(spark, table(spark, sf, "documents"), word_tokenizer(), end_id=1)
