@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from episodica.llm.bitplanes import token_table
+from episodica.llm.entropy_mix import mix_copies
 from episodica.llm.vector_shards import pack_shards
 from episodica.registry import query
 
@@ -32,3 +33,11 @@ def word_tokenizer() -> str:
 @query("op4_bitplane_ids")
 def op4_bitplane_ids(spark: SparkSession, sf: str) -> DataFrame:
     return token_table(spark, table(spark, sf, "documents"), word_tokenizer(), end_id=1)
+
+
+@query("op7_entropy_mix")
+def op7_entropy_mix(spark: SparkSession, sf: str) -> DataFrame:
+    mixed = mix_copies(table(spark, sf, "documents"), (5.0, 2.0, 1.0), 3.0)
+    return mixed.select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "rate", "copies"
+    )
