@@ -80,7 +80,7 @@ def _filesystem(uri: str):
 
 
 class PlaneWriter:
-    """Writes one file; ``add`` takes documents in order."""
+    """Writes one file; ``add`` takes documents in order, with their ids in one array."""
 
     def __init__(self, uri: str, plane: str, chunk_ids: int, level: int):
         fs, path = _filesystem(uri)
@@ -97,9 +97,9 @@ class PlaneWriter:
         self.out.write(data)
         self.at += len(data)
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append(doc_id)
-        self.lengths.append(len(ids))
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.docs += doc_ids
+        self.lengths += lengths.tolist()
         self.parts.append(ids)
         self.held += len(ids)
         self.total += len(ids)
@@ -183,17 +183,35 @@ class PlaneReader:
 # ---------------------------------------------------------------- tokens
 _WORDS: dict[str, tuple] = {}
 
+#: text bytes that are split into words at once
+SLICE_BYTES = 16 << 20
+
+
+def _core(word: str) -> tuple[str, str]:
+    """A word of letters without the one mark that may end it, and that mark.
+
+    The tokenizer cuts between letters and marks anyway; ASCII letters are
+    lower-cased as it does, so fewer different words are left.
+    """
+    core = word.rstrip(".,;:!?")
+    if len(word) - len(core) > 1 or not core.isalpha():
+        return word, ""
+    return (core.lower() if core.isascii() else core), word[len(core) :]
+
 
 def word_encoder(tokenizer_file: str):
-    """texts -> list of uint32 id arrays, equal to encoding each whole text.
+    """Arrow string array -> (uint32 ids of all texts, number of ids of each text).
 
-    For tokenizers that split at white space and drop it: a text's ids are the
-    ids of its words, and a worker remembers those of the first CACHED_WORDS
-    words.  Words are cut at space and line feed only, so every other character
-    is judged by the tokenizer itself.
+    For tokenizers that split at white space and drop it, so that a text's ids
+    are the ids of its words: words are cut at ASCII white space and made a
+    dictionary by Arrow; only words that are new to the worker, which remembers
+    CACHED_WORDS of them, go through the tokenizer.
     """
     import os
 
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if tokenizer_file not in _WORDS:
         from tokenizers import Tokenizer
@@ -203,31 +221,55 @@ def word_encoder(tokenizer_file: str):
     tok, known, code = _WORDS[tokenizer_file]
     dtype = np.dtype("<u2" if code == "H" else "<u4")
 
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for words in split for w in words}.difference(known))
-        if new:
-            coded = {}
-            for k in range(0, len(new), 10_000):
-                part = new[k : k + 10_000]
-                for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False)):
-                    coded[w] = array(code, e.ids).tobytes()
-            free = CACHED_WORDS - len(known)
-            if len(coded) <= free:
-                known.update(coded)
-            else:
-                for w, ids in coded.items():
-                    if free > 0 and len(w) <= CACHED_CHARS:
-                        known[w] = ids
-                        free -= 1
-                return [
-                    np.frombuffer(b"".join([known[w] if w in known else coded[w] for w in words]), dtype) for words in split
-                ]
-        return [np.frombuffer(b"".join([known[w] for w in words]), dtype) for words in split]
+    def look(words: list[str]) -> list[bytes]:
+        cut = [_core(w) for w in words]
+        new = list({c for pair in cut for c in pair}.difference(known))
+        coded = {}
+        for k in range(0, len(new), 10_000):
+            part = new[k : k + 10_000]
+            for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False)):
+                coded[w] = array(code, e.ids).tobytes()
+        for w in new[: max(0, CACHED_WORDS - len(known))]:
+            if len(w) <= CACHED_CHARS:
+                known[w] = coded[w]
+        both = coded.get
+        return [
+            (known[c] if c in known else both(c)) + ((known[m] if m in known else both(m)) if m else b"") for c, m in cut
+        ]
+
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        if isinstance(coded, pa.ChunkedArray):
+            coded = coded.combine_chunks()
+        parts = look(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // dtype.itemsize
+        at = np.concatenate([[0], np.cumsum(size)])
+        flat = np.frombuffer(b"".join(parts), dtype=dtype)
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        n = size[which]
+        ends = np.cumsum(n)
+        # position of every id: start of its word among the distinct words, plus its place in the word
+        where = np.arange(ends[-1] if len(ends) else 0, dtype=np.int64) + np.repeat(at[which] - (ends - n), n)
+        upto = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return flat[where], np.diff(upto)
 
     return encode
 
 
+def _slices(batch):
+    """Parts of an Arrow batch with at most SLICE_BYTES of text each, or one row."""
+    import pyarrow.compute as pc
+
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(size):
+        base = size[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(size, base + SLICE_BYTES, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 # ---------------------------------------------------------------- Spark
 def write_ids(
     docs: DataFrame,
@@ -254,26 +296,26 @@ def write_ids(
     files = max(1, -(-total // file_bytes), min(8, total >> 20))
     root = path.rstrip("/")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
         encode, out, name = word_encoder(tokenizer_file), None, f"{root}/ids-{uuid.uuid4().hex}.planes"
-        end, rows = np.array([end_id], dtype="<u4"), 0
-        for pdf in batches:
-            # a batch in slices, so that few decoded words are held at once
-            for k in range(0, len(pdf), 500):
-                part = pdf.iloc[k : k + 500]
-                for i, ids in zip(part["id"], encode(part["text"].tolist())):
-                    if out is None:
-                        out = PlaneWriter(name, plane, chunk_ids, level)
-                    out.add(None if pd.isna(i) else int(i), np.concatenate([ids.astype("<u4"), end]))
-                    rows += 1
+        rows = 0
+        for batch in batches:
+            for part in _slices(batch):
+                ids, n = encode(part.column("text"))
+                # the end id goes behind the last id of each document
+                ids = np.insert(ids.astype("<u4"), np.cumsum(n), end_id)
+                out = out or PlaneWriter(name, plane, chunk_ids, level)
+                out.add(part.column("id").to_pylist(), ids, n + 1)
+                rows += len(n)
         if out is not None:
             out.close()
-            yield pd.DataFrame({"file_no": [_partition()], "file": [name], "n_docs": [rows], "n_ids": [out.total]})
+            cols = {"file_no": [_partition()], "file": [name], "n_docs": [rows], "n_ids": [out.total]}
+            yield pa.RecordBatch.from_pydict(cols, pa.schema([("file_no", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    ranged = d.repartitionByRange(files, F.col("id").asc_nulls_first(), F.col("text")).sortWithinPartitions(
-        F.col("id").asc_nulls_first(), "text"
-    )
-    done = keep(ranged.mapInPandas(write, "file_no int, file string, n_docs long, n_ids long"), "id-manifest")
+    ranged = d.repartitionByRange(files, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    done = keep(ranged.mapInArrow(write, "file_no int, file string, n_docs long, n_ids long"), "id-manifest")
     before = F.sum("n_ids").over(W.orderBy("file_no").rowsBetween(W.unboundedPreceding, -1))
     # one row per file, not per document
     return done.select("file_no", "file", "n_docs", "n_ids", F.coalesce(before, F.lit(0)).alias("start"))
