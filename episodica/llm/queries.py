@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from episodica.llm.bitplanes import token_table
 from episodica.llm.entropy_mix import mix_copies
+from episodica.llm.weak_supervision import judge_quality
 from episodica.llm.vector_shards import pack_shards
 from episodica.registry import query
 
 
+#: where this checkout's packages live, for Python workers that share its disk
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    env = spark.sparkContext.environment
+    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
@@ -41,3 +51,11 @@ def op7_entropy_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixed.select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "rate", "copies"
     )
+
+
+@query("op6_weak_supervision")
+def op6_weak_supervision(spark: SparkSession, sf: str) -> DataFrame:
+    out = judge_quality(table(spark, sf, "documents"))
+    return out.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior"
+    )
