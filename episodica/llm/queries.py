@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from episodica.llm.bitplanes import token_table
 from episodica.llm.entropy_mix import mix_copies
+from episodica.llm.url_reputation import judge_urls, url_path
 from episodica.llm.weak_supervision import judge_quality
+from episodica.llm.wu_manber import find_benchmark
 from episodica.llm.vector_shards import pack_shards
 from episodica.registry import query
 
@@ -59,3 +61,91 @@ def op6_weak_supervision(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior"
     )
+
+
+DECONTAMINATION_SQL = """
+WITH az AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS up, 'abcdefghijklmnopqrstuvwxyz' AS low),
+item_words AS (
+  SELECT item_id, regexp_extract_all(translate(text, up, low), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM benchmark, az WHERE text IS NOT NULL AND item_id IS NOT NULL),
+item_windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS m, array_to_string(w[i : i + 9], ' ') AS s
+  FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM item_words WHERE len(w) > 0)),
+doc_words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), up, low), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents, az),
+lengths AS (SELECT DISTINCT m FROM item_windows),
+doc_windows AS (
+  SELECT doc_id, m, i, array_to_string(w[i : i + m - 1], ' ') AS s
+  FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM doc_words, lengths WHERE len(w) >= m)),
+occurs AS (SELECT doc_id, item_id, i, d.m FROM doc_windows d JOIN item_windows t ON d.s = t.s AND d.m = t.m),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM occurs) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+  FROM occurs GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+@query("op1_wu_manber", DECONTAMINATION_SQL)
+def op1_wu_manber(spark: SparkSession, sf: str) -> DataFrame:
+    found = find_benchmark(table(spark, sf, "documents"), table(spark, sf, "benchmark"), 10)
+    return found.select(
+        "doc.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+URL_RULES = [
+    ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"),
+]
+
+#: as in the query: a page is labelled through the document its path names
+REPUTATION_SQL = """
+WITH p AS (
+  SELECT page_id, url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+o AS (
+  SELECT p.*, CASE WHEN quality IS NULL THEN NULL WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END AS bad
+  FROM p LEFT JOIN labels ON TRY_CAST(nullif(regexp_extract(path, '([0-9]+)(?:\\.html)?/?$', 1), '') AS BIGINT) = doc_id),
+h0 AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS k, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS l FROM o GROUP BY host),
+h1 AS (SELECT *, CASE WHEN len(l) >= 2 AND length(l[-1]) = 2 AND l[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') THEN 2 ELSE 1 END AS s FROM h0),
+h AS (SELECT host, n, k, array_to_string(l[greatest(1, len(l) - s) :], '.') AS domain, array_to_string(l[greatest(1, len(l) - s + 1) :], '.') AS suffix FROM h1),
+root AS (SELECT (sum(k) + 1) / (sum(n) + 2) AS m0 FROM h),
+s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, any_value(m0) AS p FROM h, root GROUP BY suffix),
+s1 AS (SELECT least(1000, greatest(1, 1 / greatest(coalesce((sum(n * pow(k / n - p, 2) / (p * (1 - p))) FILTER (n > 0) - count(*) FILTER (n > 0))
+    / sum(n - 1) FILTER (n > 1), 0), 1e-6) - 1)) AS st FROM s0),
+sfx AS (SELECT suffix, (st * p + k) / (st + n) AS m1 FROM s0, s1),
+d0 AS (SELECT domain, sum(n) AS n, sum(k) AS k, any_value(m1) AS p FROM h JOIN sfx USING (suffix) GROUP BY domain),
+d1 AS (SELECT least(1000, greatest(1, 1 / greatest(coalesce((sum(n * pow(k / n - p, 2) / (p * (1 - p))) FILTER (n > 0) - count(*) FILTER (n > 0))
+    / sum(n - 1) FILTER (n > 1), 0), 1e-6) - 1)) AS st FROM d0),
+dom AS (SELECT domain, (st * p + k) / (st + n) AS m2 FROM d0, d1),
+e0 AS (SELECT host, n, k, m2 AS p FROM h JOIN dom USING (domain)),
+e1 AS (SELECT least(1000, greatest(1, 1 / greatest(coalesce((sum(n * pow(k / n - p, 2) / (p * (1 - p))) FILTER (n > 0) - count(*) FILTER (n > 0))
+    / sum(n - 1) FILTER (n > 1), 0), 1e-6) - 1)) AS st FROM e0),
+e AS (SELECT host, (st * p + k) / (st + n) AS m, st * p + k AS a, st * (1 - p) + n - k AS b FROM e0, e1),
+v AS (SELECT host, CASE WHEN m - 1.645 * sqrt(a * b / (pow(a + b, 2) * (a + b + 1))) > 0.5 THEN 'block' ELSE 'allow' END AS method FROM e),
+r AS (SELECT *, CASE
+  WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/'
+  WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/%' THEN 'example.com/en/'
+  WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/es/%' THEN 'net/es/'
+  WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/fr/%' THEN 'net/fr/'
+  WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule FROM p)
+SELECT page_id, r.host AS host, path, rule,
+  CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' ELSE method END AS verdict
+FROM r JOIN v ON r.host = v.host
+"""
+
+
+@query("op2_url_reputation", REPUTATION_SQL)
+def op2_url_reputation(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    labels = table(spark, sf, "labels").select("doc_id", F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0).alias("bad"))
+    # a page shows the document that its path names
+    named = F.expr("try_cast(nullif(regexp_extract(__path, '([0-9]+)(?:[.]html)?/?$', 1), '') as bigint)")
+    pages = pages.withColumn("__path", url_path(F.col("url"))).withColumn("__doc", named)
+    judged = judge_urls(pages.join(labels, pages["__doc"] == labels["doc_id"], "left"), URL_RULES, 0.5)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
