@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from episodica.llm.bitplanes import token_table
 from episodica.llm.entropy_mix import mix_copies
+from episodica.llm.page_diff import extract_text
 from episodica.llm.url_reputation import judge_urls, url_path
 from episodica.llm.weak_supervision import judge_quality
 from episodica.llm.wu_manber import find_benchmark
@@ -149,3 +150,8 @@ def op2_url_reputation(spark: SparkSession, sf: str) -> DataFrame:
     pages = pages.withColumn("__path", url_path(F.col("url"))).withColumn("__doc", named)
     judged = judge_urls(pages.join(labels, pages["__doc"] == labels["doc_id"], "left"), URL_RULES, 0.5)
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op5_page_diff")
+def op5_page_diff(spark: SparkSession, sf: str) -> DataFrame:
+    return extract_text(table(spark, sf, "pages")).select("page_id", "url", "text", "n_chars")
