@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from episodica.llm.bitplanes import token_table
 from episodica.llm.entropy_mix import mix_copies
+from episodica.llm.language_id import LANGUAGES, fit_trigrams, identify
+from episodica.llm.line_windows import drop_repeated_lines
 from episodica.llm.page_diff import extract_text
 from episodica.llm.url_reputation import judge_urls, url_path
 from episodica.llm.weak_supervision import judge_quality
@@ -155,3 +157,34 @@ def op2_url_reputation(spark: SparkSession, sf: str) -> DataFrame:
 @query("op5_page_diff")
 def op5_page_diff(spark: SparkSession, sf: str) -> DataFrame:
     return extract_text(table(spark, sf, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+LINES_SQL = """
+WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+f AS (SELECT doc_id, l, list_filter(range(1, len(l) + 1), lambda i: regexp_matches(l[i], '[^\\x20\\x09-\\x0D]')) AS p FROM l WHERE text IS NOT NULL),
+w AS (SELECT doc_id, i, p, l[p[i]] || chr(10) || l[p[i + 1]] || chr(10) || l[p[i + 2]] AS s
+  FROM (SELECT *, unnest(range(1, len(p) - 1)) AS i FROM f)),
+r AS (SELECT doc_id, i, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS rn FROM w),
+gone AS (SELECT DISTINCT doc_id, unnest([p[i], p[i + 1], p[i + 2]]) AS pos FROM r WHERE rn > 1),
+x AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS line FROM l WHERE text IS NOT NULL),
+k AS (SELECT x.doc_id, string_agg(line, chr(10) ORDER BY x.pos) AS t, count(*) AS n FROM x ANTI JOIN gone
+  ON x.doc_id = gone.doc_id AND x.pos = gone.pos GROUP BY x.doc_id)
+SELECT l.doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(t, '') END AS text,
+  CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(l) - coalesce(n, 0), 0) AS BIGINT) AS n_removed
+FROM l LEFT JOIN k ON l.doc_id = k.doc_id
+"""
+
+
+@query("op8_line_windows", LINES_SQL)
+def op8_line_windows(spark: SparkSession, sf: str) -> DataFrame:
+    return drop_repeated_lines(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query("op9_language_fusion")
+def op9_language_fusion(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages (with address and markup) and documents (text alone), one row each."""
+    docs = table(spark, sf, "documents")
+    model = fit_trigrams(docs, LANGUAGES)
+    pages = identify(table(spark, sf, "pages"), model)
+    texts = identify(docs.select("doc_id", "text"), model, id_col="doc_id", text_col="text", url_col=None, html=False)
+    return pages.withColumn("doc_id", F.lit(None).cast("long")).unionByName(texts.withColumn("page_id", F.lit(None).cast("long")))
