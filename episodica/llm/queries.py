@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from episodica.llm.bitplanes import token_table
 from episodica.llm.entropy_mix import mix_copies
+from episodica.llm.jaccard import jaccard_components
 from episodica.llm.language_id import LANGUAGES, fit_trigrams, identify
 from episodica.llm.line_windows import drop_repeated_lines
 from episodica.llm.page_diff import extract_text
@@ -188,3 +189,25 @@ def op9_language_fusion(spark: SparkSession, sf: str) -> DataFrame:
     pages = identify(table(spark, sf, "pages"), model)
     texts = identify(docs.select("doc_id", "text"), model, id_col="doc_id", text_col="text", url_col=None, html=False)
     return pages.withColumn("doc_id", F.lit(None).cast("long")).unionByName(texts.withColumn("page_id", F.lit(None).cast("long")))
+
+
+JACCARD_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS x
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN c ca ON a = ca.doc_id JOIN c cb ON b = cb.doc_id WHERE 100 * both >= 90 * (ca.n + cb.n - both)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, comp) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.comp FROM r JOIN e ON r.doc_id = e.a)
+SELECT d.doc_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_shingles, m.component_id
+FROM documents d JOIN (SELECT doc_id, min(comp) AS component_id FROM r GROUP BY doc_id) m ON d.doc_id = m.doc_id
+LEFT JOIN c ON d.doc_id = c.doc_id
+"""
+
+
+@query("op3_jaccard_orders", JACCARD_SQL)
+def op3_jaccard_orders(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_components(table(spark, sf, "documents"), 3, 90, 100).select("doc_id", "n_shingles", "component_id")
