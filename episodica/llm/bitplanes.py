@@ -271,6 +271,13 @@ def _slices(batch):
 
 
 # ---------------------------------------------------------------- Spark
+def word_tokenizer(name: str = "word_bpe_49k.json") -> str:
+    """Vocabulary file of the public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def write_ids(
     docs: DataFrame,
     path: str,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import os
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: words: runs of anything but ASCII white space
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,3 +28,22 @@ def require(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"missing columns {missing}; found {df.columns}")
+
+
+#: bytes of texts that reach a Python worker at once
+BATCH_BYTES = 16 << 20
+
+#: where this checkout's packages live, for Python workers that share its disk
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Session settings of the operators with Python stages: small Arrow batches, and the packages' folder."""
+    env = spark.sparkContext.environment
+    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    # a session that chose its own limit keeps it
+    if spark.conf.get(setting) == "67108864b":
+        spark.conf.set(setting, f"{BATCH_BYTES}b")
+    return spark

@@ -350,12 +350,14 @@ def _all_pairs(d: DataFrame, num: int, den: int) -> DataFrame:
 def jaccard_components(
     docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """id, n_shingles, component_id and tk (hash of the text) of every row of ``docs``.
+    """id, n_shingles, component_id, tk (hash of the text) and comp of every row of ``docs``.
 
     ``component_id`` is the smallest id reachable by links.  Null texts and texts
     without words have no shingles and link with nothing: their component is
     their own id.  Rows with equal sets link.  Ids are cast to long; null ids are
-    passed over in the minimum.  Extra columns are not read; no rows give no rows.
+    passed over in the minimum.  ``comp`` names the component even where ids are
+    null or repeat; it is null without shingles.  Extra columns are not read; no
+    rows give no rows.
     """
     require(docs, id_col, text_col)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("text"))
@@ -386,22 +388,25 @@ def jaccard_components(
     labelled = sets.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = labelled.where("comp is not null").groupBy("comp").agg(F.min("id").alias("component_id"))
     out = labelled.join(smallest, "comp", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("node").isNull(), F.col("id"))).alias("component_id"), "tk")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("node").isNull(), F.col("id"))).alias("component_id"), "tk", "comp")
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The documents that represent their component, with their columns.
 
-    Of each component the row with the smallest (doc_id, text hash) stays; of rows
-    equal in both, all stay unless another represents them.
+    Of each component the row with the smallest (doc_id, text hash) stays, null ids
+    last, and only one of rows that agree in both.  Documents without words all stay.
+    The texts of documents that surely stay are not shuffled.
     """
-    found = keep(jaccard_components(docs, n, num, den), "jaccard-components")
-    key = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "tk")
-    first = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(key).alias("first"))
-    gone = found.where("n_shingles > 0").join(first, "component_id").where(~key.eqNullSafe(F.col("first"))).select("tk", F.col("doc_id").alias("__gone"))
-    gone = keep(gone, "jaccard-dropped")
+    found = keep(jaccard_components(docs, n, num, den).where("comp is not null"), "jaccard-components")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk")
+    first = found.groupBy("comp").agg(F.min(key).alias("first"))
+    rows = found.groupBy("comp", "doc_id", "tk").agg(F.count(F.lit(1)).alias("rows")).join(first, "comp")
+    rows = rows.withColumn("stays", key.eqNullSafe(F.col("first"))).where("not stays or rows > 1")
+    judged = keep(rows.select("tk", F.col("doc_id").alias("__doc"), "stays"), "jaccard-judged")
     d = docs.select(F.struct(*docs.columns).alias("d"), F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__tk"))
-    safe = maybe_among(d, "__tk", gone.select("tk"), negate=True).select("d.*")
-    rest = maybe_among(d, "__tk", gone.select("tk"))
-    rest = rest.join(gone, (F.col("__tk") == F.col("tk")) & F.col("__id").eqNullSafe(F.col("__gone")), "left_anti")
-    return safe.unionByName(rest.select("d.*"))
+    safe = maybe_among(d, "__tk", judged.select("tk"), negate=True)
+    rest = maybe_among(d, "__tk", judged.select("tk"))
+    rest = rest.join(judged, (F.col("__tk") == F.col("tk")) & F.col("__id").eqNullSafe(F.col("__doc")), "left")
+    one = rest.where("stays").dropDuplicates(["__id", "__tk"])
+    return safe.select("d.*").unionByName(rest.where("stays is null").select("d.*")).unionByName(one.select("d.*"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import os
-
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from episodica.llm.bitplanes import token_table
+from episodica.llm.bitplanes import token_table, word_tokenizer
+from episodica.llm.common import prepare
 from episodica.llm.entropy_mix import mix_copies
 from episodica.llm.jaccard import jaccard_components
 from episodica.llm.language_id import LANGUAGES, fit_trigrams, identify
@@ -19,15 +19,11 @@ from episodica.llm.vector_shards import pack_shards
 from episodica.registry import query
 
 
-#: where this checkout's packages live, for Python workers that share its disk
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return prepare(spark).read.parquet(f"{sf}/{name}.parquet")
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
 
 
 @query("op10_vector_shards")
@@ -39,13 +35,6 @@ def op10_vector_shards(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def word_tokenizer() -> str:
-    """Vocabulary file of the public tokenizers; a parameter of the operator."""
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 @query("op4_bitplane_ids")
 def op4_bitplane_ids(spark: SparkSession, sf: str) -> DataFrame:
     return token_table(spark, table(spark, sf, "documents"), word_tokenizer(), end_id=1)
@@ -198,8 +187,8 @@ WITH RECURSIVE w AS (
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS x
   FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
 c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
-l AS (SELECT a, b FROM p JOIN c ca ON a = ca.doc_id JOIN c cb ON b = cb.doc_id WHERE 100 * both >= 90 * (ca.n + cb.n - both)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS same FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN c ca ON a = ca.doc_id JOIN c cb ON b = cb.doc_id WHERE 100 * same >= 90 * (ca.n + cb.n - same)),
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r(doc_id, comp) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.comp FROM r JOIN e ON r.doc_id = e.a)
 SELECT d.doc_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_shingles, m.component_id
