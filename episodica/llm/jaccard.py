@@ -3,7 +3,7 @@
 Two documents link when the Jaccard similarity of their shingle sets reaches
 num / den.  Under ANY global order of the shingles, two such sets share a shingle
 among the first n - ceil(t n) + 1 of each (their prefixes).  Prefixes are built under
-three orders, all of them rare shingles first, with different tie-breaks: pairs come
+three orders, all of them rare shingles first by different counts: pairs come
 from a join on the first, and must also share prefix shingles under the
 second and the third before anything is verified.  A parity bitmap of the set adds
 an exact bound on the symmetric difference.
@@ -15,9 +15,11 @@ shingles; after that, ALL pairs left between different classes are checked.  A
 group of near copies so costs its size and not its square, and no link between
 different texts is lost.
 
-How often shingles occur is counted in a table of fixed size over all documents
-(it only orders shingles, so collisions cannot change the result).  Verification
-computes the whole sets again from the texts of the documents in question.
+How often shingles occur is counted over all documents in two tables of counters
+under different hashes.  A shingle's rank is its counter in one table, in the
+other, or the smaller of both: these are the three orders.  Counters only order
+shingles, so collisions cannot change the result.  Verification computes the whole
+sets again from the texts of the documents in question.
 """
 
 from __future__ import annotations
@@ -38,6 +40,9 @@ LONGS = BITS // 64
 #: rounds in which nodes are checked against one hub
 ROUNDS = 3
 
+#: log2 of the most counters in a table
+MAX_BUCKETS = 23
+
 #: members checked against one copy of a hub's text
 HUB_ROWS = 500
 
@@ -114,10 +119,15 @@ def parity(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def counters(tokens: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of tokens in the first and the second table of counters."""
+    mask = np.uint64(buckets - 1)
+    return (tokens & mask).astype(np.int64), ((tokens >> np.uint64(33)) & mask).astype(np.int64) + buckets
+
+
 def ranks(counts: np.ndarray) -> np.ndarray:
-    """Class of each counter: 0 up to twice the mean, then by doubling."""
-    base = max(1.0, 2 * counts.mean())
-    return np.clip(np.ceil(np.log2(np.maximum(counts, 1) / base)), 0, 40).astype(np.uint8)
+    """Rank of each counter, in steps of a ninth or so."""
+    return np.minimum(np.round(8 * np.log2(1.0 + counts)), 255).astype(np.uint8)
 
 
 def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
@@ -146,7 +156,7 @@ _SECOND = T.StructType([
     T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bits", T.ArrayType(T.LongType())),
     T.StructField("p1", T.ArrayType(T.LongType())), T.StructField("p2", T.ArrayType(T.IntegerType())), T.StructField("p3", T.ArrayType(T.IntegerType())),
 ])
-_CHUNKS = 256
+_CHUNKS = 512
 
 
 def _node(tokens: np.ndarray) -> int:
@@ -163,7 +173,7 @@ def _first_pass(d: DataFrame, n: int, buckets: int) -> DataFrame:
         import zstandard
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        schema, counts = to_arrow_schema(_FIRST), np.zeros(buckets, dtype=np.uint32)
+        schema, counts = to_arrow_schema(_FIRST), np.zeros(2 * buckets, dtype=np.uint32)
         for batch in batches:
             for part in _slices(batch, "text"):
                 sizes, nodes, held = [], [], []
@@ -171,13 +181,14 @@ def _first_pass(d: DataFrame, n: int, buckets: int) -> DataFrame:
                     sizes.append(len(s))
                     nodes.append(_node(s) if len(s) else None)
                     held.append(s)
-                at = np.concatenate(held) & np.uint64(buckets - 1) if held else np.zeros(0, dtype=np.uint64)
-                counts += np.bincount(at.astype(np.int64), minlength=buckets).astype(np.uint32)
+                for at in counters(np.concatenate(held), buckets):
+                    places, seen = np.unique(at, return_counts=True)
+                    counts[places] += seen.astype(np.uint32)
                 none = [None] * len(sizes)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), part.column("tk"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
                      pa.array(none, pa.int32()), pa.array(none, pa.binary())], schema=schema)
-        z, each = zstandard.ZstdCompressor(level=1), buckets // _CHUNKS
+        z, each = zstandard.ZstdCompressor(level=1), 2 * buckets // _CHUNKS
         rows = [(c, counts[c * each : (c + 1) * each]) for c in range(_CHUNKS)]
         rows = [{"chunk": c, "counts": z.compress(x.tobytes())} for c, x in rows if x.any()]
         if rows:
@@ -187,7 +198,7 @@ def _first_pass(d: DataFrame, n: int, buckets: int) -> DataFrame:
 
 
 def _count_ranks(first: DataFrame, buckets: int) -> np.ndarray:
-    """Ranks of all counters: partial counts are added chunk by chunk, in a stream."""
+    """Ranks of all counters of both tables: partial counts are added chunk by chunk, in a stream."""
 
     def add(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -210,16 +221,16 @@ def _count_ranks(first: DataFrame, buckets: int) -> np.ndarray:
             yield out()
 
     parts = first.where("chunk is not null").select("chunk", "counts").repartition("chunk").sortWithinPartitions("chunk")
-    counts = np.zeros(buckets, dtype=np.uint64)
-    each = buckets // _CHUNKS
+    # 2 * buckets numbers, whatever the size of the corpus; a byte of each stays
+    out, each = np.zeros(2 * buckets, dtype=np.uint8), 2 * buckets // _CHUNKS
     for row in parts.mapInArrow(add, "chunk int, counts binary").toLocalIterator():
-        counts[row["chunk"] * each : (row["chunk"] + 1) * each] = np.frombuffer(row["counts"], dtype=np.uint64)
-    return ranks(counts)
+        out[row["chunk"] * each : (row["chunk"] + 1) * each] = ranks(np.frombuffer(row["counts"], dtype=np.uint64))
+    return out
 
 
 def _second_pass(d: DataFrame, n: int, num: int, den: int, rank: np.ndarray) -> DataFrame:
     """node, n, parity bits and prefixes under the three orders, a row per document with words."""
-    table, buckets = d.sparkSession.sparkContext.broadcast(rank), len(rank)
+    table, buckets = d.sparkSession.sparkContext.broadcast(rank), len(rank) // 2
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -238,12 +249,13 @@ def _second_pass(d: DataFrame, n: int, num: int, den: int, rank: np.ndarray) ->
                 for s in shingle_sets(part.column("text"), n):
                     if not len(s):
                         continue
-                    r, size = rare[(s & np.uint64(buckets - 1)).astype(np.int64)], prefix_length(len(s), num, den)
+                    r1, r2 = (rare[at] for at in counters(s, buckets))
+                    size = prefix_length(len(s), num, den)
                     nodes.append(_node(s))
                     sizes.append(len(s))
                     bits.append(parity(s))
-                    p[0].append(prefix(s, r, 0, size).view(np.int64))
-                    for k in (1, 2):
+                    p[0].append(prefix(s, np.minimum(r1, r2), 0, size).view(np.int64))
+                    for k, r in ((1, r1), (2, r2)):
                         p[k].append((prefix(s, r, k, size) >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 if nodes:
                     yield pa.RecordBatch.from_arrays(
@@ -362,7 +374,8 @@ def jaccard_components(
     require(docs, id_col, text_col)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("text"))
     rows = docs.count()
-    buckets = 1 << int(np.clip(np.ceil(np.log2(max(1, 16 * rows))), 16, 24))
+    # 32 counters a document, up to a bound that fits into a worker
+    buckets = 1 << int(np.clip(np.ceil(np.log2(max(1, 32 * rows))), 16, MAX_BUCKETS))
     first = _first_pass(d, n, buckets)
     nodes = _second_pass(d, n, num, den, _count_ranks(first, buckets))
     sets = first.where("chunk is null").select("id", "tk", "n", "node")
