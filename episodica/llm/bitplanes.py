@@ -42,7 +42,7 @@ CHUNK_IDS = 1 << 16
 FILE_BYTES = 32 << 20
 
 #: words of which a worker remembers the ids, and the longest it remembers
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 CACHED_CHARS = 40
 
 
@@ -184,7 +184,7 @@ class PlaneReader:
 _WORDS: dict[str, tuple] = {}
 
 #: text bytes that are split into words at once
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 
 
 def _core(word: str) -> tuple[str, str]:

@@ -37,9 +37,15 @@ BATCH_BYTES = 16 << 20
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: workers are used again by later stages: what they free goes back to the system at once
+ALLOCATOR = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20)}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Session settings of the operators with Python stages: small Arrow batches, and the packages' folder."""
+    """Session settings of the operators with Python stages: small Arrow batches, allocator, the packages' folder."""
     env = spark.sparkContext.environment
+    for name, value in ALLOCATOR.items():
+        env.setdefault(name, value)
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))
     setting = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -50,7 +50,7 @@ HUB_ROWS = 500
 BLOCK_ROWS = 1000
 
 #: text bytes turned into sets at once
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
