@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, functions as F
 
@@ -35,10 +36,6 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
 
 
-def dist(a: Column, b: Column) -> Column:
-    return norm(sub(a, b))
-
-
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
@@ -67,11 +64,16 @@ def rpad_keep(c: Column, width: int) -> Column:
     return F.when(F.length(c) < width, F.rpad(c, width, " ")).otherwise(c)
 
 
-def on_leading(a: Column, other: Column, mask: Sequence[bool], fn: Callable[[Column, Column], Column]) -> Column:
-    """Apply ``fn(a_i, other_i)`` where ``mask[i]``; trailing entries pass through."""
-    flags = F.array(*[F.lit(bool(m)) for m in mask])
-    n = len(mask)
-    return F.transform(
-        a,
-        lambda x, i: F.when((i < n) & F.get(flags, i), fn(x, F.coalesce(F.get(other, i), F.lit(0.0)))).otherwise(x),
-    )
+def in_runs(i: Column, runs: Sequence[int]) -> Column:
+    """Whether position ``i`` lies in a positive one of consecutive signed runs (2, -3: two in, three out)."""
+    ends = list(accumulate(abs(r) for r in runs))
+    inside = F.lit(False)
+    for r, end in zip(runs, ends):
+        if r > 0:
+            inside = inside | ((i >= end - r) & (i < end))
+    return inside
+
+
+def on_runs(a: Column, other: Column, runs: Sequence[int], fn: Callable[[Column, Column], Column]) -> Column:
+    """Apply ``fn(a_i, other_i)`` in the positive runs; other entries pass through."""
+    return F.transform(a, lambda x, i: F.when(in_runs(i, runs), fn(x, F.coalesce(F.get(other, i), F.lit(0.0)))).otherwise(x))

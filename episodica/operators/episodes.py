@@ -218,11 +218,3 @@ def keep_ranges(frames: DataFrame, ranges: DataFrame | None, key: str = "episode
 def success_only(episodes: DataFrame, pattern: str, path: str = "path") -> DataFrame:
     """Full-match regex on the episode's file path."""
     return episodes.where(F.col(path).rlike(f"^(?:{pattern})$"))
-
-
-def change_points(frames: DataFrame, keys: Sequence[str], col: Column, idx: str = "frame_idx") -> DataFrame:
-    """Rows whose ``col`` differs from the previous row of the episode."""
-    d, w, home = halo(frames.withColumn("__c", col), keys, idx, before=1)
-    d = d.withColumn("__p", F.lag("__c").over(w))
-    return d.where(home & (F.col(idx) > 0) & ~F.col("__c").eqNullSafe(F.col("__p"))).drop("__c", "__p", "__blk")
-

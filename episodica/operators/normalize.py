@@ -12,8 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from episodica.functions.layout import WIDTH, shared_dims
-from episodica.plans.ordered import hash_block, hash_hex, number_rows
-from episodica.plans.quantiles import exact_quantiles
+from episodica.plans.ordered import hash_block, hash_hex, hash_uniform, number_rows
+from episodica.plans.quantiles import exact_quantiles, is_finite
 from episodica.plans.small import lookup
 
 EPS = 1e-8
@@ -33,11 +33,16 @@ def guard_stats(norm_type: str, lo: Column, hi: Column) -> tuple[Column, Column]
     return F.coalesce(lo, F.lit(0.0)), F.when(bad, F.lit(1.0)).otherwise(hi)
 
 
-def fit_cells(cells: DataFrame, keys: Sequence[str], norm_type: str) -> DataFrame:
-    """Statistics of (keys, value, valid) cells; keys end in the dim (and time step)."""
+def fit_cells(cells: DataFrame, keys: Sequence[str], norm_type: str, report: bool = False) -> DataFrame:
+    """Statistics of (keys, value, valid) cells; keys end in the dim (and time step).
+
+    Only finite values count.  ``report`` adds ``n_bad``, the number of valid cells
+    that are null, NaN or infinite.
+    """
     keys = list(keys)
+    bad_cells = F.count_if(F.col("valid") & ~is_finite(F.col("value"))).alias("n_bad")
     if norm_type == "quantile":
-        dims = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).drop("__n")
+        dims = cells.groupBy(*keys).agg(bad_cells)
         q = exact_quantiles(cells.where("valid"), keys, "value", {"lo": 0.01, "hi": 0.99})
         cond = None
         q = q.select(*[F.col(k).alias(f"__q_{k}") for k in keys], "lo", "hi")
@@ -46,12 +51,12 @@ def fit_cells(cells: DataFrame, keys: Sequence[str], norm_type: str) -> DataFram
             cond = c if cond is None else cond & c
         d = dims.join(q, cond, "left").drop(*[f"__q_{k}" for k in keys])
     elif norm_type == "zscore":
-        v = F.when(F.col("valid"), F.col("value"))
-        d = cells.groupBy(*keys).agg(F.avg(v).alias("lo"), F.stddev_pop(v).alias("hi"))
+        v = F.when(F.col("valid") & is_finite(F.col("value")), F.col("value"))
+        d = cells.groupBy(*keys).agg(F.avg(v).alias("lo"), F.stddev_pop(v).alias("hi"), bad_cells)
     else:
         raise ValueError(f"unknown normalisation type {norm_type}")
     lo, hi = guard_stats(norm_type, F.col("lo"), F.col("hi"))
-    return d.select(*keys, lo.alias("lo"), hi.alias("hi"))
+    return d.select(*keys, lo.alias("lo"), hi.alias("hi"), *(["n_bad"] if report else []))
 
 
 def vector_cells(samples: DataFrame, keys: Sequence[str], vec: str, mask: str | None = None, per_time: bool = False) -> DataFrame:
@@ -78,10 +83,10 @@ def vector_cells(samples: DataFrame, keys: Sequence[str], vec: str, mask: str |
                     F.coalesce(F.col("z.m") > 0, F.lit(False)).alias("valid"))
 
 
-def norm_fit(samples: DataFrame, keys: Sequence[str], vec: str, norm_type: str, mask: str | None = None, per_time: bool = False) -> DataFrame:
+def norm_fit(samples: DataFrame, keys: Sequence[str], vec: str, norm_type: str, mask: str | None = None, per_time: bool = False, report: bool = False) -> DataFrame:
     """Per keys and dim (and step): q01/q99 or mean/std with guards; the mask limits the cells."""
     cells = vector_cells(samples, keys, vec, mask, per_time)
-    return fit_cells(cells, [*keys, *(["t"] if per_time else []), "dim"], norm_type)
+    return fit_cells(cells, [*keys, *(["t"] if per_time else []), "dim"], norm_type, report)
 
 
 def hash_limit(samples: DataFrame, keys: Sequence[str], order: Column, limit: int, seed: int = 0) -> DataFrame:
@@ -91,16 +96,24 @@ def hash_limit(samples: DataFrame, keys: Sequence[str], order: Column, limit: in
     return d.where(F.col("__rn") < limit).drop("__h", "__rn")
 
 
-def norm_fit_scoped(samples: DataFrame, vec: str, mode: str, norm_type: str, width: int = WIDTH, mask: str | None = None) -> DataFrame:
+def norm_fit_scoped(samples: DataFrame, vec: str, mode: str, norm_type: str, width: int = WIDTH, mask: str | None = None,
+                    per_time: bool = False, ratio: float = 1.0, sample: Column | None = None, seed: int = 0) -> DataFrame:
     """Fit domain dims per domain and shared dims over all domains, in one pass.
 
-    Rows of shared dims carry ``domain = NULL`` and ``scope = 'shared'``.
+    Rows of shared dims carry ``domain = NULL`` and ``scope = 'shared'``.  With
+    ``per_time`` every step ``t`` of a chunk has statistics of its own.  A
+    ``ratio`` below 1 fits on that share of the samples, drawn by a hash of the
+    identity ``sample``.
     """
     shared = [d for d in shared_dims(mode) if d < width]
-    cells = vector_cells(samples, ["domain"], vec, mask)
+    if ratio < 1.0:
+        if sample is None:
+            raise ValueError("a sample ratio needs the identity of a sample")
+        samples = samples.where(hash_uniform(seed, sample) < ratio)
+    cells = vector_cells(samples, ["domain"], vec, mask, per_time)
     is_shared = F.col("dim").isin(shared) if shared else F.lit(False)
     cells = cells.withColumn("domain", F.when(~is_shared, F.col("domain")))
-    s = fit_cells(cells, ["domain", "dim"], norm_type)
+    s = fit_cells(cells, ["domain", *(["t"] if per_time else []), "dim"], norm_type)
     return s.withColumn("scope", F.when(F.col("domain").isNull(), "shared").otherwise("domain"))
 
 
@@ -140,11 +153,6 @@ def norm_fit_channels(pixels: DataFrame, key: Sequence[str], batch: str, sample:
     return r.select(*key, "dim", F.col(lo).alias("lo"), F.col(hi).alias("hi"), F.lit("div255_mul2_minus1").alias("preprocess"))
 
 
-def image_norm_mode(keys: DataFrame) -> DataFrame:
-    """The fixed image mode: pixels are only scaled to [-1, 1]."""
-    return keys.withColumn("mode", F.lit("image_norm"))
-
-
 # ------------------------------------------------------------- running stats
 def histogram(values: DataFrame, keys: Sequence[str], value: str, bins: int = HIST_BINS) -> tuple[DataFrame, DataFrame]:
     """(moments per keys, counts per keys and bin) over the final value range."""
@@ -180,9 +188,14 @@ def running_stats(values: DataFrame, keys: Sequence[str], value: str = "value")
 
 # ------------------------------------------------------------ apply / invert
 def stat_arrays(stats: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
-    """Long statistics -> one row per keys with ``lo``/``hi`` arrays of ``width`` (NULL = not listed)."""
-    m = stats.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col("dim").cast("int"), F.struct("lo", "hi")))).alias("__m"))
-    idx = F.sequence(F.lit(0), F.lit(width - 1))
+    """Long statistics -> one row per keys with ``lo``/``hi`` arrays of ``width`` (NULL = not listed).
+
+    Statistics per step are laid out step after step: entry ``t * width + dim``.
+    """
+    at = F.col("dim") + F.col("t") * width if "t" in stats.columns else F.col("dim")
+    m = stats.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(at.cast("int"), F.struct("lo", "hi")))).alias("__m"))
+    last = F.greatest(F.lit(width), F.array_max(F.map_keys("__m")) + 1) - 1 if "t" in stats.columns else F.lit(width - 1)
+    idx = F.sequence(F.lit(0), last)
     return m.select(*keys, F.transform(idx, lambda i: F.try_element_at("__m", i)["lo"]).alias("__lo"),
                     F.transform(idx, lambda i: F.try_element_at("__m", i)["hi"]).alias("__hi"))
 
@@ -200,29 +213,44 @@ def _backward(norm_type: str, y: Column, lo: Column, hi: Column) -> Column:
     return (y + 1.0) / 2.0 * (hi - lo) + lo if norm_type == "quantile" else y * hi + lo
 
 
-def _over(vec: str, fn, nested: bool) -> Column:
-    def one(v: Column) -> Column:
-        return F.transform(v, lambda x, i: F.when(F.get("__lo", i).isNull(), x).otherwise(fn(x, F.get("__lo", i), F.get("__hi", i))))
+def _over(vec: str, fn, nested: bool, step: int) -> Column:
+    """``fn`` on every listed entry; ``step`` is the number of statistics between two steps of a chunk (0 = one set for all)."""
+    def one(v: Column, base: Column) -> Column:
+        return F.transform(v, lambda x, i: F.when(F.get("__lo", base + i).isNull(), x).otherwise(fn(x, F.get("__lo", base + i), F.get("__hi", base + i))))
 
-    return F.transform(vec, one) if nested else one(F.col(vec))
+    return F.transform(vec, lambda v, t: one(v, t * step)) if nested else one(F.col(vec), F.lit(0))
 
 
 def _with_stats(samples: DataFrame, vec: str, stats: DataFrame, keys: Sequence[str], width: int, fn) -> DataFrame:
     nested = samples.schema[vec].dataType.elementType.typeName() == "array"
+    per_time = "t" in stats.columns
+    if per_time and not nested:
+        raise ValueError(f"statistics per step need chunks, {vec} is a single vector")
     d = samples.join(lookup(stat_arrays(stats, keys, width), 20_000), list(keys), "left")
     size = F.size(F.get(vec, F.lit(0))) if nested else F.size(vec)
     wrong = F.raise_error(F.lit(f"{vec} is not {width} wide")).cast(samples.schema[vec].dataType)
-    body = F.when(F.col("__lo").isNull(), F.col(vec)).otherwise(_over(vec, fn, nested))
-    return d.withColumn(vec, F.when(size != width, wrong).otherwise(body)).drop("__lo", "__hi")
+    unknown = F.raise_error(F.concat(F.lit("no statistics for "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])))
+    unknown = unknown.cast(samples.schema[vec].dataType)
+    body = F.when(F.col("__lo").isNull(), unknown).otherwise(_over(vec, fn, nested, width if per_time else 0))
+    if per_time:
+        short = F.raise_error(F.lit(f"{vec} has more steps than its statistics")).cast(samples.schema[vec].dataType)
+        body = F.when(F.size(vec) * width > F.ceil(F.size("__lo") / width) * width, short).otherwise(body)
+    # a null or empty vector has nothing to normalise
+    return d.withColumn(vec, F.when(F.col(vec).isNull() | (F.size(vec) == 0), F.col(vec)).when(size != width, wrong).otherwise(body)).drop("__lo", "__hi")
 
 
 def _scoped(samples, vec, stats, norm_type, width, fn_of):
     """Domain and shared dims are disjoint, so both scopes meet in one array per domain."""
-    shared = stats.where("scope = 'shared'").select("dim", "lo", "hi")
-    doms = samples.select("domain").distinct()
-    own = stats.where("scope = 'domain'").select("domain", "dim", "lo", "hi")
+    cols = [*(["t"] if "t" in stats.columns else []), "dim", "lo", "hi"]
+    shared = stats.where("scope = 'shared'").select(*cols)
+    own = stats.where("scope = 'domain'").select("domain", *cols)
+    if own.isEmpty():
+        doms = samples.select("domain").distinct()
+    else:
+        # the domains that were fitted; any other has no statistics of its own and is an error
+        doms = own.select("domain").distinct()
     # every domain sees the shared dims: the list of them rides on the small domain table
-    arr = shared.agg(F.collect_list(F.struct("dim", "lo", "hi")).alias("s")).scalar()
+    arr = shared.agg(F.collect_list(F.struct(*cols)).alias("s")).scalar()
     both = own.unionByName(doms.select("domain", F.explode(arr).alias("e")).select("domain", "e.*"))
     return _with_stats(samples, vec, both, ["domain"], width, fn_of(norm_type))
 
@@ -231,7 +259,9 @@ def norm_apply(samples: DataFrame, vec: str, stats: DataFrame, norm_type: str, w
     """Normalise listed dims (quantile clips at 2, z-score at 10); other dims pass through.
 
     ``stats`` comes from :func:`norm_fit_scoped`: domain dims use the domain's
-    rows, shared dims the rows of all domains.  A wrong width is an error.
+    rows, shared dims the rows of all domains.  Statistics with a step ``t`` apply
+    to that step of a chunk.  A wrong width is an error, and so is a domain that
+    has no statistics.
     """
     return _scoped(samples, vec, stats, norm_type, width, lambda t: lambda x, lo, hi: _forward(t, x, lo, hi))
 
@@ -292,11 +322,6 @@ def unscale_simple(x: Column, lo: Column, hi: Column, quantile: bool = False) ->
     return F.transform(x, f)
 
 
-def missing_stat_keys(stats: DataFrame, columns: Sequence[str], key: str = "key") -> DataFrame:
-    """Statistics keys without a data column (the strict check)."""
-    return stats.select(key).distinct().where(~F.col(key).isin(list(columns)))
-
-
 # -------------------------------------------------------- hygiene, overrides
 def stats_sanitize(stats: DataFrame, mean: str = "lo", std: str = "hi") -> DataFrame:
     """Non-finite or absurd z-score dims become (0, 1); ``was_corrupt`` reports them."""

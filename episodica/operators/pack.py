@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from episodica.functions.layout import ARM_DIM, AREAS_PER_HAND, GRIPPER_SLOT, HAND_SLOTS, POSE_DIM, SIDE_DIM, SUPP_DIM
-from episodica.functions.vec import on_leading, pad_to, sub, zeros
+from episodica.functions.vec import on_runs, pad_to, sub, zeros
 
 JOINT_MODES = {"abs": "absolute", "absolute": "absolute", "relative": "relative", "mix": "mix"}
 
@@ -165,22 +165,14 @@ def prompt_clean(text: Column, domain: Column | None = None, lower: bool = False
     return t
 
 
-def make_bool_mask(*dims: int) -> list[bool]:
-    """Signed run lengths -> flags: positive runs are true, negative ones false."""
-    out: list[bool] = []
-    for d in dims:
-        out += [d > 0] * abs(d)
-    return out
+def delta_actions(chunk: Column, state: Column, runs: Sequence[int]) -> Column:
+    """Subtract the state from every step in the positive ones of the signed runs (2, -2, 3: dims 0, 1, 4, 5, 6)."""
+    return F.transform(chunk, lambda a: on_runs(a, state, runs, lambda x, s: x - s))
 
 
-def delta_actions(chunk: Column, state: Column, mask: Sequence[bool]) -> Column:
-    """Subtract the state on masked leading positions of every step."""
-    return F.transform(chunk, lambda a: on_leading(a, state, mask, lambda x, s: x - s))
-
-
-def absolute_actions(chunk: Column, state: Column, mask: Sequence[bool]) -> Column:
+def absolute_actions(chunk: Column, state: Column, runs: Sequence[int]) -> Column:
     """Undo :func:`delta_actions`."""
-    return F.transform(chunk, lambda a: on_leading(a, state, mask, lambda x, s: x + s))
+    return F.transform(chunk, lambda a: on_runs(a, state, runs, lambda x, s: x + s))
 
 
 def pad_dims(v: Column, n: int) -> Column:

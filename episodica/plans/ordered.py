@@ -45,6 +45,16 @@ def index_block(idx: str | Column, rows: int = BLOCK_ROWS) -> Column:
     return F.floor(col / F.lit(rows))
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi join on ``keys`` in which null equals null; the keys of ``left`` stay."""
+    named = right.select(*[F.col(k).alias(f"__same{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    cond = None
+    for i, k in enumerate(keys):
+        c = left[k].eqNullSafe(named[f"__same{i}"])
+        cond = c if cond is None else cond & c
+    return left.join(named, cond, how).drop(*[f"__same{i}" for i in range(len(keys))])
+
+
 def number_rows(
     df: DataFrame,
     keys: Sequence[str],
@@ -55,6 +65,7 @@ def number_rows(
 ) -> DataFrame:
     """0-based row number per ``keys`` in ``order``; ``block`` must be monotone in the order.
 
+    Null keys form a group and a null block sorts first, like any other value.
     With ``block=None`` the group is bounded by construction and one window is
     used.  ``total`` also adds the size of each group.
     """
@@ -74,7 +85,7 @@ def number_rows(
     offs = offs.drop("__cnt")
     loc = d.withColumn("__lrn", F.row_number().over(W.partitionBy(*keys, "__blk").orderBy(*order)) - 1)
     return (
-        loc.join(offs, [*keys, "__blk"])
+        join_same(loc, offs, [*keys, "__blk"])
         .withColumn(out, F.col("__lrn") + F.col("__off"))
         .drop("__lrn", "__off", "__blk")
     )
@@ -147,7 +158,7 @@ def prefix(
             f"__l_{out}",
             F.last(v, ignorenulls=True).over(wl) if kind == "last" else _LOCAL[kind](v).over(wl),
         )
-    d = d.join(carry, [*keys, "__blk"])
+    d = join_same(d, carry, [*keys, "__blk"])
     for out, (kind, _) in specs.items():
         loc, car = F.col(f"__l_{out}"), F.col(f"__c_{out}")
         if kind == "last":

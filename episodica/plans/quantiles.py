@@ -18,6 +18,11 @@ from episodica.plans.small import lookup
 REFINE_ROWS = 2_000_000
 
 
+def is_finite(v: Column) -> Column:
+    """False for null, NaN and infinities."""
+    return v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
+
+
 def log_bin(v: Column, per_octave: int) -> Column:
     """Monotone bin id of a finite double."""
     mag = F.floor(F.log2(F.abs(v)) * F.lit(float(per_octave))) + F.lit(1100 * per_octave)
@@ -52,11 +57,14 @@ def _target_bins(binned: DataFrame, keys: list[str], qs: Sequence[float], carrie
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, float], per_octave: int = 64
 ) -> DataFrame:
-    """Quantiles per ``keys`` of the finite, non-null ``value``; one column per name in ``qs``."""
+    """Quantiles per ``keys`` of the finite values; one column per name in ``qs``.
+
+    Null, NaN and infinite values have no rank and are passed over.
+    """
     keys = list(keys)
     probs = list(qs.values())
     v = F.col(value).cast("double")
-    d = df.where(v.isNotNull() & ~F.isnan(v)).select(*keys, v.alias("__v"))
+    d = df.where(is_finite(v)).select(*keys, v.alias("__v"))
     nk = []
     for i, k in enumerate(keys):  # null-safe group keys
         nk.append(F.col(k).eqNullSafe(F.col(f"__k{i}")))

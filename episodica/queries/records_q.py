@@ -154,14 +154,14 @@ CELLS = """cells AS (SELECT vec_id, v, (i - 1) // 8 AS step, (i - 1) % 8 AS dim,
 
 @query("g7_delta_actions", f"""WITH {VECTORS}, {CELLS} SELECT vec_id, step, dim, {sql_rnd('CASE WHEN dim IN (0, 1, 4, 5, 6) THEN x - s ELSE x END')} AS value FROM cells""")
 def g7(spark, sf):
-    m = P.make_bool_mask(2, -2, 3)
+    m = (2, -2, 3)
     d = vectors(spark, sf).withColumn("chunk", P.delta_actions(_rows(), F.slice("v", 33, 8), m))
     return _chunk_long(d, "chunk")
 
 
 @query("g7_absolute_actions", f"""WITH {VECTORS}, {CELLS} SELECT vec_id, step, dim, {sql_rnd('x')} AS value FROM cells""")
 def g7_abs(spark, sf):
-    m = P.make_bool_mask(2, -2, 3)
+    m = (2, -2, 3)
     d = vectors(spark, sf).withColumn("chunk", P.delta_actions(_rows(), F.slice("v", 33, 8), m))
     return _chunk_long(d.withColumn("chunk", P.absolute_actions(F.col("chunk"), F.slice("v", 33, 8), m)), "chunk")
 
@@ -250,10 +250,9 @@ def g13(spark, sf):
 @query("g14_transform_chain", f"""WITH {VECTORS}, f AS (SELECT vec_id, 'none' AS note, list_resize(list_transform(v, lambda x: x * 2 + 1), 66, 0.0::DOUBLE) AS state FROM vectors)
 {sql_longer('f', 'vec_id, note', 'state')}""")
 def g14(spark, sf):
-    g = R.TransformGroup().push(inputs=[R.chain([("scale", "state", 2.0), ("shift", "state", 1.0)])]).push(
-        inputs=[R.chain([("pad", "state", 66), ("default", "note", "none")])])
+    before, _ = R.with_steps([("scale", "state", 2.0), ("shift", "state", 1.0)], [], [("pad", "state", 66), ("default", "note", "none")])
     d = vectors(spark, sf).select("vec_id", F.col("v").alias("state"))
-    return longer(g.apply_inputs(d), ["vec_id", "note"], "state")
+    return longer(R.run_steps(d, before), ["vec_id", "note"], "state")
 
 
 @query("g15_pixel_scale", f"""WITH {VECTORS}, f AS (SELECT vec_id, list_transform(v, lambda x: x * 100 / 255.0::DOUBLE * 2 - 1) AS scaled, list_transform(v, lambda x: x * 100) AS back,

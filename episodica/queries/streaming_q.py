@@ -13,34 +13,40 @@ SPAN = 2_592_000.0  # the events cover thirty days
 
 
 def _stream(spark, df, name, by="ts", span=SPAN):
-    """Write the whole table as consecutive slices and read it as one micro-batch per slice."""
+    """(stream, feed): the table as consecutive slices, each written in parallel and then read as one micro-batch."""
     path = scratch_path(spark, name)
     df = df.withColumn("__s", F.least(F.floor(F.col(by) / (span / SLICES)), F.lit(SLICES - 1)))
-    for i in range(SLICES):
-        df.where(F.col("__s") == i).drop("__s").coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.drop("__s").schema).option("maxFilesPerTrigger", 1).parquet(path)
+    plain = df.drop("__s")
+    plain.limit(0).write.parquet(path)
+
+    def feed():
+        for i in range(SLICES):
+            df.where(F.col("__s") == i).drop("__s").write.mode("append").parquet(path)
+            yield i
+
+    return spark.readStream.schema(plain.schema).parquet(path), feed()
 
 
 @query("d4_obs_accumulator_stream", f"""WITH {SAMPLES}, {ALIGNED.format(start='0.0::DOUBLE', where='WHERE g >= 0', first=0, stop='g')}
 SELECT episode_id, bucket, event_id FROM aligned""")
 def d4_stream(spark, sf):
-    s = A.obs_accumulator_stream(_stream(spark, events(spark, sf).select("episode_id", "event_id", "ts"), "obs"), 0.0, DT)
-    out = M.run_to_end(s, "append", "obs")
+    rows, feed = _stream(spark, events(spark, sf).select("episode_id", "event_id", "ts"), "obs")
+    out = M.run_to_end(A.obs_accumulator_stream(rows, 0.0, DT), "append", "obs", feed)
     return spark.read.parquet(out).select("episode_id", *bigint("bucket"), "event_id")
 
 
 @query("d5_action_accumulator_stream", f"""WITH {SAMPLES},
-g AS (SELECT *, k % 4 AS put_no, CAST(floor((ts - 172800.0::DOUBLE) / 21600.0::DOUBLE + 1e-5::DOUBLE) AS BIGINT) AS g FROM samples),
+g AS (SELECT *, CAST(floor(ts / 172800.0::DOUBLE) AS BIGINT) * 4 + k % 4 AS put_no, CAST(floor((ts - 172800.0::DOUBLE) / 21600.0::DOUBLE + 1e-5::DOUBLE) AS BIGINT) AS g FROM samples),
 p AS (SELECT *, max(g) OVER (PARTITION BY episode_id, put_no ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM g WHERE g >= 0),
 a AS (SELECT episode_id, put_no, event_id, unnest(range(coalesce(prev + 1, g), g + 1)) AS bucket FROM p)
 SELECT episode_id, bucket, CAST(max(put_no) AS BIGINT) AS put_no, arg_max(event_id, put_no) AS event_id FROM a GROUP BY 1, 2""")
 def d5_stream(spark, sf):
-    # a put is one message with the times and values of its steps
-    e = events(spark, sf).withColumn("put_no", F.col("k") % 4)
+    # a put is one message with the times and values of its steps, of at most two days
+    e = events(spark, sf).withColumn("put_no", F.floor(F.col("ts") / 172_800.0) * 4 + F.col("k") % 4)
     puts = e.groupBy("episode_id", "put_no").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("r"))
     puts = puts.select("episode_id", "put_no", F.col("r.ts").alias("ts"), F.col("r.event_id").alias("event_id"))
-    s = A.action_accumulator_stream(_stream(spark, puts, "puts", "put_no", 4.0), 172_800.0, DT, "event_id")
-    log = spark.read.parquet(M.run_to_end(s, "update", "puts"))
+    rows, feed = _stream(spark, puts, "puts", "put_no", 60.0)
+    log = spark.read.parquet(M.run_to_end(A.action_accumulator_stream(rows, 172_800.0, DT, "event_id"), "update", "puts", feed))
     return A.latest(log, ["episode_id", "bucket"]).select("episode_id", *bigint("bucket", "put_no"), "event_id")
 
 
@@ -52,28 +58,34 @@ SELECT episode_id, event_id FROM m WHERE seen IS NULL OR ts > seen""")
 def d6_stream(spark, sf):
     # arrival order inside a slice: by slot, then id
     d = events(spark, sf).select("episode_id", "event_id", "ts", (F.col("k") * 1_000_000_000_000 + F.col("event_id")).alias("arrival"))
-    s = A.strictly_newer_stream(_stream(spark, d, "newer"), "arrival")
-    return spark.read.parquet(M.run_to_end(s, "append", "newer")).select("episode_id", "event_id")
+    rows, feed = _stream(spark, d, "newer")
+    return spark.read.parquet(M.run_to_end(A.strictly_newer_stream(rows, "arrival"), "append", "newer", feed)).select("episode_id", "event_id")
 
 
 @query("h5_running_stats_stream", f"""WITH {EVENTS} SELECT stream, count(*) AS n, {sql_rnd('min(value)')} AS min, {sql_rnd('max(value)')} AS max, {sql_rnd('avg(value)')} AS mean, {sql_rnd('sqrt(avg(value * value) - avg(value) ** 2)')} AS std FROM events0 GROUP BY 1""")
 def h5_stream(spark, sf):
     sink = M.RunningStatsSink(spark, ["stream"])
-    sink.start(_stream(spark, events(spark, sf).select("stream", "value", "ts"), "stats")).awaitTermination()
+    rows, feed = _stream(spark, events(spark, sf).select("stream", "value", "ts"), "stats")
+    for _ in feed:
+        sink.start(rows).awaitTermination()
     return sink.statistics().select("stream", "n", *[rnd(F.col(c)).alias(c) for c in ("min", "max", "mean", "std")])
 
 
 @query("i5_loss_steps_stream", f"""WITH {EVENTS} SELECT event_id // 500 AS "window", stream AS domain, {sql_rnd('avg(value)')} AS mean_loss, max(value) AS max_loss, count(*) AS n FROM events0 GROUP BY 1, 2""")
 def i5_steps_stream(spark, sf):
     d = events(spark, sf).select(F.col("event_id").alias("step"), F.col("stream").alias("domain"), F.col("value").alias("loss"), "ts")
-    log = spark.read.parquet(M.run_to_end(M.loss_steps_stream(_stream(spark, d, "loss"), 500), "update", "loss"))
+    rows, feed = _stream(spark, d, "loss")
+    log = spark.read.parquet(M.run_to_end(M.loss_steps_stream(rows, 500), "update", "loss", feed))
     return A.latest(log, ["window", "domain"]).select("window", "domain", rnd(F.col("mean_loss")).alias("mean_loss"), "max_loss", "n")
 
 
-@query("i5_loss_window_stream")
+# slices arrive in order, so no row is late; windows close once the watermark, an hour behind the last row, has passed them
+@query("i5_loss_window_stream", f"""WITH {EVENTS}, d AS (SELECT *, CAST(floor(ts / 86400) AS BIGINT) AS day FROM events0)
+SELECT (1704067200 + day * 86400) * 1000000 AS start_us, stream AS domain, {sql_rnd('avg(value)')} AS mean_loss, max(value) AS max_loss, count(*) AS n
+FROM d WHERE (day + 1) * 86400 <= (SELECT max(ts) FROM d) - 3600 GROUP BY 1, 2""")
 def i5_window_stream(spark, sf):
-    """Watermarked windows: only windows closed by the watermark are emitted, hence no SQL twin."""
-    d = events(spark, sf).select("ts", F.timestamp_micros((F.col("ts") * 1_000_000).cast("bigint")).alias("time"), F.col("stream").alias("d0"), F.col("value").alias("loss"))
-    s = M.loss_window_stream(_stream(spark, d, "lossw"), "time", "1 day", "1 hour", F.col("d0"))
-    out = spark.read.parquet(M.run_to_end(s, "append", "lossw"))
+    d = events(spark, sf).select("ts", F.timestamp_micros(((F.col("ts") + 1_704_067_200) * 1_000_000).cast("bigint")).alias("time"), F.col("stream").alias("d0"), F.col("value").alias("loss"))
+    rows, feed = _stream(spark, d, "lossw")
+    s = M.loss_window_stream(rows, "time", "1 day", "1 hour", F.col("d0"))
+    out = spark.read.parquet(M.run_to_end(s, "append", "lossw", feed))
     return out.select(F.unix_micros("start").alias("start_us"), "domain", rnd(F.col("mean_loss")).alias("mean_loss"), "max_loss", "n")

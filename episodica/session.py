@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,8 +28,9 @@ def local_session(cores: int | str = 8, app: str = "episodica") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the session's ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) is a fresh local
-    folder made, once per session.
+    Only a ``local`` master that names none (tests, a laptop) gets a fresh local
+    folder, once per session.  On a cluster a machine's own folder would lose data,
+    so a missing setting is an error there.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
@@ -36,6 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             return found.get()
+        require_local(spark.sparkContext.master)
         path = tempfile.mkdtemp(prefix="episodica-")
         spark.sparkContext.setCheckpointDir(path)
         return path
@@ -44,6 +47,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def require_local(master: str) -> None:
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The application's own parent folder of scratch tables."""
+    return f"{shared_dir(spark).rstrip('/')}/episodica-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unique folder below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new, unique folder below the application's scratch folder."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all scratch tables of this application; results not yet written become unreadable."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

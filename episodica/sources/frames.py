@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
-from episodica.plans.ordered import hot_groups, number_rows
+from episodica.plans.ordered import hot_groups, join_same, number_rows
 from episodica.plans.small import lookup
 
 EPISODE = ("domain", "file_id", "episode_id")
@@ -15,18 +16,6 @@ EPISODE = ("domain", "file_id", "episode_id")
 #: rows of one episode that a single sort task may number
 HOT_EPISODE_ROWS = 5_000_000
 
-#: superset schema of a standardised frame table; absent keys read as NULL
-FRAME_SCHEMA = (
-    "domain string, file_id string, episode_id bigint, frame_idx bigint, ts double,"
-    "left_wrist_pose array<double>, right_wrist_pose array<double>,"
-    "left_arm_joints array<double>, right_arm_joints array<double>,"
-    "left_hand_joints array<double>, right_hand_joints array<double>,"
-    "left_hand_joints_idx array<int>, right_hand_joints_idx array<int>,"
-    "camera_ego_pose array<double>, supplementary_joints array<double>,"
-    "left_hand_usage int, right_hand_usage int, lefthand_used boolean, righthand_used boolean,"
-    "instruction string"
-)
-
 
 def index_frames(
     df: DataFrame,
@@ -41,11 +30,12 @@ def index_frames(
     Episodes above ``hot_rows`` rows are numbered block by block (``block`` is
     any expression monotone in the order, e.g. the minute of the time stamp);
     the rest in one window.  The count that finds them reads the keys only.
+    Null keys form an episode; the result is the same for every ``hot_rows``.
     """
     hot = lookup(hot_groups(df, keys, hot_rows))
     if hot.isEmpty():
         return number_rows(df, keys, order, None, out)
-    flagged = df.join(hot.withColumn("__hot", F.lit(True)), list(keys), "left")
+    flagged = join_same(df, hot.withColumn("__hot", F.lit(True)), list(keys), "left")
     blk = F.when(F.col("__hot"), block.cast("double")).otherwise(F.lit(0.0))
     return number_rows(flagged, keys, order, blk, out).drop("__hot")
 
@@ -74,22 +64,41 @@ def scan_frames(spark: SparkSession, catalog: DataFrame, schema: StructType | st
     return out
 
 
-def file_numbers(frames: DataFrame, per_file: int = 100) -> DataFrame:
-    """Assign ``file_no = floor(episode position in the domain / per_file)``."""
+def file_numbers(frames: DataFrame, per_file: int = 100, written: DataFrame | None = None) -> DataFrame:
+    """Assign ``file_no = floor(episode position in the domain / per_file)``.
+
+    ``written`` (domain, next_seq) tells where the numbering of a domain goes on.
+    """
     eps = frames.groupBy("domain", "episode_id").agg(F.min("frame_idx").alias("__f")).drop("__f")
     eps = number_rows(eps, ["domain"], ["episode_id"], F.floor(F.col("episode_id") / 100_000), "episode_seq")
+    if written is not None:
+        eps = join_same(eps, written, ["domain"], "left")
+        eps = eps.withColumn("episode_seq", F.col("episode_seq") + F.coalesce("next_seq", F.lit(0))).drop("next_seq")
     eps = eps.withColumn("file_no", F.floor(F.col("episode_seq") / per_file))
-    return frames.join(eps, ["domain", "episode_id"])
+    return join_same(frames, eps, ["domain", "episode_id"])
+
+
+def highest_episodes(spark: SparkSession, path: str) -> DataFrame | None:
+    """(domain, next_seq) of a written frame table, or None where nothing is written yet."""
+    try:
+        written = spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+            return None
+        raise
+    return written.groupBy("domain").agg((F.max("episode_seq") + 1).alias("next_seq"))
 
 
 def append_episodes(frames: DataFrame, path: str, per_file: int = 100) -> None:
     """Append whole episodes, ``per_file`` episodes to a logical file, one folder per domain.
 
+    Numbers go on where the last append of the domain ended, so a file that is not
+    full is filled up.
     ``file_no`` is a clustered column rather than a folder: row-group statistics
     prune on it without a tiny file per hundred episodes.  The rebalance hint lets
     Spark merge small groups and split a huge one over several tasks.
     """
-    out = file_numbers(frames, per_file)
+    out = file_numbers(frames, per_file, highest_episodes(frames.sparkSession, path))
     (
         out.hint("rebalance", "domain", "file_no")
         .sortWithinPartitions("domain", "file_no", "episode_seq", "frame_idx")
@@ -97,25 +106,40 @@ def append_episodes(frames: DataFrame, path: str, per_file: int = 100) -> None:
     )
 
 
+def _sizes(a: Column, kind: ArrayType) -> list[tuple[Column, Column]]:
+    """(smallest, largest) size at each level of a nested array; null where there is none."""
+    size = F.when(a.isNotNull(), F.size(a))
+    out = [(size, size)]
+    while isinstance(kind.elementType, ArrayType):
+        kind = kind.elementType
+        inner = F.transform(a, lambda x: F.when(x.isNotNull(), F.size(x)))
+        out.append((F.array_min(inner), F.array_max(inner)))
+        a = F.flatten(F.filter(a, lambda x: x.isNotNull()))
+    return out
+
+
 def validate_frames(frames: DataFrame, arrays: Sequence[str], episode_ends: DataFrame | None = None) -> DataFrame:
     """Violations as (domain, file_id, key, rule).
 
-    Rules: ``shape`` a key has more than one trailing shape in a file;
+    Rules: ``shape`` a key has more than one trailing shape in a file (sizes at
+    every level of a nested array);
     ``length`` a key is present in some frames of a file only (unequal lengths);
     ``end`` the number of frames differs from the last recorded episode end.
     Only counts, minima and maxima cross the shuffle.
     """
-    aggs = [F.count(F.lit(1)).alias("n")]
+    aggs, levels = [F.count(F.lit(1)).alias("n")], {}
     for a in arrays:
-        aggs += [
-            F.min(F.size(F.col(a))).alias(f"min_{a}"),
-            F.max(F.size(F.col(a))).alias(f"max_{a}"),
-            F.count(F.col(a)).alias(f"n_{a}"),
-        ]
+        aggs.append(F.count(F.col(a)).alias(f"n_{a}"))
+        for level, (low, high) in enumerate(_sizes(F.col(a), frames.schema[a].dataType)):
+            aggs += [F.min(low).alias(f"min_{level}_{a}"), F.max(high).alias(f"max_{level}_{a}")]
+            levels[a] = level + 1
     g = frames.groupBy("domain", "file_id").agg(*aggs)
     checks = []
     for a in arrays:
-        checks.append(F.when(F.col(f"min_{a}") != F.col(f"max_{a}"), F.struct(F.lit(a).alias("key"), F.lit("shape").alias("rule"))))
+        uneven = F.lit(False)
+        for level in range(levels[a]):
+            uneven = uneven | F.coalesce(F.col(f"min_{level}_{a}") != F.col(f"max_{level}_{a}"), F.lit(False))
+        checks.append(F.when(uneven, F.struct(F.lit(a).alias("key"), F.lit("shape").alias("rule"))))
         checks.append(F.when((F.col(f"n_{a}") > 0) & (F.col(f"n_{a}") != F.col("n")),
                              F.struct(F.lit(a).alias("key"), F.lit("length").alias("rule"))))
     if episode_ends is not None:
@@ -127,10 +151,6 @@ def validate_frames(frames: DataFrame, arrays: Sequence[str], episode_ends: Data
     return bad.select("domain", "file_id", "v.key", "v.rule")
 
 
-def get_episode(frames: DataFrame, episode_id) -> DataFrame:
-    return frames.where(F.col("episode_id") == episode_id)
-
-
 def step_slice(frames: DataFrame, start: int, stop: int, step: int = 1, idx: str = "frame_idx") -> DataFrame:
     """Rows ``[start:stop:step]`` of every episode."""
     i = F.col(idx)

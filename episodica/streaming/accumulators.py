@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import LongType, StructField, StructType
 
+#: filled buckets handed on at once
+CHUNK = 65_536
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -43,10 +46,14 @@ class _ObsProcessor(StatefulProcessor):
         top = np.maximum.accumulate(np.concatenate([[nxt - 1], g]))
         reps = np.maximum(top[1:] - top[:-1], 0)
         if reps.sum():
-            out = d.loc[d.index.repeat(reps)].reset_index(drop=True)
-            out["bucket"] = np.arange(nxt, nxt + int(reps.sum()), dtype=np.int64)
             self.nxt.update((int(top[-1]) + 1,))
-            yield out
+            upto = np.cumsum(reps)
+            # a wide gap is filled in pieces
+            for a in range(0, int(upto[-1]), CHUNK):
+                b = np.arange(a, min(a + CHUNK, int(upto[-1])), dtype=np.int64)
+                out = d.iloc[np.searchsorted(upto, b, side="right")].reset_index(drop=True)
+                out["bucket"] = nxt + b
+                yield out
         elif not self.nxt.exists():
             self.nxt.update((nxt,))
 
@@ -93,13 +100,18 @@ def put_buckets(ts: str, start: float, dt: float, eps: float = 1e-5) -> Column:
 
     The put starts at its own first bucket; gaps come from the next record.
     """
-    g = f"transform({ts}, t -> cast(floor((t - {start!r}D) / {dt!r}D + {eps!r}D) as bigint))"
-    # running maximum over the sorted times of one put
-    return F.expr(
-        f"flatten(transform(filter(sequence(0, size({ts}) - 1), i -> get({g}, i) >= 0 and (i = 0 or get({g}, i - 1) < 0 or get({g}, i) > get({g}, i - 1))), "
-        f"i -> transform(sequence(case when i = 0 or get({g}, i - 1) < 0 then get({g}, i) else get({g}, i - 1) + 1 end, get({g}, i)), "
-        f"b -> named_struct('bucket', b, 'i', i))))"
-    )
+    def at(t: Column) -> Column:
+        return F.floor((t - F.lit(start)) / F.lit(dt) + F.lit(eps)).cast("bigint")
+
+    t = F.col(ts)
+    # each time beside the one before it, so every entry is looked at once
+    before = F.concat(F.array(F.lit(None).cast("double")), F.slice(t, 1, F.greatest(F.lit(0), F.size(t) - 1)))
+    steps = F.zip_with(before, t, lambda p, c: F.struct(at(p).alias("p"), at(c).alias("c")))
+    steps = F.transform(steps, lambda s, i: F.struct(s["p"].alias("p"), s["c"].alias("c"), i.alias("i")))
+    steps = F.filter(steps, lambda s: (s["c"] >= 0) & (s["p"].isNull() | (s["p"] < 0) | (s["c"] > s["p"])))
+    return F.flatten(F.transform(steps, lambda s: F.transform(
+        F.sequence(F.when(s["p"].isNull() | (s["p"] < 0), s["c"]).otherwise(s["p"] + 1), s["c"]),
+        lambda b: F.struct(b.alias("bucket"), s["i"].alias("i")))))
 
 
 def action_accumulator_stream(puts: DataFrame, start: float, dt: float, value: str, key: str = "episode_id", put: str = "put_no") -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from episodica.operators.normalize import stats_from_histogram
-from episodica.plans.quantiles import log_bin
+from episodica.plans.quantiles import is_finite, log_bin
 from episodica.session import scratch_path
 
 
@@ -27,23 +27,25 @@ def loss_steps_stream(events: DataFrame, every: int) -> DataFrame:
     return g.select("window", "domain", (F.col("s") / F.col("n")).alias("mean_loss"), "max_loss", "n")
 
 
-def run_to_end(stream: DataFrame, mode: str, name: str) -> str:
+def run_to_end(stream: DataFrame, mode: str, name: str, feed: Iterable = (None,)) -> str:
     """Drain the source into a table of the shared folder and return its path.
 
+    The query runs once per element of ``feed``, from where it stopped; an iterator
+    that adds files to the source before each element so makes each addition a
+    micro-batch, whatever its number of files.
     Update mode keeps every version with its ``batch_id``; a replayed batch
     overwrites its own folder, so results stay exact after a failure.
     """
     spark = stream.sparkSession
     out, ckpt = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
     w = stream.writeStream.outputMode(mode).option("checkpointLocation", ckpt).trigger(availableNow=True)
-    if mode == "append":
-        q = w.format("parquet").start(out)
-    else:
-        def put(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-
-        q = w.foreachBatch(put).start()
-    q.awaitTermination()
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    for _ in feed:
+        q = w.format("parquet").start(out) if mode == "append" else w.foreachBatch(put).start()
+        q.awaitTermination()
     return out
 
 
@@ -63,7 +65,8 @@ class RunningStatsSink:
 
     def _merge_batch(self, batch: DataFrame, batch_id: int) -> None:
         v = F.col(self.value)
-        part = batch.where(v.isNotNull()).groupBy(*self.keys, log_bin(v, self.FINE).alias("vbin")).agg(
+        # null, NaN and infinite values have no place among the statistics
+        part = batch.where(is_finite(v)).groupBy(*self.keys, log_bin(v, self.FINE).alias("vbin")).agg(
             F.count(F.lit(1)).alias("c"), F.sum(v).alias("s"), F.sum(v * v).alias("ss"), F.min(v).alias("lo"), F.max(v).alias("hi"))
         part.write.mode("overwrite").parquet(f"{self.root}/batch_id={batch_id}")
 

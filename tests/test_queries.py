@@ -17,7 +17,7 @@ SAMPLE = [
 ]
 
 
-@pytest.mark.parametrize("name", sorted(queries()) if os.environ.get("EPISODICA_ALL") else SAMPLE)
+@pytest.mark.parametrize("name", [n for n in sorted(queries()) if n in oracle_sql()] if os.environ.get("EPISODICA_ALL") else SAMPLE)
 def test_query_equals_sql(spark, sf, name):
     ok, msg, _ = compare(spark, name, queries()[name], oracle_sql().get(name), sf)
     assert ok, msg
@@ -29,4 +29,5 @@ def test_entry_runs(spark):
 
 def test_every_oracle_has_a_query():
     assert set(oracle_sql()) <= set(queries())
-    assert sorted(set(queries()) - set(oracle_sql())) == ["i5_loss_window_stream"]
+    corpus = ("op", "pipeline")
+    assert [n for n in queries() if not n.startswith(corpus) and n not in oracle_sql()] == []

@@ -251,17 +251,19 @@ def test_running_stats_needs_two(spark):
 
 
 def test_transform_groups_and_renames(spark):
-    log = []
-    g = R.TransformGroup((lambda d: log.append(1) or d,), (lambda d: log.append(4) or d,)).push([lambda d: log.append(2) or d], [lambda d: log.append(3) or d])
-    g.apply_inputs(spark.range(1))
-    g.apply_outputs(spark.range(1))
-    assert log == [1, 2, 3, 4]
+    assert R.with_steps([(1,)], [(4,)], [(2,)], [(3,)]) == ([(1,), (2,)], [(3,), (4,)])
+    d = one(spark, v=arr(1, 2))
+    assert R.run_steps(d, [("scale", "v", 2.0), ("shift", "v", 1.0), ("pad", "v", 3)]).first().v == [3.0, 5.0, 0.0]
     with pytest.raises(ValueError):
         R.rename_paths(["a", "b"], {"a|b": "c"})
     with pytest.raises(ValueError):
         R.rename_paths(["a", "b/c"], {"a": "b"})
+    for names in (["a", "a-b", "a/c"], ["a/c", "a-b", "a"], ["a/b", "a/b/c/d"]):
+        with pytest.raises(ValueError, match="field and a struct"):
+            R.rename_paths(names, {})
     assert R.rename_paths(["x/y", "z"], {"x/(.*)": r"w/\1", "z": None}) == {"w/y": "x/y"}
-    assert P.make_bool_mask(2, -2, 0, 1) == [True, True, False, False, True]
+    got = one(spark, v=P.delta_actions(F.array(arr(9, 9, 9, 9, 9, 9)), arr(1, 2, 3, 4, 5), (2, -2, 0, 1))).first().v
+    assert got == [[8.0, 7.0, 9.0, 9.0, 4.0, 9.0]]
 
 
 def test_errors_in_records(spark):
