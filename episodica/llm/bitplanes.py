@@ -42,7 +42,7 @@ CHUNK_IDS = 1 << 16
 FILE_BYTES = 32 << 20
 
 #: words of which a worker remembers the ids, and the longest it remembers
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
 CACHED_CHARS = 40
 
 
@@ -184,7 +184,7 @@ class PlaneReader:
 _WORDS: dict[str, tuple] = {}
 
 #: text bytes that are split into words at once
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 16 << 20
 
 
 def _core(word: str) -> tuple[str, str]:
@@ -222,7 +222,9 @@ def word_encoder(tokenizer_file: str):
     dtype = np.dtype("<u2" if code == "H" else "<u4")
 
     def look(words: list[str]) -> list[bytes]:
-        cut = [_core(w) for w in words]
+        parts = list(map(known.get, words))
+        missed = [i for i, p in enumerate(parts) if p is None]
+        cut = [_core(words[i]) for i in missed]
         new = list({c for pair in cut for c in pair}.difference(known))
         coded = {}
         for k in range(0, len(new), 10_000):
@@ -232,10 +234,10 @@ def word_encoder(tokenizer_file: str):
         for w in new[: max(0, CACHED_WORDS - len(known))]:
             if len(w) <= CACHED_CHARS:
                 known[w] = coded[w]
-        both = coded.get
-        return [
-            (known[c] if c in known else both(c)) + ((known[m] if m in known else both(m)) if m else b"") for c, m in cut
-        ]
+        for i, (core, mark) in zip(missed, cut):
+            ids = known[core] if core in known else coded[core]
+            parts[i] = ids + (known[mark] if mark in known else coded[mark]) if mark else ids
+        return parts
 
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         split = pc.ascii_split_whitespace(texts)
@@ -243,14 +245,15 @@ def word_encoder(tokenizer_file: str):
         if isinstance(coded, pa.ChunkedArray):
             coded = coded.combine_chunks()
         parts = look(coded.dictionary.to_pylist())
-        size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // dtype.itemsize
-        at = np.concatenate([[0], np.cumsum(size)])
+        size = np.fromiter(map(len, parts), dtype=np.int32, count=len(parts)) // dtype.itemsize
+        at = np.cumsum(size, dtype=np.int64) - size
         flat = np.frombuffer(b"".join(parts), dtype=dtype)
         which = coded.indices.to_numpy(zero_copy_only=False)
         n = size[which]
-        ends = np.cumsum(n)
-        # position of every id: start of its word among the distinct words, plus its place in the word
-        where = np.arange(ends[-1] if len(ends) else 0, dtype=np.int64) + np.repeat(at[which] - (ends - n), n)
+        ends = np.cumsum(n, dtype=np.int64)
+        # ids fit 32 bits of places: a slice, or a single text, is below 2 GB
+        where = np.repeat((at[which] - ends + n).astype(np.int32), n)
+        where += np.arange(len(where), dtype=np.int32)
         upto = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()]
         return flat[where], np.diff(upto)
 
