@@ -10,10 +10,11 @@ an exact bound on the symmetric difference.
 
 What is asked for are classes of linked documents, so pairs inside a class that is
 already connected need not be looked at.  Documents with equal sets are one node.
-In a few rounds every node is checked against one hub node of its prefix
-shingles; after that, ALL pairs left between different classes are checked.  A
-group of near copies so costs its size and not its square, and no link between
-different texts is lost.
+Pairs that meet in a shingle of few postings are listed, a bounded number per
+shingle.  Of those, and of one hub node per frequent shingle, every node is checked
+against the nearest candidate in a few rounds; after that, ALL pairs left between
+different classes are checked.  A group of near copies so costs its size and not
+its square, and no link between different texts is lost.
 
 How often shingles occur is counted over all documents in two tables of counters
 under different hashes.  A shingle's rank is its counter in one table, in the
@@ -38,7 +39,10 @@ BITS = 512
 LONGS = BITS // 64
 
 #: rounds in which nodes are checked against one hub
-ROUNDS = 3
+ROUNDS = 2
+
+#: postings up to which all pairs of a shingle are listed at once
+RARE = 12
 
 #: log2 of the most counters in a table
 MAX_BUCKETS = 23
@@ -266,21 +270,25 @@ def _second_pass(d: DataFrame, n: int, num: int, den: int, rank: np.ndarray) ->
 
 
 # ---------------------------------------------------------------- candidates
+def _off(x: str, y: str) -> Column:
+    """Bits in which two nodes differ."""
+    return sum((F.bit_count(F.col(f"{x}.bits")[i].bitwiseXOR(F.col(f"{y}.bits")[i])) for i in range(LONGS)), F.lit(0)).cast("long")
+
+
 def _may_link(x: str, y: str, num: int, den: int) -> Column:
     """Exact bounds on two nodes: sizes, and bits that differ."""
     nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
     sizes = F.least(nx, ny) * den >= F.greatest(nx, ny) * num
-    off = sum((F.bit_count(F.col(f"{x}.bits")[i].bitwiseXOR(F.col(f"{y}.bits")[i])) for i in range(LONGS)), F.lit(0))
-    return sizes & (off.cast("long") * (den + num) <= (nx + ny) * (den - num))
+    return sizes & (_off(x, y) * (den + num) <= (nx + ny) * (den - num))
 
 
 def _share_prefixes(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose prefixes also meet under the second and third order."""
+    """Pairs (a, b, off) whose prefixes also meet under the second and third order."""
     named = maybe_among(nodes.select("node", "p2", "p3"), "node", pairs.select("a").union(pairs.select("b")))
     named = named.groupBy("node").agg(F.first("p2").alias("p2"), F.first("p3").alias("p3"))
     x, y = named.alias("x"), named.alias("y")
     d = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node"))
-    return d.where(F.arrays_overlap("x.p2", "y.p2") & F.arrays_overlap("x.p3", "y.p3")).select("a", "b")
+    return d.where(F.arrays_overlap("x.p2", "y.p2") & F.arrays_overlap("x.p3", "y.p3")).select("a", "b", "off")
 
 
 def _verify(pairs: DataFrame, reps: DataFrame, d: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -319,26 +327,44 @@ def _verify(pairs: DataFrame, reps: DataFrame, d: DataFrame, n: int, num: int, d
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _grouped(live: DataFrame, edges: DataFrame | None) -> DataFrame:
-    """Postings with the class of their node, of shingles that still meet in several classes."""
-    if edges is None:
-        d = live.withColumn("comp", F.col("node"))
-    else:
-        d = live.join(components(edges), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    d = keep(d, "jaccard-live")
-    mixed = d.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+def _classed(d: DataFrame, comp: DataFrame | None, *cols: str) -> DataFrame:
+    """``d`` with the class of each named node column; a node without links is its own class."""
+    for c in cols:
+        if comp is None:
+            d = d.withColumn(f"{c}_comp", F.col(c))
+        else:
+            d = d.join(comp.select(F.col("node").alias(f"__{c}"), F.col("comp").alias(f"{c}_comp")), F.col(c) == F.col(f"__{c}"), "left")
+            d = d.withColumn(f"{c}_comp", F.coalesce(f"{c}_comp", c)).drop(f"__{c}")
+    return d
+
+
+def _rare_pairs(posted: DataFrame, info: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs (a, b) that may link and share a shingle of at most RARE postings, with their differing bits."""
+    # a bounded list per shingle, so its pairs are bounded too
+    m = posted.where(F.col("cnt") <= RARE).groupBy("token").agg(F.array_sort(F.collect_set(F.struct("node", "n"))).alias("m"))
+    near = lambda x, y: (F.least(x["n"], y["n"]) * den >= F.greatest(x["n"], y["n"]) * num) & (x["node"] < y["node"])
+    mates = F.transform("m", lambda x: F.transform(F.filter("m", lambda y: near(x, y)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"))))
+    pairs = m.where(F.size("m") > 1).select(F.explode(F.flatten(mates)).alias("p")).select("p.*").distinct()
+    x, y = info.alias("x"), info.alias("y")
+    d = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(_may_link("x", "y", num, den))
+    d = keep(d.select("a", "b", _off("x", "y").alias("off")), "jaccard-pairs")
+    return keep(_share_prefixes(d, nodes), "jaccard-rare")
+
+
+def _mixed_tokens(d: DataFrame) -> DataFrame:
+    """Postings of shingles that still meet in several classes."""
+    mixed = d.groupBy("token").agg(F.min("node_comp").alias("lo"), F.max("node_comp").alias("hi")).where("lo < hi").select("token")
     return d.join(mixed, "token")
 
 
 def _hub_pairs(d: DataFrame, seed: int, num: int, den: int) -> DataFrame:
-    """For every node the best of the hubs of its shingles that is in another class and may link."""
-    row = F.struct("node", "n", "bits", "comp")
-    hubs = d.groupBy("token").agg(F.min_by(row, F.xxhash64(F.lit(seed), "token", "comp", "node")).alias("h")).select("token", "h.*")
+    """For every node the hubs of its shingles that are in another class and may link."""
+    row = F.struct("node", "n", "bits", "node_comp")
+    hubs = d.groupBy("token").agg(F.min_by(row, F.xxhash64(F.lit(seed), "token", "node_comp", "node")).alias("h")).select("token", "h.*")
     x, y = d.alias("x"), hubs.alias("y")
-    near = sum((F.bit_count(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i])) for i in range(LONGS)), F.lit(0))
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & _may_link("x", "y", num, den))
-    pairs = pairs.groupBy(F.col("x.node").alias("a")).agg(F.min(F.struct(near.alias("off"), F.col("y.node").alias("b"))).alias("m"))
-    return pairs.select("a", "m.b")
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node_comp") != F.col("y.node_comp")) & _may_link("x", "y", num, den))
+    pairs = pairs.groupBy(F.col("x.node").alias("a")).agg(F.min(F.struct(_off("x", "y").alias("off"), F.col("y.node").alias("b"))).alias("m"))
+    return pairs.select("a", "m.b", "m.off")
 
 
 def _all_pairs(d: DataFrame, num: int, den: int) -> DataFrame:
@@ -355,8 +381,8 @@ def _all_pairs(d: DataFrame, num: int, den: int) -> DataFrame:
     # rows of one block meet in its own cell, rows of two blocks in the cell of the two
     cell = F.when(F.col("x.mine") == F.col("y.mine"), F.col("x.lo") == F.col("x.hi")).otherwise(True)
     once = F.col("x.node") < F.col("y.node")
-    pairs = x.join(y, same & cell & once & (F.col("x.comp") != F.col("y.comp")) & _may_link("x", "y", num, den))
-    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    pairs = x.join(y, same & cell & once & (F.col("x.node_comp") != F.col("y.node_comp")) & _may_link("x", "y", num, den))
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), _off("x", "y").alias("off")).distinct()
 
 
 def jaccard_components(
@@ -381,23 +407,29 @@ def jaccard_components(
     sets = first.where("chunk is null").select("id", "tk", "n", "node")
     reps = keep(sets.where("node is not null").groupBy("node").agg(F.min("tk").alias("tk")), "jaccard-reps")
 
-    # postings of shingles that meet in two nodes at least
-    posted = nodes.select(F.explode("p1").alias("token"), "node")
-    shared = posted.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token")
-    live = keep(posted.join(shared, "token").distinct(), "jaccard-postings")
-    some = live.select("node").distinct()
-    bits = maybe_among(nodes.select("node", "n", "bits"), "node", some).groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    live = keep(live.join(bits, "node"), "jaccard-postings")
+    # postings of shingles that meet in two nodes at least; copies post the same twice
+    posted = nodes.select(F.explode("p1").alias("token"), "node", "n")
+    shared = posted.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("cnt"))
+    posted = posted.join(shared.where("lo < hi").select("token", "cnt"), "token")
+    info = keep(nodes.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "jaccard-nodes")
+    rare = _rare_pairs(posted, info, nodes, num, den)
+    often = posted.where(F.col("cnt") > RARE).select("token", "node").distinct()
+    often = keep(often.join(info, "node"), "jaccard-postings")
 
-    edges = None
+    comp = edges = None
     for seed in range(ROUNDS + 1):
-        d2 = _grouped(live, edges)
-        pairs = _all_pairs(d2, num, den) if seed == ROUNDS else _hub_pairs(d2, seed, num, den)
-        pairs = keep(pairs, "jaccard-pairs")
-        pairs = keep(_share_prefixes(pairs, nodes), "jaccard-candidates")
+        last = seed == ROUNDS
+        left = keep(_classed(rare, comp, "a", "b").where("a_comp != b_comp").select("a", "b", "off"), "jaccard-left")
+        d2 = _mixed_tokens(keep(_classed(often, comp, "node"), "jaccard-often"))
+        more = _all_pairs(d2, num, den) if last else _hub_pairs(d2, seed, num, den)
+        pairs = left.unionByName(_share_prefixes(keep(more, "jaccard-pairs"), nodes))
+        if not last:
+            # the nearest candidate of every node
+            pairs = pairs.groupBy("a").agg(F.min_by("b", F.struct("off", "b")).alias("b"))
+        pairs = keep(pairs.select("a", "b").distinct(), "jaccard-candidates")
         new = keep(_verify(pairs, reps, d, n, num, den), "jaccard-links")
         edges = new if edges is None else keep(edges.union(new), "jaccard-edges")
-    comp = components(edges)
+        comp = components(edges)
     labelled = sets.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = labelled.where("comp is not null").groupBy("comp").agg(F.min("id").alias("component_id"))
     out = labelled.join(smallest, "comp", "left")

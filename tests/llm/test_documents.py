@@ -308,7 +308,7 @@ def test_blocks_of_a_frequent_shingle_lose_no_pair(llm, monkeypatch):
     from pyspark.sql import functions as F
 
     monkeypatch.setattr(jaccard, "BLOCK_ROWS", 7)
-    d = llm.range(40).select(F.lit(1).cast("long").alias("token"), F.col("id").alias("node"), F.col("id").alias("comp"), F.lit(10).cast("long").alias("n"),
+    d = llm.range(40).select(F.lit(1).cast("long").alias("token"), F.col("id").alias("node"), F.col("id").alias("node_comp"), F.lit(10).cast("long").alias("n"),
                              F.array_repeat(F.lit(0).cast("long"), jaccard.LONGS).alias("bits"))
     got = jaccard._all_pairs(d, 90, 100).collect()
     assert len(got) == len(set(got)) == 40 * 39 // 2
