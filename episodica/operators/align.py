@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from episodica.plans.ordered import explode_range, halo, prefix
+from episodica.plans.ordered import explode_range, halo, number_rows, prefix
 
 EP = ("episode_id",)
 
@@ -105,7 +105,7 @@ def grid_params(frames: DataFrame, speed: float, keys: Sequence[str] = EP) -> Da
 
 def resample_grid(frames: DataFrame, speed: float, keys: Sequence[str] = EP) -> DataFrame:
     """New clock of every episode: (keys, grid_idx, t)."""
-    g = explode_range(grid_params(frames, speed, keys), F.lit(0), F.col("n_last"), "grid_idx")
+    g = explode_range(grid_params(frames, speed, keys), F.lit(0), F.col("n_last"), "grid_idx", spread=True)
     return g.select(*keys, "grid_idx", (F.col("t_start") + F.col("grid_idx") * F.col("dt")).alias("t"))
 
 
@@ -225,6 +225,32 @@ def lookahead_by_time(frames: DataFrame, cols: Sequence[str], fps: float, deltas
     return d.drop("__a")
 
 
+def lookahead_by_ts(frames: DataFrame, cols: Sequence[str], deltas: Sequence[float], tolerance: float, keys: Sequence[str] = EP,
+                    block_seconds: float = 3600.0) -> DataFrame:
+    """Frames nearest to ``ts + delta`` on the recorded clock, a row per frame and delta.
+
+    Returns keys, frame_idx, ``k`` (position of the delta), is_pad (past the last
+    frame, which then repeats), is_off (no frame within ``tolerance`` seconds) and
+    the ``cols``.  Of two frames equally near the earlier one counts.  Targets
+    are merged into the frames' order and see their neighbours through running values,
+    so a long episode is cut into blocks of ``block_seconds``.
+    """
+    keys, none = list(keys), F.lit(None)
+    row = F.struct("ts", *cols)
+    kind = frames.select(row.alias("r")).schema["r"].dataType
+    own = frames.select(*keys, "frame_idx", "ts", row.alias("__r"), none.cast("int").alias("k"))
+    wanted = frames.select(*keys, "frame_idx", "ts", F.posexplode(F.array(*[F.lit(float(d)) for d in deltas])).alias("k", "__d"))
+    wanted = wanted.select(*keys, "frame_idx", (F.col("ts") + F.col("__d")).alias("ts"), none.cast(kind).alias("__r"), "k")
+    d = number_rows(own.unionByName(wanted), keys, ["ts", "k", "frame_idx"], F.floor(F.col("ts") / block_seconds), "__i")
+    d = prefix(d, keys, "__i", {"__b": ("last", F.col("__r"))})
+    d = prefix(d, keys, "__i", {"__a": ("last", F.col("__r"))}, reverse=True).where(F.col("k").isNotNull())
+    before, after = F.col("ts") - F.col("__b.ts"), F.col("__a.ts") - F.col("ts")
+    pick = F.when(F.col("__a").isNull() | (before <= after), F.col("__b")).otherwise(F.col("__a"))
+    d = d.withColumn("__p", pick).withColumn("is_pad", F.col("__a").isNull())
+    off = ~F.col("is_pad") & (F.abs(F.col("__p.ts") - F.col("ts")) > F.lit(float(tolerance)))
+    return d.select(*keys, "frame_idx", "k", "is_pad", off.alias("is_off"), *[F.col("__p")[c].alias(c) for c in cols])
+
+
 def instruction_boundary_mask(chunks: DataFrame, instructions: str, mask: str) -> DataFrame:
     """Prompt = first instruction of the chunk; mask every step from the first change on."""
     d = chunks.withColumn("prompt", F.get(instructions, F.lit(0)))

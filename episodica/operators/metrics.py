@@ -180,9 +180,12 @@ def balanced_loss(cells_: DataFrame, weights: DataFrame, sample: str = "sample_i
     return s.agg((F.coalesce(F.sum("ls"), F.lit(0.0)) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("loss"), F.count(F.lit(1)).alias("n_samples"))
 
 
-def curve_rows(df: DataFrame, pred: str, truth: str, mask: str, dims: int, n: int = 10, batch: str = "batch_id", order: str = "sample_id") -> DataFrame:
-    """Curves of the first ``n`` samples of a batch on dims valid at least once: (batch, sample, label, t, truth, prediction)."""
-    d = number_rows(df, [batch], [order], None, "__r").where(F.col("__r") < n)
+def curve_rows(df: DataFrame, pred: str, truth: str, mask: str, dims: int, n: int | None = None, batch: str = "batch_id", order: str = "sample_id") -> DataFrame:
+    """Curves on dims valid at least once: (batch, sample, label, t, truth, prediction).
+
+    All samples, or only the first ``n`` of every batch.
+    """
+    d = df if n is None else number_rows(df, [batch], [order], None, "__r").where(F.col("__r") < n)
     z = F.posexplode(F.arrays_zip(F.col(pred).alias("p"), F.col(truth).alias("g")))
     used = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.exists(
         F.transform(F.sequence(F.lit(0), F.floor(F.size(mask) / dims).cast("int") - 1), lambda t: F.get(mask, t * dims + k) > 0), lambda x: x))

@@ -8,6 +8,7 @@ norm domain that holds most episodes is never sorted in one task.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -94,6 +95,23 @@ def legacy_keys(ratio: Column) -> tuple[Column, Column]:
     return F.concat(F.lit("train_episode_idx"), tag), F.concat(F.lit("val_episode_idx"), tag)
 
 
+def json_string(text: Column) -> Column:
+    """A JSON string in ASCII: quotes, backslashes, controls and all other characters escaped."""
+    short = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r", 34: '\\"', 92: "\\\\"}
+
+    def unit(code: Column) -> Column:
+        return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(code)), 4, "0"))
+
+    def escaped(c: Column) -> Column:
+        code = F.ascii(c)
+        out = F.when(code > 0xFFFF, F.concat(unit(F.floor((code - 0x10000) / 1024) + 0xD800), unit((code - 0x10000) % 1024 + 0xDC00)))
+        for k, v in short.items():
+            out = out.when(code == k, F.lit(v))
+        return out.when((code < 32) | (code > 126), unit(code)).otherwise(c)
+
+    return F.concat(F.lit('"'), F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), escaped), ""), F.lit('"'))
+
+
 def split_manifest(catalog: DataFrame, config_path: str, config_sha1: str, val_ratio: float, seed: int) -> DataFrame:
     """Stable key names per catalog entry and the id of the bound split file.
 
@@ -108,9 +126,9 @@ def split_manifest(catalog: DataFrame, config_path: str, config_sha1: str, val_r
     copy_id = F.concat(safe, F.lit("_"), digest)
     lt, lv = legacy_keys(ratio)
     binding = F.concat(
-        F.lit(f'{{"dataset_config_path": "{config_path}", "dataset_config_sha1": "{config_sha1}", "norm_stats_domain_name": "'),
-        F.col("norm_domain"),
-        F.lit(f'", "seed": {int(seed)}, "val_ratio": {float(val_ratio)}}}'),
+        F.lit(f'{{"dataset_config_path": {json.dumps(config_path)}, "dataset_config_sha1": {json.dumps(config_sha1)}, "norm_stats_domain_name": '),
+        json_string(F.col("norm_domain")),
+        F.lit(f', "seed": {int(seed)}, "val_ratio": {float(val_ratio)}}}'),
     )
     return catalog.join(n, "norm_domain").select(
         "config_index", "norm_domain",

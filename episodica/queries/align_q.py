@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from episodica.operators import align as A
-from episodica.queries.common import SAMPLES, bigint, events, samples, table
+from episodica.queries.common import EVENTS, SAMPLES, bigint, events, samples, table
 from episodica.registry import query, rnd, sql_rnd
 from episodica.sources.frames import index_frames
 
@@ -137,6 +137,26 @@ def d13(spark, sf):
     return d.select("episode_id", "frame_idx", F.col("z")["k"].cast("bigint").alias("k"), "z.is_pad", F.col("z.at_event_id").alias("event_id"))
 
 
+@query("d13_lookahead_by_ts", f"""WITH {SAMPLES}, e AS (SELECT *, max(ts) OVER (PARTITION BY episode_id) AS l FROM samples),
+j AS (SELECT unnest([0, 1, 2]) AS k, unnest([0.0::DOUBLE, 3600.0::DOUBLE, 86400.0::DOUBLE]) AS d),
+n AS (SELECT e.episode_id, e.frame_idx, j.k, e.ts + d > e.l AS is_pad, s.event_id, abs(s.ts - (e.ts + d)) AS off,
+  row_number() OVER (PARTITION BY e.episode_id, e.frame_idx, j.k ORDER BY abs(s.ts - (e.ts + d)), s.ts) AS r
+  FROM e, j, samples s WHERE s.episode_id = e.episode_id)
+SELECT episode_id, frame_idx, CAST(k AS BIGINT) AS k, is_pad, NOT is_pad AND off > 7200 AS is_off, event_id FROM n WHERE r = 1""")
+def d13_ts(spark, sf):
+    d = A.lookahead_by_ts(samples(spark, sf), ["event_id"], [0.0, 3600.0, 86400.0], 7200.0, ["episode_id"], 86400.0)
+    return d.select("episode_id", *bigint("frame_idx", "k"), "is_pad", "is_off", "event_id")
+
+
+@query("d0_index_null_keys", f"""WITH {EVENTS}, n AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE stream END AS key, CASE WHEN event_id % 50 = 0 THEN NULL ELSE ts END AS t FROM events0)
+SELECT key, event_id, row_number() OVER (PARTITION BY key ORDER BY t NULLS FIRST, event_id) - 1 AS frame_idx FROM n""")
+def d0_null_keys(spark, sf):
+    """Null keys and null order values are numbered like any other, in blocks too."""
+    d = events(spark, sf).select("event_id", F.when(F.col("event_id") % 5 != 0, F.col("stream")).alias("key"), F.when(F.col("event_id") % 50 != 0, F.col("ts")).alias("t"))
+    out = index_frames(d, ["key"], ["t", "event_id"], F.floor(F.col("t") / 86400), hot_rows=500)
+    return out.select("key", "event_id", *bigint("frame_idx"))
+
+
 @query("d14_instruction_boundary_mask", """WITH t AS (SELECT conv_id AS episode_id, turn AS frame_idx, substr(role, 1, 1) || CAST(turn // 3 AS VARCHAR) AS ins,
  max(turn) OVER (PARTITION BY conv_id) AS l FROM conversations),
 x AS (SELECT episode_id, frame_idx, ins, j, least(frame_idx + j, l) AS src FROM t, (SELECT unnest(range(0, 5)) AS j)),

@@ -51,6 +51,31 @@ def h1_z(spark, sf):
     return rounded(N.norm_fit(_masked(spark, sf), ["domain"], "v", "zscore", "m"), "domain", "dim")
 
 
+def _wild(spark, sf):
+    """Dims 3 and 4 hold infinities and NaN now and then."""
+    v = F.transform("v", lambda x, i: F.when((i == 3) & (F.col("vec_id") % 7 == 0), F.lit(float("-inf")))
+                    .when((i == 3) & (F.col("vec_id") % 13 == 0), F.lit(float("inf")))
+                    .when((i == 4) & (F.col("vec_id") % 11 == 0), F.lit(float("nan"))).otherwise(x))
+    return vectors(spark, sf).select("domain", v.alias("v"))
+
+
+def _wild_sql(t):
+    lo, hi = sql_guard(t, "x", "ok")
+    return f"""WITH {VECTORS}, {CELLS}, wc AS (SELECT domain, dim, x, NOT (dim = 3 AND (vec_id % 7 = 0 OR vec_id % 13 = 0)) AND NOT (dim = 4 AND vec_id % 11 = 0) AS ok FROM cells),
+s AS (SELECT domain, dim, {lo}, {hi}, count(*) FILTER (WHERE NOT ok) AS n_bad FROM wc GROUP BY 1, 2)
+SELECT domain, dim, {sql_rnd('lo')} AS lo, {sql_rnd('hi')} AS hi, n_bad FROM s"""
+
+
+@query("h1_norm_fit_nonfinite_quantile", _wild_sql("quantile"))
+def h1_wild_q(spark, sf):
+    return rounded(N.norm_fit(_wild(spark, sf), ["domain"], "v", "quantile", report=True), "domain", "dim", "n_bad")
+
+
+@query("h1_norm_fit_nonfinite_zscore", _wild_sql("zscore"))
+def h1_wild_z(spark, sf):
+    return rounded(N.norm_fit(_wild(spark, sf), ["domain"], "v", "zscore", report=True), "domain", "dim", "n_bad")
+
+
 def _time_sql():
     lo, hi = sql_guard("zscore")
     return f"""WITH {VECTORS}, {CELLS}, s AS (SELECT domain, dim // 8 AS t, dim % 8 AS dim, {lo}, {hi} FROM cells GROUP BY 1, 2, 3)
@@ -113,6 +138,18 @@ q AS (SELECT domain, dim, min(CASE WHEN cum >= 0.01::DOUBLE * n THEN mn - 1e-10:
   min(CASE WHEN cum >= 0.99::DOUBLE * n THEN mn - 1e-10::DOUBLE + bin * ((mx + 1e-10::DOUBLE) - (mn - 1e-10::DOUBLE)) / 5000 END) AS q99 FROM cu JOIN m USING (domain, dim) GROUP BY 1, 2)"""
 
 
+ALL_PIX = """px AS (SELECT domain, vec_id * 16 + p AS pid, v[p * 4 + 1 : p * 4 + 4] AS ch FROM vectors, (SELECT unnest(range(0, 16)) AS p)),
+pc AS (SELECT domain, j AS dim, (ch[j + 1] * 100 + 128) / 255.0::DOUBLE * 2 - 1 AS x FROM px, (SELECT unnest(range(0, 4)) AS j))"""
+
+
+@query("h4_norm_fit_channels_all", f"""WITH {VECTORS}, {ALL_PIX}, {HIST.format(src='pc')} SELECT domain, dim, {sql_rnd('q01')} AS lo, {sql_rnd('q99')} AS hi, 'div255_mul2_minus1' AS preprocess FROM q""")
+def h4_all(spark, sf):
+    """Every pixel vector: the main form; a budget is an option."""
+    d = vectors(spark, sf).select("domain", "vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("p"))
+    d = d.select("domain", (F.col("vec_id") * 16 + F.col("p")).alias("pid"), F.transform(F.slice("v", F.col("p") * 4 + 1, F.lit(4)), lambda x: x * 100 + 128).alias("ch"))
+    return rounded(N.norm_fit_channels(d, ["domain"], "pid", F.col("pid"), "ch", "quantile"), "domain", "dim", "preprocess")
+
+
 @query("h4_norm_fit_channels", f"""WITH {VECTORS}, {PIX}, {HIST.format(src='pc')} SELECT domain, dim, {sql_rnd('q01')} AS lo, {sql_rnd('q99')} AS hi, 'div255_mul2_minus1' AS preprocess FROM q""")
 def h4(spark, sf):
     d = vectors(spark, sf).select("domain", F.floor(F.col("vec_id") / 50).alias("batch"), "vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("p"))
@@ -176,6 +213,54 @@ def h7_z(spark, sf):
     return longer(N.norm_invert(N.norm_apply(vectors(spark, sf), "v", s, "zscore", WIDTH), "v", s, "zscore", WIDTH), ["vec_id"])
 
 
+def _chunks(spark, sf):
+    rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.slice("v", k * 8 + 1, F.lit(8)))
+    return vectors(spark, sf).select("vec_id", "domain", rows.alias("chunk"))
+
+
+def _chunk_rows(d):
+    return longer(d.select("vec_id", F.posexplode("chunk").alias("t", "v")).withColumn("t", F.col("t").cast("bigint")), ["vec_id", "t"])
+
+
+def _per_time_sql(t, shared, expr):
+    """Statistics of every step, per domain or (shared) over all domains."""
+    lo, hi = sql_guard(t)
+    domain, same = ("NULL", "true") if shared else ("domain", "s.domain = c.domain")
+    return f"""WITH {VECTORS}, {CELLS}, tc AS (SELECT vec_id, domain, dim // 8 AS t, dim % 8 AS dim, x FROM cells),
+s AS (SELECT {domain} AS domain, t, dim, {lo}, {hi} FROM tc GROUP BY 1, 2, 3)
+SELECT vec_id, c.t, c.dim, {sql_rnd(expr)} AS value FROM tc c JOIN s ON s.t = c.t AND s.dim = c.dim AND {same}"""
+
+
+@query("h6_norm_apply_per_time_quantile", _per_time_sql("quantile", False, fwd("quantile")))
+def h6_time_q(spark, sf):
+    d = _chunks(spark, sf)
+    s = N.norm_fit_scoped(d, "chunk", "all", "quantile", 8, per_time=True)
+    return _chunk_rows(N.norm_apply(d, "chunk", s, "quantile", 8))
+
+
+@query("h6_norm_apply_per_time_zscore", _per_time_sql("zscore", True, fwd("zscore")))
+def h6_time_z(spark, sf):
+    d = _chunks(spark, sf)
+    s = N.norm_fit_scoped(d, "chunk", "none", "zscore", 8, per_time=True)
+    return _chunk_rows(N.norm_apply(d, "chunk", s, "zscore", 8))
+
+
+@query("h7_norm_invert_per_time", _per_time_sql("zscore", False, back("zscore", fwd("zscore"))))
+def h7_time(spark, sf):
+    d = _chunks(spark, sf)
+    s = N.norm_fit_scoped(d, "chunk", "all", "zscore", 8, per_time=True)
+    return _chunk_rows(N.norm_invert(N.norm_apply(d, "chunk", s, "zscore", 8), "chunk", s, "zscore", 8))
+
+
+@query("h2_norm_fit_sample_ratio", f"""WITH {VECTORS}, {CELLS}, k AS (SELECT * FROM cells
+  WHERE CAST(concat('0x', substr(md5(concat_ws('|', '3', CAST(vec_id AS VARCHAR))), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE < 0.5),
+stats AS (SELECT CASE WHEN {SHARED} THEN NULL ELSE domain END AS domain, dim, {', '.join(sql_guard('zscore'))} FROM k GROUP BY 1, 2)
+SELECT CASE WHEN domain IS NULL THEN 'shared' ELSE 'domain' END AS scope, domain, dim, {sql_rnd('lo')} AS lo, {sql_rnd('hi')} AS hi FROM stats""")
+def h2_ratio(spark, sf):
+    s = N.norm_fit_scoped(vectors(spark, sf), "v", "joint", "zscore", WIDTH, ratio=0.5, sample=F.col("vec_id"), seed=3)
+    return rounded(s, "scope", "domain", "dim")
+
+
 def _simple(spark, sf):
     s = N.stat_arrays(N.norm_fit(vectors(spark, sf), ["domain"], "v", "zscore"), ["domain"], WIDTH)
     return vectors(spark, sf).join(s, "domain")

@@ -84,6 +84,20 @@ def a3(spark, sf):
         F.count_distinct("episode_id").alias("n_episodes"), F.count(F.lit(1)).alias("n_frames"))
 
 
+@query("a3_append_twice", f"""WITH {FRAMES},
+e AS (SELECT domain, episode_id, count(*) AS n, episode_id % 2 AS part FROM frames GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY part, episode_id) - 1 AS s FROM e)
+SELECT domain, CAST(s // 100 AS BIGINT) AS file_no, count(*) AS n_episodes, CAST(sum(n) AS BIGINT) AS n_frames, CAST(max(s) AS BIGINT) AS last_seq
+FROM r GROUP BY ALL""")
+def a3_twice(spark, sf):
+    root = scratch_path(spark, "appended-twice")
+    d = frames(spark, sf)
+    for part in (0, 1):
+        S.append_episodes(d.where(F.col("episode_id") % 2 == part), root)
+    return spark.read.parquet(root).groupBy("domain", F.col("file_no").cast("bigint").alias("file_no")).agg(
+        F.count_distinct("episode_id").alias("n_episodes"), F.count(F.lit(1)).alias("n_frames"), F.max("episode_seq").cast("bigint").alias("last_seq"))
+
+
 def _ragged(d):
     """Frames with a few damaged keys, so that the rules have something to find."""
     vec = F.array("q0", "q1", "q2", "q3")
@@ -144,6 +158,14 @@ def a6(spark, sf):
     return S.discover_inputs(listing, URL, excluded=["spam-farm.example.org"], max_sources=2)
 
 
+@query("a6_discover_inputs_all", """SELECT url AS path, regexp_extract(url, '^https?://([^/]+)/([a-z]+)/([^/?#.]*)', 1) AS task,
+  regexp_extract(url, '^https?://([^/]+)/([a-z]+)/([^/?#.]*)', 2) AS source,
+  coalesce(TRY_CAST(regexp_extract(url, '^https?://([^/]+)/([a-z]+)/([^/?#.]*)', 3) AS BIGINT), 0) AS episode_no
+  FROM pages WHERE regexp_matches(url, '^https?://([^/]+)/([a-z]+)/([^/?#.]*)')""")
+def a6_all(spark, sf):
+    return S.discover_inputs(table(spark, sf, "pages").select(F.col("url").alias("path")), URL)
+
+
 @query("a7_stats_json", f"""WITH s AS (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(1, len(embedding) + 1)) - 1 AS dim FROM embeddings)
 SELECT CAST(label AS BIGINT) AS domain, 'state' AS key, dim, {sql_rnd('min(x)')} AS lo, {sql_rnd('max(x)')} AS hi, NULL::VARCHAR AS mode FROM s GROUP BY ALL
 UNION ALL SELECT DISTINCT CAST(label AS BIGINT), 'binary', NULL, NULL, NULL, 'ignore' FROM embeddings""")

@@ -106,3 +106,33 @@ def test_lookup_falls_back_to_a_written_table(spark):
     assert "broadcast" in small._jdf.queryExecution().analyzed().toString().lower()
     assert "broadcast" not in big._jdf.queryExecution().analyzed().toString().lower()
     assert keep(spark.range(3)).count() == 3
+
+
+@pytest.mark.parametrize("hot", [0, 100, 10**9])
+def test_null_keys_and_null_blocks_are_numbered(spark, hot):
+    rows = [(None if i % 3 else "k", None if i % 10 == 0 else i, i) for i in range(300)]
+    d = spark.createDataFrame(rows, "key string, t long, id long")
+    got = {r.id: r.frame_idx for r in index_frames(d, ["key"], ["t", "id"], F.floor(F.col("t") / 20), hot_rows=hot).collect()}
+    want = {}
+    for key in ("k", None):
+        order = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        want.update({r[2]: n for n, r in enumerate(order)})
+    assert got == want
+
+
+def test_prefix_keeps_null_keys(spark):
+    d = spark.createDataFrame([(None, i, float(i % 7)) for i in range(100)], "key string, i long, x double")
+    got = [r.m for r in prefix(d, ["key"], "i", {"m": ("max", F.col("x"))}, rows=8).orderBy("i").collect()]
+    assert got == list(np.maximum.accumulate([float(i % 7) for i in range(100)]))
+
+
+@pytest.mark.parametrize("refine", [0, 10**9])
+def test_quantiles_pass_over_what_is_not_finite(spark, monkeypatch, refine):
+    monkeypatch.setattr(Q, "REFINE_ROWS", refine)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=400)
+    wild = [float("inf"), float("-inf"), float("nan"), None]
+    d = spark.createDataFrame([(None, float(v)) for v in x] + [(None, w) for w in wild] + [("w", w) for w in wild], "key string, x double")
+    got = Q.exact_quantiles(d, ["key"], "x", {"a": 0.01, "b": 0.5}).collect()
+    assert len(got) == 1 and got[0].key is None
+    assert np.allclose([got[0].a, got[0].b], np.quantile(x, [0.01, 0.5]))

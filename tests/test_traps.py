@@ -295,3 +295,44 @@ def test_catalog_roundtrip(spark, tmp_path):
     C.write_catalog(c, str(tmp_path / "out"))
     again = C.read_catalog(spark, str(tmp_path / "out"))
     assert [(r.name, r.use_trajectory_ratio, r.norm_domain) for r in again.orderBy("config_index").collect()] == want
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from episodica.session import require_local
+
+    for master in ("local", "local[*]", "local[4]", "local[2,3]"):
+        require_local(master)
+    for master in ("yarn", "spark://h:7077", "k8s://x", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            require_local(master)
+
+
+def test_json_strings(spark):
+    import json
+
+    from episodica.operators.split import json_string
+
+    texts = ['plain', 'a"b\\c', "tab\tnl\nbs\bff\fcr\r\x01\x7f", "é漢😀", ""]
+    d = spark.createDataFrame([(t,) for t in texts], "t string").select("t", json_string(F.col("t")).alias("j"))
+    for r in d.collect():
+        assert r.j == json.dumps(r.t), r.t
+
+
+def test_a_domain_without_statistics_is_an_error(spark):
+    d = spark.createDataFrame([("a", [1.0, 2.0]), ("a", [3.0, 4.0])], "domain string, v array<double>")
+    s = N.norm_fit_scoped(d, "v", "all", "zscore", 2)
+    other = spark.createDataFrame([("b", [100.0, 1.0])], "domain string, v array<double>")
+    assert N.norm_apply(d, "v", s, "zscore", 2).count() == 2
+    with pytest.raises(Exception, match="no statistics for b"):
+        N.norm_apply(other, "v", s, "zscore", 2).collect()
+
+
+def test_statistics_per_step_need_enough_steps(spark):
+    d = spark.createDataFrame([("a", [[1.0], [2.0]]), ("a", [[3.0], [5.0]])], "domain string, v array<array<double>>")
+    s = N.norm_fit_scoped(d, "v", "all", "zscore", 1, per_time=True)
+    assert {(r.t, r.lo) for r in s.collect()} == {(0, 2.0), (1, 3.5)}
+    back = N.norm_invert(N.norm_apply(d, "v", s, "zscore", 1), "v", s, "zscore", 1)
+    assert sorted(r.v for r in back.collect()) == [[[1.0], [2.0]], [[3.0], [5.0]]]
+    longer = spark.createDataFrame([("a", [[1.0], [2.0], [3.0]])], "domain string, v array<array<double>>")
+    with pytest.raises(Exception, match="more steps"):
+        N.norm_apply(longer, "v", s, "zscore", 1).collect()
