@@ -246,7 +246,7 @@ def lookahead_by_ts(frames: DataFrame, cols: Sequence[str], deltas: Sequence[flo
     d = prefix(d, keys, "__i", {"__a": ("last", F.col("__r"))}, reverse=True).where(F.col("k").isNotNull())
     before, after = F.col("ts") - F.col("__b.ts"), F.col("__a.ts") - F.col("ts")
     pick = F.when(F.col("__a").isNull() | (before <= after), F.col("__b")).otherwise(F.col("__a"))
-    d = d.withColumn("__p", pick).withColumn("is_pad", F.col("__a").isNull())
+    d = d.withColumn("__p", pick).withColumn("is_pad", F.col("__a").isNull() & (before > 0))
     off = ~F.col("is_pad") & (F.abs(F.col("__p.ts") - F.col("ts")) > F.lit(float(tolerance)))
     return d.select(*keys, "frame_idx", "k", "is_pad", off.alias("is_off"), *[F.col("__p")[c].alias(c) for c in cols])
 
