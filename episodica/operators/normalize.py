@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from episodica.functions.layout import WIDTH, shared_dims
-from episodica.plans.ordered import hash_block, hash_hex, hash_uniform, number_rows
+from episodica.plans.ordered import draw_first, hash_hex, hash_uniform
 from episodica.plans.quantiles import exact_quantiles, is_finite
 from episodica.plans.small import lookup
 
@@ -92,8 +92,7 @@ def norm_fit(samples: DataFrame, keys: Sequence[str], vec: str, norm_type: str,
 def hash_limit(samples: DataFrame, keys: Sequence[str], order: Column, limit: int, seed: int = 0) -> DataFrame:
     """At most ``limit`` rows per keys, chosen by hash (a sampling setting of the fit)."""
     d = samples.withColumn("__h", hash_hex(seed, order))
-    d = number_rows(d, list(keys), ["__h"], hash_block(F.col("__h")), "__rn")
-    return d.where(F.col("__rn") < limit).drop("__h", "__rn")
+    return draw_first(d, list(keys), "__h", lambda n: F.lit(limit), "__in").where("__in").drop("__h", "__in")
 
 
 def norm_fit_scoped(samples: DataFrame, vec: str, mode: str, norm_type: str, width: int = WIDTH, mask: str | None = None,
@@ -241,6 +240,8 @@ def _with_stats(samples: DataFrame, vec: str, stats: DataFrame, keys: Sequence[s
 
 def _scoped(samples, vec, stats, norm_type, width, fn_of):
     """Domain and shared dims are disjoint, so both scopes meet in one array per domain."""
+    # evaluated once: the fit may be a lazy plan over the samples themselves
+    stats = lookup(stats)
     cols = [*(["t"] if "t" in stats.columns else []), "dim", "lo", "hi"]
     shared = stats.where("scope = 'shared'").select(*cols)
     own = stats.where("scope = 'domain'").select("domain", *cols)

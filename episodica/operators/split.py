@@ -2,8 +2,8 @@
 
 Random draws are a hash order: md5 over seed and identity.  The counts and
 guarantees of a random sample hold, and any engine reproduces the choice.
-Drawing the k first of a pool is a two-level numbering over hash blocks, so a
-norm domain that holds most episodes is never sorted in one task.
+Drawing the k first of a pool counts hash blocks and orders only the block in which
+the draw ends, so a norm domain that holds most episodes is never sorted.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from episodica.plans.ordered import explode_range, hash_block, hash_hex, number_rows
+from episodica.plans.ordered import draw_first, explode_range, hash_hex
 
 SPLIT_VERSION = 4
 
@@ -27,8 +27,7 @@ def val_count(total: Column, val_ratio: float) -> Column:
 def _draw(pool: DataFrame, identity: Sequence[str], val_ratio: float, seed: int) -> DataFrame:
     """Pool with ``is_val``: the k hash-first identities of each norm domain."""
     h = pool.withColumn("__h", hash_hex(seed, F.col("norm_domain"), *[F.col(c) for c in identity]))
-    h = number_rows(h, ["norm_domain"], ["__h"], hash_block(F.col("__h")), "__rn", "__n")
-    return h.withColumn("is_val", F.col("__rn") < val_count(F.col("__n"), val_ratio)).drop("__h", "__rn", "__n")
+    return draw_first(h, ["norm_domain"], "__h", lambda n: val_count(n, val_ratio), "is_val").drop("__h")
 
 
 def _label(is_val: Column) -> Column:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from episodica.plans import quantiles as Q
-from episodica.plans.ordered import explode_range, halo, hash_block, hash_hex, number_rows, prefix
+from episodica.plans.ordered import draw_first, explode_range, halo, hash_block, hash_hex, number_rows, prefix
 from episodica.plans.ranges import range_join
 from episodica.plans.small import keep, lookup
 from episodica.sources.frames import index_frames
@@ -136,3 +136,14 @@ def test_quantiles_pass_over_what_is_not_finite(spark, monkeypatch, refine):
     got = Q.exact_quantiles(d, ["key"], "x", {"a": 0.01, "b": 0.5}).collect()
     assert len(got) == 1 and got[0].key is None
     assert np.allclose([got[0].a, got[0].b], np.quantile(x, [0.01, 0.5]))
+
+
+@pytest.mark.parametrize("k", [0, 1, 7, 60, 500, 10_000])
+def test_draws_equal_a_full_sort(spark, k):
+    rows = [(None if i % 4 == 0 else "hot" if i % 4 < 3 else "c", i) for i in range(900)]
+    d = spark.createDataFrame(rows, "key string, i long").withColumn("h", hash_hex(3, F.col("i")))
+    got = {(r.key, r.i) for r in draw_first(d, ["key"], "h", lambda n: F.lit(k)).where("is_first").collect()}
+    want = set()
+    for key in ("hot", "c", None):
+        want |= {(key, r.i) for r in sorted((r for r in d.collect() if r.key == key), key=lambda r: r.h)[:k]}
+    assert got == want
