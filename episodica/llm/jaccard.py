@@ -338,13 +338,84 @@ def _classed(d: DataFrame, comp: DataFrame | None, *cols: str) -> DataFrame:
     return d
 
 
-def _rare_pairs(posted: DataFrame, info: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """All pairs (a, b) that may link and share a shingle of at most RARE postings, with their differing bits."""
-    # a bounded list per shingle, so its pairs are bounded too
-    m = posted.where(F.col("cnt") <= RARE).groupBy("token").agg(F.array_sort(F.collect_set(F.struct("node", "n"))).alias("m"))
-    near = lambda x, y: (F.least(x["n"], y["n"]) * den >= F.greatest(x["n"], y["n"]) * num) & (x["node"] < y["node"])
-    mates = F.transform("m", lambda x: F.transform(F.filter("m", lambda y: near(x, y)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"))))
-    pairs = m.where(F.size("m") > 1).select(F.explode(F.flatten(mates)).alias("p")).select("p.*").distinct()
+class TokenRuns:
+    """Postings sorted by (token, node) -> pairs of rare shingles, and the postings of frequent ones.
+
+    Takes them in pieces of any size and holds at most RARE rows of the token that
+    may go on in the next piece.
+    """
+
+    def __init__(self, num: int, den: int):
+        self.num, self.den = num, den
+        none = np.zeros(0, dtype=np.int64)
+        self.held, self.hot = (none, none, none), None
+
+    def add(self, token: np.ndarray, node: np.ndarray, n: np.ndarray, last: bool = False) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """[(tokens, a, b)]; b is None for postings of frequent shingles."""
+        token, node, n = (np.concatenate(x) for x in zip(self.held, (token, node, n)))
+        if not len(token):
+            return []
+        # copies of a document post the same twice
+        new = np.concatenate([[True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])])
+        token, node, n = token[new], node[new], n[new]
+        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        length = np.diff(np.append(starts, len(token)))
+        often = length > RARE
+        if self.hot is not None and token[0] == self.hot:
+            often[0] = True
+        self.hot = token[-1] if often[-1] else None
+        done = len(token)
+        if not last and not often[-1]:
+            done = starts[-1]  # this token may go on
+        self.held = tuple(x[done:] for x in (token, node, n)) if not often[-1] else tuple(x[-1:] for x in (token, node, n))
+        run = np.repeat(np.arange(len(starts)), length)
+        flag = often[run]
+        out = []
+        if flag.any():
+            out.append((token[flag], node[flag], None))
+        rare = np.flatnonzero(~flag[:done])
+        t, v, size = token[rare], node[rare], n[rare]
+        for k in range(1, RARE):
+            if k >= len(t):
+                break
+            near = t[k:] == t[:-k]
+            if not near.any():
+                break
+            small, large = np.minimum(size[k:], size[:-k]), np.maximum(size[k:], size[:-k])
+            at = np.flatnonzero(near & (small * self.den >= large * self.num))
+            if len(at):
+                out.append((t[at], v[at], v[at + k]))
+        return out
+
+
+def _met(nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """(token, a, b): the pairs that meet in rare shingles, and (b null) the postings of frequent ones.
+
+    One shuffle of the postings, read in order as a stream.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        runs = TokenRuns(num, den)
+
+        def rows(parts):
+            for t, a, b in parts:
+                b = pa.nulls(len(a), pa.int64()) if b is None else pa.array(b, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(a, pa.int64()), b], names=["token", "a", "b"])
+
+        for batch in batches:
+            yield from rows(runs.add(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "node", "n"))))
+        none = np.zeros(0, dtype=np.int64)
+        yield from rows(runs.add(none, none, none, last=True))
+
+    posted = nodes.select(F.explode("p1").alias("token"), "node", "n").repartition("token").sortWithinPartitions("token", "node")
+    return keep(posted.mapInArrow(run, "token long, a long, b long"), "jaccard-met")
+
+
+def _rare_pairs(met: DataFrame, info: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs (a, b) of rare shingles that may link, with their differing bits."""
+    pairs = met.where("b is not null").select("a", "b").distinct()
     x, y = info.alias("x"), info.alias("y")
     d = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(_may_link("x", "y", num, den))
     d = keep(d.select("a", "b", _off("x", "y").alias("off")), "jaccard-pairs")
@@ -407,13 +478,10 @@ def jaccard_components(
     sets = first.where("chunk is null").select("id", "tk", "n", "node")
     reps = keep(sets.where("node is not null").groupBy("node").agg(F.min("tk").alias("tk")), "jaccard-reps")
 
-    # postings of shingles that meet in two nodes at least; copies post the same twice
-    posted = nodes.select(F.explode("p1").alias("token"), "node", "n")
-    shared = posted.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("cnt"))
-    posted = posted.join(shared.where("lo < hi").select("token", "cnt"), "token")
+    met = _met(nodes, num, den)
     info = keep(nodes.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "jaccard-nodes")
-    rare = _rare_pairs(posted, info, nodes, num, den)
-    often = posted.where(F.col("cnt") > RARE).select("token", "node").distinct()
+    rare = _rare_pairs(met, info, nodes, num, den)
+    often = met.where("b is null").select("token", F.col("a").alias("node")).distinct()
     often = keep(often.join(info, "node"), "jaccard-postings")
 
     comp = edges = None

@@ -314,6 +314,31 @@ def test_blocks_of_a_frequent_shingle_lose_no_pair(llm, monkeypatch):
     assert len(got) == len(set(got)) == 40 * 39 // 2
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 40)), max_size=150), st.integers(1, 30))
+def test_token_runs(rows, step):
+    rows = sorted(rows)
+    size = lambda v: 90 + v
+    runs, pairs, often = jaccard.TokenRuns(90, 100), set(), set()
+    pieces = [rows[i : i + step] for i in range(0, len(rows), step)] + [None]
+    for piece in pieces:
+        cols = [np.array(c, dtype=np.int64) for c in (([t for t, _ in piece or []]), ([v for _, v in piece or []]), ([size(v) for _, v in piece or []]))]
+        for t, a, b in runs.add(*cols, last=piece is None):
+            if b is None:
+                often |= set(zip(t.tolist(), a.tolist()))
+            else:
+                pairs |= set(zip(t.tolist(), a.tolist(), b.tolist()))
+    nodes = defaultdict(set)
+    for t, v in rows:
+        nodes[t].add(v)
+    for t, vs in nodes.items():
+        if len(vs) > jaccard.RARE:
+            assert {v for u, v in often if u == t} == vs and not [p for p in pairs if p[0] == t]
+        else:
+            want = {(t, a, b) for a in vs for b in vs if a < b and 100 * size(a) >= 90 * size(b)}
+            assert {p for p in pairs if p[0] == t} == want and not [v for u, v in often if u == t]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.sets(st.integers(0, 60)), st.sets(st.integers(0, 60)), st.sampled_from([50, 80, 90, 100]))
 def test_filters_are_exact(x, y, num):
