@@ -54,7 +54,7 @@ def align_to_targets(samples: DataFrame, start, dt, lo: int, hi: int, keys: Sequ
     g = F.floor((F.col("ts") - _col(start)) / _col(dt) + F.lit(eps))
     last = samples.groupBy(*keys).agg(
         F.max(g).alias("__g"), F.max_by(F.struct(*[c for c in samples.columns if c not in keys]), "frame_idx").alias("__r"))
-    tail = explode_range(last, F.greatest(F.col("__g") + 1, F.lit(lo)), F.lit(hi), "bucket")
+    tail = explode_range(last, F.greatest(F.col("__g") + 1, F.lit(lo)), F.lit(hi), "bucket", spread=True)
     return got.unionByName(tail.select(*keys, "__r.*", "bucket"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from episodica.functions import rotation as R
 from episodica.operators.align import bracket, grid_params
-from episodica.plans.ordered import halo, number_rows, prefix
+from episodica.plans.ordered import halo, join_same, number_rows, prefix
 
 WIDTH = {"rotvec": 3, "quat": 4, "euler": 3, "mat": 9, "rot6d": 6}
 
@@ -186,15 +186,18 @@ def _undelta(df, delta, base, out, keys, idx):
     specs = {f"__s{i}": ("sum", F.get(delta, F.lit(i))) for i in range(3)}
     d = prefix(df, keys, idx, specs)
     d = d.withColumn("__rq", R.pack(R.rotvec_to_quat(R.comps(delta, 3, 3))))
-    # ordered quaternions of one chunk: its horizon bounds the list
+    # running products of one chunk, folded once; its horizon bounds the list
     order = d.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"), F.col("__rq").alias("q")))).alias("__l"))
-    d = d.join(order, keys).withColumn("__b", R.pack(R.rotvec_to_quat(R.comps(base, 3, 3))))
-    step = R.array_sql(R.quat_mul(R.comps("e.q", 4), R.comps("acc", 4)))
-    d = d.withColumn("__c", F.expr(f"aggregate(filter(__l, e -> e.i <= {idx}), __b, (acc, e) -> {step})"))
+    step = R.array_sql(R.quat_mul(R.comps("e.q", 4), R.comps("element_at(acc, -1)", 4)))
+    run = f"aggregate(slice(__l, 2, size(__l)), array(__l[0].q), (acc, e) -> concat(acc, array({step})))"
+    order = order.select(*keys, F.col("__l.i").alias("__i"), F.expr(run).alias("__l"))
+    d = join_same(d, order, keys).withColumn("__b", R.pack(R.rotvec_to_quat(R.comps(base, 3, 3))))
+    d = d.withColumn("__q", F.element_at("__l", F.array_position("__i", F.col(idx)).cast("int")))
+    d = d.withColumn("__c", R.pack(R.quat_mul(R.comps("__q", 4), R.comps("__b", 4))))
     d = d.withColumn("__c", R.pack(R.canonical(R.comps("__c", 4))))
     pos = R.vadd([R.Term(f"__s{i}") for i in range(3)], R.comps(base, 3))
     return d.withColumn(out, R.pack([*pos, *R.quat_to_rotvec(R.comps("__c", 4))])).drop(
-        "__rq", "__l", "__b", "__c", *specs)
+        "__rq", "__l", "__i", "__q", "__b", "__c", *specs)
 
 
 def _finite(c: Column) -> Column:

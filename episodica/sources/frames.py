@@ -53,7 +53,8 @@ def scan_frames(spark: SparkSession, catalog: DataFrame, schema: StructType | st
     for e in entries:
         by_path.setdefault(e.path, []).append(e.name)
     for path, names in by_path.items():
-        reader = spark.read.schema(schema) if schema is not None else spark.read
+        # without a schema the columns of all files count, not those of one
+        reader = spark.read.schema(schema) if schema is not None else spark.read.option("mergeSchema", "true")
         d = reader.option("recursiveFileLookup", "false").parquet(path)
         d = d.withColumn("source_file", F.col("_metadata.file_path"))
         d = d.drop("domain") if "domain" in d.columns else d
