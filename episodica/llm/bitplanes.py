@@ -39,10 +39,10 @@ MAGIC = b"IDPLANE1"
 CHUNK_IDS = 1 << 16
 
 #: text bytes that go to one file
-FILE_BYTES = 32 << 20
+FILE_BYTES = 64 << 20
 
-#: words of which a worker remembers the ids, and the longest it remembers
-CACHED_WORDS = 600_000
+#: words of which an encoder remembers the ids, and the longest it remembers
+CACHED_WORDS = 500_000
 CACHED_CHARS = 40
 
 
@@ -181,7 +181,7 @@ class PlaneReader:
 
 
 # ---------------------------------------------------------------- tokens
-_WORDS: dict[str, tuple] = {}
+_TOKENIZERS: dict[str, object] = {}
 
 #: text bytes that are split into words at once
 SLICE_BYTES = 16 << 20
@@ -204,8 +204,9 @@ def word_encoder(tokenizer_file: str):
 
     For tokenizers that split at white space and drop it, so that a text's ids
     are the ids of its words: words are cut at ASCII white space and made a
-    dictionary by Arrow; only words that are new to the worker, which remembers
-    CACHED_WORDS of them, go through the tokenizer.
+    dictionary by Arrow; only words that are new to the encoder, which remembers
+    CACHED_WORDS of them, go through the tokenizer.  The words go with the encoder
+    (a task's), so later stages have the memory.
     """
     import os
 
@@ -213,12 +214,12 @@ def word_encoder(tokenizer_file: str):
     import pyarrow.compute as pc
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if tokenizer_file not in _WORDS:
+    if tokenizer_file not in _TOKENIZERS:
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(tokenizer_file)
-        _WORDS[tokenizer_file] = (tok, {"": b""}, "H" if tok.get_vocab_size() <= 1 << 16 else "I")
-    tok, known, code = _WORDS[tokenizer_file]
+        _TOKENIZERS[tokenizer_file] = Tokenizer.from_file(tokenizer_file)
+    tok, known = _TOKENIZERS[tokenizer_file], {"": b""}
+    code = "H" if tok.get_vocab_size() <= 1 << 16 else "I"
     dtype = np.dtype("<u2" if code == "H" else "<u4")
 
     def look(words: list[str]) -> list[bytes]:
