@@ -42,6 +42,25 @@ def catalog(spark, sf):
     return C.resolve_catalog(entries(spark, sf))
 
 
+@query("a1_catalog_round_trip", f"""SELECT CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS BIGINT) AS config_index, n_name AS name,
+  '/data/r' || CAST(n_regionkey AS VARCHAR) || '/set' || CAST(n_nationkey AS VARCHAR) AS path, {sql_rnd('0.1 + n_nationkey / 100.0')} AS ratio,
+  'N' || CAST(n_regionkey AS VARCHAR) AS norm_domain FROM nation""")
+def a1_round_trip(spark, sf):
+    """One catalog file per region, written and read again."""
+    n = table(spark, sf, "nation")
+    rows = n.select(
+        "n_regionkey", F.col("n_nationkey").alias("config_index"), F.col("n_name").alias("name"),
+        F.concat(F.lit("/data/r"), F.col("n_regionkey").cast("string"), F.lit("/set"), F.col("n_nationkey").cast("string")).alias("path"),
+        (F.lit(0.1) + F.col("n_nationkey") / 100.0).alias("use_trajectory_ratio"),
+        F.concat(F.lit("N"), F.col("n_regionkey").cast("string")).alias("norm_domain"))
+    root, back = scratch_path(spark, "catalog-files"), None
+    for r in table(spark, sf, "region").select("r_regionkey").collect():
+        C.write_catalog(rows.where(F.col("n_regionkey") == r.r_regionkey).drop("n_regionkey"), f"{root}/{r.r_regionkey}", 0.5)
+        one = C.read_catalog(spark, f"{root}/{r.r_regionkey}")
+        back = one if back is None else back.unionByName(one)
+    return back.select("config_index", "name", "path", rnd(F.col("use_trajectory_ratio")).alias("ratio"), "norm_domain")
+
+
 @query("a1_read_catalog", f"WITH {CATALOG} SELECT config_index, name, path, {sql_rnd('use_trajectory_ratio')} AS ratio, norm_domain FROM catalog")
 def a1(spark, sf):
     path = scratch_path(spark, "catalogs")
