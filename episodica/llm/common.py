@@ -31,7 +31,7 @@ def require(df: DataFrame, *names: str) -> None:
 
 
 #: bytes of texts that reach a Python worker at once
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 #: where this checkout's packages live, for Python workers that share its disk
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from episodica.llm.common import require
 from episodica.plans.small import keep
@@ -157,17 +157,13 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, steps: int = 500) -> tup
     return post, rates
 
 
-def _posterior(spark, counted: DataFrame) -> Column:
-    """A column expression: posterior of the pattern, from all documents' counts."""
+def _with_posterior(d: DataFrame, counted: DataFrame) -> DataFrame:
+    """``d`` with the posterior of its ``pattern``, from all documents' counts."""
     rows = counted.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("pattern")
     post, _ = fit_votes(rows["pattern"].to_numpy(), rows["n"].to_numpy())
-    table = {int(p): float(x) for p, x in zip(rows["pattern"], post)}
-
-    @F.pandas_udf(T.DoubleType())
-    def look(pattern: pd.Series) -> pd.Series:
-        return pattern.map(table).astype(float)
-
-    return look(F.col("pattern"))
+    table = [(int(p), float(x)) for p, x in zip(rows["pattern"], post)]
+    # at most 3 ** len(RULES) rows of two numbers
+    return d.join(F.broadcast(d.sparkSession.createDataFrame(table, "pattern int, posterior double")), "pattern", "left")
 
 
 def _judged(d: DataFrame, threshold: float) -> DataFrame:
@@ -187,7 +183,7 @@ def judge_quality(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id
     require(docs, id_col, text_col)
     d = docs.select(F.col(id_col).alias("__id"), _measures(F.col(text_col)).alias("m")).select("__id", "m.*")
     d = keep(d, "quality")
-    d = _judged(d.withColumn("posterior", _posterior(docs.sparkSession, d)), threshold)
+    d = _judged(_with_posterior(d, d), threshold)
     return d.select(F.col("__id").alias(id_col), *BASE, "posterior", "base_failed", "kept")
 
 
@@ -197,5 +193,4 @@ def quality_filter(docs: DataFrame, threshold: float = 0.5, text_col: str = "tex
     Reads the texts twice (counts, then verdicts) and never shuffles them.
     """
     measured = docs.select(F.struct(*docs.columns).alias("__d"), _measures(F.col(text_col)).alias("__m")).select("__d", "__m.*")
-    posterior = _posterior(docs.sparkSession, measured.select("pattern"))
-    return _judged(measured.withColumn("posterior", posterior), threshold).where("kept").select("__d.*")
+    return _judged(_with_posterior(measured, measured.select("pattern")), threshold).where("kept").select("__d.*")
