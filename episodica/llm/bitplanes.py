@@ -43,6 +43,7 @@ FILE_BYTES = 64 << 20
 
 #: words of which an encoder remembers the ids, and the longest it remembers
 CACHED_WORDS = 500_000
+COMMON_WORDS = 120_000
 CACHED_CHARS = 40
 
 
@@ -205,8 +206,8 @@ def word_encoder(tokenizer_file: str):
     For tokenizers that split at white space and drop it, so that a text's ids
     are the ids of its words: words are cut at ASCII white space and made a
     dictionary by Arrow; only words that are new to the encoder, which remembers
-    CACHED_WORDS of them, go through the tokenizer.  The words go with the encoder
-    (a task's), so later stages have the memory.
+    CACHED_WORDS of them, go through the tokenizer.  All but the COMMON_WORDS met
+    first by the worker go with the encoder (a task's), so later stages have the memory.
     """
     import os
 
@@ -217,8 +218,9 @@ def word_encoder(tokenizer_file: str):
     if tokenizer_file not in _TOKENIZERS:
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[tokenizer_file] = Tokenizer.from_file(tokenizer_file)
-    tok, known = _TOKENIZERS[tokenizer_file], {"": b""}
+        _TOKENIZERS[tokenizer_file] = (Tokenizer.from_file(tokenizer_file), {"": b""})
+    tok, common = _TOKENIZERS[tokenizer_file]
+    known = dict(common)
     code = "H" if tok.get_vocab_size() <= 1 << 16 else "I"
     dtype = np.dtype("<u2" if code == "H" else "<u4")
 
@@ -235,6 +237,8 @@ def word_encoder(tokenizer_file: str):
         for w in new[: max(0, CACHED_WORDS - len(known))]:
             if len(w) <= CACHED_CHARS:
                 known[w] = coded[w]
+                if len(common) < COMMON_WORDS:
+                    common[w] = coded[w]
         for i, (core, mark) in zip(missed, cut):
             ids = known[core] if core in known else coded[core]
             parts[i] = ids + (known[mark] if mark in known else coded[mark]) if mark else ids
