@@ -17,34 +17,38 @@ from episodica.llm.wu_manber import drop_contaminated
 from episodica.plans.small import keep
 
 
+#: the same Python workers serve all stages beside a JVM that has grown, so they get small batches
+BATCH_BYTES = 4 << 20
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised rules keep."""
-    prepare(spark)
+    prepare(spark, BATCH_BYTES)
     return quality_filter(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at a similarity of 0.8."""
-    prepare(spark)
+    prepare(spark, BATCH_BYTES)
     return one_of_each(docs, 5, 80, 100)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any ten-word window of the benchmark."""
-    prepare(spark)
+    prepare(spark, BATCH_BYTES)
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 10)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: every document as often as its source's target asks for."""
-    prepare(spark)
+    prepare(spark, BATCH_BYTES)
     return mixed_documents(docs, (5.0, 2.0, 1.0), 3.0)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in compressed planes, read back: doc_id, start, n_tokens, ids_crc32."""
-    prepare(spark)
-    return token_table(spark, docs, word_tokenizer(), end_id=1)
+    prepare(spark, BATCH_BYTES)
+    return token_table(spark, docs, word_tokenizer(), end_id=1, cached_words=150_000)
 
 
 STAGES = [

@@ -43,7 +43,7 @@ FILE_BYTES = 64 << 20
 
 #: words of which an encoder remembers the ids, and the longest it remembers
 CACHED_WORDS = 500_000
-COMMON_WORDS = 120_000
+COMMON_WORDS = 60_000
 CACHED_CHARS = 40
 
 
@@ -200,13 +200,13 @@ def _core(word: str) -> tuple[str, str]:
     return (core.lower() if core.isascii() else core), word[len(core) :]
 
 
-def word_encoder(tokenizer_file: str):
+def word_encoder(tokenizer_file: str, cached_words: int = CACHED_WORDS):
     """Arrow string array -> (uint32 ids of all texts, number of ids of each text).
 
     For tokenizers that split at white space and drop it, so that a text's ids
     are the ids of its words: words are cut at ASCII white space and made a
     dictionary by Arrow; only words that are new to the encoder, which remembers
-    CACHED_WORDS of them, go through the tokenizer.  All but the COMMON_WORDS met
+    ``cached_words`` of them, go through the tokenizer.  All but the COMMON_WORDS met
     first by the worker go with the encoder (a task's), so later stages have the memory.
     """
     import os
@@ -234,7 +234,7 @@ def word_encoder(tokenizer_file: str):
             part = new[k : k + 10_000]
             for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False)):
                 coded[w] = array(code, e.ids).tobytes()
-        for w in new[: max(0, CACHED_WORDS - len(known))]:
+        for w in new[: max(0, cached_words - len(known))]:
             if len(w) <= CACHED_CHARS:
                 known[w] = coded[w]
                 if len(common) < COMMON_WORDS:
@@ -297,6 +297,7 @@ def write_ids(
     chunk_ids: int = CHUNK_IDS,
     file_bytes: int = FILE_BYTES,
     level: int = 3,
+    cached_words: int = CACHED_WORDS,
 ) -> DataFrame:
     """Encode every text, append ``end_id`` and write the files below ``path``.
 
@@ -314,7 +315,7 @@ def write_ids(
     def write(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encode, out, name = word_encoder(tokenizer_file), None, f"{root}/ids-{uuid.uuid4().hex}.planes"
+        encode, out, name = word_encoder(tokenizer_file, cached_words), None, f"{root}/ids-{uuid.uuid4().hex}.planes"
         rows = 0
         for batch in batches:
             for part in _slices(batch):

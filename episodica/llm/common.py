@@ -41,7 +41,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 ALLOCATOR = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "MALLOC_ARENA_MAX": "2"}
 
 
-def prepare(spark: SparkSession) -> SparkSession:
+def prepare(spark: SparkSession, batch_bytes: int = BATCH_BYTES) -> SparkSession:
     """Session settings of the operators with Python stages: small Arrow batches, allocator, the packages' folder."""
     env = spark.sparkContext.environment
     for name, value in ALLOCATOR.items():
@@ -50,6 +50,6 @@ def prepare(spark: SparkSession) -> SparkSession:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))
     setting = "spark.sql.execution.arrow.maxBytesPerBatch"
     # a session that chose its own limit keeps it
-    if spark.conf.get(setting) == "67108864b":
-        spark.conf.set(setting, f"{BATCH_BYTES}b")
+    if spark.conf.get(setting) in ("67108864b", f"{BATCH_BYTES}b"):
+        spark.conf.set(setting, f"{batch_bytes}b")
     return spark

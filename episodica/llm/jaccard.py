@@ -177,7 +177,7 @@ def _first_pass(d: DataFrame, n: int, buckets: int) -> DataFrame:
         import zstandard
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        schema, counts = to_arrow_schema(_FIRST), np.zeros(2 * buckets, dtype=np.uint32)
+        schema, counts = to_arrow_schema(_FIRST), np.zeros(2 * buckets, dtype=np.uint16)
         for batch in batches:
             for part in _slices(batch, "text"):
                 sizes, nodes, held = [], [], []
@@ -187,7 +187,8 @@ def _first_pass(d: DataFrame, n: int, buckets: int) -> DataFrame:
                     held.append(s)
                 for at in counters(np.concatenate(held), buckets):
                     places, seen = np.unique(at, return_counts=True)
-                    counts[places] += seen.astype(np.uint32)
+                    # a task's counts stop at 65,535: only ranks come of them
+                    counts[places] = np.minimum(counts[places] + seen, 65_535)
                 none = [None] * len(sizes)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), part.column("tk"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
@@ -215,7 +216,7 @@ def _count_ranks(first: DataFrame, buckets: int) -> np.ndarray:
 
         for batch in batches:
             for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
-                part = np.frombuffer(z.decompress(data), dtype=np.uint32)
+                part = np.frombuffer(z.decompress(data), dtype=np.uint16)
                 if chunk != now:
                     if now is not None:
                         yield out()
