@@ -388,3 +388,12 @@ def test_lines_of_hard_rows(messy, messy_rows, empty):
     assert len(out) == len(messy_rows) and out["text"].isna().sum() == sum(r[1] is None for r in messy_rows)
     assert out[out["doc_id"] == 9]["n_removed"].eq(0).all()
     assert line_windows.drop_repeated_lines(empty).count() == 0
+
+
+def test_copies_of_one_or_two_lines_go(llm):
+    rows = [(1, "a\nb"), (2, "\na\n \nb"), (3, "a"), (4, "a"), (5, "b\na"), (6, "a\nb\nc"), (7, "a\nb\nc"), (8, ""), (9, ""), (10, "\n")]
+    d = llm.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_windows.drop_repeated_lines(d).collect()}
+    assert got == {i: (t, 0) for i, t in rows} | {2: ("\n ", 2), 4: ("", 1), 7: ("", 3)}
+    kept = {r["doc_id"]: r["n_removed"] for r in line_windows.drop_repeated_lines(d, short=False).collect()}
+    assert kept == {i: 3 if i == 7 else 0 for i, _ in rows}
