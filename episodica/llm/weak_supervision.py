@@ -86,7 +86,9 @@ def measure(text: str | None) -> tuple[list[int], dict[str, float]]:
     h = np.fromiter(map(hash, words), dtype=np.int64, count=n).astype(np.uint64)
     repeated = repeat_cover(h)
     size = min(n, 100)
-    block = np.sort(h[: n // size * size].reshape(-1, size), axis=1)
+    # the last block overlaps the one before, so that every word counts
+    whole, last = h[: n // size * size].reshape(-1, size), h[n - size :].reshape(1, size)
+    block = np.sort(np.concatenate([whole, last]) if n % size else whole, axis=1)
     variety = (1 + (block[:, 1:] != block[:, :-1]).sum(axis=1)).mean() / size
     solid = len(raw) - sum(raw.count(bytes([c])) for c in _SPACE)
     letters = len(raw) - len(raw.translate(None, _LETTERS))

@@ -177,6 +177,13 @@ def test_measures(parts):
     assert tuple(weak_supervision.measure(t)[0]) == brute_base(t)
 
 
+@pytest.mark.parametrize("n,want", [(99, 1.0), (100, 1.0), (199, (1 + 0.02) / 2), (200, (1 + 0.01) / 2), (250, (1 + 0.01 + 0.01) / 3)])
+def test_variety_sees_every_word(n, want):
+    # a hundred different words, then one over and over
+    t = " ".join([f"w{i}" for i in range(min(n, 100))] + ["same"] * (n - 100))
+    assert weak_supervision.measure(t)[1]["variety"] == pytest.approx(want)
+
+
 def test_em_finds_the_bad_class():
     rng = np.random.default_rng(1)
     good = rng.random(20_000) < 0.8
