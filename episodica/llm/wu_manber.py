@@ -78,12 +78,13 @@ class Matcher:
             i += 1
 
 
-def build(items: Iterable[tuple[str, list[bytes]]], window: int) -> list[Matcher]:
+def build(items: Iterable[tuple[str | None, list[bytes]]], window: int) -> list[Matcher]:
+    """Tables of all windows; those of an item without an id name no item."""
     by_length: dict[int, dict[tuple[bytes, ...], list[str]]] = {}
     for item, ws in items:
         for p in windows(ws, window):
             names = by_length.setdefault(len(p), {}).setdefault(p, [])
-            if item not in names:
+            if item is not None and item not in names:
                 names.append(item)
     return [Matcher(m, ps) for m, ps in sorted(by_length.items())]
 
@@ -125,15 +126,17 @@ def _searcher(matchers: list[Matcher]):
 
 
 def _blocks(benchmark: DataFrame, window: int, block_windows: int) -> Iterator[list[Matcher]]:
-    held, n = [], 0
-    for row in benchmark.where(F.col("id").isNotNull()).toLocalIterator():
+    held, n, some = [], 0, False
+    for row in benchmark.toLocalIterator():
         ws = words(row["text"])
-        held.append((row["id"], ws))
-        n += max(1, len(ws) - window + 1) if ws else 0
+        if ws:
+            held.append((row["id"], ws))
+            n += max(1, len(ws) - window + 1)
         if n >= block_windows:
             yield build(held, window)
-            held, n = [], 0
-    if n or not held:
+            held, n, some = [], 0, True
+    # a benchmark without words is one empty block
+    if n or not some:
         yield build(held, window)
 
 
@@ -163,8 +166,9 @@ def find_benchmark(
 
     ``spans`` are word ranges hit by windows, ``items`` the sorted ids (as strings)
     of items with occurring windows.  Null and empty texts have no words and no
-    hits; items without words or without an id match nothing; items that repeat
-    count once; an empty benchmark leaves every document clean.
+    hits; items without words match nothing; windows of items without an id are
+    hits that name no item; items that repeat count once; a benchmark without rows
+    or words leaves every document clean.
     """
     require(docs, text_col)
     require(benchmark, item_col, item_text)

@@ -259,6 +259,20 @@ def test_empty_benchmark_and_documents(llm, messy, empty):
     assert wu_manber.find_benchmark(empty, llm.createDataFrame(ITEMS, "item_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("block", [1, 1000])
+def test_items_without_an_id_are_searched(llm, block):
+    bench = llm.createDataFrame([(None, "q Q"), (None, "r s"), (7, "r s"), (None, None)], "item_id long, text string")
+    d = llm.createDataFrame([(1, "a q q"), (2, "r s"), (3, "a b"), (4, None)], "doc_id long, text string")
+    got = wu_manber.find_benchmark(d, bench, 10, block_windows=block).select("doc.doc_id", "n_hit", "items").collect()
+    assert {r["doc_id"]: (r["n_hit"], r["items"]) for r in got} == {1: (2, []), 2: (2, ["7"]), 3: (0, []), 4: (0, [])}
+    assert {r["doc_id"] for r in wu_manber.drop_contaminated(d, bench).collect()} == {3, 4}
+
+
+def test_benchmark_without_words(llm, messy):
+    bench = llm.createDataFrame([(1, None), (2, ""), (3, " !! "), (None, None)], "item_id long, text string")
+    assert wu_manber.drop_contaminated(messy, bench).count() == messy.count()
+
+
 # ---------------------------------------------------------------- Jaccard
 def brute_sets(rows, n):
     out = []
