@@ -96,6 +96,19 @@ def test_template_lines_go_and_copies_stay(llm):
     assert page_diff.extract_text(d.limit(0)).count() == 0
 
 
+def test_runs_of_copies_and_articles_as_neighbours_lose_the_template(llm):
+    site, foot = "Site of things", "All rights reserved"
+    text = "A long and singular sentence that fills the page with words about {} alone"
+    plain = lambda t: f"<div>{site}</div><p>{text.format(t)}</p><div>{foot}</div>"
+    rows = [(i, f"http://x.org/{i}", plain("copies")) for i in range(5)] + [(5, "http://x.org/1x", ""), (6, "http://x.org/9", plain("others"))]
+    # the only neighbour has its text in an article
+    rows += [(10, "http://y.org/1", plain("one")), (11, "http://y.org/2", f"<div>{site}</div><article>{text.format('two')}</article><div>{foot}</div>")]
+    d = llm.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in page_diff.extract_text(d).collect()}
+    want = {i: text.format("copies") for i in range(5)} | {5: "", 6: text.format("others"), 10: text.format("one"), 11: text.format("two")}
+    assert got == want
+
+
 def test_given_pages_give_their_articles(llm, sf):
     docs = {r["doc_id"]: r["text"] for r in llm.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet").collect()}
     pages = llm.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/pages.parquet")
