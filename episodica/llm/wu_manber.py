@@ -11,18 +11,23 @@ shorter item is one window of its own length).  For each pattern length m:
 * a direct comparison of the words confirms an occurrence.
 
 The benchmark is a stated set of queries: it is read in blocks of ``block_windows``
-windows, each block is searched in the whole of every document, and the documents
-are never shuffled.
+windows at most, and each block is searched in the whole of every document.  A
+benchmark of one block is searched in one projection.  With more, each block has a
+pass of its own, which writes the spans it finds by text, so that plan and workers
+hold one block at a time and the driver three at most; the spans meet the documents
+in a join.  Tables are built from the patterns in the tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from episodica.llm.common import require
+from episodica.plans.small import keep, lookup
 
 #: windows in one set of search tables
 BLOCK_WINDOWS = 200_000
@@ -112,32 +117,57 @@ _FOUND = T.StructType([
 ])
 
 
-def _searcher(matchers: list[Matcher]):
+def _searcher(block: list[tuple[str | None, list[bytes]]], window: int):
     @F.pandas_udf(_FOUND)
-    def search(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            w = words(t)
-            spans, items = find(w, matchers)
-            rows.append((len(w), [{"start": a, "stop": b} for a, b in spans], items))
-        return pd.DataFrame(rows, columns=["n_words", "spans", "items"])
+    def search(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        matchers = build(block, window)
+        for texts in batches:
+            rows = []
+            for t in texts:
+                w = words(t)
+                spans, items = find(w, matchers)
+                rows.append((len(w), [{"start": a, "stop": b} for a, b in spans], items))
+            yield pd.DataFrame(rows, columns=["n_words", "spans", "items"])
 
     return search
 
 
-def _blocks(benchmark: DataFrame, window: int, block_windows: int) -> Iterator[list[Matcher]]:
+def _blocks(benchmark: DataFrame, window: int, block_windows: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
+    """Items with at most ``block_windows`` windows together; a longer item is cut, its parts sharing no window."""
     held, n, some = [], 0, False
     for row in benchmark.toLocalIterator():
-        ws = words(row["text"])
-        if ws:
-            held.append((row["id"], ws))
-            n += max(1, len(ws) - window + 1)
-        if n >= block_windows:
-            yield build(held, window)
-            held, n, some = [], 0, True
+        ws, at = words(row["text"]), 0
+        left = max(1, len(ws) - window + 1) if ws else 0
+        while left:
+            take = min(left, block_windows - n)
+            held.append((row["id"], ws[at : at + take + window - 1]))
+            at, left, n = at + take, left - take, n + take
+            if n == block_windows:
+                yield held
+                held, n, some = [], 0, True
     # a benchmark without words is one empty block
     if n or not some:
-        yield build(held, window)
+        yield held
+
+
+@F.pandas_udf(T.LongType())
+def _count_words(texts: pd.Series) -> pd.Series:
+    return pd.Series([len(words(t)) for t in texts], dtype="int64")
+
+
+def _pass_by_pass(d: DataFrame, blocks: Iterator[list[tuple[str | None, list[bytes]]]], window: int) -> DataFrame:
+    """``d`` (doc, __text) with the spans of all blocks, one written pass for each."""
+    key = [F.xxhash64(F.lit(seed), "__text").alias(f"__k{seed}") for seed in (1, 2)]
+    hits = None
+    for block in blocks:
+        f = d.select(*key, _searcher(block, window)(F.col("__text")).alias("f")).where(F.size("f.spans") > 0)
+        # equal texts have equal hits
+        one = keep(f.groupBy("__k1", "__k2").agg(F.first("f").alias("f")), "benchmark-pass")
+        hits = one if hits is None else hits.union(one)
+    hits = hits.groupBy("__k1", "__k2").agg(F.flatten(F.collect_list("f.spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("f.items"))).alias("items"))
+    d = d.select("doc", _count_words(F.col("__text")).alias("n_words"), *key).join(lookup(hits, 20_000), ["__k1", "__k2"], "left")
+    none = [F.coalesce(c, F.array().cast(_FOUND[c].dataType)).alias(c) for c in ("spans", "items")]
+    return d.select("doc", "n_words", *none)
 
 
 def _union(spans: Column) -> Column:
@@ -173,17 +203,14 @@ def find_benchmark(
     require(docs, text_col)
     require(benchmark, item_col, item_text)
     d = docs.select(F.struct(*docs.columns).alias("doc"), F.col(text_col).alias("__text"))
-    found = []
     stated = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(item_text).alias("text"))
-    for k, matchers in enumerate(_blocks(stated, window, block_windows)):
-        d = d.withColumn(f"__f{k}", _searcher(matchers)(F.col("__text")))
-        found.append(F.col(f"__f{k}"))
-    one = len(found) == 1
-    spans = found[0]["spans"] if one else F.flatten(F.array(*[f["spans"] for f in found]))
-    items = found[0]["items"] if one else F.array_distinct(F.flatten(F.array(*[f["items"] for f in found])))
-    return d.select(
-        "doc", found[0]["n_words"].alias("n_words"), _union(spans).alias("n_hit"), spans.alias("spans"), F.array_sort(items).alias("items")
-    )
+    blocks = _blocks(stated, window, max(1, block_windows))
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        d = d.select("doc", _searcher(first, window)(F.col("__text")).alias("f")).select("doc", "f.*")
+    else:
+        d = _pass_by_pass(d, chain([first, second], blocks), window)
+    return d.select("doc", "n_words", _union(F.col("spans")).alias("n_hit"), "spans", F.array_sort("items").alias("items"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:

@@ -268,6 +268,20 @@ def test_items_without_an_id_are_searched(llm, block):
     assert {r["doc_id"] for r in wu_manber.drop_contaminated(d, bench).collect()} == {3, 4}
 
 
+def test_blocks_are_bounded_and_searched_one_by_one(llm):
+    text = " ".join(f"w{i}" for i in range(40))
+    bench = llm.createDataFrame([(1, text), (2, "solo"), (None, "q q")], "item_id long, text string")
+    stated = bench.selectExpr("cast(item_id as string) as id", "text")
+    sizes = [sum(max(1, len(ws) - 9) for _, ws in b) for b in wu_manber._blocks(stated, 10, 7)]
+    assert max(sizes) <= 7 and sum(sizes) == 33
+    d = llm.createDataFrame([(1, text), (1, text), (2, "solo q q"), (3, None), (4, "w1 w2")], "doc_id long, text string")
+    many, one = (wu_manber.find_benchmark(d, bench, 10, block_windows=n) for n in (7, 1000))
+    plain = lambda x: sorted((r["doc"]["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in x.collect())
+    assert plain(many) == plain(one) == [(1, 40, 40, ["1"]), (1, 40, 40, ["1"]), (2, 3, 3, ["2"]), (3, 0, 0, []), (4, 2, 0, [])]
+    # each block was searched in a pass of its own, so none is left in the plan
+    assert many._jdf.queryExecution().toString().count("search(") == 0
+
+
 def test_benchmark_without_words(llm, messy):
     bench = llm.createDataFrame([(1, None), (2, ""), (3, " !! "), (None, None)], "item_id long, text string")
     assert wu_manber.drop_contaminated(messy, bench).count() == messy.count()
