@@ -12,6 +12,7 @@ from episodica.llm.jaccard import jaccard_components
 from episodica.llm.language_id import LANGUAGES, fit_trigrams, identify
 from episodica.llm.line_windows import drop_repeated_lines
 from episodica.llm.page_diff import extract_text
+from episodica.llm.piece_bpe import piece_model, piece_round_trip
 from episodica.llm.url_reputation import judge_urls, url_path
 from episodica.llm.weak_supervision import judge_quality
 from episodica.llm.wu_manber import find_benchmark
@@ -201,3 +202,13 @@ LEFT JOIN c ON d.doc_id = c.doc_id
 @query("op3_jaccard_orders", JACCARD_SQL)
 def op3_jaccard_orders(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_components(table(spark, sf, "documents"), 3, 90, 100).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op11_piece_bpe")
+def op11_piece_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    coded = piece_round_trip(table(spark, sf, "documents"), piece_model())
+    digits = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
