@@ -11,6 +11,7 @@ from episodica.llm.entropy_mix import mix_copies
 from episodica.llm.jaccard import jaccard_components
 from episodica.llm.language_id import LANGUAGES, fit_trigrams, identify
 from episodica.llm.line_windows import drop_repeated_lines
+from episodica.llm.merkle import fold, leaf_hash, manifest, proof_text, sha
 from episodica.llm.page_diff import extract_text
 from episodica.llm.piece_bpe import piece_model, piece_round_trip
 from episodica.llm.url_reputation import judge_urls, url_path
@@ -212,3 +213,66 @@ def op11_piece_bpe(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits.cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+MERKLE_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def _sql_leaf(text: str) -> str:
+    values = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+    return "sha256(" + " || ".join(f"CASE WHEN {v} IS NULL THEN '-' ELSE CAST(strlen({v}) AS VARCHAR) || ':' || {v} END" for v in values) + ")"
+
+
+#: levels are lists, one row per source and level; crc32 takes its digits through eight shifts each
+MERKLE_SQL = f"""
+WITH RECURSIVE
+digits(doc_id, s, c) AS (
+  SELECT DISTINCT doc_id, CAST(doc_id AS VARCHAR), CAST(4294967295 AS BIGINT) FROM documents
+  UNION ALL
+  SELECT doc_id, s[2:], list_reduce(range(1, 9), lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END), xor(c, CAST(ascii(s[1]) AS BIGINT)))
+  FROM digits WHERE s <> ''),
+leaf AS (
+  SELECT doc_id, source, {_sql_leaf("text")} AS leaf, c & 1 = 1 AS tampered,
+    {_sql_leaf("replace(text, chr(10), '')")} AS other,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos
+  FROM documents JOIN digits USING (doc_id) WHERE s = ''),
+lv(source, h, nodes) AS (
+  SELECT source, 0, list(leaf ORDER BY doc_id) FROM leaf GROUP BY source
+  UNION ALL
+  SELECT source, h + 1, list_transform(range(0, (len(nodes) + 2) // 3), lambda i: sha256(array_to_string(nodes[3 * i + 1 : 3 * i + 3], '')))
+  FROM lv WHERE len(nodes) > 1),
+top AS (SELECT source, nodes[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos FROM lv WHERE len(nodes) = 1),
+tv(h, nodes) AS (
+  SELECT 0, list(subroot ORDER BY pos) FROM top
+  UNION ALL
+  SELECT h + 1, list_transform(range(0, (len(nodes) + 2) // 3), lambda i: sha256(array_to_string(nodes[3 * i + 1 : 3 * i + 3], '')))
+  FROM tv WHERE len(nodes) > 1),
+places AS (
+  SELECT doc_id, h AS k, nodes, pos // CAST(pow(3, h) AS BIGINT) AS p FROM leaf JOIN lv ON leaf.source IS NOT DISTINCT FROM lv.source WHERE len(nodes) > 1
+  UNION ALL
+  SELECT doc_id, 1000 + h, nodes, top.pos // CAST(pow(3, h) AS BIGINT) FROM leaf JOIN top ON leaf.source IS NOT DISTINCT FROM top.source, tv WHERE len(nodes) > 1),
+steps AS (
+  SELECT doc_id, k, array_to_string(nodes[p // 3 * 3 + 1 : p], '') AS l, array_to_string(nodes[p + 2 : p // 3 * 3 + 3], '') AS r FROM places),
+paths AS (SELECT doc_id, list(l ORDER BY k) AS l, list(r ORDER BY k) AS r, string_agg(l || r, '' ORDER BY k) AS proof FROM steps GROUP BY doc_id),
+folded(doc_id, i, cur, l, r) AS (
+  SELECT doc_id, 1, CASE WHEN tampered THEN other ELSE leaf END, coalesce(l, []), coalesce(r, []) FROM leaf LEFT JOIN paths USING (doc_id)
+  UNION ALL
+  SELECT doc_id, i + 1, sha256(l[i] || cur || r[i]), l, r FROM folded WHERE i <= len(l))
+SELECT leaf.doc_id, leaf, subroot, tv.nodes[1] AS root, sha256(coalesce(proof, '')) AS proof_sha256, cur AS folded_root, cur = tv.nodes[1] AS verified
+FROM leaf JOIN top ON leaf.source IS NOT DISTINCT FROM top.source LEFT JOIN paths ON leaf.doc_id = paths.doc_id
+JOIN folded ON leaf.doc_id = folded.doc_id AND i = len(folded.l) + 1, tv WHERE len(tv.nodes) = 1
+"""
+
+
+@query("op13_merkle_manifest", MERKLE_SQL)
+def op13_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    # where 2 divides the crc32 of the id, someone has deleted the line ends
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    other = leaf_hash([F.col(c) if c != "text" else F.replace(F.col(c), F.lit("\n"), F.lit("")) for c in MERKLE_FIELDS])
+    made = manifest(docs, MERKLE_FIELDS, also={"tampered": F.when(touched, other)})
+    out = made.withColumn("folded_root", fold(F.coalesce("tampered", "leaf"), F.col("path")))
+    return out.select(
+        "doc_id", "leaf", "subroot", "root", sha(proof_text(F.col("path"))).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
