@@ -10,6 +10,7 @@ from episodica.llm.common import prepare
 from episodica.llm.entropy_mix import mix_copies
 from episodica.llm.jaccard import jaccard_components
 from episodica.llm.language_id import LANGUAGES, fit_trigrams, identify
+from episodica.llm.lexical import search
 from episodica.llm.line_windows import drop_repeated_lines
 from episodica.llm.merkle import fold, leaf_hash, manifest, proof_text, sha
 from episodica.llm.page_diff import extract_text
@@ -276,3 +277,24 @@ def op13_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "leaf", "subroot", "root", sha(proof_text(F.col("path"))).alias("proof_sha256"), "folded_root",
         (F.col("folded_root") == F.col("root")).alias("verified"),
     )
+
+
+SEARCH_SQL = """
+WITH az AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS up, 'abcdefghijklmnopqrstuvwxyz' AS low),
+d AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, up, low), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM documents, az),
+n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+c AS (SELECT CAST(count(*) AS BIGINT) AS nn, CAST(sum(n) AS BIGINT) AS l FROM n),
+q AS (SELECT DISTINCT item_id, t FROM (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, up, low), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM benchmark, az)),
+p AS (SELECT t, doc_id, count(*) AS tf FROM d WHERE t IN (SELECT t FROM q) GROUP BY t, doc_id),
+w AS (SELECT t, CAST(floor(1000 * ln((2.0::DOUBLE * nn + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w FROM p, c GROUP BY t, nn),
+i AS (SELECT t, p.doc_id, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // l))) AS s FROM p JOIN w USING (t) JOIN n USING (doc_id), c),
+r AS (SELECT item_id, doc_id, CAST(sum(s) AS BIGINT) AS score FROM q JOIN i USING (t) GROUP BY item_id, doc_id HAVING sum(s) > 0),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM r)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+
+@query("op12_hybrid_search", SEARCH_SQL)
+def op12_hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
+    return search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), 10)
