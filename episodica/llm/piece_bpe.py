@@ -3,8 +3,8 @@
 The library merges the neighbours whose joint piece scores highest, leftmost
 first, until none is left.  Here the same result comes from a search:
 
-* Aho-Corasick matching lists, for every place of a word, the longest piece that
-  begins there; shorter candidates are its prefixes.
+* An Aho-Corasick automaton finds the longest piece that begins at a place; shorter
+  candidates are its prefixes.
 * Two adjacent tokens are compatible if merging their joined characters again
   gives back just these two.  A sequence is the library's result exactly if all its
   adjacent tokens are compatible, so no merge of the whole text is needed.
@@ -35,7 +35,7 @@ from episodica.llm.common import require
 BLANK = "▁"
 
 #: a worker remembers the ids of up to twice as many words, and the longest it remembers
-CACHED_WORDS = 200_000
+CACHED_WORDS = 250_000
 CACHED_CHARS = 48
 
 #: marks that may end a word
@@ -101,11 +101,11 @@ class PieceCodec:
         tied = {(x, y) for p in self.ids for x, y in zip(p, p[1:]) if y in MARKS}
         self.loose = {x for x in map(chr, range(0x250)) if x.isalpha() and not any((x, m) in tied for m in MARKS)}
         self.cut = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+").findall
-        self.matches = ahocorasick.Automaton()
+        self.matches = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
         for p in self.ids:
-            if len(p) > 1:
-                self.matches.add_word(p, p)
+            self.matches.add_word(p)
         self.matches.make_automaton()
+        self.most = max(map(len, self.ids))
         self.shorter = lru_cache(CACHED_PAIRS)(self._shorter)
         self.fits = lru_cache(CACHED_PAIRS)(self._fits)
         self.coded: dict[str, bytes] = {}
@@ -119,8 +119,16 @@ class PieceCodec:
         for b, i in self.bytes.items():
             spoken[i] = bytes([b])
         self.spoken = spoken
+        # the same side by side, for whole arrays of ids
+        self.flat = np.frombuffer(b"".join(spoken), np.uint8)
+        self.size = np.array([len(x) for x in spoken], np.int64)
+        self.start = np.cumsum(self.size) - self.size
         self.silent = {i for i in range(n) if sp.is_control(i)}
         self.led = {i for p, i in self.ids.items() if p[0] == BLANK}
+        self.odd = np.zeros(n, bool)
+        self.odd[list(self.silent)] = True
+        self.leads = np.zeros(n, bool)
+        self.leads[list(self.led)] = True
 
     def _check(self, sp) -> None:
         """Raise for models whose text or merges follow other rules."""
@@ -162,34 +170,42 @@ class PieceCodec:
             token = self.shorter(token)
         return token
 
+    def longest(self, word: str, at: int) -> str:
+        """The longest piece that begins at a place of a word, else its letter."""
+        part = word[at : at + self.most]
+        # so many letters stay on a path of the automaton; pieces end somewhere on it
+        k = self.matches.longest_prefix(part)
+        while k > 1 and part[:k] not in self.ids:
+            k -= 1
+        return part[: k or 1]
+
     def pieces(self, word: str) -> list[str]:
         """The tokens of a word by backtracking."""
-        n, fits = len(word), self.fits
-        longest = list(word)
-        for end, p in self.matches.iter(word):
-            # matches come by ascending end, so the last one from a place is the longest
-            longest[end - len(p) + 1] = p
-        failed = bytearray(n // 8 + 1)
+        n, fits, longest = len(word), self.fits, self.longest
+        failed = 0 if n < 64 else bytearray(n // 8 + 1)
         tokens: list[str] = []
-        at, token, before = 0, longest[0], ""
+        at, before, token = 0, "", longest(word, 0)
         while True:
             token = fits(before, token)
             if token is None:
                 # no way on from here: the token before has to end elsewhere
-                failed[at >> 3] |= 1 << (at & 7)
+                if n < 64:
+                    failed |= 1 << at
+                else:
+                    failed[at >> 3] |= 1 << (at & 7)
                 token = tokens.pop()
                 at -= len(token)
                 before = tokens[-1] if tokens else ""
                 token = self.shorter(token)
                 continue
             end = at + len(token)
-            if failed[end >> 3] >> (end & 7) & 1:
+            if failed and (failed >> end if n < 64 else failed[end >> 3] >> (end & 7)) & 1:
                 token = self.shorter(token)
                 continue
             tokens.append(token)
             if end == n:
                 return tokens
-            at, before, token = end, token, longest[end]
+            at, before, token = end, token, longest(word, end)
 
     def token(self, token: str) -> bytes:
         """Ids of a token: its own, or those of its bytes if it is a letter that no piece is."""
@@ -243,6 +259,40 @@ class PieceCodec:
         return "".join([r.decode("utf-8", "episodica-each-byte") for r in raw])
 
 
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """Texts of several rows of ids (``ends`` of each row): bytes of all of them are gathered at once."""
+        out = []
+        for part in range(0, len(ends), 1000):
+            upto = ends[part : part + 1000]
+            begin = int(ends[part - 1]) if part else 0
+            out.append(self._gather(ids[begin : int(upto[-1])], upto - begin))
+        return pa.concat_arrays(out) if out else pa.array([], pa.string())
+
+    def _gather(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        size, start = self.size[ids], self.start[ids]
+        first = np.concatenate([[0], ends[:-1]])
+        first = first[first < ends]
+        led = first[self.leads[ids[first]]]
+        size[led] -= 1
+        start[led] += 1
+        upto = np.cumsum(size)
+        total = int(upto[-1]) if len(upto) else 0
+        kind = np.int32 if max(total, len(self.flat)) < 1 << 31 else np.int64
+        where = np.repeat((start - upto + size).astype(kind), size)
+        where += np.arange(total, dtype=kind)
+        edges = np.concatenate([[0], upto])[np.concatenate([[0], ends])]
+        text = pa.StringArray.from_buffers(len(ends), pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(self.flat[where]))
+        try:
+            if not self.odd[ids].any():
+                text.validate(full=True)
+                return text
+        except pa.ArrowInvalid:
+            pass
+        # control ids or bytes that are no text
+        flat = ids.tolist()
+        return pa.array([self.decode(flat[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())], pa.string())
+
+
 _CODECS: dict[str, PieceCodec] = {}
 
 
@@ -272,12 +322,8 @@ def decode_pieces(ids: str | Column, model_file: str) -> Column:
     """Text of an id column; null counts as no ids, an id outside of the model is an error."""
     @F.arrow_udf("string")
     def text(lists: pa.Array) -> pa.Array:
-        c = codec(model_file)
-        flat = lists.flatten().to_pylist()
-        ends = [0]
-        for n in lists.value_lengths().to_pylist():
-            ends.append(ends[-1] + (n or 0))
-        return pa.array([c.decode(flat[a:b]) for a, b in zip(ends, ends[1:])], pa.string())
+        ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        return codec(model_file).decode_all(lists.flatten().to_numpy(zero_copy_only=False), ends)
 
     return text(F.col(ids) if isinstance(ids, str) else ids)
 

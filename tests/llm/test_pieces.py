@@ -44,6 +44,14 @@ def test_decoding_any_ids_equals_the_library(lib, own, some):
     assert own.decode(some) == lib.decode(some)
 
 
+def test_decoding_rows_at_once(lib, own):
+    rng = random.Random(2)
+    for pool in (range(259, 32_000), range(32_000), range(259)):
+        rows = [[rng.choice(pool) for _ in range(rng.randint(0, 6))] for _ in range(1500)]
+        flat = np.array([i for r in rows for i in r], dtype="<i4")
+        assert own.decode_all(flat, np.cumsum([len(r) for r in rows])).to_pylist() == [lib.decode(r) for r in rows]
+
+
 @pytest.mark.parametrize("n", [1, 2, 15, 16, 17, 33, 5000])
 def test_runs_and_long_words(lib, own, n):
     rng = random.Random(n)
