@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from episodica.plans.ordered import explode_range, halo, number_rows, prefix
+from episodica.plans.ordered import explode_range, halo, join_same, number_rows, prefix
 
 EP = ("episode_id",)
 
@@ -67,10 +67,10 @@ def attach_camera(frames: DataFrame, camera: DataFrame, dt: float, cols: Sequenc
     """
     keys = list(keys)
     span = frames.groupBy(*keys).agg(F.min("ts").alias("__start"), F.max("frame_idx").alias("__last"))
-    cam = camera.join(span, keys).where(F.col("ts") >= F.col("__start") - dt)
+    cam = join_same(camera, span, keys).where(F.col("ts") >= F.col("__start") - dt)
     cam = grid_align(cam, F.col("__start"), dt, keys, stop=F.col("__last"))
     cam = cam.select(*keys, F.col("bucket").alias("frame_idx"), F.col("ts").alias("camera_ts"), *cols)
-    return frames.join(cam, [*keys, "frame_idx"])
+    return join_same(frames, cam, [*keys, "frame_idx"])
 
 
 def obs_accumulator(samples: DataFrame, start, dt, keys: Sequence[str] = EP) -> DataFrame:
@@ -118,7 +118,7 @@ def bracket(frames: DataFrame, grid: DataFrame, cols: Sequence[str], keys: Seque
     keys = list(keys)
     d, win, home = halo(frames.select(*keys, "frame_idx", "ts", *cols), keys, "frame_idx", after=1)
     d = d.select("*", *[F.lead(c).over(win).alias(f"next_{c}") for c in ("ts", *cols)]).where(home).drop("__blk")
-    d = d.join(grid, keys)
+    d = join_same(d, grid, keys)
     to_k = lambda c: F.floor((c - F.col("t_start")) / F.col("dt"))
     lo = F.greatest(F.lit(0), to_k(F.col("ts")) - 1)
     hi = F.least(F.col("n_last"), F.coalesce(to_k(F.col("next_ts")) + 1, F.col("n_last")))
@@ -154,7 +154,7 @@ def interp_floor(frames: DataFrame, speed: float, cols: Sequence[str], first: Se
     b = bracket(frames, grid_params(frames, speed, keys), cols, keys).select(*keys, "grid_idx", "t", *cols)
     if first:
         f = frames.where("frame_idx = 0").select(*keys, *[F.col(c).alias(f"first_{c}") for c in first])
-        b = b.join(f, keys)
+        b = join_same(b, f, keys)
     return b
 
 

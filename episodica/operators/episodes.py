@@ -11,8 +11,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from episodica.plans.ordered import explode_range, halo, number_rows, prefix
+from episodica.plans.blocks import narrow
+from episodica.plans.ordered import explode_range, halo, join_same, number_rows, prefix
 from episodica.plans.ranges import range_join
+from episodica.plans.small import keep
 from episodica.sources.frames import EPISODE
 
 #: episode ids per block when episodes of a file are numbered
@@ -34,7 +36,8 @@ def episode_index(frames: DataFrame) -> DataFrame:
     Offsets are summed level by level (domains, files of a domain, episodes of
     a file), so only the table of domains is ever ordered globally.
     """
-    eps = episode_lengths(frames)
+    # one row per episode, read four times below
+    eps = keep(episode_lengths(frames), "episode-lengths")
     files = eps.groupBy("domain", "file_id").agg(F.sum("length").alias("fl"), F.count(F.lit(1)).alias("fe"))
     doms = files.groupBy("domain").agg(F.sum("fl").alias("dl"), F.sum("fe").alias("de"))
     before = (W.unboundedPreceding, -1)
@@ -49,7 +52,7 @@ def episode_index(frames: DataFrame) -> DataFrame:
     eps = prefix(eps, ["domain", "file_id"], "episode_id",
                  {"e_off": ("sum", F.col("length")), "e_no": ("sum", F.lit(1).cast("long"))}, current=False, rows=EPISODE_BLOCK)
     eps = eps.fillna(0, ["e_off", "e_no"])
-    d = eps.join(files, ["domain", "file_id"]).join(doms, "domain")
+    d = join_same(join_same(eps, files, ["domain", "file_id"]), doms, ["domain"])
     start = F.col("d_off") + F.col("f_off") + F.col("e_off")
     return d.select(
         *EPISODE, "length", start.alias("start"), (start + F.col("length")).alias("end"),
@@ -80,7 +83,7 @@ def take_trajectory_prefix(frames: DataFrame, ratio: float | str) -> DataFrame:
     else:
         eps, r = frames.groupBy(*keys).agg(F.lit(float(ratio)).alias("__ratio")), F.lit(float(ratio))
     ranked = rank_episodes(eps).where(F.col("ep_no") < F.floor(F.col("n_eps") * r))
-    return frames.join(ranked.select(*keys), keys, "left_semi")
+    return join_same(frames, ranked.select(*keys), keys, "left_semi")
 
 
 def slice_episodes(
@@ -104,7 +107,7 @@ def slice_episodes(
         eps = eps.where(F.col("ep_no") < start_episode + max_episodes)
     if reserve_last:
         eps = eps.where(F.col("length") >= 2)
-    d = frames.join(eps.select(*EPISODE, "length"), list(EPISODE))
+    d = join_same(frames, eps.select(*EPISODE, "length"), EPISODE)
     i = F.col("frame_idx")
     d = d.where(i % stride == 0)
     if reserve_last:
@@ -137,7 +140,7 @@ def trim_idle(
     """
     keys = list(keys)
     first = frames.where(F.col("frame_idx") == 0).select(*keys, *[F.col(c).alias(f"__0{c}") for c in position])
-    d = frames.join(first, keys)
+    d = join_same(narrow(frames, keys, ["frame_idx", *position]), first, keys)
     sq = sum(((F.col(c) - F.col(f"__0{c}")) ** 2 for c in position), F.lit(0.0))
     moved = d.groupBy(*keys).agg(
         F.coalesce(F.min(F.when((F.sqrt(sq) > eps) & (F.col("frame_idx") >= 1), F.col("frame_idx"))), F.lit(0)).alias("__m")
@@ -145,11 +148,11 @@ def trim_idle(
     nonzero = F.lit(False)
     for c in action:
         nonzero = nonzero | (F.col(c) != 0)
-    d = frames.join(moved, keys).where(F.col("frame_idx") >= F.col("__m"))
+    d = join_same(narrow(frames, keys, ["frame_idx", *action]), moved, keys).where(F.col("frame_idx") >= F.col("__m"))
     begin = d.groupBy(*keys).agg(
         F.coalesce(F.min(F.when(nonzero, F.col("frame_idx"))), F.max("frame_idx") + 1).alias("__s")
     )
-    out = frames.join(begin, keys).where(F.col("frame_idx") >= F.col("__s"))
+    out = join_same(frames, begin, keys).where(F.col("frame_idx") >= F.col("__s"))
     out = out.withColumn("frame_idx", F.col("frame_idx") - F.col("__s"))
     if frame_cut is not None:
         out = out.where(F.col(frame_cut).isNull() | (F.col("frame_idx") < F.col(frame_cut) - F.col("__s")))
@@ -172,7 +175,7 @@ def chunk_overlap(
     i = F.col("frame_idx")
     lo = F.greatest(F.lit(0), F.ceil((i - (max_frames + extend) + 1) / max_frames))
     hi = F.least(F.floor(i / max_frames), F.col("__last"))
-    d = explode_range(frames.join(lens, keys), lo, hi, "chunk_no")
+    d = explode_range(join_same(frames, lens, keys), lo, hi, "chunk_no")
     return d.withColumn("chunk_idx", i - F.col("chunk_no") * max_frames).drop("__len", "__last")
 
 
@@ -184,7 +187,7 @@ def every_kth(
     if ratios is None:
         k = 1 if ratio is None or ratio >= 1 else int(1 / ratio)
         return samples.where(F.col(idx) % k == 0)
-    d = samples.join(ratios.select(key, F.col("ratio").alias("__r")), key, "left")
+    d = join_same(samples, ratios.select(key, F.col("ratio").alias("__r")), [key], "left")
     k = F.when(F.col("__r") < 1, F.floor(1 / F.col("__r"))).otherwise(F.lit(1))
     return d.where(F.col(idx) % k == 0).drop("__r")
 
@@ -192,7 +195,7 @@ def every_kth(
 def global_index(frames: DataFrame) -> DataFrame:
     """Contiguous sample number over all domains, files, episodes and frames."""
     idx = episode_index(frames).select(*EPISODE, "start")
-    return frames.join(idx, list(EPISODE)).withColumn("sample_no", F.col("start") + F.col("frame_idx")).drop("start")
+    return join_same(frames, idx, EPISODE).withColumn("sample_no", F.col("start") + F.col("frame_idx")).drop("start")
 
 
 def domain_bounds(frames: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from episodica.functions import rotation as R
 from episodica.functions.layout import block_of, block_ranges, dim_label
 from episodica.operators.geometry import _gram_schmidt
-from episodica.plans.ordered import number_rows
+from episodica.plans.ordered import join_same, number_rows
 from episodica.plans.quantiles import exact_quantiles
 from episodica.plans.small import keep
 
@@ -34,7 +34,7 @@ def _trim(d: DataFrame, keys: list[str], value: str, q: float) -> DataFrame:
     if not 0 < q < 0.5:
         return d
     b = exact_quantiles(d, keys, value, {"__lo": q, "__hi": 1 - q})
-    return d.join(b, keys).where((F.col(value) >= F.col("__lo")) & (F.col(value) <= F.col("__hi"))).drop("__lo", "__hi")
+    return join_same(d, b, keys).where((F.col(value) >= F.col("__lo")) & (F.col(value) <= F.col("__hi"))).drop("__lo", "__hi")
 
 
 def error_metrics(valid: DataFrame, trim: float = 0.0, keys: Sequence[str] = GROUP) -> DataFrame:
@@ -53,7 +53,7 @@ def error_metrics(valid: DataFrame, trim: float = 0.0, keys: Sequence[str] = GRO
     else:
         rm = _trim(d, keys, "sq", trim).groupBy(*keys).agg(F.sqrt(F.avg("sq")).alias("rmse"))
         ap = _trim(d.where(F.col("mag") >= APE_FLOOR), keys, "ab", trim).groupBy(*keys).agg((F.sum("ab") / F.sum("mag")).alias("ape"))
-        g = rm.join(ap, keys, "left")
+        g = join_same(rm, ap, keys, "left")
     m = F.explode(F.map_from_arrays(F.array(F.lit("rmse"), F.lit("ape")), F.array("rmse", "ape"))).alias("name", "value")
     return g.select(*keys, m)
 
@@ -91,7 +91,8 @@ def pose_errors(steps: DataFrame, pred: str, truth: str, mask: str, trim: float
         # geometry out of pushed-down filters
         d = keep(d, "pose-errors")
         pos, rot = [_trim(d.where(F.col(c).isNotNull()), keys, c, trim).groupBy(*keys).agg(F.avg(c).alias(n)) for c, n in names.items()]
-        g = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).drop("__n").join(pos, keys, "left").join(rot, keys, "left")
+        g = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).drop("__n")
+        g = join_same(join_same(g, pos, keys, "left"), rot, keys, "left")
     return g
 
 

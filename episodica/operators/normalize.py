@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from episodica.functions.layout import WIDTH, shared_dims
-from episodica.plans.ordered import draw_first, hash_hex, hash_uniform
+from episodica.plans.ordered import draw_first, hash_hex, hash_uniform, join_same
 from episodica.plans.quantiles import exact_quantiles, is_finite
 from episodica.plans.small import lookup
 
@@ -44,12 +44,7 @@ def fit_cells(cells: DataFrame, keys: Sequence[str], norm_type: str, report: boo
     if norm_type == "quantile":
         dims = cells.groupBy(*keys).agg(bad_cells)
         q = exact_quantiles(cells.where("valid"), keys, "value", {"lo": 0.01, "hi": 0.99})
-        cond = None
-        q = q.select(*[F.col(k).alias(f"__q_{k}") for k in keys], "lo", "hi")
-        for k in keys:  # keys may be NULL (shared scope)
-            c = F.col(k).eqNullSafe(F.col(f"__q_{k}"))
-            cond = c if cond is None else cond & c
-        d = dims.join(q, cond, "left").drop(*[f"__q_{k}" for k in keys])
+        d = join_same(dims, q.select(*keys, "lo", "hi"), keys, "left")
     elif norm_type == "zscore":
         v = F.when(F.col("valid") & is_finite(F.col("value")), F.col("value"))
         d = cells.groupBy(*keys).agg(F.avg(v).alias("lo"), F.stddev_pop(v).alias("hi"), bad_cells)
@@ -113,7 +108,8 @@ def norm_fit_scoped(samples: DataFrame, vec: str, mode: str, norm_type: str, wid
     is_shared = F.col("dim").isin(shared) if shared else F.lit(False)
     cells = cells.withColumn("domain", F.when(~is_shared, F.col("domain")))
     s = fit_cells(cells, ["domain", *(["t"] if per_time else []), "dim"], norm_type)
-    return s.withColumn("scope", F.when(F.col("domain").isNull(), "shared").otherwise("domain"))
+    # the dim tells the scope: a domain may be null itself
+    return s.withColumn("scope", F.when(is_shared, "shared").otherwise("domain"))
 
 
 def norm_fit_streams(tactile: DataFrame, data: str, ttype: str, norm_type: str, keys: Sequence[str] = ("domain", "stream")) -> DataFrame:
@@ -128,7 +124,7 @@ def norm_fit_streams(tactile: DataFrame, data: str, ttype: str, norm_type: str,
     types = types.select(*keys, t.alias("__type"))
     areas = tactile.where(F.lower(ttype) != "binary").select(*keys, F.explode(data).alias("v"))
     fit = norm_fit(areas, keys, "v", norm_type)
-    d = types.join(fit, keys, "left")
+    d = join_same(types, fit, keys, "left")
     return d.select(*keys, "dim", "lo", "hi", F.when(F.lower("__type") == "binary", "ignore").alias("mode"))
 
 
@@ -160,7 +156,8 @@ def histogram(values: DataFrame, keys: Sequence[str], value: str, bins: int = HI
     m = values.groupBy(*keys).agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"),
                                   F.avg(v).alias("mean"), F.avg(v * v).alias("mean_sq"))
     m = lookup(m)
-    d = values.select(*keys, v.alias("__v")).where(v.isNotNull()).join(m, keys)
+    d = values.select(*keys, v.alias("__v")).where(v.isNotNull())
+    d = join_same(d, m, keys)
     lo, hi = F.col("min") - 1e-10, F.col("max") + 1e-10
     b = F.least(F.floor((F.col("__v") - lo) / (hi - lo) * bins), F.lit(bins - 1))
     return m, d.groupBy(*keys, b.alias("bin")).agg(F.count(F.lit(1)).alias("c"))
@@ -170,13 +167,13 @@ def stats_from_histogram(m: DataFrame, h: DataFrame, keys: Sequence[str], quanti
     """Mean, std and quantiles (left edge of the first bin reaching q * n)."""
     keys = list(keys)
     w = W.partitionBy(*keys).orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
-    cum = h.join(m, keys).withColumn("cum", F.sum("c").over(w))
+    cum = join_same(h, m, keys).withColumn("cum", F.sum("c").over(w))
     lo, hi = F.col("min") - 1e-10, F.col("max") + 1e-10
     edge = lo + F.col("bin") * (hi - lo) / bins
     q = cum.groupBy(*keys).agg(*[F.min(F.when(F.col("cum") >= F.lit(p) * F.col("n"), edge)).alias(name) for name, p in quantiles])
     n = F.when(F.col("n") < 2, F.raise_error(F.lit("statistics need at least two vectors")).cast("bigint")).otherwise(F.col("n"))
     var = F.greatest(F.lit(0.0), F.col("mean_sq") - F.col("mean") * F.col("mean"))
-    return m.join(q, keys).select(*keys, n.alias("n"), "min", "max", "mean", F.sqrt(var).alias("std"), *[name for name, _ in quantiles])
+    return join_same(m, q, keys).select(*keys, n.alias("n"), "min", "max", "mean", F.sqrt(var).alias("std"), *[name for name, _ in quantiles])
 
 
 def running_stats(values: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
@@ -225,7 +222,7 @@ def _with_stats(samples: DataFrame, vec: str, stats: DataFrame, keys: Sequence[s
     per_time = "t" in stats.columns
     if per_time and not nested:
         raise ValueError(f"statistics per step need chunks, {vec} is a single vector")
-    d = samples.join(lookup(stat_arrays(stats, keys, width), 20_000), list(keys), "left")
+    d = join_same(samples, lookup(stat_arrays(stats, keys, width), 20_000), keys, "left")
     size = F.size(F.get(vec, F.lit(0))) if nested else F.size(vec)
     wrong = F.raise_error(F.lit(f"{vec} is not {width} wide")).cast(samples.schema[vec].dataType)
     unknown = F.raise_error(F.concat(F.lit("no statistics for "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])))
@@ -282,12 +279,13 @@ def norm_apply_streams(tactile: DataFrame, data: str, stats: DataFrame, norm_typ
     s = stats.groupBy("stream").agg(
         F.array_sort(F.collect_list(F.when(F.col("lo").isNotNull(), F.struct("dim", "lo", "hi")))).alias("p"),
         F.max("mode").alias("mode"), F.max("preprocess").alias("pre"))
-    s = lookup(s)
+    s = lookup(s.withColumn("hit", F.lit(True)))
     a, b = s.select(*[F.col(c).alias(f"a_{c}") for c in s.columns]), s.select(*[F.col(c).alias(f"b_{c}") for c in s.columns])
+    # without a key of its own a stream goes by its identity, which may be null as well
     d = tactile.join(a, F.col(own) == F.col("a_stream"), "left")
-    d = d.join(b, F.col(identity) == F.col("b_stream"), "left")
-    pick = lambda c: F.when(F.col("a_stream").isNotNull(), F.col(f"a_{c}")).otherwise(F.col(f"b_{c}"))
-    d = d.withColumns({"__p": pick("p"), "__mode": pick("mode"), "__pre": pick("pre"), "__hit": F.coalesce("a_stream", "b_stream")})
+    d = d.join(b, F.col(identity).eqNullSafe(F.col("b_stream")), "left")
+    pick = lambda c: F.when(F.col("a_hit"), F.col(f"a_{c}")).otherwise(F.col(f"b_{c}"))
+    d = d.withColumns({"__p": pick("p"), "__mode": pick("mode"), "__pre": pick("pre"), "__hit": F.coalesce("a_hit", "b_hit")})
     x = F.transform(data, lambda v: v.cast("double"))
     scaled = F.transform(x, lambda v: v / 255.0 * 2.0 - 1.0)
     body = F.when(F.col("__pre").isNotNull(), scaled).otherwise(x)
@@ -342,7 +340,7 @@ def stats_overlay(current: DataFrame, override: DataFrame, keys: Sequence[str],
     just those whose value differs.
     """
     o = override.select(*keys, *[F.col(v).alias(f"__o_{v}") for v in values], F.lit(True).alias("__hit"))
-    d = current.join(o, list(keys), "left")
+    d = join_same(current, o, keys, "left")
     hit = F.coalesce("__hit", F.lit(False))
     changed = F.lit(False)
     for v in values:

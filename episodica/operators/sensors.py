@@ -10,8 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from episodica.plans.ordered import halo, hash_uniform, prefix
-from episodica.plans.quantiles import exact_quantiles
+from episodica.plans.ordered import halo, hash_uniform, join_same, prefix
+from episodica.plans.quantiles import deviations_at, exact_quantiles, is_finite, log_bin, value_bins, values_at
 from episodica.plans.small import keep, lookup
 
 EP = ("episode_id",)
@@ -30,7 +30,7 @@ def baseline_denoise(
     keys = list(keys)
     base = frames.where(F.col("frame_idx") < n).groupBy(*keys).agg(F.avg(value).alias("__b"))
     x = F.col(value) - F.col("__b")
-    d = frames.join(base, keys).withColumn("__x", F.when(x < threshold, F.lit(0.0)).otherwise(x)).drop("__b")
+    d = join_same(frames, base, keys).withColumn("__x", F.when(x < threshold, F.lit(0.0)).otherwise(x)).drop("__b")
     if window <= 1:
         return d.withColumn(value, F.greatest(F.col("__x"), F.lit(0.0))).drop("__x")
     left, right = window // 2, window - window // 2 - 1
@@ -114,7 +114,7 @@ def score_summary(scores: DataFrame, stream: Sequence[str], score: str = "score"
     base = scores.groupBy(*stream).agg(
         F.count(score).alias("count"), F.min(score).alias("min"), F.max(score).alias("max"),
         F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"))
-    return base.join(exact_quantiles(scores, stream, score, SUMMARY_QUANTILES), list(stream), "left")
+    return join_same(base, exact_quantiles(scores, stream, score, SUMMARY_QUANTILES), stream, "left")
 
 
 def contact_thresholds(scores: DataFrame, stream: Sequence[str] = ("stream",), score: str = "score", k: float = 3.0) -> DataFrame:
@@ -124,24 +124,40 @@ def contact_thresholds(scores: DataFrame, stream: Sequence[str] = ("stream",), s
     positive score get a NULL threshold and status ``no_positive_scores``.
     """
     stream = list(stream)
-    s = F.col(score)
-    fin = keep(scores.where(s.isNotNull() & ~F.isnan(s) & (F.abs(s) < float("inf"))).select(*stream, s.alias("s")), "scores")
-    counts = fin.groupBy(*stream).agg(
-        F.count(F.lit(1)).alias("score_count"), F.count(F.when(F.col("s") > 0, 1)).alias("positive_score_count"),
-        F.count(F.when(F.col("s") <= 0, 1)).alias("non_positive_score_count"))
-    pos = fin.where("s > 0")
-    med = lookup(exact_quantiles(pos, stream, "s", {"score_median": 0.5}))
-    noise = pos.join(med, stream).where("s <= score_median")
-    nmed = lookup(exact_quantiles(noise, stream, "s", {"noise_median": 0.5}))
-    dev = noise.join(nmed, stream).withColumn("dev", F.abs(F.col("s") - F.col("noise_median")))
-    mad = exact_quantiles(dev, stream, "dev", {"noise_mad": 0.5})
-    pool = noise.groupBy(*stream).agg(F.count(F.lit(1)).alias("noise_pool_count"))
-    t = med.join(nmed, stream).join(mad, stream).join(pool, stream)
+    s = F.col(score).cast("double")
+    binned = F.when(s > 0, log_bin(s, 64))
+    fin = keep(scores.where(is_finite(s)).select(*stream, s.alias("s"), binned.alias("bin")), "scores")
+    # the one pass over all scores; everything below reads the histogram and a few bins
+    hist = keep(value_bins(fin, stream, "s", "bin"), "score-bins")
+    positive = F.col("bin").isNotNull()
+    counts = hist.groupBy(*stream).agg(
+        F.sum("cnt").alias("score_count"), F.coalesce(F.sum(F.when(positive, F.col("cnt"))), F.lit(0)).alias("positive_score_count"),
+        F.coalesce(F.sum(F.when(~positive, F.col("cnt"))), F.lit(0)).alias("non_positive_score_count"))
+    counts = lookup(counts)
+    middle = lambda n: (F.floor((n - 1) / 2).cast("long").alias("a"), F.ceil((n - 1) / 2).cast("long").alias("b"))
+    mean = lambda: F.col("a") + (F.col("b") - F.col("a")) * F.when(F.col("a") == F.col("b"), 0.0).otherwise(0.5)
+    n = F.col("positive_score_count")
+    med = values_at(fin, hist, stream, "s", "bin", counts.where(n > 0).select(*stream, *middle(n)), ["a", "b"])
+    # the noise pool is what is not above the median, so it ends with the lower middle value
+    med = lookup(med.select(*stream, mean().alias("score_median"), F.col("a").alias("top"), F.col("upto_a").alias("noise_pool_count")))
+    pool_n = F.col("noise_pool_count")
+    low = values_at(fin, hist, stream, "s", "bin", med.select(*stream, *middle(pool_n)), ["a", "b"])
+    t = lookup(join_same(med, low.select(*stream, mean().alias("noise_median")), stream))
+    part = join_same(hist.where(positive), t.select(*stream, "top", pool_n.alias("n"), F.col("noise_median").alias("centre")), stream)
+    part = part.where(F.col("lo") <= F.col("top")).withColumn("cnt", F.least(F.col("before") + F.col("cnt"), F.col("n")) - F.col("before"))
+    part = part.withColumn("hi", F.least("hi", "top"))
+    mad = deviations_at(fin, part, stream, "s", "bin", 0.5)
+    t = join_same(t.drop("top"), mad.withColumnRenamed("dev", "noise_mad"), stream)
     t = t.withColumn("robust_std", F.lit(MAD_SCALE) * F.col("noise_mad")).withColumn(
         "threshold", F.greatest(F.lit(0.0), F.col("noise_median") + F.lit(float(k)) * F.col("robust_std")))
     t = lookup(t)
-    exceed = pos.join(t, stream).groupBy(*stream).agg(F.count(F.when(F.col("s") > F.col("threshold"), 1)).alias("exceed_count"))
-    out = counts.join(t, stream, "left").join(exceed, stream, "left")
+    # whole bins above the threshold are counted, the bin it falls into is read
+    cut = join_same(hist.where(positive), t.select(*stream, "threshold"), stream)
+    above = cut.groupBy(*stream).agg(F.sum(F.when(F.col("lo") > F.col("threshold"), F.col("cnt")).otherwise(F.lit(0))).alias("__whole"))
+    across = lookup(cut.where((F.col("lo") <= F.col("threshold")) & (F.col("hi") > F.col("threshold"))).select(*stream, "bin", "threshold"))
+    some = join_same(fin, across, [*stream, "bin"]).groupBy(*stream).agg(F.count(F.when(F.col("s") > F.col("threshold"), 1)).alias("__some"))
+    exceed = join_same(above, some, stream, "left").select(*stream, (F.col("__whole") + F.coalesce("__some", F.lit(0))).alias("exceed_count"))
+    out = join_same(join_same(counts, t, stream, "left"), exceed, stream, "left")
     frac = F.col("exceed_count") / F.col("positive_score_count")
     return out.withColumn("exceed_fraction", frac).withColumn("threshold_quantile", 1 - frac).withColumn(
         "status", F.when(F.col("threshold").isNull(), "no_positive_scores").otherwise("ok"))
@@ -149,13 +165,13 @@ def contact_thresholds(scores: DataFrame, stream: Sequence[str] = ("stream",), s
 
 def missing_thresholds(scores: DataFrame, thresholds: DataFrame, stream: Sequence[str] = ("stream",)) -> DataFrame:
     """Streams that have frames but no usable threshold."""
-    return scores.select(*stream).distinct().join(thresholds.where("threshold IS NOT NULL"), list(stream), "left_anti")
+    return join_same(scores.select(*stream).distinct(), thresholds.where("threshold IS NOT NULL"), stream, "left_anti")
 
 
 def contact_flag(scores: DataFrame, thresholds: DataFrame, frame: Sequence[str], stream: Sequence[str] = ("stream",)) -> DataFrame:
     """Per frame: does any stream's score exceed its threshold?  A missing threshold is an error."""
     t = lookup(thresholds.select(*stream, "threshold"))
-    d = scores.join(t, list(stream), "left")
+    d = join_same(scores, t, stream, "left")
     thr = F.when(F.col("threshold").isNull(), F.raise_error(F.lit("a stream has no contact threshold")).cast("double")).otherwise(F.col("threshold"))
     hit = F.when(F.col("score").isNull(), F.lit(False)).otherwise(F.col("score") > thr)
     return d.groupBy(*frame).agg(F.bool_or(hit).alias("is_contact"))
@@ -205,7 +221,8 @@ def blank_frame(pixels: Column) -> Column:
 def middle_frames(frames: DataFrame, keys: Sequence[str] = EP) -> DataFrame:
     """The middle frame (index n div 2) of each episode."""
     n = frames.groupBy(*keys).agg(F.floor(F.count(F.lit(1)) / 2).alias("__m"))
-    return frames.join(n, list(keys)).where(F.col("frame_idx") == F.col("__m")).drop("__m")
+    # written as a difference, or it would become a key of the join and move stored frames
+    return join_same(frames, n, keys).where(F.col("frame_idx") - F.col("__m") == 0).drop("__m")
 
 
 def expand_gray(pixels: Column, channels: int = 3) -> Column:

@@ -46,11 +46,22 @@ def index_block(idx: str | Column, rows: int = BLOCK_ROWS) -> Column:
 
 
 def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi join on ``keys`` in which null equals null; the keys of ``left`` stay."""
+    """Equi join on ``keys`` in which null equals null; the keys of ``left`` stay.
+
+    ``how`` is inner, left, left_semi or left_anti.  Where ``left`` comes from a
+    bucketed frame table (``plans.blocks``) and ``keys`` are its episode keys, the
+    right side is brought to its buckets and the frames stay where they lie.
+    """
+    from episodica.plans.blocks import by_bucket
+
+    return by_bucket(left, right, list(keys), how) or _join_same(left, right, keys, how)
+
+
+def _join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     named = right.select(*[F.col(k).alias(f"__same{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
     cond = None
     for i, k in enumerate(keys):
-        c = left[k].eqNullSafe(named[f"__same{i}"])
+        c = F.col(k).eqNullSafe(F.col(f"__same{i}"))
         cond = c if cond is None else cond & c
     return left.join(named, cond, how).drop(*[f"__same{i}" for i in range(len(keys))])
 

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from episodica.plans.ordered import join_same
 from episodica.plans.small import lookup
 
 #: rows a final bin may hold before it is refined once more
@@ -103,3 +104,73 @@ def exact_quantiles(
         a, b = F.col(f"__a{i}"), F.col(f"__b{i}")
         cols.append((a + (b - a) * frac).alias(name))
     return out.select(*keys, *cols)
+
+
+# ------------------------------------------------------ one histogram, several questions
+def value_bins(rows: DataFrame, keys: Sequence[str], value: str, bin_col: str) -> DataFrame:
+    """The cumulative histogram of binned rows: keys, bin, cnt, lo, hi (extreme values) and before (values below the bin).
+
+    Rows of a null bin are counted in one entry of their own, which comes first and
+    is not counted in ``before``.
+    """
+    keys = list(keys)
+    h = rows.groupBy(*keys, F.col(bin_col).alias("bin")).agg(
+        F.count(F.lit(1)).alias("cnt"), F.min(value).alias("lo"), F.max(value).alias("hi")
+    )
+    ranked = F.when(F.col("bin").isNotNull(), F.col("cnt")).otherwise(F.lit(0))
+    w = W.partitionBy(*keys).orderBy(F.col("bin").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    return h.withColumn("before", F.sum(ranked).over(w) - ranked)
+
+
+def values_at(rows: DataFrame, hist: DataFrame, keys: Sequence[str], value: str, bin_col: str, ranks: DataFrame, names: Sequence[str]) -> DataFrame:
+    """For every 0-based rank in the columns ``names`` of ``ranks``: its value and ``upto_<name>``, how many values are not above it.
+
+    A bin that holds one value answers by itself; rows are read in the other bins hit,
+    where equal values are merged before they are ordered.
+    """
+    keys = list(keys)
+    listed = hist.where(F.col("bin").isNotNull())
+    wanted = [F.struct(F.lit(n).alias("name"), F.col(n).alias("rank")) for n in names]
+    asked = ranks.select(*keys, F.explode(F.array(*wanted)).alias("__q")).select(*keys, "__q.*").where(F.col("rank").isNotNull())
+    hit = join_same(listed, asked, keys).where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("cnt")))
+    hit = lookup(hit)
+    known = hit.where("lo = hi").select(*keys, "name", F.col("lo").alias("v"), (F.col("before") + F.col("cnt")).alias("upto"))
+    bins = hit.where("lo < hi").select(*keys, "bin", "before").distinct()
+    inside = join_same(rows.select(*keys, F.col(bin_col).alias("bin"), F.col(value).alias("v")), lookup(bins), [*keys, "bin"])
+    each = inside.groupBy(*keys, "bin", "before", "v").agg(F.count(F.lit(1)).alias("m"))
+    w = W.partitionBy(*keys, "bin").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    each = each.withColumn("upto", F.sum("m").over(w) + F.col("before")).withColumn("from", F.col("upto") - F.col("m")).drop("before", "m")
+    named = hit.where("lo < hi").select(*keys, "bin", "name", "rank")
+    read = join_same(each, named, [*keys, "bin"]).where((F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("upto")))
+    both = known.unionByName(read.select(*keys, "name", "v", "upto"))
+    aggs = [a for n in names for a in (F.max(F.when(F.col("name") == n, F.col("v"))).alias(n), F.max(F.when(F.col("name") == n, F.col("upto"))).alias(f"upto_{n}"))]
+    return both.groupBy(*keys).agg(*aggs)
+
+
+def deviations_at(rows: DataFrame, pool: DataFrame, keys: Sequence[str], value: str, bin_col: str, q: float) -> DataFrame:
+    """Quantile ``q`` of ``|value - centre|`` as column ``dev``.
+
+    ``pool`` is the histogram of the values that count, with their ``centre``, the
+    ``top`` above which a value does not count and ``n``, how many do.  Two cursors
+    move outward from the centre: by the farthest deviation of the bins the wanted rank
+    is reached at the latest, by their nearest one at the earliest.  Bins wholly nearer
+    are counted; rows are read in the bins between only.
+    """
+    keys = list(keys)
+    a, b = F.abs(F.col("lo") - F.col("centre")), F.abs(F.col("hi") - F.col("centre"))
+    over = (F.col("lo") <= F.col("centre")) & (F.col("centre") <= F.col("hi"))
+    low, high, frac = _ranks(F.col("n"), q)
+    d = pool.withColumn("far", F.greatest(a, b)).withColumn("near", F.when(over, F.lit(0.0)).otherwise(F.least(a, b)))
+    group = W.partitionBy(*keys)
+    d = d.withColumn("__f", F.sum("cnt").over(group.orderBy("far"))).withColumn("__n", F.sum("cnt").over(group.orderBy("near")))
+    d = d.withColumn("__latest", F.min(F.when(F.col("__f") > high, F.col("far"))).over(group))
+    d = d.withColumn("__soonest", F.min(F.when(F.col("__n") > low, F.col("near"))).over(group))
+    d = d.withColumn("before", F.sum(F.when(F.col("far") < F.col("__soonest"), F.col("cnt")).otherwise(F.lit(0))).over(group))
+    hit = d.where((F.col("far") >= F.col("__soonest")) & (F.col("near") <= F.col("__latest")))
+    hit = lookup(hit.select(*keys, "bin", "centre", "top", "n", "before"))
+    inside = join_same(rows.select(*keys, F.col(bin_col).alias("bin"), F.col(value).alias("v")), hit, [*keys, "bin"]).where(F.col("v") <= F.col("top"))
+    each = inside.groupBy(*keys, "n", "before", F.abs(F.col("v") - F.col("centre")).alias("x")).agg(F.count(F.lit(1)).alias("m"))
+    each = each.withColumn("upto", F.sum("m").over(group.orderBy("x")) + F.col("before")).withColumn("from", F.col("upto") - F.col("m"))
+    pick = lambda r: F.max(F.when((r >= F.col("from")) & (r < F.col("upto")), F.col("x")))
+    out = each.groupBy(*keys).agg(pick(low).alias("__a"), pick(high).alias("__b"), F.max("n").alias("n"))
+    return out.select(*keys, (F.col("__a") + (F.col("__b") - F.col("__a")) * frac).alias("dev"))

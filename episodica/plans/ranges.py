@@ -35,6 +35,6 @@ def range_join(
     p = points.withColumn("__pb", F.floor(F.col(point) / width))
     cond = (F.col("__pb") == F.col("__b")) & (F.col(point) >= F.col(lo)) & (F.col(point) < F.col(hi))
     for k in keys:
-        cond = cond & (F.col(k) == F.col(f"__r_{k}"))
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
     out = p.join(r, cond, how)
     return out.drop("__pb", "__b", *[f"__r_{k}" for k in keys])

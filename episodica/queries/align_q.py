@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from episodica.operators import align as A
-from episodica.queries.common import EVENTS, SAMPLES, bigint, events, samples, table
+from episodica.queries.common import EVENTS, SAMPLES, bigint, events, hide, samples, table
 from episodica.registry import query, rnd, sql_rnd
 from episodica.sources.frames import index_frames
 
@@ -42,7 +42,8 @@ def d3(spark, sf):
         (F.col("doc_id") % 150).alias("episode_id"), "doc_id",
         ((F.col("doc_id") * 7919) % 2_400_000).cast("double").alias("ts"), "n_chars")
     cam = index_frames(cam, ["episode_id"], ["ts", "doc_id"], F.floor(F.col("ts") / 3600))
-    d = A.attach_camera(samples(spark, sf), cam, 36_000.0, ["doc_id", "n_chars"])
+    frames = samples(spark, sf)
+    d = A.attach_camera(frames, hide(cam), 36_000.0, ["doc_id", "n_chars"])
     return d.select("episode_id", *bigint("frame_idx"), "event_id", "doc_id", "camera_ts", "n_chars")
 
 

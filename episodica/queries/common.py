@@ -7,6 +7,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from episodica.functions.vec import dbl
@@ -21,6 +25,43 @@ def bigint(*names: str) -> list[Column]:
     return [F.col(n).cast("bigint").alias(n) for n in names]
 
 
+# ------------------------------------------------------------------ null keys
+_HIDDEN: ContextVar[dict | None] = ContextVar("hidden", default=None)
+
+
+@contextmanager
+def hidden_keys(*names: str) -> Iterator[dict]:
+    """The smallest value of each named key is null in the sources read inside; yields these values."""
+    token = _HIDDEN.set(dict.fromkeys(names))
+    try:
+        yield _HIDDEN.get()
+    finally:
+        _HIDDEN.reset(token)
+
+
+def hide(df: DataFrame) -> DataFrame:
+    """``df`` with the keys hidden that :func:`hidden_keys` names; every source passes here."""
+    least = _HIDDEN.get()
+    names = [c for c in least or () if c in df.columns]
+    for c in names:
+        if least[c] is None:
+            least[c] = df.agg(F.min(c)).first()[0]
+    return df.withColumns({c: F.when(F.col(c) != least[c], F.col(c)) for c in names}) if names else df
+
+
+def with_null_keys(fn: Callable, *names: str) -> Callable:
+    """The query ``fn`` over sources with null keys, which its result calls by their names again."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        with hidden_keys(*names) as least:
+            out = fn(spark, sf)
+        # a null domain of shared statistics is none that was hidden
+        own = F.col("scope") != "shared" if "scope" in out.columns else F.lit(True)
+        return out.withColumns({c: F.when(F.col(c).isNull() & own, F.lit(v)).otherwise(F.col(c)) for c, v in least.items() if c in out.columns and v is not None})
+
+    return run
+
+
 # ---------------------------------------------------------------- order lines
 def episodes(spark, sf) -> DataFrame:
     """Episode table: domain, file_id, episode_id (orders, also those without frames)."""
@@ -54,7 +95,7 @@ def raw_frames(spark, sf, *extra: str) -> DataFrame:
 
 def frames(spark, sf, *extra: str) -> DataFrame:
     """Frame table: domain, file_id, episode_id, frame_idx, ts, q0..q3, flag, status."""
-    return raw_frames(spark, sf, *extra).join(episodes(spark, sf), "episode_id")
+    return hide(raw_frames(spark, sf, *extra).join(episodes(spark, sf), "episode_id"))
 
 
 RAW_FRAMES = """raw_frames AS (
@@ -84,7 +125,7 @@ def events(spark, sf) -> DataFrame:
 
 def samples(spark, sf) -> DataFrame:
     """Events with a dense index per episode."""
-    return index_frames(events(spark, sf), ["episode_id"], ["ts"], F.floor(F.col("ts") / 60))
+    return hide(index_frames(events(spark, sf), ["episode_id"], ["ts"], F.floor(F.col("ts") / 60)))
 
 
 EVENTS = """events0 AS (
@@ -99,9 +140,9 @@ samples AS (
 
 # ----------------------------------------------------------------- embeddings
 def vectors(spark, sf) -> DataFrame:
-    return table(spark, sf, "embeddings").select(
+    return hide(table(spark, sf, "embeddings").select(
         "vec_id", F.col("label").alias("domain"), dbl(F.col("embedding")).alias("v")
-    )
+    ))
 
 
 VECTORS = "vectors AS (SELECT vec_id, label AS domain, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from episodica.operators import episodes as E
-from episodica.queries.common import FRAMES, RAW_FRAMES, SAMPLES, bigint, frames, raw_frames, samples, table
+from episodica.queries.common import FRAMES, RAW_FRAMES, SAMPLES, bigint, frames, hide, raw_frames, samples, table
 from episodica.queries.sources_q import CATALOG, catalog
 from episodica.registry import query, rnd, sql_rnd
 from episodica.sources import catalog as C
@@ -102,7 +102,8 @@ def b9(spark, sf):
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("episode_id"), F.col("c_nationkey").cast("long").alias("n"))
     r = c.select("episode_id", F.col("n").alias("start"), (F.col("n") + 6).alias("end")).unionByName(
         c.select("episode_id", F.lit(10).cast("long").alias("start"), (F.col("n") + 10).alias("end")))
-    return E.keep_ranges(samples(spark, sf), r, width=16).select("episode_id", *bigint("frame_idx"), "event_id")
+    frames = samples(spark, sf)
+    return E.keep_ranges(frames, hide(r), width=16).select("episode_id", *bigint("frame_idx"), "event_id")
 
 
 @query("b10_success_only", r"""SELECT page_id, url FROM pages WHERE regexp_full_match(url, 'https://.*/en/[0-9]+.*')""")

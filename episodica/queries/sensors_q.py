@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from episodica.operators import sensors as S
-from episodica.queries.common import EVENTS, FRAMES, SAMPLES, VECTORS, bigint, events, forms, frames, samples, sql_forms, vectors
+from episodica.queries.common import EVENTS, FRAMES, SAMPLES, VECTORS, bigint, events, forms, frames, hide, samples, sql_forms, vectors
 from episodica.registry import query, rnd, sql_rnd
 from episodica.sources.frames import index_frames
 
@@ -12,7 +12,7 @@ streams AS (SELECT *, row_number() OVER (PARTITION BY episode_id, stream ORDER B
 
 
 def streams(spark, sf):
-    return index_frames(events(spark, sf), ["episode_id", "stream"], ["ts"], F.floor(F.col("ts") / 60))
+    return hide(index_frames(events(spark, sf), ["episode_id", "stream"], ["ts"], F.floor(F.col("ts") / 60)))
 
 
 @query("f1_baseline_denoise", f"""WITH {STREAMS},

@@ -145,7 +145,7 @@ def validate_frames(frames: DataFrame, arrays: Sequence[str], episode_ends: Data
                              F.struct(F.lit(a).alias("key"), F.lit("length").alias("rule"))))
     if episode_ends is not None:
         ends = episode_ends.groupBy("domain", "file_id").agg(F.max("episode_end").alias("__end"))
-        g = g.join(ends, ["domain", "file_id"], "left")
+        g = join_same(g, ends, ["domain", "file_id"], "left")
         checks.append(F.when(~F.col("n").eqNullSafe(F.col("__end")),
                              F.struct(F.lit("episode_ends").alias("key"), F.lit("end").alias("rule"))))
     bad = g.withColumn("v", F.explode(F.array_compact(F.array(*checks))))
@@ -164,12 +164,12 @@ def _newest(frames: DataFrame) -> DataFrame:
 
 def drop_last_episode(frames: DataFrame) -> DataFrame:
     """Remove the newest episode of every file."""
-    return frames.join(_newest(frames), ["domain", "file_id", "episode_id"], "left_anti")
+    return join_same(frames, _newest(frames), EPISODE, "left_anti")
 
 
 def pop_episode(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(newest episode per file, the rest)."""
-    last = frames.join(_newest(frames), ["domain", "file_id", "episode_id"], "left_semi")
+    last = join_same(frames, _newest(frames), EPISODE, "left_semi")
     return last, drop_last_episode(frames)
 
 
