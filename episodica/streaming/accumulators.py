@@ -1,8 +1,16 @@
 """Streaming forms of the clock accumulators.
 
-State per key is a single number (next bucket, last kept time), so it stays
-small however long the stream runs.  Rows of one key inside a micro-batch are
-sorted in the task; ``maxFilesPerTrigger`` / ``maxBytesPerTrigger`` bound them.
+State per key is a single number (next bucket, last kept time) or the open buckets of
+an episode.  With ``silence`` the state lives on event time: a timer runs behind the
+last record of a key, and when the watermark passes it what is held is flushed and the
+state removed, so it is as large as the episodes that are still running.  Rows older
+than the watermark are dropped, and an episode that speaks again after its silence is
+a new one.
+
+The rows of a key reach its task in runs (Arrow batches).  A run is sorted and cut to
+the rows that can still matter (the first of a bucket, those newer than all before)
+before the next one is read, and the same cut is made before rows are shuffled, so a
+key with very many rows costs as much as its buckets.
 """
 
 from __future__ import annotations
@@ -15,6 +23,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import LongType, StructField, StructType
 
+#: whole numbers, by Spark's type names
+WHOLE = ("byte", "short", "integer", "long")
+
 #: filled buckets handed on at once
 CHUNK = 65_536
 
@@ -26,24 +37,72 @@ def use_state_store(df: DataFrame) -> None:
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def _batch(rows: Iterator[pd.DataFrame], order: str) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(order, kind="stable", ignore_index=True)
+def _millis(time: str) -> Column:
+    return F.unix_millis(F.col(time))
 
 
-class _ObsProcessor(StatefulProcessor):
-    """Fills clock buckets; earlier buckets are never overwritten."""
+class _Timed(StatefulProcessor):
+    """Forgets a key that has been silent for ``silence`` seconds of event time."""
+
+    #: column with the event time in milliseconds, beside the columns of the output (workers rename a leading underscore)
+    MS = "event_ms"
 
-    def __init__(self, start: float, dt: float, eps: float):
-        self.start, self.dt, self.eps = start, dt, eps
+    def __init__(self, silence: float | None):
+        self.silence = None if silence is None else int(silence * 1000)
 
     def init(self, handle) -> None:
+        self.handle = handle
+        self.seen = None if self.silence is None else handle.getValueState("last_seen", "ms long")
+        self.open(handle)
+
+    def heard(self, ms: int | None) -> None:
+        """Move the timer of the key behind its newest record."""
+        if self.silence is None or ms is None:
+            return
+        old = int(self.seen.get()[0]) if self.seen.exists() else None
+        if old is None or ms > old:
+            if old is not None:
+                self.handle.deleteTimer(old + self.silence)
+            self.seen.update((ms,))
+            self.handle.registerTimer(ms + self.silence)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield from self.flush(key)
+        self.seen.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def first_of_buckets(d: pd.DataFrame, by: list[str], start: float, dt: float, eps: float) -> pd.DataFrame:
+    """The earliest row of each own bucket (``__g``); no other row ever fills one."""
+    d = d[d["ts"].notna()]
+    g = np.floor((d["ts"].to_numpy(dtype=float) - start) / dt + eps).astype(np.int64)
+    d = d.assign(__g=g)[g >= 0].sort_values("ts", kind="stable")
+    return d.drop_duplicates([*by, "__g"])
+
+
+class _ObsProcessor(_Timed):
+    """Fills clock buckets; earlier buckets are never overwritten."""
+
+    def __init__(self, start: float, dt: float, eps: float, names: list[str], silence: float | None):
+        super().__init__(silence)
+        self.start, self.dt, self.eps, self.names = start, dt, eps, names
+
+    def open(self, handle) -> None:
         self.nxt = handle.getValueState("next_bucket", "next_bucket long")
 
     def handleInputRows(self, key, rows, timerValues):
-        d = _batch(rows, "ts")
         nxt = int(self.nxt.get()[0]) if self.nxt.exists() else 0
-        g = np.floor((d["ts"].to_numpy() - self.start) / self.dt + self.eps).astype(np.int64)
-        top = np.maximum.accumulate(np.concatenate([[nxt - 1], g]))
+        held, newest = None, None
+        for run in rows:
+            if self.silence is not None and run["ts"].notna().any():
+                newest = max(newest or 0, int(run.loc[run["ts"].notna(), self.MS].max()))
+            run = first_of_buckets(run, [], self.start, self.dt, self.eps)
+            run = run[run["__g"] >= nxt]
+            held = run if held is None else pd.concat([held, run]).sort_values("ts", kind="stable").drop_duplicates("__g")
+        self.heard(newest)
+        top = np.maximum.accumulate(np.concatenate([[nxt - 1], held["__g"].to_numpy()]))
         reps = np.maximum(top[1:] - top[:-1], 0)
         if reps.sum():
             self.nxt.update((int(top[-1]) + 1,))
@@ -51,48 +110,97 @@ class _ObsProcessor(StatefulProcessor):
             # a wide gap is filled in pieces
             for a in range(0, int(upto[-1]), CHUNK):
                 b = np.arange(a, min(a + CHUNK, int(upto[-1])), dtype=np.int64)
-                out = d.iloc[np.searchsorted(upto, b, side="right")].reset_index(drop=True)
+                out = held[self.names].iloc[np.searchsorted(upto, b, side="right")].reset_index(drop=True)
                 out["bucket"] = nxt + b
                 yield out
-        elif not self.nxt.exists():
-            self.nxt.update((nxt,))
 
-    def close(self) -> None:
-        pass
+    def flush(self, key):
+        # every bucket was handed on when it was filled
+        self.nxt.clear()
+        return iter(())
 
 
-def obs_accumulator_stream(stream: DataFrame, start: float, dt: float, key: str = "episode_id", eps: float = 1e-5) -> DataFrame:
-    """Incremental observation buffer (append mode): input columns plus ``bucket``."""
+def _with_time(stream: DataFrame, time: str | None, silence: float | None, delay: str) -> DataFrame:
+    if silence is None:
+        return stream
+    if time is None:
+        raise ValueError("a silence needs the event time column")
+    return stream.withColumn(_Timed.MS, _millis(time)).withWatermark(time, delay)
+
+
+def obs_accumulator_stream(
+    stream: DataFrame, start: float, dt: float, key: str = "episode_id", eps: float = 1e-5,
+    silence: float | None = None, time: str | None = None, delay: str = "0 seconds",
+) -> DataFrame:
+    """Incremental observation buffer (append mode): input columns plus ``bucket``.
+
+    With ``silence`` (seconds) and the event time column ``time`` the state of an episode
+    that has been silent that long is removed.  Rows without ``ts`` fill nothing; they
+    only move the watermark on.
+    """
     use_state_store(stream)
+    names = stream.columns
+
+    def cut(runs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for run in runs:
+            rest = run[run["ts"].isna()]
+            run = first_of_buckets(run, [key], start, dt, eps)[names]
+            yield run if rest.empty else pd.concat([run, rest])
+
     out = StructType([*stream.schema.fields, StructField("bucket", LongType())])
-    return stream.groupBy(key).transformWithStateInPandas(_ObsProcessor(start, dt, eps), out, "Append", "None")
+    few = _with_time(stream.mapInPandas(cut, stream.schema), time, silence, delay)
+    mode = "None" if silence is None else "EventTime"
+    return few.groupBy(key).transformWithStateInPandas(_ObsProcessor(start, dt, eps, names, silence), out, "Append", mode)
+
 
+def record_times(d: pd.DataFrame, order: str, by: str | None = None) -> pd.DataFrame:
+    """Rows whose time exceeds all before them, in the order of arrival (per ``by``)."""
+    d = d[d["ts"].notna()].sort_values(order, kind="stable")
+    before = (d["ts"] if by is None else d.groupby(by, dropna=False)["ts"]).cummax()
+    before = (before if by is None else before.groupby(d[by], dropna=False)).shift()
+    return d[before.isna() | (d["ts"] > before)]
 
-class _NewerProcessor(StatefulProcessor):
+
+class _NewerProcessor(_Timed):
     """Keeps records whose time exceeds the last kept time of the key."""
 
-    def __init__(self, order: str):
-        self.order = order
+    def __init__(self, order: str, names: list[str], silence: float | None):
+        super().__init__(silence)
+        self.order, self.names = order, names
 
-    def init(self, handle) -> None:
+    def open(self, handle) -> None:
         self.last = handle.getValueState("last_ts", "last_ts double")
 
     def handleInputRows(self, key, rows, timerValues):
-        d = _batch(rows, self.order)
         seen = float(self.last.get()[0]) if self.last.exists() else -np.inf
-        ts = d["ts"].to_numpy()
-        before = np.maximum.accumulate(np.concatenate([[seen], ts]))
-        self.last.update((float(before[-1]),))
-        yield d[ts > before[:-1]]
-
-    def close(self) -> None:
-        pass
-
-
-def strictly_newer_stream(stream: DataFrame, order: str, key: str = "episode_id") -> DataFrame:
-    """Drop records that are not newer than the last kept one (append mode); ``order`` is the arrival order."""
+        held, newest = None, None
+        for run in rows:
+            if self.silence is not None and run["ts"].notna().any():
+                newest = max(newest or 0, int(run.loc[run["ts"].notna(), self.MS].max()))
+            run = record_times(run[run["ts"] > seen], self.order)
+            held = run if held is None else record_times(pd.concat([held, run]), self.order)
+        self.heard(newest)
+        if len(held):
+            self.last.update((float(held["ts"].max()),))
+            yield held[self.names]
+
+    def flush(self, key):
+        self.last.clear()
+        return iter(())
+
+
+def strictly_newer_stream(
+    stream: DataFrame, order: str, key: str = "episode_id",
+    silence: float | None = None, time: str | None = None, delay: str = "0 seconds",
+) -> DataFrame:
+    """Drop records that are not newer than the last kept one (append mode); ``order`` is the arrival order.
+
+    ``silence``, ``time`` and ``delay`` as in :func:`obs_accumulator_stream`; rows without ``ts`` are dropped.
+    """
     use_state_store(stream)
-    return stream.groupBy(key).transformWithStateInPandas(_NewerProcessor(order), stream.schema, "Append", "None")
+    mode = "None" if silence is None else "EventTime"
+    timed = _with_time(stream, time, silence, delay)
+    return timed.groupBy(key).transformWithStateInPandas(_NewerProcessor(order, stream.columns, silence), stream.schema, "Append", mode)
 
 
 def put_buckets(ts: str, start: float, dt: float, eps: float = 1e-5) -> Column:
@@ -125,6 +233,103 @@ def action_accumulator_stream(puts: DataFrame, start: float, dt: float, value: s
     return d.groupBy(key, "bucket").agg(F.max_by(value, put).alias(value), F.max(put).alias(put))
 
 
+class _ActionProcessor(_Timed):
+    """Holds the open buckets of an episode; a later put overwrites."""
+
+    def __init__(self, key: str, put: str, value: str, kind: str, silence: float):
+        super().__init__(silence)
+        self.key, self.put, self.value, self.kind = key, put, value, kind
+        self.whole = kind in ("tinyint", "smallint", "int", "bigint")
+
+    def open(self, handle) -> None:
+        self.held = handle.getMapState("buckets", "bucket long", f"put long, value {self.kind}")
+
+    def handleInputRows(self, key, rows, timerValues):
+        newest, best = None, None
+        for run in rows:
+            real = run["bucket"] >= 0
+            if real.any():
+                newest = max(newest or 0, int(run.loc[real, self.MS].max()))
+            run = run[real]
+            best = run if best is None else pd.concat([best, run])
+            best = best.sort_values(self.put, kind="stable").drop_duplicates("bucket", keep="last")
+        self.heard(newest)
+        for bucket, put, value in zip(best["bucket"].tolist(), best[self.put].tolist(), best[self.value].tolist()):
+            if self.whole:
+                value = None if value != value or value is None else int(value)
+            old = self.held.getValue((int(bucket),)) if self.held.containsKey((int(bucket),)) else None
+            if old is None or put >= old[0]:
+                self.held.updateValue((int(bucket),), (int(put), value))
+        return iter(())
+
+    def flush(self, key):
+        rows = []
+        for (bucket,), (put, value) in self.held.iterator():
+            rows.append((key[0], bucket, put, value))
+            if len(rows) == CHUNK:
+                yield self._frame(rows)
+                rows = []
+        if rows:
+            yield self._frame(rows)
+        self.held.clear()
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[self.key, "bucket", self.put, self.value])
+
+
+def action_buffer_stream(
+    puts: DataFrame, start: float, dt: float, value: str, silence: float, time: str, delay: str = "0 seconds",
+    key: str = "episode_id", put: str = "put_no",
+) -> DataFrame:
+    """Action buffer of every episode, handed on once, when it has been silent for ``silence`` seconds (append mode).
+
+    Puts as in :func:`action_accumulator_stream`, with the event time ``time``.  Returns
+    key, bucket, put and value; the state holds the buckets of running episodes alone.
+    A put without times only moves the watermark on.
+    """
+    use_state_store(puts)
+    kind = puts.schema[value].dataType.elementType
+    d = puts.withColumn("__b", F.explode_outer(put_buckets("ts", start, dt)))
+    # no nulls but in real values: pandas would make whole numbers floats
+    none = F.when(F.col("__b").isNull(), F.lit("0" if kind.typeName() in WHOLE else None).cast(kind))
+    d = d.select(
+        key, F.coalesce(put, F.lit(0).cast("long")).alias(put), time, F.coalesce(F.col("__b.bucket"), F.lit(-1)).cast("long").alias("bucket"),
+        F.coalesce(none, F.get(value, F.col("__b.i"))).alias(value),
+    )
+    out = StructType([puts.schema[key], StructField("bucket", LongType()), puts.schema[put], StructField(value, kind)])
+    p = _ActionProcessor(key, put, value, kind.simpleString(), silence)
+    return _with_time(d, time, silence, delay).groupBy(key).transformWithStateInPandas(p, out, "Append", "EventTime")
+
+
+def attach_camera_stream(
+    frames: DataFrame, camera: DataFrame, dt: float, cols: Sequence[str], start: str, frame_time: str, camera_time: str,
+    max_gap: str, delay: str = "0 seconds", key: str = "episode_id", order: str = "ts", eps: float = 1e-5,
+) -> DataFrame:
+    """Give every frame the camera record of its clock bucket, live (append mode).
+
+    A frame carries the ``start`` of its recording (seconds) and ``frame_time``, the
+    time of its bucket (start + frame_idx * dt); a camera record its ``ts`` and
+    ``camera_time``.  The record of a bucket is the first one that is not before it, so
+    frames meet the records of an interval: from the bucket's time to ``max_gap`` later.
+    Both sides have a watermark; a frame is held for ``max_gap``, a record until no
+    frame can ask for it, and the earliest record is handed on when the watermark has
+    passed the interval.  Rows that come later than ``delay`` behind the newest row of
+    the slower side are dropped; a gap in the camera longer than ``max_gap`` leaves its
+    frames without a row, where the batch form reaches farther.
+    """
+    f = frames.withWatermark(frame_time, delay).select(*[F.col(c) if c == frame_time else F.col(c).alias(f"__f_{c}") for c in frames.columns])
+    c = camera.withWatermark(camera_time, delay).select(
+        F.col(key).alias("__c_key"), F.col("ts").alias("__c_ts"), F.col(camera_time).alias("__c_time"), F.col(order).alias("__c_order"), *[F.col(x).alias(f"__c_{i}") for i, x in enumerate(cols)]
+    )
+    bucket = F.floor((F.col("__c_ts") - F.col(f"__f_{start}")) / F.lit(dt) + F.lit(eps))
+    near = (F.col("__c_time") >= F.col(frame_time) - F.expr("INTERVAL 1 SECOND")) & (F.col("__c_time") <= F.col(frame_time) + F.expr(f"INTERVAL {max_gap}"))
+    met = f.join(c, F.col(f"__f_{key}").eqNullSafe(F.col("__c_key")) & near & (bucket >= F.col("__f_frame_idx")))
+    held = [x for x in frames.columns if x != frame_time]
+    first = F.min_by(F.struct(F.col("__c_ts").alias("ts"), *[F.col(f"__c_{i}").alias(f"c{i}") for i in range(len(cols))]), F.struct("__c_ts", "__c_order"))
+    got = met.groupBy(frame_time, *[F.col(f"__f_{x}") for x in held]).agg(first.alias("__r"))
+    return got.select(*[F.col(f"__f_{x}").alias(x) for x in held], frame_time, F.col("__r.ts").alias("camera_ts"), *[F.col(f"__r.c{i}").alias(x) for i, x in enumerate(cols)])
+
+
 def latest(updates: DataFrame, keys: Sequence[str], version: str = "batch_id") -> DataFrame:
     """Last version of every key of an update-mode log."""
     rest = [c for c in updates.columns if c not in (*keys, version)]
