@@ -207,6 +207,29 @@ def action_chunk(
     )
 
 
+def chunk_weights(
+    frames: DataFrame, horizon: int, stride: int = 1, clamp: bool = False, keys: Sequence[str] = EP, out: str = "weights"
+) -> DataFrame:
+    """How often a frame stands at each step of the chunks of :func:`action_chunk`, without making them.
+
+    ``out`` is an array over the steps.  At step k a frame stands in the chunk that
+    begins k strides before it; the frames at which padding stops (the last one with
+    ``clamp``, else the last ``stride`` ones) also stand in the chunks that end there.
+    """
+    keys = list(keys)
+    length = frames.groupBy(*keys).agg((F.max("frame_idx") + 1).alias("__len"))
+    d = join_same(frames, length, keys)
+    f, n = F.col("frame_idx"), F.col("__len")
+
+    def at(k: Column) -> Column:
+        inside = (f >= k * stride).cast("long")
+        if clamp:
+            return inside + F.when(f == n - 1, F.least(k * stride, n)).otherwise(0)
+        return inside + F.when(f > n - 1 - stride, F.least(k, F.floor(f / stride) + 1)).otherwise(0)
+
+    return d.withColumn(out, F.transform(F.sequence(F.lit(0).cast("long"), F.lit(horizon - 1).cast("long")), at)).drop("__len")
+
+
 def lookahead_by_time(frames: DataFrame, cols: Sequence[str], fps: float, deltas: Sequence[float], keys: Sequence[str] = EP) -> DataFrame:
     """Rows at time offsets ``deltas`` (seconds) of a clock with ``fps`` frames per second.
 

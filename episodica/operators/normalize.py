@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from episodica.functions.layout import WIDTH, shared_dims
+from episodica.operators.align import chunk_weights
 from episodica.plans.ordered import draw_first, hash_hex, hash_uniform, join_same
 from episodica.plans.quantiles import exact_quantiles, is_finite
 from episodica.plans.small import lookup
@@ -84,6 +85,54 @@ def norm_fit(samples: DataFrame, keys: Sequence[str], vec: str, norm_type: str,
     return fit_cells(cells, [*keys, *(["t"] if per_time else []), "dim"], norm_type, report)
 
 
+def weighted_moments(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Mean and population std of (keys, value, valid, weight) cells as ``lo`` and ``hi``.
+
+    Moments of the cells of one weight come from Spark's stable aggregates; there are
+    few weights, so they meet in one short list per key.
+    """
+    keys = list(keys)
+    v = F.when(F.col("valid") & is_finite(F.col("value")) & (F.col("weight") > 0), F.col("value"))
+    one = cells.groupBy(*keys, "weight").agg(F.count(v).alias("n"), F.avg(v).alias("a"), F.var_pop(v).alias("s"))
+    part = F.when(F.col("n") > 0, F.struct((F.col("weight") * F.col("n")).cast("double").alias("w"), "a", "s"))
+    g = one.groupBy(*keys).agg(F.collect_list(part).alias("p"))
+    total = F.aggregate("p", F.lit(0.0), lambda t, x: t + x["w"])
+    g = g.withColumn("w", F.when(F.size("p") > 0, total)).withColumn("lo", F.aggregate("p", F.lit(0.0), lambda t, x: t + x["w"] * x["a"]) / F.col("w"))
+    spread = F.aggregate("p", F.lit(0.0), lambda t, x: t + x["w"] * (x["s"] + (x["a"] - F.col("lo")) * (x["a"] - F.col("lo"))))
+    return g.select(*keys, "lo", F.sqrt(spread / F.col("w")).alias("hi"))
+
+
+def norm_fit_chunks(
+    frames: DataFrame, keys: Sequence[str], vec: str, norm_type: str, horizon: int, stride: int = 1, clamp: bool = False,
+    episode: Sequence[str] = ("episode_id",), mask: str | None = None, per_time: bool = False,
+) -> DataFrame:
+    """The statistics of :func:`norm_fit` over action chunks, from the frames.
+
+    A frame counts as often as it stands in a chunk (``align.chunk_weights``), so no chunk
+    is made and a frame's cells are read once, not ``horizon`` times; with ``per_time``
+    once for each step it stands at.
+    """
+    keys = list(keys)
+    d = chunk_weights(frames, horizon, stride, clamp, episode, "__weights")
+    if per_time:
+        d = d.select(*keys, vec, *([mask] if mask else []), F.posexplode("__weights").alias("t", "weight")).withColumn("t", F.col("t").cast("bigint"))
+        by = [*keys, "t"]
+    else:
+        d = d.withColumn("weight", F.aggregate("__weights", F.lit(0).cast("long"), lambda a, b: a + b))
+        by = keys
+    cells = vector_cells(d, [*by, "weight"], vec, mask)
+    by = [*by, "dim"]
+    if norm_type == "zscore":
+        s = weighted_moments(cells, by)
+    elif norm_type == "quantile":
+        s = exact_quantiles(cells.where("valid"), by, "value", {"lo": 0.01, "hi": 0.99}, weight="weight")
+        s = join_same(cells.select(*by).distinct(), s, by, "left")
+    else:
+        raise ValueError(f"unknown normalisation type {norm_type}")
+    lo, hi = guard_stats(norm_type, F.col("lo"), F.col("hi"))
+    return s.select(*by, lo.alias("lo"), hi.alias("hi"))
+
+
 def hash_limit(samples: DataFrame, keys: Sequence[str], order: Column, limit: int, seed: int = 0) -> DataFrame:
     """At most ``limit`` rows per keys, chosen by hash (a sampling setting of the fit)."""
     d = samples.withColumn("__h", hash_hex(seed, order))

@@ -39,7 +39,7 @@ def _target_bins(binned: DataFrame, keys: list[str], qs: Sequence[float], carrie
     """Bins holding a wanted rank: keys, n, __before (values below the bin), __bin, __cnt."""
     extra = ["__n", "__start"] if carried else []
     group = [*keys, *extra, "__bin"] if not carried else [*keys, "__outer", *extra, "__bin"]
-    hist = binned.groupBy(*group).agg(F.count(F.lit(1)).alias("__cnt"))
+    hist = binned.groupBy(*group).agg(F.sum("__w").alias("__cnt"))
     part = [*keys, "__outer"] if carried else keys
     wk = W.partitionBy(*part)
     run = F.sum("__cnt").over(wk.orderBy("__bin").rowsBetween(W.unboundedPreceding, 0)) - F.col("__cnt")
@@ -56,16 +56,19 @@ def _target_bins(binned: DataFrame, keys: list[str], qs: Sequence[float], carrie
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, float], per_octave: int = 64
+    df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, float], per_octave: int = 64, weight: str | None = None
 ) -> DataFrame:
     """Quantiles per ``keys`` of the finite values; one column per name in ``qs``.
 
-    Null, NaN and infinite values have no rank and are passed over.
+    Null, NaN and infinite values have no rank and are passed over.  A ``weight`` column
+    (whole numbers) says how often a value counts, as if its row stood there so often.
     """
     keys = list(keys)
     probs = list(qs.values())
     v = F.col(value).cast("double")
-    d = df.where(is_finite(v)).select(*keys, v.alias("__v"))
+    times = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
+    d = df.where(is_finite(v)).select(*keys, v.alias("__v"), times.alias("__w"))
+    d = d if weight is None else d.where("__w > 0")
     nk = []
     for i, k in enumerate(keys):  # null-safe group keys
         nk.append(F.col(k).eqNullSafe(F.col(f"__k{i}")))
@@ -87,7 +90,7 @@ def exact_quantiles(
         sub = sub.withColumn("__bin", log_bin(F.col("__v"), fine)).drop("__cnt")
         t = lookup(_target_bins(sub, keys, probs, True))
         rows = attach(t, d.withColumn("__b", log_bin(F.col("__v"), fine)))
-    vals = rows.groupBy(*keys, "__bin", "__n", "__before", "__v").agg(F.count(F.lit(1)).alias("__m"))
+    vals = rows.groupBy(*keys, "__bin", "__n", "__before", "__v").agg(F.sum("__w").alias("__m"))
     w = W.partitionBy(*keys, "__bin").orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
     vals = vals.withColumn("__hi", F.sum("__m").over(w) + F.col("__before")).withColumn(
         "__lo", F.col("__hi") - F.col("__m")

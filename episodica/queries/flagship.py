@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from episodica.operators import align as A, normalize as N
 from episodica.queries.common import FRAMES, frames
+from episodica.plans.small import keep
 from episodica.registry import query, rnd, sql_rnd
 
 HORIZON = 4
@@ -19,8 +20,10 @@ SELECT domain, step, dim, count(*) AS n, {sql_rnd('avg(y)', 4)} AS mean, {sql_rn
 def chunk_statistics(spark, sf):
     """Frames -> action chunks -> z-score statistics per domain -> normalised chunks -> summary."""
     d = frames(spark, sf).withColumn("v", F.array("q0", "q1", "q2", "q3"))
-    d = A.action_chunk(d.select("domain", "episode_id", "frame_idx", "v"), ["v"], HORIZON)
-    stats = N.norm_fit(d, ["domain"], "chunk_v", "zscore").withColumn("scope", F.lit("domain"))
+    # numbered once, read for the fit and for the chunks
+    d = keep(d.select("domain", "episode_id", "frame_idx", "v"), "flagship-frames")
+    stats = N.norm_fit_chunks(d, ["domain"], "v", "zscore", HORIZON).withColumn("scope", F.lit("domain"))
+    d = A.action_chunk(d, ["v"], HORIZON)
     y = N.norm_apply(d, "chunk_v", stats, "zscore", 4)
     y = y.select("domain", F.posexplode("chunk_v").alias("step", "row")).select("domain", "step", F.posexplode("row").alias("dim", "y"))
     g = y.groupBy("domain", F.col("step").cast("bigint").alias("step"), F.col("dim").cast("bigint").alias("dim"))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from episodica.operators import normalize as N
-from episodica.queries.common import EVENTS, VECTORS, events, longer, table, vectors
+from episodica.queries.common import EVENTS, SAMPLES, VECTORS, events, longer, samples, table, vectors
 from episodica.registry import query, rnd, sql_rnd
 
 WIDTH = 64
@@ -344,3 +344,34 @@ def h12(spark, sf):
     return N.pick_stats(c, want)
 
 
+
+
+def _chunk_cells(horizon, stride, clamp):
+    """Every cell of every chunk, exploded: the definition that weighted frames have to meet."""
+    last = "least((%d) * %d, l - frame_idx)" % (horizon - 1, stride) if clamp else f"least(j * {stride}, (l - frame_idx) // {stride} * {stride})"
+    src = f"frame_idx + least(j * {stride}, {last})" if clamp else f"frame_idx + {last}"
+    return f"""{SAMPLES}, e AS (SELECT *, max(frame_idx) OVER (PARTITION BY episode_id) AS l FROM samples),
+i AS (SELECT episode_id, j, {src} AS src FROM e, (SELECT unnest(range(0, {horizon})) AS j)),
+c AS (SELECT i.episode_id % 5 AS domain, j AS t, d AS dim, CASE d WHEN 0 THEN s.value ELSE CAST(s.k AS DOUBLE) END AS x FROM i JOIN samples s ON s.episode_id = i.episode_id AND s.frame_idx = i.src, (SELECT unnest(range(0, 2)) AS d))"""
+
+
+def _chunk_fit_sql(norm_type, horizon, stride, clamp, per_time):
+    lo, hi = sql_guard(norm_type)
+    keys = "domain, t, dim" if per_time else "domain, dim"
+    return f"""WITH {_chunk_cells(horizon, stride, clamp)}, s AS (SELECT {keys}, {lo}, {hi} FROM c GROUP BY ALL)
+SELECT {keys}, {sql_rnd('lo')} AS lo, {sql_rnd('hi')} AS hi FROM s"""
+
+
+def _chunk_fit(spark, sf, norm_type, horizon, stride, clamp, per_time):
+    d = samples(spark, sf).select((F.col("episode_id") % 5).alias("domain"), "episode_id", "frame_idx", F.array(F.col("value"), F.col("k").cast("double")).alias("v"))
+    s = N.norm_fit_chunks(d, ["domain"], "v", norm_type, horizon, stride, clamp, per_time=per_time)
+    return rounded(s, *(["domain", "t", "dim"] if per_time else ["domain", "dim"]))
+
+
+for _name, _args in {
+    "h1_norm_fit_chunks_zscore": ("zscore", 8, 1, False, False),
+    "h1_norm_fit_chunks_quantile": ("quantile", 8, 3, False, False),
+    "h1_norm_fit_chunks_clamped": ("quantile", 6, 4, True, False),
+    "h1_norm_fit_chunks_per_time": ("quantile", 5, 2, False, True),
+}.items():
+    query(_name, _chunk_fit_sql(*_args))(lambda spark, sf, a=_args: _chunk_fit(spark, sf, *a))
