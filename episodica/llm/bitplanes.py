@@ -25,7 +25,7 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
@@ -346,9 +346,9 @@ def _partition() -> int:
 def read_ids(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row per document from the files: id, start, n_tokens and crc32 of the ids."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for file, start in zip(pdf["file"], pdf["start"]):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, start in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist()):
                 rows, at = [], int(start)
                 for doc, pieces in PlaneReader(file).documents():
                     crc = 0
@@ -363,12 +363,11 @@ def read_ids(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 if rows:
                     yield _rows(rows)
 
-    def _rows(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["id", "start", "n_tokens", "ids_crc32"])
-        return out.assign(id=out["id"].astype("Int64"))
+    def _rows(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["id", "start", "n_tokens", "ids_crc32"])
 
     n = max(1, manifest.count())
-    out = manifest.select("file", "start").repartition(n).mapInPandas(read, "id long, start long, n_tokens long, ids_crc32 long")
+    out = manifest.select("file", "start").repartition(n).mapInArrow(read, "id long, start long, n_tokens long, ids_crc32 long")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -94,9 +94,13 @@ def solve_rates(hist: DataFrame, sources: DataFrame, cap: float) -> DataFrame:
     )
     state = keep(state, "mix-state")
     carried = ["source", "source_size", "target", "unit", "lam", "lo", "hi", "done"]
-    for _ in range(STEPS):
+    for step_no in range(STEPS + 1):
         if state.where(~F.col("done")).isEmpty():
             break
+        if step_no == STEPS:
+            # bisection halves the bracket in every step that Newton does not shorten more
+            open_ = [r["source"] for r in state.where(~F.col("done")).select("source").limit(5).collect()]
+            raise RuntimeError(f"no rate found for sources {open_} in {STEPS} steps")
         x = F.col("size") / F.col("unit")
         r = F.least(F.lit(float(cap)), F.exp(F.least(F.col("lam") * x, F.lit(50.0))))
         inside = F.col("lam") * x < F.lit(math.log(cap))

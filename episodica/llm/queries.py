@@ -63,7 +63,7 @@ DECONTAMINATION_SQL = """
 WITH az AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS up, 'abcdefghijklmnopqrstuvwxyz' AS low),
 item_words AS (
   SELECT item_id, regexp_extract_all(translate(text, up, low), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
-  FROM benchmark, az WHERE text IS NOT NULL AND item_id IS NOT NULL),
+  FROM benchmark, az WHERE text IS NOT NULL),
 item_windows AS (
   SELECT DISTINCT item_id, least(len(w), 10) AS m, array_to_string(w[i : i + 9], ' ') AS s
   FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM item_words WHERE len(w) > 0)),
@@ -105,8 +105,8 @@ WITH p AS (
       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 o AS (
-  SELECT p.*, CASE WHEN quality IS NULL THEN NULL WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END AS bad
-  FROM p LEFT JOIN labels ON TRY_CAST(nullif(regexp_extract(path, '([0-9]+)(?:\\.html)?/?$', 1), '') AS BIGINT) = doc_id),
+  SELECT p.*, bad
+  FROM p LEFT JOIN (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id) ON TRY_CAST(nullif(regexp_extract(path, '([0-9]+)(?:\\.html)?/?$', 1), '') AS BIGINT) = doc_id),
 h0 AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS k, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS l FROM o GROUP BY host),
 h1 AS (SELECT *, CASE WHEN len(l) >= 2 AND length(l[-1]) = 2 AND l[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') THEN 2 ELSE 1 END AS s FROM h0),
 h AS (SELECT host, n, k, array_to_string(l[greatest(1, len(l) - s) :], '.') AS domain, array_to_string(l[greatest(1, len(l) - s + 1) :], '.') AS suffix FROM h1),
@@ -123,7 +123,20 @@ e0 AS (SELECT host, n, k, m2 AS p FROM h JOIN dom USING (domain)),
 e1 AS (SELECT least(1000, greatest(1, 1 / greatest(coalesce((sum(n * pow(k / n - p, 2) / (p * (1 - p))) FILTER (n > 0) - count(*) FILTER (n > 0))
     / sum(n - 1) FILTER (n > 1), 0), 1e-6) - 1)) AS st FROM e0),
 e AS (SELECT host, (st * p + k) / (st + n) AS m, st * p + k AS a, st * (1 - p) + n - k AS b FROM e0, e1),
-v AS (SELECT host, CASE WHEN m - 1.645 * sqrt(a * b / (pow(a + b, 2) * (a + b + 1))) > 0.5 THEN 'block' ELSE 'allow' END AS method FROM e),
+-- I(a, b), the chance of a share up to one half, by its continued fraction; the smaller side converges
+g AS (SELECT host, greatest(a, b) AS p, least(a, b) AS q, a >= b AS bad_side, lgamma(a + b) - lgamma(a) - lgamma(b) + (a + b) * ln(0.5::DOUBLE) AS front FROM e),
+cf AS (SELECT *, list_reduce(list_transform(range(1, 400), lambda i: {'c': CAST(i AS DOUBLE), 'd': 0.0::DOUBLE, 'h': 0.0::DOUBLE}),
+  lambda s, t: {
+    'c': 1 + (CASE WHEN CAST(t.c AS BIGINT) % 2 = 0 THEN (t.c / 2) * (q - t.c / 2) * 0.5 / ((p + t.c - 1) * (p + t.c))
+      ELSE -(p + (t.c - 1) / 2) * (p + q + (t.c - 1) / 2) * 0.5 / ((p + t.c - 1) * (p + t.c)) END) / s.c,
+    'd': 1 / (1 + (CASE WHEN CAST(t.c AS BIGINT) % 2 = 0 THEN (t.c / 2) * (q - t.c / 2) * 0.5 / ((p + t.c - 1) * (p + t.c))
+      ELSE -(p + (t.c - 1) / 2) * (p + q + (t.c - 1) / 2) * 0.5 / ((p + t.c - 1) * (p + t.c)) END) * s.d),
+    'h': s.h * (1 + (CASE WHEN CAST(t.c AS BIGINT) % 2 = 0 THEN (t.c / 2) * (q - t.c / 2) * 0.5 / ((p + t.c - 1) * (p + t.c))
+      ELSE -(p + (t.c - 1) / 2) * (p + q + (t.c - 1) / 2) * 0.5 / ((p + t.c - 1) * (p + t.c)) END) / s.c)
+      / (1 + (CASE WHEN CAST(t.c AS BIGINT) % 2 = 0 THEN (t.c / 2) * (q - t.c / 2) * 0.5 / ((p + t.c - 1) * (p + t.c))
+      ELSE -(p + (t.c - 1) / 2) * (p + q + (t.c - 1) / 2) * 0.5 / ((p + t.c - 1) * (p + t.c)) END) * s.d)},
+  {'c': 1e300::DOUBLE, 'd': 1.0::DOUBLE, 'h': 1.0::DOUBLE}).h AS h FROM g),
+v AS (SELECT host, CASE WHEN (CASE WHEN bad_side THEN exp(front) * h / p ELSE 1 - exp(front) * h / p END) < 0.05 THEN 'block' ELSE 'allow' END AS method FROM cf),
 r AS (SELECT *, CASE
   WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/'
   WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/%' THEN 'example.com/en/'
@@ -139,7 +152,9 @@ FROM r JOIN v ON r.host = v.host
 @query("op2_url_reputation", REPUTATION_SQL)
 def op2_url_reputation(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "pages").select("page_id", "url")
-    labels = table(spark, sf, "labels").select("doc_id", F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0).alias("bad"))
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)
+    # one label a document, however often it was labelled
+    labels = table(spark, sf, "labels").where("doc_id is not null").groupBy("doc_id").agg(F.max(bad).alias("bad"))
     # a page shows the document that its path names
     named = F.expr("try_cast(nullif(regexp_extract(__path, '([0-9]+)(?:[.]html)?/?$', 1), '') as bigint)")
     pages = pages.withColumn("__path", url_path(F.col("url"))).withColumn("__doc", named)
@@ -155,10 +170,10 @@ def op5_page_diff(spark: SparkSession, sf: str) -> DataFrame:
 LINES_SQL = """
 WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
 f AS (SELECT doc_id, l, list_filter(range(1, len(l) + 1), lambda i: regexp_matches(l[i], '[^\\x20\\x09-\\x0D]')) AS p FROM l WHERE text IS NOT NULL),
-w AS (SELECT doc_id, i, p, l[p[i]] || chr(10) || l[p[i + 1]] || chr(10) || l[p[i + 2]] AS s
-  FROM (SELECT *, unnest(range(1, len(p) - 1)) AS i FROM f)),
-r AS (SELECT doc_id, i, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS rn FROM w),
-gone AS (SELECT DISTINCT doc_id, unnest([p[i], p[i + 1], p[i + 2]]) AS pos FROM r WHERE rn > 1),
+w AS (SELECT doc_id, i, p, m, array_to_string(list_transform(p[i : i + m - 1], lambda j: l[j]), chr(10)) AS s
+  FROM (SELECT *, least(len(p), 3) AS m, unnest(range(1, greatest(len(p) - 2, 1) + 1)) AS i FROM f WHERE len(p) > 0)),
+r AS (SELECT doc_id, i, p, m, row_number() OVER (PARTITION BY s, m ORDER BY doc_id, i) AS rn FROM w),
+gone AS (SELECT DISTINCT doc_id, unnest(p[i : i + m - 1]) AS pos FROM r WHERE rn > 1),
 x AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS line FROM l WHERE text IS NOT NULL),
 k AS (SELECT x.doc_id, string_agg(line, chr(10) ORDER BY x.pos) AS t, count(*) AS n FROM x ANTI JOIN gone
   ON x.doc_id = gone.doc_id AND x.pos = gone.pos GROUP BY x.doc_id)
@@ -170,8 +185,7 @@ FROM l LEFT JOIN k ON l.doc_id = k.doc_id
 
 @query("op8_line_windows", LINES_SQL)
 def op8_line_windows(spark: SparkSession, sf: str) -> DataFrame:
-    # LINES_SQL has windows of three lines alone
-    return drop_repeated_lines(table(spark, sf, "documents").select("doc_id", "text"), short=False)
+    return drop_repeated_lines(table(spark, sf, "documents").select("doc_id", "text"))
 
 
 @query("op9_language_fusion")

@@ -11,8 +11,10 @@ bound of its posterior exceeds a limit.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from episodica.llm.common import AZ
@@ -75,13 +77,51 @@ def _shrunk(children: DataFrame, parent_mean: str) -> DataFrame:
     return d.withColumn("mean", (F.col("strength") * p + F.col("k")) / (F.col("strength") + F.col("n")))
 
 
-def host_reputation(pages: DataFrame, url_col: str = "url", bad_col: str = "bad", z: float = 1.645) -> DataFrame:
+def beta_cdf(x: float, a: float, b: float) -> float:
+    """Chance of a share up to ``x`` under a beta distribution, by the continued fraction of the incomplete beta function."""
+    if x <= 0.0 or x >= 1.0:
+        return float(x >= 1.0)
+    if x > (a + 1) / (a + b + 2):
+        return 1.0 - beta_cdf(1.0 - x, b, a)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    c, d, h = 1.0, 1.0 / (1.0 - (a + b) * x / (a + 1)), 1.0 / (1.0 - (a + b) * x / (a + 1))
+    for i in range(1, 10_000):
+        for term in (i * (b - i) * x / ((a + 2 * i - 1) * (a + 2 * i)), -(a + i) * (a + b + i) * x / ((a + 2 * i) * (a + 2 * i + 1))):
+            c, d = 1.0 + term / c, 1.0 / (1.0 + term * d)
+            h *= c * d
+        if abs(c * d - 1.0) < 1e-14:
+            break
+    return front * h / a
+
+
+def beta_quantile(q: float, a: float, b: float) -> float:
+    """The share below which a beta distribution lies with chance ``q``, by bisection."""
+    lo, hi = 0.0, 1.0
+    for _ in range(50):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if beta_cdf(mid, a, b) < q else (lo, mid)
+    return lo
+
+
+def _bounds(tail: float):
+    @F.arrow_udf("struct<lower:double,upper:double>")
+    def bounds(a: pa.Array, b: pa.Array) -> pa.Array:
+        pairs = list(zip(a.to_pylist(), b.to_pylist()))
+        seen = {p: (beta_quantile(tail, *p), beta_quantile(1 - tail, *p)) for p in dict.fromkeys(pairs)}
+        both = [seen[p] for p in pairs]
+        return pa.StructArray.from_arrays([pa.array([x[i] for x in both], pa.float64()) for i in (0, 1)], ["lower", "upper"])
+
+    return bounds
+
+
+def host_reputation(pages: DataFrame, url_col: str = "url", bad_col: str = "bad", tail: float = 0.05) -> DataFrame:
     """Posterior share of bad pages of every host: host, domain, suffix, n, k, mean, lower, upper.
 
     ``bad`` is 1, 0 or null (not labelled).  Only counts per host leave the map
     side, so a host with a third of all pages costs no more than another.
     Pages without a host share the host ''.  Without any label every host has
-    the mean 1/2.
+    the mean 1/2.  ``lower`` and ``upper`` leave out ``tail`` of the posterior beta
+    distribution at either end.
     """
     host = url_host(F.col(url_col))
     hosts = pages.groupBy(host.alias("host")).agg(
@@ -91,17 +131,16 @@ def host_reputation(pages: DataFrame, url_col: str = "url", bad_col: str = "bad"
     hosts = keep(hosts.withColumns({"domain": domain, "suffix": suffix}), "hosts")
     count = (F.sum("n").alias("n"), F.sum("k").alias("k"))
     root = hosts.agg(*count).select(((F.coalesce("k", F.lit(0)) + 1) / (F.coalesce("n", F.lit(0)) + 2)).alias("m0"))
-    suffixes = _shrunk(hosts.groupBy("suffix").agg(*count).crossJoin(F.broadcast(root)), "m0").select("suffix", F.col("mean").alias("m1"))
-    domains = hosts.groupBy("domain", "suffix").agg(*count).join(suffixes, "suffix")
+    # each level is worked out once and written: one row per suffix, domain and host
+    suffixes = keep(hosts.groupBy("suffix").agg(*count).crossJoin(F.broadcast(root)), "suffixes")
+    suffixes = _shrunk(suffixes, "m0").select("suffix", F.col("mean").alias("m1"))
+    domains = keep(hosts.groupBy("domain", "suffix").agg(*count).join(suffixes, "suffix"), "domains")
     domains = _shrunk(domains, "m1").select("domain", F.col("mean").alias("m2"))
-    d = _shrunk(hosts.join(domains, "domain"), "m2")
+    d = _shrunk(keep(hosts.join(domains, "domain"), "host-priors"), "m2")
     a = F.col("strength") * F.col("m2") + F.col("k")
     b = F.col("strength") * (1 - F.col("m2")) + F.col("n") - F.col("k")
-    sd = F.sqrt(a * b / (F.pow(a + b, 2) * (a + b + 1)))
-    return d.select(
-        "host", "domain", "suffix", "n", "k", "mean",
-        F.greatest(F.lit(0.0), F.col("mean") - z * sd).alias("lower"), F.least(F.lit(1.0), F.col("mean") + z * sd).alias("upper"),
-    )
+    d = d.withColumn("bounds", _bounds(tail)(a, b))
+    return keep(d.select("host", "domain", "suffix", "n", "k", "mean", "bounds.lower", "bounds.upper"), "reputation")
 
 
 def judge_urls(

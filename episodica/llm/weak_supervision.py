@@ -12,8 +12,10 @@ EM on the counts equals EM on the documents, whatever their number.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from episodica.llm.common import require
@@ -117,16 +119,34 @@ def vote(value: float | None, limits: tuple[float, float, float, float]) -> int:
     return 2 if value < bad_below or value > bad_above else 0
 
 
-@F.pandas_udf(_SCHEMA)
-def _measures(texts: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(_SCHEMA)
+def _measures(texts: pa.Array) -> pa.Array:
     rows = []
-    for t in texts:
+    for t in texts.to_pylist():
         base, m = measure(t)
         code = 0
         for _, name, limits in RULES:
             code = code * 3 + vote(m.get(name), limits)
         rows.append((*base, code))
-    return pd.DataFrame(rows, columns=[*BASE, "pattern"])
+    columns = list(zip(*rows)) or [()] * (len(BASE) + 1)
+    kinds = [pa.int64()] * len(BASE) + [pa.int32()]
+    return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [*BASE, "pattern"])
+
+
+def vote_rates(n: np.ndarray) -> np.ndarray:
+    """Vote rates (class, rule, vote) of highest likelihood for counts ``n``, objections being no rarer in class bad.
+
+    Where the plain rates would cross, both classes share the pooled rate of
+    objections and the rest is divided between the other two votes as counted.
+    """
+    total = n.sum(axis=2, keepdims=True)
+    rates = n / total
+    crossed = rates[0, :, 2] > rates[1, :, 2]
+    pooled = n[:, :, 2].sum(axis=0) / total[:, :, 0].sum(axis=0)
+    for c in (0, 1):
+        rest = n[c, :, :2] / n[c, :, :2].sum(axis=1, keepdims=True) * (1 - pooled)[:, None]
+        rates[c] = np.where(crossed[:, None], np.concatenate([rest, pooled[:, None]], axis=1), rates[c])
+    return rates
 
 
 def fit_votes(patterns: np.ndarray, counts: np.ndarray, steps: int = 500) -> tuple[np.ndarray, np.ndarray]:
@@ -146,16 +166,18 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, steps: int = 500) -> tup
     post = np.where((votes == 2).any(axis=1), 0.3, 0.95)
     rates = np.full((2, k, 3), 1 / 3)
     for _ in range(steps):
-        for c, p in ((0, w * post), (1, w * (1 - post))):
-            rates[c] = (np.einsum("i,ijv->jv", p, onehot) + 0.5) / (p.sum() + 1.5)
-        rates[0, :, 2] = np.minimum(rates[0, :, 2], rates[1, :, 2])
+        # expected counts of each vote with half a count added
+        n = np.stack([np.einsum("i,ijv->jv", p, onehot) + 0.5 for p in (w * post, w * (1 - post))])
+        rates = vote_rates(n)
         share = (w @ post + 1) / (w.sum() + 2)
         logs = np.einsum("ijv,cjv->ic", onehot, np.log(rates))
         odds = np.clip(logs[:, 1] + np.log(1 - share) - logs[:, 0] - np.log(share), -700, 700)
         new = 1 / (1 + np.exp(odds))
         moved, post = np.abs(new - post).max(initial=0), new
         if moved < 1e-9:
-            break
+            return post, rates
+    # a flat likelihood: the posteriors are those of the last step, which differ from the one before by this much
+    warnings.warn(f"vote rates still moved by {moved:.2g} after {steps} steps", RuntimeWarning, stacklevel=2)
     return post, rates
 
 

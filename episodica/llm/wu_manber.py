@@ -23,7 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from episodica.llm.common import require
@@ -117,17 +117,22 @@ _FOUND = T.StructType([
 ])
 
 
+_ARROW = pa.struct([
+    ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), ("items", pa.list_(pa.string())),
+])
+
+
 def _searcher(block: list[tuple[str | None, list[bytes]]], window: int):
-    @F.pandas_udf(_FOUND)
-    def search(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(_FOUND)
+    def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         matchers = build(block, window)
         for texts in batches:
             rows = []
-            for t in texts:
+            for t in texts.to_pylist():
                 w = words(t)
                 spans, items = find(w, matchers)
-                rows.append((len(w), [{"start": a, "stop": b} for a, b in spans], items))
-            yield pd.DataFrame(rows, columns=["n_words", "spans", "items"])
+                rows.append({"n_words": len(w), "spans": [{"start": a, "stop": b} for a, b in spans], "items": items})
+            yield pa.array(rows, _ARROW)
 
     return search
 
@@ -150,9 +155,9 @@ def _blocks(benchmark: DataFrame, window: int, block_windows: int) -> Iterator[l
         yield held
 
 
-@F.pandas_udf(T.LongType())
-def _count_words(texts: pd.Series) -> pd.Series:
-    return pd.Series([len(words(t)) for t in texts], dtype="int64")
+@F.arrow_udf(T.LongType())
+def _count_words(texts: pa.Array) -> pa.Array:
+    return pa.array([len(words(t)) for t in texts.to_pylist()], pa.int64())
 
 
 def _pass_by_pass(d: DataFrame, blocks: Iterator[list[tuple[str | None, list[bytes]]]], window: int) -> DataFrame:

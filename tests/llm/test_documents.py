@@ -432,3 +432,58 @@ def test_copies_of_one_or_two_lines_go(llm):
     assert got == {i: (t, 0) for i, t in rows} | {2: ("\n ", 2), 4: ("", 1), 7: ("", 3)}
     kept = {r["doc_id"]: r["n_removed"] for r in line_windows.drop_repeated_lines(d, short=False).collect()}
     assert kept == {i: 3 if i == 7 else 0 for i, _ in rows}
+
+
+# ---------------------------------------------------------------- vote rates
+def _objective(n, rates):
+    return (n * np.log(rates)).sum()
+
+
+def test_vote_rates_are_the_best_under_the_constraint():
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        n = rng.integers(0, 40, size=(2, 10, 3)) + 0.5
+        r = weak_supervision.vote_rates(n)
+        assert np.allclose(r.sum(axis=2), 1) and (r[0, :, 2] <= r[1, :, 2] + 1e-12).all()
+        # no allowed neighbour is better
+        for _ in range(40):
+            other = np.clip(r + rng.normal(0, 0.02, r.shape), 1e-3, None)
+            other /= other.sum(axis=2, keepdims=True)
+            ok = other[0, :, 2] <= other[1, :, 2]
+            other = np.where(ok[None, :, None], other, r)
+            assert _objective(n, other) <= _objective(n, r) + 1e-9
+
+
+def test_em_never_loses_likelihood_and_equals_a_plain_loop():
+    rng = np.random.default_rng(5)
+    patterns = np.unique(rng.integers(0, 3**10, 300))
+    counts = rng.integers(1, 30, len(patterns))
+    votes = np.array([[p // 3 ** (9 - j) % 3 for j in range(10)] for p in patterns])
+
+    def bound(post, rates, share):
+        """Log likelihood with the half counts and the prior of the share."""
+        a = np.log(share) + np.log(rates[0])[np.arange(10), votes].sum(axis=1)
+        b = np.log(1 - share) + np.log(rates[1])[np.arange(10), votes].sum(axis=1)
+        return (counts * np.logaddexp(a, b)).sum() + 0.5 * np.log(rates).sum() + np.log(share) + np.log(1 - share)
+
+    post = np.where((votes == 2).any(axis=1), 0.3, 0.95)
+    last = -np.inf
+    for _ in range(500):
+        n = np.full((2, 10, 3), 0.5)
+        for i, v in enumerate(votes):
+            for j in range(10):
+                n[0, j, v[j]] += counts[i] * post[i]
+                n[1, j, v[j]] += counts[i] * (1 - post[i])
+        rates = weak_supervision.vote_rates(n)
+        share = ((counts * post).sum() + 1) / (counts.sum() + 2)
+        now = bound(post, rates, share)
+        assert now >= last - 1e-7
+        last = now
+        a = np.log(share) + np.log(rates[0])[np.arange(10), votes].sum(axis=1)
+        b = np.log(1 - share) + np.log(rates[1])[np.arange(10), votes].sum(axis=1)
+        new = 1 / (1 + np.exp(np.clip(b - a, -700, 700)))
+        if np.abs(new - post).max() < 1e-9:
+            break
+        post = new
+    got, _ = weak_supervision.fit_votes(patterns, counts)
+    assert np.abs(got - new).max() < 1e-6

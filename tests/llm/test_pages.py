@@ -4,10 +4,12 @@ import html
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from episodica.llm import language_id, page_diff, url_reputation
 
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -142,3 +144,42 @@ def test_evidence_fuses(llm, sf):
     assert got[903]["lang"] == got[903]["text_lang"] == "en" and got[903]["declared"] == "de"
     assert Counter(r["declared"] for r in got.values())[None] == 3
     assert language_id.identify(d.limit(0), model).count() == 0
+
+
+# ---------------------------------------------------------------- furniture inside articles
+@pytest.mark.parametrize("page, want", [
+    ('<article><div class="menu recipe"><p>The menu of the restaurant</p></div><p>Was good.</p></article>', "The menu of the restaurant Was good."),
+    ('<article><p>Text.</p><div class="menu"><a href=x>One</a> <a href=y>Two</a></div></article>', "Text."),
+    ('<article><p>Text.</p><div class="search notice">A notice on the search <a href=x>here</a> of lost dogs</div></article>', "Text. A notice on the search here of lost dogs"),
+    ('<article><p>Text.</p><article class="comment"><p>Nice post!</p></article></article><article class="related"><p>Other story</p></article>', "Text."),
+    ('<article><p>Text.</p><section id="comments"><p>First!</p></section><div class="ad">Buy</div><p>End.</p></article>', "Text. End."),
+    ('<article class="comment story-1"><p>Only a comment</p></article><p>Body</p>', "Body"),
+    ('<main><p>A</p><ul class="share"><li><a>x</a><li><a>y</a></ul><p>B</main>', "A B"),
+    ('<article><div class="related"><a>all links</a>', ""),
+])
+def test_names_inside_an_article(page, want):
+    assert " ".join(page_diff.page_lines(page)[0]) == want
+
+
+def test_beta_bounds():
+    rng = np.random.default_rng(0)
+    for a, b in ((0.3, 0.9), (1, 1), (2.5, 40), (300, 3), (5000, 9000)):
+        draws = rng.beta(a, b, 200_000)
+        for q in (0.05, 0.5, 0.95):
+            x = url_reputation.beta_quantile(q, a, b)
+            assert abs(url_reputation.beta_cdf(x, a, b) - q) < 1e-9 and abs((draws <= x).mean() - q) < 0.005
+    assert url_reputation.beta_cdf(0.25, 1, 1) == pytest.approx(0.25) and url_reputation.beta_cdf(0.5, 3, 3) == pytest.approx(0.5)
+
+
+def test_a_few_bad_labels_do_not_block_but_many_do(llm):
+    rows = [(f"http://few.example.com/{i}", 1) for i in range(2)] + [(f"http://many.example.org/{i}", 1) for i in range(200)]
+    rows += [(f"http://good{i % 40}.example.net/{i}", 0) for i in range(800)] + [("http://none.example.net/" + "x" * 100_000, None), (None, None)]
+    d = llm.createDataFrame(rows, "url string, bad int").withColumn("host", F.lit("x"))
+    got = {r["host"]: r["verdict"] for r in url_reputation.judge_urls(d, [], 0.5).collect()}
+    assert got["many.example.org"] == "block" and got["good3.example.net"] == got["none.example.net"] == got[""] == "allow"
+
+
+def test_repeated_labels_give_a_page_once(llm, tmp_path):
+    llm.createDataFrame([(1, "http://a.example.com/en/7.html", "<p>x"), (2, None, None)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    llm.createDataFrame([(7, 0, 0), (7, 1, 1), (7, 1, 0), (None, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert sorted(r["page_id"] for r in queries()["op2_url_reputation"](llm, str(tmp_path)).collect()) == [1, 2]
