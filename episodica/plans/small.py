@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, functions as F
 
 from episodica.session import scratch_path
@@ -16,7 +18,25 @@ def keep(df: DataFrame, name: str = "kept") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_path = path
+    return out
+
+
+def forget(*tables: DataFrame | None, shuffles: bool = False) -> None:
+    """Remove tables that :func:`keep` wrote and that nothing will read again.
+
+    Only for tables whose readers have been written themselves: their rows are gone.
+    With ``shuffles`` the driver collects its garbage as well, so that Spark drops the
+    shuffle files of plans that have ended (it takes a moment: once a phase, not once a table).
+    """
+    paths = [(t, p) for t in tables if t is not None and (p := getattr(t, "_kept_path", None))]
+    for t, p in paths:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    if paths and shuffles:
+        gc.collect()
+        paths[0][0].sparkSession._jvm.System.gc()
 
 
 def lookup(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
