@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 from episodica.queries.common import (
     FRAMES, RAW_FRAMES, bigint, frames, raw_frames, table,
 )
-from episodica.registry import query, rnd, sql_rnd
+from episodica.registry import ORACLES, query, rnd, sql_rnd
 from episodica.session import scratch_path
 from episodica.sources import catalog as C, frames as S
+from episodica.sources.append import append_batch, read_batches
 
 CATALOG = """entries AS (
   SELECT CAST(c_custkey AS BIGINT) AS config_index,
@@ -42,23 +43,13 @@ def catalog(spark, sf):
     return C.resolve_catalog(entries(spark, sf))
 
 
-@query("a1_catalog_round_trip", f"""SELECT CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS BIGINT) AS config_index, n_name AS name,
-  '/data/r' || CAST(n_regionkey AS VARCHAR) || '/set' || CAST(n_nationkey AS VARCHAR) AS path, {sql_rnd('0.1 + n_nationkey / 100.0')} AS ratio,
-  'N' || CAST(n_regionkey AS VARCHAR) AS norm_domain FROM nation""")
+@query("a1_catalog_round_trip", f"WITH {CATALOG} SELECT config_index, name, path, {sql_rnd('use_trajectory_ratio')} AS ratio, norm_domain FROM catalog")
 def a1_round_trip(spark, sf):
-    """One catalog file per region, written and read again."""
-    n = table(spark, sf, "nation")
-    rows = n.select(
-        "n_regionkey", F.col("n_nationkey").alias("config_index"), F.col("n_name").alias("name"),
-        F.concat(F.lit("/data/r"), F.col("n_regionkey").cast("string"), F.lit("/set"), F.col("n_nationkey").cast("string")).alias("path"),
-        (F.lit(0.1) + F.col("n_nationkey") / 100.0).alias("use_trajectory_ratio"),
-        F.concat(F.lit("N"), F.col("n_regionkey").cast("string")).alias("norm_domain"))
-    root, back = scratch_path(spark, "catalog-files"), None
-    for r in table(spark, sf, "region").select("r_regionkey").collect():
-        C.write_catalog(rows.where(F.col("n_regionkey") == r.r_regionkey).drop("n_regionkey"), f"{root}/{r.r_regionkey}", 0.5)
-        one = C.read_catalog(spark, f"{root}/{r.r_regionkey}")
-        back = one if back is None else back.unionByName(one)
-    return back.select("config_index", "name", "path", rnd(F.col("use_trajectory_ratio")).alias("ratio"), "norm_domain")
+    """Written as documents of 50 entries and read again."""
+    root = scratch_path(spark, "catalog-files")
+    C.write_catalog_parts(catalog(spark, sf), root, 0.5, 50)
+    return C.read_catalog(spark, root).select(
+        "config_index", "name", "path", rnd(F.col("use_trajectory_ratio")).alias("ratio"), "norm_domain")
 
 
 @query("a1_read_catalog", f"WITH {CATALOG} SELECT config_index, name, path, {sql_rnd('use_trajectory_ratio')} AS ratio, norm_domain FROM catalog")
@@ -117,6 +108,17 @@ def a3_twice(spark, sf):
         F.count_distinct("episode_id").alias("n_episodes"), F.count(F.lit(1)).alias("n_frames"), F.max("episode_seq").cast("bigint").alias("last_seq"))
 
 
+@query("a3_append_batches", ORACLES["a3_append_twice"])
+def a3_batches(spark, sf):
+    """Two named batches; the first one comes again behind the second and changes nothing."""
+    root = scratch_path(spark, "appended-batches")
+    d = frames(spark, sf)
+    for part in (0, 1, 0):
+        append_batch(d.where(F.col("episode_id") % 2 == part), root, f"part-{part}")
+    return read_batches(spark, root).groupBy("domain", F.col("file_no").cast("bigint").alias("file_no")).agg(
+        F.count_distinct("episode_id").alias("n_episodes"), F.count(F.lit(1)).alias("n_frames"), F.max("episode_seq").cast("bigint").alias("last_seq"))
+
+
 def _ragged(d):
     """Frames with a few damaged keys, so that the rules have something to find."""
     vec = F.array("q0", "q1", "q2", "q3")
@@ -139,6 +141,12 @@ def a4(spark, sf):
     return S.validate_frames(d, ["signal", "extra"], ends)
 
 
+@query("a4_observed_append", ORACLES["a4_validate_frames"].split("\nUNION ALL SELECT domain, file_id, 'episode_ends'")[0])
+def a4_observed(spark, sf):
+    """What an append finds while it writes."""
+    return append_batch(_ragged(frames(spark, sf)), scratch_path(spark, "appended-observed"), "one", arrays=["signal", "extra"])
+
+
 @query("a5_step_slice", f"""WITH {RAW_FRAMES}
 SELECT episode_id, frame_idx, {sql_rnd('q1')} AS q1 FROM raw_frames WHERE frame_idx >= 1 AND frame_idx < 6 AND (frame_idx - 1) % 2 = 0""")
 def a5(spark, sf):

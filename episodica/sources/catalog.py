@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 ENTRY = (
     "array<struct<name:string,path:string,use_trajectory_ratio:double,"
-    "norm_stats_domain_name:string,enabled:boolean>>"
+    "norm_stats_domain_name:string,enabled:boolean,config_index:bigint>>"
 )
 CATALOG_SCHEMA = f"datasets {ENTRY}, default_use_trajectory_ratio double"
 
@@ -18,8 +18,10 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     (else 1.0), a missing name the last path part, a missing norm domain the name.
     """
     raw = spark.read.schema(CATALOG_SCHEMA).option("multiLine", True).json(path)
-    d = raw.select("default_use_trajectory_ratio", F.posexplode("datasets").alias("config_index", "e"))
-    return resolve_catalog(d.select("config_index", "e.*", "default_use_trajectory_ratio"))
+    d = raw.select("default_use_trajectory_ratio", F.posexplode("datasets").alias("__at", "e"))
+    # an entry of a catalog in several documents says its own place
+    at = F.coalesce(F.col("e.config_index"), F.col("__at").cast("bigint"))
+    return resolve_catalog(d.select(at.alias("config_index"), F.col("e").dropFields("config_index").alias("e"), "default_use_trajectory_ratio").select("config_index", "e.*", "default_use_trajectory_ratio"))
 
 
 def resolve_catalog(entries: DataFrame) -> DataFrame:
@@ -35,6 +37,19 @@ def resolve_catalog(entries: DataFrame) -> DataFrame:
     )
 
 
+def write_catalog_parts(catalog: DataFrame, path: str, default_ratio: float = 1.0, per_document: int = 1000) -> None:
+    """A long catalog as many JSON documents of ``per_document`` entries, each a file, written in parallel."""
+    part = F.floor(F.col("config_index") / per_document).alias("part")
+    entry = F.struct(
+        "config_index", "name", "path", "use_trajectory_ratio",
+        F.col("norm_domain").alias("norm_stats_domain_name"), F.lit(True).alias("enabled"),
+    )
+    doc = catalog.groupBy(part).agg(F.array_sort(F.collect_list(entry)).alias("datasets"))
+    doc = doc.select("part", F.to_json(F.struct("datasets", F.lit(default_ratio).alias("default_use_trajectory_ratio"))).alias("value"))
+    # a folder per document, so that no file holds two
+    doc.write.mode("overwrite").partitionBy("part").text(path)
+
+
 def write_catalog(catalog: DataFrame, path: str, default_ratio: float = 1.0) -> None:
     """One JSON document with all entries, in config order (catalogs list folders, so few rows)."""
     entry = F.struct(

@@ -59,6 +59,10 @@ def scan_frames(spark: SparkSession, catalog: DataFrame, schema: StructType | st
         d = d.withColumn("source_file", F.col("_metadata.file_path"))
         d = d.drop("domain") if "domain" in d.columns else d
         parts.append(d.withColumn("domain", F.explode(F.array(*[F.lit(n) for n in names]))))
+    if not parts:
+        # no folder, no columns but those that a scan adds and those that were asked for
+        empty = spark.createDataFrame([], schema) if schema is not None else spark.createDataFrame([], "domain string")
+        return empty.drop("domain").withColumns({"source_file": F.lit(None).cast("string"), "domain": F.lit(None).cast("string")})
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
