@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from episodica.operators import batch as B, mix as M, split as S
+from episodica.operators.permute import Permutation, epoch_batches, epoch_part
 from episodica.queries.common import EPISODES, FRAMES, VECTORS, bigint, episodes, frames, table, vectors
 from episodica.queries.sources_q import CATALOG, catalog
 from episodica.registry import query, rnd, sql_rnd
@@ -256,3 +257,32 @@ def c14(spark, sf):
     return B.shuffle_samples(d, "doc_id", 11).select("doc_id", *bigint("order_no"), "picked")
 
 
+
+
+# ---------------------------------------------------------------- epoch orders without a sort
+def _epoch_sql(seed, epoch):
+    """The grid depends on the number of samples, so the passes are written for it inside the query."""
+    out = []
+    for n in (1_000, 10_000, 100_000):
+        p = Permutation(n, seed, epoch)
+        out.append(f"""SELECT * FROM (WITH RECURSIVE w(i, x, first) AS (SELECT event_id, event_id, TRUE FROM events WHERE (SELECT count(*) FROM events) = {n}
+  UNION ALL SELECT i, {p.sql('x')}, FALSE FROM w WHERE first OR x >= {n}) SELECT i AS event_id, x AS place FROM w WHERE NOT first AND x < {n})""")
+    return "places AS (" + " UNION ALL ".join(out) + ")"
+
+
+@query("c14_epoch_order", f"""WITH {_epoch_sql(5, 2)}
+SELECT event_id, place, place // 32 AS batch_no, place % 32 AS slot, place // 32 % 4 AS rank FROM places WHERE place < (SELECT count(*) FROM events) // 32 * 32""")
+def c14_epoch(spark, sf):
+    e = table(spark, sf, "events").select("event_id")
+    d = epoch_batches(e, "event_id", e.count(), 32, 4, seed=5, epoch=2)
+    return d.select("event_id", "place", "batch_no", "slot", "rank")
+
+
+@query("c14_epoch_restart", f"""WITH {_epoch_sql(5, 3)}
+SELECT place, event_id, user_id FROM places JOIN events USING (event_id) WHERE place >= (SELECT count(*) FROM events) // 3""")
+def c14_restart(spark, sf):
+    """The last two thirds of an epoch: their samples are looked up, no order is made."""
+    e = table(spark, sf, "events")
+    n = e.count()
+    rest = epoch_part(spark, n, n // 3, n, seed=5, epoch=3)
+    return rest.join(e, rest["sample_no"] == e["event_id"]).select("place", "event_id", "user_id")
