@@ -183,3 +183,59 @@ def test_repeated_labels_give_a_page_once(llm, tmp_path):
     llm.createDataFrame([(1, "http://a.example.com/en/7.html", "<p>x"), (2, None, None)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     llm.createDataFrame([(7, 0, 0), (7, 1, 1), (7, 1, 0), (None, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert sorted(r["page_id"] for r in queries()["op2_url_reputation"](llm, str(tmp_path)).collect()) == [1, 2]
+
+
+# ---------------------------------------------------------------- language: every step by hand
+def _soft(x):
+    e = np.exp(np.asarray(x) - np.max(x))
+    return e / e.sum()
+
+
+def brute_language(rows, model):
+    """id -> posterior over the languages, from plain loops over (id, url, html)."""
+    pages = []
+    for i, url, page in rows:
+        m = re.search(r"://([^/?#]*)", url or "")
+        host = m[1].lower() if m else ""
+        labels = host.split(".")
+        two = len(labels) >= 2 and len(labels[-1]) == 2 and labels[-2] in url_reputation.SECOND_LEVEL
+        size = 2 if two else 1
+        said = re.search(r"<html[^>]*?\slang\s*=\s*[\"']?([A-Za-z]{2,3})", page or "", re.I)
+        scores = np.array(language_id.text_scores(" ".join(page_diff.page_lines(page)[0]), model))
+        pages.append({"id": i, "host": host, "domain": ".".join(labels[-size - 1 :]), "suffix": ".".join(labels[-size:]),
+                      "declared": said[1].lower() if said else "", "scores": scores, "post": _soft(scores)})
+    total = sum(p["post"] for p in pages)
+    n = len(total)
+    root = (total + 1) / (len(pages) + n)
+    out = {}
+    for p in pages:
+        logs = p["scores"].copy()
+        prior = root
+        for level in ("domain", "host"):
+            same = [q for q in pages if q[level] == p[level]]
+            others = np.maximum(sum(q["post"] for q in same) - p["post"], 0)
+            prior = (others + language_id.SMOOTHING * prior) / (len(same) - 1 + language_id.SMOOTHING)
+        logs += np.log(prior)
+        for kind in ("declared", "suffix"):
+            if p[kind] != "":
+                kinds = len({q[kind] for q in pages})
+                logs += np.log((sum(q["post"] for q in pages if q[kind] == p[kind]) + 1) / (total + kinds))
+        out.setdefault(p["id"], []).append(_soft(logs))
+    return out
+
+
+def test_fused_posterior_equals_brute_force(llm, sf):
+    docs = llm.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    model = language_id.fit_trigrams(docs)
+    texts = {lang: [r["text"] for r in docs.where(f"lang = '{lang}'").orderBy("doc_id").limit(6).collect()] for lang in language_id.LANGUAGES}
+    rows = [(100 * k + i, f"http://{'ab'[i % 2]}.{lang}.co.uk/{i}" if k % 2 else f"https://WWW.{lang}site.com/{i}", f'<html lang="{lang if i % 3 else "xx"}"><p>{t}</p>')
+            for k, lang in enumerate(texts) for i, t in enumerate(texts[lang])]
+    rows += [(900, None, None), (901, "http://a.de.co.uk/", ""), (901, "http://a.de.co.uk/", ""), (902, "nourl", "<p>the of and " * 20_000), (None, "http://esite.com", "<html lang=es>1 2")]
+    d = llm.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, suffix string, post string").repartition(3)
+    want = brute_language(rows, model)
+    got = language_id.identify(d, model).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        p = want[r["page_id"]][0]
+        assert r["probability"] == pytest.approx(p.max(), abs=1e-9)
+        assert r["lang"] == (language_id.LANGUAGES[int(p.argmax())] if p.max() >= 0.5 else "und")
