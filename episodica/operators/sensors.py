@@ -154,7 +154,7 @@ def contact_thresholds(scores: DataFrame, stream: Sequence[str] = ("stream",), s
     # whole bins above the threshold are counted, the bin it falls into is read
     cut = join_same(hist.where(positive), t.select(*stream, "threshold"), stream)
     above = cut.groupBy(*stream).agg(F.sum(F.when(F.col("lo") > F.col("threshold"), F.col("cnt")).otherwise(F.lit(0))).alias("__whole"))
-    across = lookup(cut.where((F.col("lo") <= F.col("threshold")) & (F.col("hi") > F.col("threshold"))).select(*stream, "bin", "threshold"))
+    across = cut.where((F.col("lo") <= F.col("threshold")) & (F.col("hi") > F.col("threshold"))).select(*stream, "bin", "threshold")
     some = join_same(fin, across, [*stream, "bin"]).groupBy(*stream).agg(F.count(F.when(F.col("s") > F.col("threshold"), 1)).alias("__some"))
     exceed = join_same(above, some, stream, "left").select(*stream, (F.col("__whole") + F.coalesce("__some", F.lit(0))).alias("exceed_count"))
     out = join_same(join_same(counts, t, stream, "left"), exceed, stream, "left")

@@ -139,7 +139,8 @@ def values_at(rows: DataFrame, hist: DataFrame, keys: Sequence[str], value: str,
     hit = lookup(hit)
     known = hit.where("lo = hi").select(*keys, "name", F.col("lo").alias("v"), (F.col("before") + F.col("cnt")).alias("upto"))
     bins = hit.where("lo < hi").select(*keys, "bin", "before").distinct()
-    inside = join_same(rows.select(*keys, F.col(bin_col).alias("bin"), F.col(value).alias("v")), lookup(bins), [*keys, "bin"])
+    # no larger than the hits, whose size has been checked; Spark plans the join by what they are
+    inside = join_same(rows.select(*keys, F.col(bin_col).alias("bin"), F.col(value).alias("v")), bins, [*keys, "bin"])
     each = inside.groupBy(*keys, "bin", "before", "v").agg(F.count(F.lit(1)).alias("m"))
     w = W.partitionBy(*keys, "bin").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
     each = each.withColumn("upto", F.sum("m").over(w) + F.col("before")).withColumn("from", F.col("upto") - F.col("m")).drop("before", "m")
