@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from episodica.plans.small import keep
+from episodica.plans.small import forget, keep
 
 #: bits of the row filter; its table has at most FILTER_BITS / 64 rows
 FILTER_BITS = 1 << 22
@@ -19,14 +19,17 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = keep(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "cc-edges")
     labels = keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "cc-labels")
+    kept = labels
     while True:
         seen = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         step = labels.join(seen, "node").select("node", "comp", F.least("comp", "near").alias("new"))
         jump = step.select(F.col("node").alias("new"), F.col("new").alias("far"))
         # a label is itself a node with a label
         step = keep(step.join(jump, "new", "left").select("node", F.col("comp").alias("old"), F.least("new", F.coalesce("far", "new")).alias("comp")), "cc-labels")
-        labels = step.select("node", "comp")
+        forget(kept)
+        kept, labels = step, step.select("node", "comp")
         if step.where("old != comp").isEmpty():
+            forget(both)
             return labels
 
 

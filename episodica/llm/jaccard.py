@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from episodica.llm.common import require
 from episodica.llm.components import components, maybe_among
-from episodica.plans.small import keep
+from episodica.plans.small import forget, keep
 
 #: parity bits of a set, and longs that hold them
 BITS = 512
@@ -325,7 +325,9 @@ def _verify(pairs: DataFrame, reps: DataFrame, d: DataFrame, n: int, num: int, d
     hubs = width.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("w") - 1)).alias("salt"))
     hubs = hubs.join(texts, F.col("b") == F.col("node")).select("b", "salt", F.lit(None).cast("long").alias("a"), "text")
     rows = partners.union(hubs).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
-    return rows.mapInArrow(run, "a long, b long")
+    links = keep(rows.mapInArrow(run, "a long, b long"), "jaccard-links")
+    forget(wanted, texts)
+    return links
 
 
 def _classed(d: DataFrame, comp: DataFrame | None, *cols: str) -> DataFrame:
@@ -420,7 +422,9 @@ def _rare_pairs(met: DataFrame, info: DataFrame, nodes: DataFrame, num: int, den
     x, y = info.alias("x"), info.alias("y")
     d = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(_may_link("x", "y", num, den))
     d = keep(d.select("a", "b", _off("x", "y").alias("off")), "jaccard-pairs")
-    return keep(_share_prefixes(d, nodes), "jaccard-rare")
+    rare = keep(_share_prefixes(d, nodes), "jaccard-rare")
+    forget(d)
+    return rare
 
 
 def _mixed_tokens(d: DataFrame) -> DataFrame:
@@ -476,7 +480,8 @@ def jaccard_components(
     buckets = 1 << int(np.clip(np.ceil(np.log2(max(1, 32 * rows))), 16, MAX_BUCKETS))
     first = _first_pass(d, n, buckets)
     nodes = _second_pass(d, n, num, den, _count_ranks(first, buckets))
-    sets = first.where("chunk is null").select("id", "tk", "n", "node")
+    sets = keep(first.where("chunk is null").select("id", "tk", "n", "node"), "jaccard-rows")
+    forget(first)
     reps = keep(sets.where("node is not null").groupBy("node").agg(F.min("tk").alias("tk")), "jaccard-reps")
 
     met = _met(nodes, num, den)
@@ -484,21 +489,26 @@ def jaccard_components(
     rare = _rare_pairs(met, info, nodes, num, den)
     often = met.where("b is null").select("token", F.col("a").alias("node")).distinct()
     often = keep(often.join(info, "node"), "jaccard-postings")
+    forget(met, info, shuffles=True)
 
     comp = edges = None
     for seed in range(ROUNDS + 1):
         last = seed == ROUNDS
         left = keep(_classed(rare, comp, "a", "b").where("a_comp != b_comp").select("a", "b", "off"), "jaccard-left")
-        d2 = _mixed_tokens(keep(_classed(often, comp, "node"), "jaccard-often"))
-        more = _all_pairs(d2, num, den) if last else _hub_pairs(d2, seed, num, den)
-        pairs = left.unionByName(_share_prefixes(keep(more, "jaccard-pairs"), nodes))
+        classed = keep(_classed(often, comp, "node"), "jaccard-often")
+        d2 = _mixed_tokens(classed)
+        more = keep(_all_pairs(d2, num, den) if last else _hub_pairs(d2, seed, num, den), "jaccard-pairs")
+        pairs = left.unionByName(_share_prefixes(more, nodes))
         if not last:
             # the nearest candidate of every node
             pairs = pairs.groupBy("a").agg(F.min_by("b", F.struct("off", "b")).alias("b"))
         pairs = keep(pairs.select("a", "b").distinct(), "jaccard-candidates")
-        new = keep(_verify(pairs, reps, d, n, num, den), "jaccard-links")
-        edges = new if edges is None else keep(edges.union(new), "jaccard-edges")
+        new, old = _verify(pairs, reps, d, n, num, den), edges
+        edges = new if old is None else keep(old.union(new), "jaccard-edges")
         comp = components(edges)
+        # what this round made is in the links by now
+        forget(left, classed, more, pairs, *([old, new] if old is not None else []), shuffles=True)
+    forget(nodes, reps, rare, often, edges, shuffles=True)
     labelled = sets.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = labelled.where("comp is not null").groupBy("comp").agg(F.min("id").alias("component_id"))
     out = labelled.join(smallest, "comp", "left")
