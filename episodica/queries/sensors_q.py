@@ -136,10 +136,11 @@ TACTILE = """tact AS (SELECT domain, episode_id, frame_idx, flag AS sensor, stat
 
 
 def tactile(spark, sf):
+    # halves go to the even number, as in a cast of the SQL
     d = frames(spark, sf)
     return d.select("domain", "episode_id", "frame_idx", F.array("flag").alias("sensor_meta"), F.array(F.col("status").cast("binary")).alias("type_meta"),
-                    F.array(F.lit(1), F.lit(2), (F.round("q0").cast("bigint") % 3 + 4).cast("int"), F.lit(3)).alias("shape"),
-                    (F.round("q1").cast("bigint") % 24).alias("area"))
+                    F.array(F.lit(1), F.lit(2), (F.rint("q0").cast("bigint") % 3 + 4).cast("int"), F.lit(3)).alias("shape"),
+                    (F.rint("q1").cast("bigint") % 24).alias("area"))
 
 
 @query("f9_stream_identity", f"""WITH {FRAMES}, {TACTILE}
