@@ -30,11 +30,12 @@ def cells(df: DataFrame, keys: Sequence[str], pred: str, truth: str, mask: str,
 
 
 def _trim(d: DataFrame, keys: list[str], value: str, q: float) -> DataFrame:
-    """Keep values inside their [q, 1 - q] quantiles."""
+    """Values outside their [q, 1 - q] quantiles become null; a group of which none is left (of two values, say) stays."""
     if not 0 < q < 0.5:
         return d
     b = exact_quantiles(d, keys, value, {"__lo": q, "__hi": 1 - q})
-    return join_same(d, b, keys).where((F.col(value) >= F.col("__lo")) & (F.col(value) <= F.col("__hi"))).drop("__lo", "__hi")
+    inside = (F.col(value) >= F.col("__lo")) & (F.col(value) <= F.col("__hi"))
+    return join_same(d, b, keys, "left").withColumn(value, F.when(inside, F.col(value))).drop("__lo", "__hi")
 
 
 def error_metrics(valid: DataFrame, trim: float = 0.0, keys: Sequence[str] = GROUP) -> DataFrame:
@@ -52,7 +53,8 @@ def error_metrics(valid: DataFrame, trim: float = 0.0, keys: Sequence[str] = GRO
                                  (F.sum(F.when(big, F.col("ab"))) / F.sum(F.when(big, F.col("mag")))).alias("ape"))
     else:
         rm = _trim(d, keys, "sq", trim).groupBy(*keys).agg(F.sqrt(F.avg("sq")).alias("rmse"))
-        ap = _trim(d.where(F.col("mag") >= APE_FLOOR), keys, "ab", trim).groupBy(*keys).agg((F.sum("ab") / F.sum("mag")).alias("ape"))
+        kept = F.when(F.col("ab").isNotNull(), F.col("mag"))
+        ap = _trim(d.where(F.col("mag") >= APE_FLOOR), keys, "ab", trim).groupBy(*keys).agg((F.sum("ab") / F.sum(kept)).alias("ape"))
         g = join_same(rm, ap, keys, "left")
     m = F.explode(F.map_from_arrays(F.array(F.lit("rmse"), F.lit("ape")), F.array("rmse", "ape"))).alias("name", "value")
     return g.select(*keys, m)
