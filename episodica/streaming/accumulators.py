@@ -7,28 +7,30 @@ state removed, so it is as large as the episodes that are still running.  Rows o
 than the watermark are dropped, and an episode that speaks again after its silence is
 a new one.
 
-The rows of a key reach its task in runs (Arrow batches).  A run is sorted and cut to
-the rows that can still matter (the first of a bucket, those newer than all before)
-before the next one is read, and the same cut is made before rows are shuffled, so a
-key with very many rows costs as much as its buckets.
+Keys are many and small, so a processor works on plain rows: frames made for each key
+cost more than all else.  It reads and writes one value a key and micro-batch, hands on
+ranges and pages of buckets and leaves their rows to Spark.  Rows that cannot matter (not
+the first of a bucket, not newer than all before) are left out while the rows of a key
+are read, and before they are shuffled, so a key with very many rows holds its buckets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-#: whole numbers, by Spark's type names
-WHOLE = ("byte", "short", "integer", "long")
-
-#: filled buckets handed on at once
+#: filled buckets handed on at once, and rows of a key read before they are cut
 CHUNK = 65_536
 
+#: buckets of an episode that lie in one entry of the state
+PAGE = 256
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -42,38 +44,69 @@ def _millis(time: str) -> Column:
 
 
 class _Timed(StatefulProcessor):
-    """Forgets a key that has been silent for ``silence`` seconds of event time."""
+    """Forgets a key that has been silent for ``silence`` seconds of event time.
 
-    #: column with the event time in milliseconds, beside the columns of the output (workers rename a leading underscore)
+    The state of a key is one row: the time of its newest record (``ms``) and ``kept``.
+    """
+
+    #: column with the event time in milliseconds, beside the columns of the output
     MS = "event_ms"
 
-    def __init__(self, silence: float | None):
+    def __init__(self, silence: float | None, kept: str):
         self.silence = None if silence is None else int(silence * 1000)
+        self.kept = kept
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.seen = None if self.silence is None else handle.getValueState("last_seen", "ms long")
-        self.open(handle)
-
-    def heard(self, ms: int | None) -> None:
-        """Move the timer of the key behind its newest record."""
-        if self.silence is None or ms is None:
-            return
-        old = int(self.seen.get()[0]) if self.seen.exists() else None
-        if old is None or ms > old:
-            if old is not None:
-                self.handle.deleteTimer(old + self.silence)
-            self.seen.update((ms,))
+        self.state = handle.getValueState("state", f"ms long, kept {self.kept}")
+
+    def recall(self) -> tuple:
+        """(ms, kept) of the key, both None if it is new."""
+        return tuple(self.state.get() or (None, None))
+
+    def remember(self, old: tuple, ms: int | None, kept) -> None:
+        """Write what has changed and move the timer of the key behind its newest record."""
+        before = old[0]
+        newer = self.silence is not None and ms is not None and (before is None or ms > before)
+        if newer:
+            if before is not None:
+                self.handle.deleteTimer(before + self.silence)
             self.handle.registerTimer(ms + self.silence)
+        new = (ms if newer else before, kept)
+        if new != old:
+            self.state.update(new)
+
+    def timed(self, rows: Iterable[Row], *names: str) -> Iterator[tuple]:
+        """(row, event time, the named values) of every row."""
+        at = None
+        for r in rows:
+            if at is None:
+                fields = r.__fields__
+                at = [fields.index(n) for n in names]
+                ms = fields.index(self.MS) if self.silence is not None else None
+            yield (r, None if ms is None else r[ms], *[r[i] for i in at])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         yield from self.flush(key)
-        self.seen.clear()
+        self.state.clear()
+
+    def flush(self, key) -> Iterable[Row]:
+        """What is handed on at the end of a key; most rows were when they came."""
+        return ()
 
     def close(self) -> None:
         pass
 
 
+def _real(t: float | None) -> bool:
+    """Neither null, nor NaN, nor infinite."""
+    return t is not None and -math.inf < t < math.inf
+
+
+def _later(a: int | None, b: int | None) -> int | None:
+    return b if a is None or (b is not None and b > a) else a
+
+
 def first_of_buckets(d: pd.DataFrame, by: list[str], start: float, dt: float, eps: float) -> pd.DataFrame:
     """The earliest row of each own bucket (``__g``); no other row ever fills one."""
     d = d[d["ts"].notna()]
@@ -83,41 +116,32 @@ def first_of_buckets(d: pd.DataFrame, by: list[str], start: float, dt: float, ep
 
 
 class _ObsProcessor(_Timed):
-    """Fills clock buckets; earlier buckets are never overwritten."""
+    """Fills clock buckets; earlier buckets are never overwritten. Hands on rows with the range of buckets they fill."""
 
     def __init__(self, start: float, dt: float, eps: float, names: list[str], silence: float | None):
-        super().__init__(silence)
+        super().__init__(silence, "long")
         self.start, self.dt, self.eps, self.names = start, dt, eps, names
-
-    def open(self, handle) -> None:
-        self.nxt = handle.getValueState("next_bucket", "next_bucket long")
+        self.row = Row(*names, "from_bucket", "to_bucket")
 
     def handleInputRows(self, key, rows, timerValues):
-        nxt = int(self.nxt.get()[0]) if self.nxt.exists() else 0
-        held, newest = None, None
-        for run in rows:
-            if self.silence is not None and run["ts"].notna().any():
-                newest = max(newest or 0, int(run.loc[run["ts"].notna(), self.MS].max()))
-            run = first_of_buckets(run, [], self.start, self.dt, self.eps)
-            run = run[run["__g"] >= nxt]
-            held = run if held is None else pd.concat([held, run]).sort_values("ts", kind="stable").drop_duplicates("__g")
-        self.heard(newest)
-        top = np.maximum.accumulate(np.concatenate([[nxt - 1], held["__g"].to_numpy()]))
-        reps = np.maximum(top[1:] - top[:-1], 0)
-        if reps.sum():
-            self.nxt.update((int(top[-1]) + 1,))
-            upto = np.cumsum(reps)
+        old = self.recall()
+        nxt = old[1] or 0
+        first, newest = {}, None
+        for r, ms, ts in self.timed(rows, "ts"):
+            if not _real(ts):
+                continue
+            newest = _later(newest, ms)
+            g = math.floor((ts - self.start) / self.dt + self.eps)
+            if g >= nxt and (g not in first or ts < first[g][0]):
+                first[g] = (ts, r)
+        # a bucket without an own record is filled by the next one
+        self.remember(old, newest, max(first) + 1 if first else old[1])
+        for g in sorted(first):
+            values = [first[g][1][n] for n in self.names]
             # a wide gap is filled in pieces
-            for a in range(0, int(upto[-1]), CHUNK):
-                b = np.arange(a, min(a + CHUNK, int(upto[-1])), dtype=np.int64)
-                out = held[self.names].iloc[np.searchsorted(upto, b, side="right")].reset_index(drop=True)
-                out["bucket"] = nxt + b
-                yield out
-
-    def flush(self, key):
-        # every bucket was handed on when it was filled
-        self.nxt.clear()
-        return iter(())
+            for a in range(nxt, g + 1, CHUNK):
+                yield self.row(*values, a, min(a + CHUNK - 1, g))
+            nxt = g + 1
 
 
 def _with_time(stream: DataFrame, time: str | None, silence: float | None, delay: str) -> DataFrame:
@@ -147,46 +171,47 @@ def obs_accumulator_stream(
             run = first_of_buckets(run, [key], start, dt, eps)[names]
             yield run if rest.empty else pd.concat([run, rest])
 
-    out = StructType([*stream.schema.fields, StructField("bucket", LongType())])
+    out = StructType([*stream.schema.fields, StructField("from_bucket", LongType()), StructField("to_bucket", LongType())])
     few = _with_time(stream.mapInPandas(cut, stream.schema), time, silence, delay)
     mode = "None" if silence is None else "EventTime"
-    return few.groupBy(key).transformWithStateInPandas(_ObsProcessor(start, dt, eps, names, silence), out, "Append", mode)
+    filled = few.groupBy(key).transformWithState(_ObsProcessor(start, dt, eps, names, silence), out, "Append", mode)
+    return filled.select(*names, F.explode(F.sequence("from_bucket", "to_bucket")).alias("bucket"))
 
 
-def record_times(d: pd.DataFrame, order: str, by: str | None = None) -> pd.DataFrame:
-    """Rows whose time exceeds all before them, in the order of arrival (per ``by``)."""
-    d = d[d["ts"].notna()].sort_values(order, kind="stable")
-    before = (d["ts"] if by is None else d.groupby(by, dropna=False)["ts"]).cummax()
-    before = (before if by is None else before.groupby(d[by], dropna=False)).shift()
-    return d[before.isna() | (d["ts"] > before)]
+def record_times(rows: list[tuple]) -> list[tuple]:
+    """Of (arrival, ts, row) those whose time exceeds all before them, in the order of arrival; no arrival comes last."""
+    out = []
+    for x in sorted(rows, key=lambda x: (x[0] is None, 0 if x[0] is None else x[0])):
+        if not out or x[1] > out[-1][1]:
+            out.append(x)
+    return out
 
 
 class _NewerProcessor(_Timed):
     """Keeps records whose time exceeds the last kept time of the key."""
 
     def __init__(self, order: str, names: list[str], silence: float | None):
-        super().__init__(silence)
+        super().__init__(silence, "double")
         self.order, self.names = order, names
-
-    def open(self, handle) -> None:
-        self.last = handle.getValueState("last_ts", "last_ts double")
+        self.row = Row(*names)
 
     def handleInputRows(self, key, rows, timerValues):
-        seen = float(self.last.get()[0]) if self.last.exists() else -np.inf
-        held, newest = None, None
-        for run in rows:
-            if self.silence is not None and run["ts"].notna().any():
-                newest = max(newest or 0, int(run.loc[run["ts"].notna(), self.MS].max()))
-            run = record_times(run[run["ts"] > seen], self.order)
-            held = run if held is None else record_times(pd.concat([held, run]), self.order)
-        self.heard(newest)
-        if len(held):
-            self.last.update((float(held["ts"].max()),))
-            yield held[self.names]
-
-    def flush(self, key):
-        self.last.clear()
-        return iter(())
+        old = self.recall()
+        seen = -math.inf if old[1] is None else old[1]
+        held, limit, newest = [], CHUNK, None
+        for r, ms, ts, arrival in self.timed(rows, "ts", self.order):
+            if ts is None or ts != ts:
+                continue
+            newest = _later(newest, ms)
+            if ts > seen:
+                held.append((arrival, ts, r))
+                if len(held) >= limit:
+                    held = record_times(held)
+                    limit = max(CHUNK, 2 * len(held))
+        held = record_times(held)
+        self.remember(old, newest, held[-1][1] if held else old[1])
+        for _, _, r in held:
+            yield self.row(*[r[n] for n in self.names])
 
 
 def strictly_newer_stream(
@@ -200,7 +225,7 @@ def strictly_newer_stream(
     use_state_store(stream)
     mode = "None" if silence is None else "EventTime"
     timed = _with_time(stream, time, silence, delay)
-    return timed.groupBy(key).transformWithStateInPandas(_NewerProcessor(order, stream.columns, silence), stream.schema, "Append", mode)
+    return timed.groupBy(key).transformWithState(_NewerProcessor(order, stream.columns, silence), stream.schema, "Append", mode)
 
 
 def put_buckets(ts: str, start: float, dt: float, eps: float = 1e-5) -> Column:
@@ -234,47 +259,42 @@ def action_accumulator_stream(puts: DataFrame, start: float, dt: float, value: s
 
 
 class _ActionProcessor(_Timed):
-    """Holds the open buckets of an episode; a later put overwrites."""
+    """Holds the open buckets of an episode in pages; a later put overwrites."""
 
-    def __init__(self, key: str, put: str, value: str, kind: str, silence: float):
-        super().__init__(silence)
-        self.key, self.put, self.value, self.kind = key, put, value, kind
-        self.whole = kind in ("tinyint", "smallint", "int", "bigint")
+    def __init__(self, key: str, put: str, kind: str, silence: float):
+        super().__init__(silence, "long")
+        self.put, self.kind = put, kind
+        self.row = Row(key, "buckets", "puts", "values")
 
-    def open(self, handle) -> None:
-        self.held = handle.getMapState("buckets", "bucket long", f"put long, value {self.kind}")
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.pages = handle.getMapState("pages", "page long", f"buckets array<long>, puts array<long>, values array<{self.kind}>")
 
     def handleInputRows(self, key, rows, timerValues):
-        newest, best = None, None
-        for run in rows:
-            real = run["bucket"] >= 0
-            if real.any():
-                newest = max(newest or 0, int(run.loc[real, self.MS].max()))
-            run = run[real]
-            best = run if best is None else pd.concat([best, run])
-            best = best.sort_values(self.put, kind="stable").drop_duplicates("bucket", keep="last")
-        self.heard(newest)
-        for bucket, put, value in zip(best["bucket"].tolist(), best[self.put].tolist(), best[self.value].tolist()):
-            if self.whole:
-                value = None if value != value or value is None else int(value)
-            old = self.held.getValue((int(bucket),)) if self.held.containsKey((int(bucket),)) else None
-            if old is None or put >= old[0]:
-                self.held.updateValue((int(bucket),), (int(put), value))
+        new, newest = {}, None
+        for _, ms, put, buckets, values in self.timed(rows, self.put, "buckets", "values"):
+            if not buckets:
+                continue
+            newest = _later(newest, ms)
+            for bucket, value in zip(buckets, values):
+                page = new.setdefault(bucket // PAGE, {})
+                if bucket not in page or put >= page[bucket][0]:
+                    page[bucket] = (put, value)
+        if new:
+            old = self.recall()
+            self.remember(old, newest, old[1])
+            for no, page in new.items():
+                if old[0] is not None and self.pages.containsKey((no,)):
+                    for bucket, put, value in zip(*self.pages.getValue((no,))):
+                        if bucket not in page or put > page[bucket][0]:
+                            page[bucket] = (put, value)
+                self.pages.updateValue((no,), (list(page), [p for p, _ in page.values()], [v for _, v in page.values()]))
         return iter(())
 
     def flush(self, key):
-        rows = []
-        for (bucket,), (put, value) in self.held.iterator():
-            rows.append((key[0], bucket, put, value))
-            if len(rows) == CHUNK:
-                yield self._frame(rows)
-                rows = []
-        if rows:
-            yield self._frame(rows)
-        self.held.clear()
-
-    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=[self.key, "bucket", self.put, self.value])
+        for _, (buckets, puts, values) in self.pages.iterator():
+            yield self.row(key[0], list(buckets), list(puts), list(values))
+        self.pages.clear()
 
 
 def action_buffer_stream(
@@ -289,16 +309,17 @@ def action_buffer_stream(
     """
     use_state_store(puts)
     kind = puts.schema[value].dataType.elementType
-    d = puts.withColumn("__b", F.explode_outer(put_buckets("ts", start, dt)))
-    # no nulls but in real values: pandas would make whole numbers floats
-    none = F.when(F.col("__b").isNull(), F.lit("0" if kind.typeName() in WHOLE else None).cast(kind))
-    d = d.select(
-        key, F.coalesce(put, F.lit(0).cast("long")).alias(put), time, F.coalesce(F.col("__b.bucket"), F.lit(-1)).cast("long").alias("bucket"),
-        F.coalesce(none, F.get(value, F.col("__b.i"))).alias(value),
+    at = put_buckets("ts", start, dt)
+    d = puts.select(
+        key, F.coalesce(put, F.lit(0).cast("long")).alias(put), time, F.transform(at, lambda x: x["bucket"]).alias("buckets"),
+        F.transform(at, lambda x: F.get(value, x["i"])).alias("values"),
     )
-    out = StructType([puts.schema[key], StructField("bucket", LongType()), puts.schema[put], StructField(value, kind)])
-    p = _ActionProcessor(key, put, value, kind.simpleString(), silence)
-    return _with_time(d, time, silence, delay).groupBy(key).transformWithStateInPandas(p, out, "Append", "EventTime")
+    longs = ArrayType(LongType())
+    out = StructType([puts.schema[key], StructField("buckets", longs), StructField("puts", longs), StructField("values", ArrayType(kind))])
+    p = _ActionProcessor(key, put, kind.simpleString(), silence)
+    pages = _with_time(d, time, silence, delay).groupBy(key).transformWithState(p, out, "Append", "EventTime")
+    each = pages.select(key, F.explode(F.arrays_zip("buckets", "puts", "values")).alias("__e"))
+    return each.select(key, F.col("__e.buckets").alias("bucket"), F.col("__e.puts").cast(puts.schema[put].dataType).alias(put), F.col("__e.values").alias(value))
 
 
 def attach_camera_stream(
