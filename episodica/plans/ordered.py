@@ -107,8 +107,11 @@ def draw_first(df: DataFrame, keys: Sequence[str], hex_col: str, count, out: str
 
     Only counts per hash block are gathered; they name the block in which the
     draw ends, that block alone is ordered, and every other row is decided by its
-    block.  Rows of equal hash (equal identities) stand or fall together.
+    block.  Rows of equal hash (equal identities) stand or fall together.  Where a draw
+    ends is one small row a group, evaluated at once, so the rows are not dealt by group.
     """
+    from episodica.plans.small import lookup
+
     keys = list(keys)
     d = df.withColumn("__blk", hash_block(F.col(hex_col)))
     wk = W.partitionBy(*keys)
@@ -117,11 +120,11 @@ def draw_first(df: DataFrame, keys: Sequence[str], hex_col: str, count, out: str
     # the block that holds the last row drawn, and how many of its rows are drawn
     left = F.least(F.col("__n"), count(F.col("__n"))) - F.col("__before")
     cut = sizes.withColumn("__left", left).where((F.col("__left") > 0) & (F.col("__left") <= F.col("__cnt")))
-    cut = cut.select(*keys, F.col("__blk").alias("__cut"), "__left")
+    cut = lookup(cut.select(*keys, F.col("__blk").alias("__cut"), "__left"))
     inside = join_same(d.select(*keys, "__blk", F.col(hex_col).alias("__hex")), cut, keys).where("__blk = __cut")
     rank = F.row_number().over(W.partitionBy(*keys).orderBy("__hex"))
     last = inside.withColumn("__r", rank).where(F.col("__r") <= F.col("__left")).groupBy(*keys).agg(F.max("__cut").alias("__cut"), F.max("__hex").alias("__last"))
-    d = join_same(d, last, keys, "left")
+    d = join_same(d, lookup(last), keys, "left")
     first = (F.col("__blk") < F.col("__cut")) | ((F.col("__blk") == F.col("__cut")) & (F.col(hex_col) <= F.col("__last")))
     return d.withColumn(out, F.coalesce(first, F.lit(False))).drop("__blk", "__cut", "__last")
 
