@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from episodica.queries.common import (
     FRAMES, RAW_FRAMES, bigint, frames, raw_frames, table,
 )
+from episodica.plans.small import keep
 from episodica.registry import ORACLES, query, rnd, sql_rnd
 from episodica.session import scratch_path
 from episodica.sources import catalog as C, frames as S
@@ -101,7 +102,8 @@ SELECT domain, CAST(s // 100 AS BIGINT) AS file_no, count(*) AS n_episodes, CAST
 FROM r GROUP BY ALL""")
 def a3_twice(spark, sf):
     root = scratch_path(spark, "appended-twice")
-    d = frames(spark, sf)
+    # numbered once, read by each append
+    d = keep(frames(spark, sf), "append-frames")
     for part in (0, 1):
         S.append_episodes(d.where(F.col("episode_id") % 2 == part), root)
     return spark.read.parquet(root).groupBy("domain", F.col("file_no").cast("bigint").alias("file_no")).agg(
@@ -112,7 +114,8 @@ def a3_twice(spark, sf):
 def a3_batches(spark, sf):
     """Two named batches; the first one comes again behind the second and changes nothing."""
     root = scratch_path(spark, "appended-batches")
-    d = frames(spark, sf)
+    # numbered once, read by each append
+    d = keep(frames(spark, sf), "append-frames")
     for part in (0, 1, 0):
         append_batch(d.where(F.col("episode_id") % 2 == part), root, f"part-{part}")
     return read_batches(spark, root).groupBy("domain", F.col("file_no").cast("bigint").alias("file_no")).agg(

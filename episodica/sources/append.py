@@ -19,6 +19,7 @@ from collections.abc import Sequence
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
+from episodica.plans.small import forget, keep
 from episodica.sources.frames import _sizes, file_numbers, validate_frames
 
 #: seconds that the writer of an empty log entry has to fill it
@@ -98,10 +99,11 @@ def append_batch(frames: DataFrame, path: str, batch: str, per_file: int = 100,
     """
     spark = frames.sparkSession
     # domains are folders of the table, so the list of them is what the driver keeps anyway
-    per = frames.groupBy("domain").agg(F.count_distinct(F.struct("episode_id")).alias("n")).collect()
+    eps = keep(frames.select("domain", "episode_id").distinct(), "append-episodes")
+    per = eps.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()
     starts = BatchLog(spark, path).claim(batch, {r.domain: r.n for r in per})
     first = spark.createDataFrame([(d, s) for d, s in starts.items()], "domain string, next_seq long")
-    out = file_numbers(frames, per_file, first).withColumn("batch", F.lit(batch))
+    out = file_numbers(frames, per_file, first, eps).withColumn("batch", F.lit(batch))
     seen, checks = Observation(), [F.count(F.lit(1)).alias("rows")]
     for a in arrays:
         checks.append(F.count(a).alias(f"n_{a}"))
@@ -112,6 +114,7 @@ def append_batch(frames: DataFrame, path: str, batch: str, per_file: int = 100,
         .sortWithinPartitions("domain", "file_no", "episode_seq", "frame_idx")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "domain").parquet(path)
     )
+    forget(eps)
     got = seen.get
     uneven = any(v != got[k.replace("low_", "high_", 1)] for k, v in got.items() if k.startswith("low_"))
     missing = any(0 < got[f"n_{a}"] < got["rows"] for a in arrays)

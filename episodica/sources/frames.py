@@ -69,12 +69,13 @@ def scan_frames(spark: SparkSession, catalog: DataFrame, schema: StructType | st
     return out
 
 
-def file_numbers(frames: DataFrame, per_file: int = 100, written: DataFrame | None = None) -> DataFrame:
+def file_numbers(frames: DataFrame, per_file: int = 100, written: DataFrame | None = None, episodes: DataFrame | None = None) -> DataFrame:
     """Assign ``file_no = floor(episode position in the domain / per_file)``.
 
-    ``written`` (domain, next_seq) tells where the numbering of a domain goes on.
+    ``written`` (domain, next_seq) tells where the numbering of a domain goes on;
+    ``episodes`` (domain, episode_id) are those of ``frames``, where a caller has them.
     """
-    eps = frames.groupBy("domain", "episode_id").agg(F.min("frame_idx").alias("__f")).drop("__f")
+    eps = episodes if episodes is not None else frames.select("domain", "episode_id").distinct()
     eps = number_rows(eps, ["domain"], ["episode_id"], F.floor(F.col("episode_id") / 100_000), "episode_seq")
     if written is not None:
         eps = join_same(eps, written, ["domain"], "left")
