@@ -8,6 +8,7 @@ from episodica.plans.small import keep
 from episodica.registry import query, rnd, sql_rnd
 
 HORIZON = 4
+DIMS = 4
 
 
 @query("flagship_chunk_statistics", f"""WITH {FRAMES},
@@ -25,7 +26,12 @@ def chunk_statistics(spark, sf):
     stats = N.norm_fit_chunks(d, ["domain"], "v", "zscore", HORIZON).withColumn("scope", F.lit("domain"))
     d = A.action_chunk(d, ["v"], HORIZON)
     y = N.norm_apply(d, "chunk_v", stats, "zscore", 4)
-    y = y.select("domain", F.posexplode("chunk_v").alias("step", "row")).select("domain", "step", F.posexplode("row").alias("dim", "y"))
-    g = y.groupBy("domain", F.col("step").cast("bigint").alias("step"), F.col("dim").cast("bigint").alias("dim"))
-    return g.agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("y"), 4).alias("mean"), rnd(F.stddev_pop("y"), 4).alias("std"),
-                 rnd(F.min("y"), 4).alias("min"), rnd(F.max("y"), 4).alias("max"))
+    # a row a step: its dims are aggregated side by side and become rows behind the sums
+    y = y.select("domain", F.posexplode("chunk_v").alias("step", "row"))
+    aggs = []
+    for i in range(DIMS):
+        v = F.get("row", F.lit(i))
+        aggs.append(F.struct(F.lit(i).cast("bigint").alias("dim"), F.count(F.lit(1)).alias("n"), rnd(F.avg(v), 4).alias("mean"), rnd(F.stddev_pop(v), 4).alias("std"),
+                             rnd(F.min(v), 4).alias("min"), rnd(F.max(v), 4).alias("max")))
+    g = y.groupBy("domain", F.col("step").cast("bigint").alias("step")).agg(F.array(*aggs).alias("dims"))
+    return g.select("domain", "step", F.inline("dims"))
