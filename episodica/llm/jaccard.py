@@ -12,15 +12,17 @@ What is asked for are classes of linked documents, so pairs inside a class that
 already connected need not be looked at.  Documents with equal sets are one node.
 Pairs that meet in a shingle of few postings are listed, a bounded number per
 shingle.  Of those, and of one hub node per frequent shingle, every node is checked
-against the nearest candidate in a few rounds; after that, ALL pairs left between
-different classes are checked.  A group of near copies so costs its size and not
-its square, and no link between different texts is lost.
+against the nearest candidate, in rounds that go on while they link many; after
+that, ALL pairs left between different classes are checked.  A group of near copies
+so costs its size and not its square, and no link between different texts is lost.
 
 How often shingles occur is counted over all documents in two tables of counters
 under different hashes.  A shingle's rank is its counter in one table, in the
 other, or the smaller of both: these are the three orders.  Counters only order
-shingles, so collisions cannot change the result.  Verification computes the whole
-sets again from the texts of the documents in question.
+shingles, so collisions cannot change the result.  Prefixes of the first order go
+straight into the shuffle that makes pairs of them; those of the other two orders
+are made for the nodes that met another one.  Verification computes the whole sets
+again from the texts of the documents in question.
 """
 
 from __future__ import annotations
@@ -38,8 +40,9 @@ from episodica.plans.small import forget, keep
 BITS = 512
 LONGS = BITS // 64
 
-#: rounds in which nodes are checked against one hub
-ROUNDS = 2
+#: rounds in which nodes are checked against one hub: at least, and at most while one
+#: in LINKING of the nodes checked finds a link
+ROUNDS, MOST_ROUNDS, LINKING = 2, 5, 10
 
 #: postings up to which all pairs of a shingle are listed at once
 RARE = 12
@@ -154,15 +157,24 @@ def _slices(batch, col: str):
 # ---------------------------------------------------------------- passes over the texts
 _FIRST = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("tk", T.LongType()), T.StructField("n", T.LongType()),
-    T.StructField("node", T.LongType()), T.StructField("chunk", T.IntegerType()), T.StructField("counts", T.BinaryType()),
+    T.StructField("node", T.LongType()), T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("chunk", T.IntegerType()),
+    T.StructField("counts", T.BinaryType()),
 ])
-_SECOND = T.StructType([
-    T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bits", T.ArrayType(T.LongType())),
-    T.StructField("p1", T.ArrayType(T.LongType())), T.StructField("p2", T.ArrayType(T.IntegerType())), T.StructField("p3", T.ArrayType(T.IntegerType())),
+_POSTING = T.StructType([T.StructField("token", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.LongType())])
+_ORDERS = T.StructType([
+    T.StructField("node", T.LongType()), T.StructField("p2", T.ArrayType(T.IntegerType())), T.StructField("p3", T.ArrayType(T.IntegerType())),
 ])
 _CHUNKS = 512
 
 
+def _lists(arrays: list[np.ndarray], kind):
+    """Arrow list array of the arrays."""
+    import pyarrow as pa
+
+    ends = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays), kind))
+
+
 def _node(tokens: np.ndarray) -> int:
     import xxhash
 
@@ -170,7 +182,7 @@ def _node(tokens: np.ndarray) -> int:
 
 
 def _first_pass(d: DataFrame, n: int, buckets: int) -> DataFrame:
-    """Rows of documents (id, tk, n, node), and rows of counts of shingles, from one reading."""
+    """Rows of documents (id, tk, n, node, parity bits), and rows of counts of shingles, from one reading."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -180,10 +192,11 @@ def _first_pass(d: DataFrame, n: int, buckets: int) -> DataFrame:
         schema, counts = to_arrow_schema(_FIRST), np.zeros(2 * buckets, dtype=np.uint16)
         for batch in batches:
             for part in _slices(batch, "text"):
-                sizes, nodes, held = [], [], []
+                sizes, nodes, bits, held = [], [], [], []
                 for s in shingle_sets(part.column("text"), n):
                     sizes.append(len(s))
                     nodes.append(_node(s) if len(s) else None)
+                    bits.append(parity(s))
                     held.append(s)
                 for at in counters(np.concatenate(held), buckets):
                     places, seen = np.unique(at, return_counts=True)
@@ -192,7 +205,7 @@ def _first_pass(d: DataFrame, n: int, buckets: int) -> DataFrame:
                 none = [None] * len(sizes)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), part.column("tk"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
-                     pa.array(none, pa.int32()), pa.array(none, pa.binary())], schema=schema)
+                     _lists(bits, pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], schema=schema)
         z, each = zstandard.ZstdCompressor(level=1), 2 * buckets // _CHUNKS
         rows = [(c, counts[c * each : (c + 1) * each]) for c in range(_CHUNKS)]
         rows = [{"chunk": c, "counts": z.compress(x.tobytes())} for c, x in rows if x.any()]
@@ -233,41 +246,58 @@ def _count_ranks(first: DataFrame, buckets: int) -> np.ndarray:
     return out
 
 
-def _second_pass(d: DataFrame, n: int, num: int, den: int, rank: np.ndarray) -> DataFrame:
-    """node, n, parity bits and prefixes under the three orders, a row per document with words."""
-    table, buckets = d.sparkSession.sparkContext.broadcast(rank), len(rank) // 2
+def _postings(d: DataFrame, n: int, num: int, den: int, table) -> DataFrame:
+    """(token, node, n): the prefixes under the first order, of every row with words; ``table`` is the broadcast of ranks."""
+    buckets = len(table.value) // 2
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        rare, schema = table.value, to_arrow_schema(_SECOND)
-
-        def lists(arrays: list[np.ndarray], kind):
-            flat = np.concatenate(arrays)
-            ends = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, kind))
 
+        rare = table.value
         for batch in batches:
             for part in _slices(batch, "text"):
-                nodes, sizes, bits, p = [], [], [], ([], [], [])
+                nodes, sizes, p = [], [], []
                 for s in shingle_sets(part.column("text"), n):
                     if not len(s):
                         continue
                     r1, r2 = (rare[at] for at in counters(s, buckets))
-                    size = prefix_length(len(s), num, den)
+                    p.append(prefix(s, np.minimum(r1, r2), 0, prefix_length(len(s), num, den)).view(np.int64))
                     nodes.append(_node(s))
                     sizes.append(len(s))
-                    bits.append(parity(s))
-                    p[0].append(prefix(s, np.minimum(r1, r2), 0, size).view(np.int64))
-                    for k, r in ((1, r1), (2, r2)):
-                        p[k].append((prefix(s, r, k, size) >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 if nodes:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists(bits, pa.int64()), lists(p[0], pa.int64()),
-                         lists(p[1], pa.int32()), lists(p[2], pa.int32())], schema=schema)
+                    each = [len(x) for x in p]
+                    cols = (np.concatenate(p), np.repeat(np.array(nodes, dtype=np.int64), each), np.repeat(np.array(sizes, dtype=np.int64), each))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=_POSTING.names)
+
+    return d.select("text").mapInArrow(run, _POSTING)
+
+
+def _other_orders(d: DataFrame, wanted: DataFrame, n: int, num: int, den: int, table) -> DataFrame:
+    """(node, p2, p3): the prefixes under the second and third order of the ``wanted`` nodes (node, tk)."""
+    buckets = len(table.value) // 2
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        rare, schema = table.value, to_arrow_schema(_ORDERS)
+        for batch in batches:
+            for part in _slices(batch, "text"):
+                nodes, p = [], ([], [])
+                for s in shingle_sets(part.column("text"), n):
+                    if not len(s):
+                        continue
+                    nodes.append(_node(s))
+                    size = prefix_length(len(s), num, den)
+                    for k, at in enumerate(counters(s, buckets)):
+                        p[k].append((prefix(s, rare[at], k + 1, size) >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                if nodes:
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), *(_lists(x, pa.int32()) for x in p)], schema=schema)
 
-    return keep(d.mapInArrow(run, _SECOND), "jaccard-prefixes")
+    # the bit filter may let others pass
+    found = maybe_among(d.select("tk", "text"), "tk", wanted.select("tk")).select("text").mapInArrow(run, _ORDERS)
+    found = found.join(wanted.select("node"), "node", "left_semi")
+    return keep(found.groupBy("node").agg(F.first("p2").alias("p2"), F.first("p3").alias("p3")), "jaccard-orders")
 
 
 # ---------------------------------------------------------------- candidates
@@ -283,10 +313,9 @@ def _may_link(x: str, y: str, num: int, den: int) -> Column:
     return sizes & (_off(x, y) * (den + num) <= (nx + ny) * (den - num))
 
 
-def _share_prefixes(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _share_prefixes(pairs: DataFrame, orders: DataFrame) -> DataFrame:
     """Pairs (a, b, off) whose prefixes also meet under the second and third order."""
-    named = maybe_among(nodes.select("node", "p2", "p3"), "node", pairs.select("a").union(pairs.select("b")))
-    named = named.groupBy("node").agg(F.first("p2").alias("p2"), F.first("p3").alias("p3"))
+    named = maybe_among(orders, "node", pairs.select("a").union(pairs.select("b")))
     x, y = named.alias("x"), named.alias("y")
     d = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node"))
     return d.where(F.arrays_overlap("x.p2", "y.p2") & F.arrays_overlap("x.p3", "y.p3")).select("a", "b", "off")
@@ -391,7 +420,7 @@ class TokenRuns:
         return out
 
 
-def _met(nodes: DataFrame, num: int, den: int) -> DataFrame:
+def _met(posted: DataFrame, num: int, den: int) -> DataFrame:
     """(token, a, b): the pairs that meet in rare shingles, and (b null) the postings of frequent ones.
 
     One shuffle of the postings, read in order as a stream.
@@ -412,19 +441,16 @@ def _met(nodes: DataFrame, num: int, den: int) -> DataFrame:
         none = np.zeros(0, dtype=np.int64)
         yield from rows(runs.add(none, none, none, last=True))
 
-    posted = nodes.select(F.explode("p1").alias("token"), "node", "n").repartition("token").sortWithinPartitions("token", "node")
+    posted = posted.repartition("token").sortWithinPartitions("token", "node")
     return keep(posted.mapInArrow(run, "token long, a long, b long"), "jaccard-met")
 
 
-def _rare_pairs(met: DataFrame, info: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+def _rare_pairs(met: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
     """All pairs (a, b) of rare shingles that may link, with their differing bits."""
     pairs = met.where("b is not null").select("a", "b").distinct()
     x, y = info.alias("x"), info.alias("y")
     d = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(_may_link("x", "y", num, den))
-    d = keep(d.select("a", "b", _off("x", "y").alias("off")), "jaccard-pairs")
-    rare = keep(_share_prefixes(d, nodes), "jaccard-rare")
-    forget(d)
-    return rare
+    return keep(d.select("a", "b", _off("x", "y").alias("off")), "jaccard-pairs")
 
 
 def _mixed_tokens(d: DataFrame) -> DataFrame:
@@ -479,36 +505,47 @@ def jaccard_components(
     # 32 counters a document, up to a bound that fits into a worker
     buckets = 1 << int(np.clip(np.ceil(np.log2(max(1, 32 * rows))), 16, MAX_BUCKETS))
     first = _first_pass(d, n, buckets)
-    nodes = _second_pass(d, n, num, den, _count_ranks(first, buckets))
+    table = docs.sparkSession.sparkContext.broadcast(_count_ranks(first, buckets))
     sets = keep(first.where("chunk is null").select("id", "tk", "n", "node"), "jaccard-rows")
-    forget(first)
-    reps = keep(sets.where("node is not null").groupBy("node").agg(F.min("tk").alias("tk")), "jaccard-reps")
+    info = first.where("node is not null").groupBy("node").agg(F.min("tk").alias("tk"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    info = keep(info, "jaccard-nodes")
+    forget(first, shuffles=True)
+    reps, bits = info.select("node", "tk"), info.select("node", "n", "bits")
 
-    met = _met(nodes, num, den)
-    info = keep(nodes.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "jaccard-nodes")
-    rare = _rare_pairs(met, info, nodes, num, den)
+    met = _met(_postings(d, n, num, den, table), num, den)
+    near = _rare_pairs(met, bits, num, den)
     often = met.where("b is null").select("token", F.col("a").alias("node")).distinct()
-    often = keep(often.join(info, "node"), "jaccard-postings")
-    forget(met, info, shuffles=True)
+    often = keep(often.join(bits, "node"), "jaccard-postings")
+    forget(met, shuffles=True)
+    wanted = near.select(F.col("a").alias("node")).union(near.select("b")).union(often.select("node")).distinct()
+    wanted = keep(wanted.join(reps, "node"), "jaccard-wanted")
+    orders = _other_orders(d, wanted, n, num, den, table)
+    rare = keep(_share_prefixes(near, orders), "jaccard-rare")
+    forget(wanted, near, shuffles=True)
 
     comp = edges = None
-    for seed in range(ROUNDS + 1):
-        last = seed == ROUNDS
+    rounds, last = 0, False
+    while True:
         left = keep(_classed(rare, comp, "a", "b").where("a_comp != b_comp").select("a", "b", "off"), "jaccard-left")
         classed = keep(_classed(often, comp, "node"), "jaccard-often")
         d2 = _mixed_tokens(classed)
-        more = keep(_all_pairs(d2, num, den) if last else _hub_pairs(d2, seed, num, den), "jaccard-pairs")
-        pairs = left.unionByName(_share_prefixes(more, nodes))
+        more = keep(_all_pairs(d2, num, den) if last else _hub_pairs(d2, rounds, num, den), "jaccard-pairs")
+        pairs = left.unionByName(_share_prefixes(more, orders))
         if not last:
             # the nearest candidate of every node
             pairs = pairs.groupBy("a").agg(F.min_by("b", F.struct("off", "b")).alias("b"))
         pairs = keep(pairs.select("a", "b").distinct(), "jaccard-candidates")
         new, old = _verify(pairs, reps, d, n, num, den), edges
+        rounds += 1
+        checked, found = pairs.count(), new.count()
         edges = new if old is None else keep(old.union(new), "jaccard-edges")
         comp = components(edges)
         # what this round made is in the links by now
         forget(left, classed, more, pairs, *([old, new] if old is not None else []), shuffles=True)
-    forget(nodes, reps, rare, often, edges, shuffles=True)
+        if last:
+            break
+        last = rounds >= MOST_ROUNDS or (rounds >= ROUNDS and found * LINKING < checked)
+    forget(info, rare, often, orders, edges, shuffles=True)
     labelled = sets.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = labelled.where("comp is not null").groupBy("comp").agg(F.min("id").alias("component_id"))
     out = labelled.join(smallest, "comp", "left")

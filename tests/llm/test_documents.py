@@ -1,14 +1,17 @@
 """Operators on documents against brute force, on hard rows."""
 
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
 from episodica.llm import bitplanes, entropy_mix, jaccard, line_windows, vector_shards, weak_supervision, wu_manber
+from tests.llm.conftest import sentence
 
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -334,6 +337,54 @@ def test_jaccard(llm, messy, messy_rows, n, num):
     assert len(kept) == len({g for s, g in zip(sets, label) if s}) + sum(not s for s in sets)
 
 
+def test_jaccard_keeps_prefixes_only_of_nodes_that_met(llm, monkeypatch):
+    rng, sizes, real = random.Random(5), {}, jaccard.keep
+
+    def kept(df, name="kept"):
+        out = real(df, name)
+        folder = Path(out._kept_path.removeprefix("file:"))
+        sizes[name] = max(sizes.get(name, 0), sum(f.stat().st_size for f in folder.glob("*.parquet")))
+        return out
+
+    monkeypatch.setattr(jaccard, "keep", kept)
+    texts = [sentence(rng, 1500) for _ in range(60)]
+    d = llm.createDataFrame(list(enumerate([*texts, texts[0] + " more"])), "doc_id long, text string").repartition(2)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(d).collect()}
+    assert got == {i: i % 60 for i in range(61)}
+    # "jaccard-sets" holds the counters, which do not grow beyond their number
+    assert sum(v for k, v in sizes.items() if k != "jaccard-sets") < 0.5 * sum(map(len, texts))
+
+
+def test_near_copies_are_joined_before_all_pairs_are_formed(llm, monkeypatch):
+    rng, seen, real = random.Random(7), [], jaccard._all_pairs
+
+    def formed(d, num, den):
+        seen.append(real(d, num, den).count())
+        return real(d, num, den)
+
+    monkeypatch.setattr(jaccard, "_all_pairs", formed)
+    base, rows = sentence(rng, 150).split(), []
+    for i in range(300):
+        words = list(base)
+        for at in rng.sample(range(150), rng.randint(1, 3)):
+            words[at] = f"w{i}x{at}"
+        rows.append((i, " ".join(words)))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(llm.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(146)} for _, t in rows]
+    near = {i: [j for j in range(300) if j != i and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])] for i in range(300)}
+    want = {}
+    for i in range(300):
+        todo = [i] if i not in want else []
+        while todo:
+            j = todo.pop()
+            if j not in want:
+                want[j] = i
+                todo += near[j]
+    assert got == want
+    # 670 after two rounds
+    assert sum(seen) < 100
+
+
 def test_jaccard_of_nothing(empty):
     assert jaccard.jaccard_components(empty, 3, 90).count() == 0
     assert jaccard.one_of_each(empty).columns == empty.columns
