@@ -6,9 +6,10 @@ Pages are ordered by host and URL path; a page is compared with the neighbour of
 the same host whose path is nearer: the lines of both are aligned by their longest
 common subsequence, and what they share is template and is deleted.
 
-Two rules keep real text.  Markup that names the article outweighs the comparison:
-if a page has <article> or <main>, its lines are the text, shared or not, since
-articles quote each other and whole copies stand next to each other.  As a
+Two rules keep real text.  Articles quote each other, so what two of them share need
+not be template: of a page with <article> or <main> the lines in there are the
+text, and one that its neighbour shares is deleted only if at least half of the
+host's different pages, and COMMON_PAGES of them, have it.  As a
 neighbour such a page counts with its lines outside the article too.  And pages
 of a host with equal lines are compared as one, at the first of their paths, so
 that a run of copies meets the next different page; pages without lines are
@@ -59,6 +60,9 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 
 
+#: pages of a host that have a line, at least, before it can be template inside an article
+COMMON_PAGES = 4
+
 #: of these, names of what is no text of an article wherever it stands
 _ALIEN = {
     "ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "comment", "comments", "disqus", "reply", "replies", "respond",
@@ -207,25 +211,27 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
 
 
 def shared_lines(page: dict, neighbours: list[dict | None]) -> list[int]:
-    """Line numbers to delete: shared with the nearest neighbour of the host that is no copy."""
-    if page["core"] or not page["hashes"]:
+    """Line numbers shared with the nearest neighbour of the host that is no copy; in an article if the page has one."""
+    if not page["hashes"]:
         return []
     near = [x for x in neighbours if x is not None and x["host"] == page["host"] and x["hashes"]]
+    core = any(page["inside"])
+    own = [i for i, inside in enumerate(page["inside"]) if inside or not core]
 
     def prefix(x: dict) -> int:
         p, q = page["path"], x["path"]
         return next((i for i, (c, d) in enumerate(zip(p, q)) if c != d), min(len(p), len(q)))
 
     for x in sorted(near, key=lambda x: -prefix(x)):
-        both = common_lines(page["hashes"], x["hashes"])
-        if 2 * sum(page["sizes"][i] for i in both) < sum(page["sizes"]):
-            return both
+        both = set(common_lines(page["hashes"], x["hashes"])).intersection(own)
+        if 2 * sum(page["sizes"][i] for i in both) < sum(page["sizes"][i] for i in own):
+            return sorted(both)
     return []
 
 
 _RECORD = T.StructType([
     T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("host", T.StringType()),
-    T.StructField("path", T.StringType()), T.StructField("core", T.BooleanType()),
+    T.StructField("path", T.StringType()), T.StructField("inside", T.ArrayType(T.BooleanType())),
     T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("sizes", T.ArrayType(T.IntegerType())),
 ])
 _DIGEST = T.StructType(_RECORD.fields[4:])
@@ -246,21 +252,21 @@ def _line_hash(line: str) -> int:
 def _digest(pages: pd.Series) -> pd.DataFrame:
     rows = []
     for p in pages:
-        # a page without core has no other lines, and only such a page loses any
         lines = marked_lines(p)
-        rows.append((any(inside for _, inside in lines), [_line_hash(x) for x, _ in lines], [len(x) for x, _ in lines]))
-    return pd.DataFrame(rows, columns=["core", "hashes", "sizes"])
+        rows.append(([inside for _, inside in lines], [_line_hash(x) for x, _ in lines], [len(x) for x, _ in lines]))
+    return pd.DataFrame(rows, columns=["inside", "hashes", "sizes"])
 
 
 @F.pandas_udf(T.StringType())
 def _text(pages: pd.Series, gone: pd.Series) -> pd.Series:
     out = []
     for p, g in zip(pages, gone):
-        lines = page_lines(p)[0]
-        if g is not None and len(g):
-            drop = set(g)
-            lines = [x for i, x in enumerate(lines) if i not in drop]
-        out.append(" ".join(lines))
+        if g is None or not len(g):
+            out.append(" ".join(page_lines(p)[0]))
+            continue
+        drop, lines = set(g), marked_lines(p)
+        core = any(inside for _, inside in lines)
+        out.append(" ".join(x for i, (x, inside) in enumerate(lines) if i not in drop and (inside or not core)))
     return pd.Series(out, dtype=object)
 
 
@@ -302,20 +308,33 @@ def _compare(batches: Iterator) -> Iterator:
 def _compare_edge(page: pd.DataFrame, before: pd.DataFrame, after: pd.DataFrame) -> pd.Series:
     def rec(frame: pd.DataFrame, i: int) -> dict | None:
         x = frame.iloc[i].to_dict()
-        return None if x["hashes"] is None else x | {"hashes": list(x["hashes"]), "sizes": list(x["sizes"])}
+        return None if x["hashes"] is None else x | {c: list(x[c]) for c in ("inside", "hashes", "sizes")}
 
     return pd.Series([shared_lines(rec(page, i), [rec(before, i), rec(after, i)]) for i in range(len(page))], dtype=object)
 
 
+def _template(gone: DataFrame, first: DataFrame) -> DataFrame:
+    """Of the shared lines (k1, k2, gone) those that are template; in an article most pages of the host must have them."""
+    lines = gone.join(first.select("k1", "k2", "host", "inside", "hashes"), ["k1", "k2"]).withColumn("i", F.explode("gone"))
+    lines = keep(lines.select("k1", "k2", "i", "host", F.expr("hashes[i]").alias("line"), F.expr("inside[i]").alias("core")), "page-shared")
+    core = lines.where("core")
+    having = first.select("host", F.explode(F.array_distinct("hashes")).alias("line"))
+    having = having.join(core.select("host", "line").distinct(), ["host", "line"], "left_semi").groupBy("host", "line").agg(F.count(F.lit(1)).alias("having"))
+    pages = first.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    common = having.join(pages, "host").where((F.col("having") >= COMMON_PAGES) & (2 * F.col("having") >= F.col("pages"))).select("host", "line")
+    lines = lines.where("not core").unionByName(core.join(common, ["host", "line"], "left_semi"))
+    return lines.groupBy("k1", "k2").agg(F.sort_array(F.collect_list("i")).alias("gone"))
+
+
 def deleted_lines(pages: DataFrame, keys: list[Column], url: Column, html: Column) -> DataFrame:
     """(k1, k2, gone): numbers of the lines to delete, for pages that lose any."""
     d = pages.select(keys[0].alias("k1"), keys[1].alias("k2"), url_host(url).alias("host"), url_path(url).alias("path"), _digest(html).alias("d"))
-    d = d.select("k1", "k2", "host", "path", "d.core", "d.hashes", "d.sizes")
-    same = [F.xxhash64(F.lit(seed), "host", "core", "hashes") for seed in (3, 4)]
+    d = d.select("k1", "k2", "host", "path", "d.inside", "d.hashes", "d.sizes")
+    same = [F.xxhash64(F.lit(seed), "host", "inside", "hashes") for seed in (3, 4)]
     d = keep(d.where(F.size("hashes") > 0).withColumns({"c1": same[0], "c2": same[1]}), "page-lines")
     # pages of a host with equal lines are one page of the comparison
-    first = d.groupBy("host", "c1", "c2").agg(F.min(F.struct("path", "core", "hashes", "sizes")).alias("f"))
-    first = first.select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), "host", "f.*")
+    first = d.groupBy("host", "c1", "c2").agg(F.min(F.struct("path", "inside", "hashes", "sizes")).alias("f"))
+    first = keep(first.select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), "host", "f.*"), "page-firsts")
     order = ["host", "path", "k1", "k2"]
     found = keep(first.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_compare, _EDGE), "page-compare")
     # at most two rows per partition
@@ -324,7 +343,7 @@ def deleted_lines(pages: DataFrame, keys: list[Column], url: Column, html: Colum
     before, after = F.coalesce("before", "lag"), F.coalesce("after", "lead")
     edges = edges.select("k1", "k2", _compare_edge(F.col("page"), before, after).alias("gone"))
     gone = found.where("place = 0").select("k1", "k2", "gone").union(edges).where(F.size("gone") > 0)
-    gone = lookup(gone.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "gone"), 20_000)
+    gone = lookup(_template(gone, first).select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "gone"), 20_000)
     gone = d.select("k1", "k2", "c1", "c2").join(gone, ["c1", "c2"])
     return keep(gone.groupBy("k1", "k2").agg(F.max("gone").alias("gone")), "page-deleted")
 

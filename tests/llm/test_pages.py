@@ -111,6 +111,19 @@ def test_runs_of_copies_and_articles_as_neighbours_lose_the_template(llm):
     assert got == want
 
 
+def test_template_inside_articles_goes_and_copied_passages_stay(llm):
+    share = "Share this story with your friends"
+    text = "A long and singular sentence that fills the article with words about {} alone"
+    passage = "A passage that two neighbours quote in the same words"
+    rows = []
+    for i in range(12):
+        quoted = f"<p>{passage}</p>" if i in (4, 5) else ""
+        rows.append((i, f"http://x.org/{i:02d}", f"<div>Site</div><article><p>{text.format(i)}</p>{quoted}<p>{share}</p></article>"))
+    d = llm.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in page_diff.extract_text(d).collect()}
+    assert got == {i: text.format(i) + (f" {passage}" if i in (4, 5) else "") for i in range(12)}
+
+
 def test_given_pages_give_their_articles(llm, sf):
     docs = {r["doc_id"]: r["text"] for r in llm.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet").collect()}
     pages = llm.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/pages.parquet")
