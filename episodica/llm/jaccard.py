@@ -544,7 +544,7 @@ def jaccard_components(
         forget(left, classed, more, pairs, *([old, new] if old is not None else []), shuffles=True)
         if last:
             break
-        last = rounds >= MOST_ROUNDS or (rounds >= ROUNDS and found * LINKING < checked)
+        last = rounds >= MOST_ROUNDS or (rounds >= ROUNDS and found * LINKING <= checked)
     forget(info, rare, often, orders, edges, shuffles=True)
     labelled = sets.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = labelled.where("comp is not null").groupBy("comp").agg(F.min("id").alias("component_id"))
