@@ -4,28 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from episodica.plans.small import forget, keep
+from episodica.plans.small import few, forget, keep
 
 #: bits of the row filter; its table has at most FILTER_BITS / 64 rows
 FILTER_BITS = 1 << 22
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """(node, comp) for every node of ``edges`` (a, b); comp is the smallest node reached.
 
+    ``rows`` is the number of edges, if known: few edges then take few tasks.
+
     Each step takes the smallest label among a node and its neighbours and then
     follows labels to the label's own label, so long chains shorten quickly.
     Labels are written out every step; nothing but a count reaches the driver.
     """
-    both = keep(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "cc-edges")
-    labels = keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "cc-labels")
+    rows = 2 * (edges.count() if rows is None else rows)
+    both = keep(few(edges.select("a", "b").union(edges.select("b", "a")).distinct(), rows), "cc-edges")
+    labels = keep(few(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), rows), "cc-labels")
     kept = labels
     while True:
         seen = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         step = labels.join(seen, "node").select("node", "comp", F.least("comp", "near").alias("new"))
         jump = step.select(F.col("node").alias("new"), F.col("new").alias("far"))
         # a label is itself a node with a label
-        step = keep(step.join(jump, "new", "left").select("node", F.col("comp").alias("old"), F.least("new", F.coalesce("far", "new")).alias("comp")), "cc-labels")
+        step = step.join(jump, "new", "left").select("node", F.col("comp").alias("old"), F.least("new", F.coalesce("far", "new")).alias("comp"))
+        step = keep(few(step, rows), "cc-labels")
         forget(kept)
         kept, labels = step, step.select("node", "comp")
         if step.where("old != comp").isEmpty():

@@ -34,15 +34,15 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from episodica.llm.common import require
 from episodica.llm.components import components, maybe_among
-from episodica.plans.small import forget, keep
+from episodica.plans.small import few, forget, keep
 
 #: parity bits of a set, and longs that hold them
 BITS = 512
 LONGS = BITS // 64
 
-#: rounds in which nodes are checked against one hub: at least, and at most while one
-#: in LINKING of the nodes checked finds a link
-ROUNDS, MOST_ROUNDS, LINKING = 2, 5, 10
+#: rounds in which nodes are checked against one hub: at least, and at most while they find
+#: a link for one in LINKING of the nodes that the largest round checked
+ROUNDS, MOST_ROUNDS, LINKING = 2, 5, 5
 
 #: postings up to which all pairs of a shingle are listed at once
 RARE = 12
@@ -56,6 +56,9 @@ HUB_ROWS = 500
 #: rows in one block of a frequent shingle when all its pairs are formed
 BLOCK_ROWS = 1000
 
+#: rows with sets or texts for a task of a small step
+WIDE_ROWS = 2_500
+
 #: text bytes turned into sets at once
 SLICE_BYTES = 4 << 20
 
@@ -216,7 +219,7 @@ def _first_pass(d: DataFrame, n: int, buckets: int) -> DataFrame:
 
 
 def _count_ranks(first: DataFrame, buckets: int) -> np.ndarray:
-    """Ranks of all counters of both tables: partial counts are added chunk by chunk, in a stream."""
+    """Ranks of all counters of both tables: partial counts are added chunk by chunk, in the tasks."""
 
     def add(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -225,7 +228,7 @@ def _count_ranks(first: DataFrame, buckets: int) -> np.ndarray:
         z, now, total = zstandard.ZstdDecompressor(), None, None
 
         def out():
-            return pa.RecordBatch.from_pydict({"chunk": pa.array([now], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+            return pa.RecordBatch.from_pydict({"chunk": pa.array([now], pa.int32()), "ranks": pa.array([ranks(total).tobytes()], pa.binary())})
 
         for batch in batches:
             for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
@@ -239,10 +242,10 @@ def _count_ranks(first: DataFrame, buckets: int) -> np.ndarray:
             yield out()
 
     parts = first.where("chunk is not null").select("chunk", "counts").repartition("chunk").sortWithinPartitions("chunk")
-    # 2 * buckets numbers, whatever the size of the corpus; a byte of each stays
+    # a byte for each of 2 * buckets counters, whatever the size of the corpus
     out, each = np.zeros(2 * buckets, dtype=np.uint8), 2 * buckets // _CHUNKS
-    for row in parts.mapInArrow(add, "chunk int, counts binary").toLocalIterator():
-        out[row["chunk"] * each : (row["chunk"] + 1) * each] = ranks(np.frombuffer(row["counts"], dtype=np.uint64))
+    for row in parts.mapInArrow(add, "chunk int, ranks binary").collect():
+        out[row["chunk"] * each : (row["chunk"] + 1) * each] = np.frombuffer(row["ranks"], dtype=np.uint8)
     return out
 
 
@@ -272,7 +275,7 @@ def _postings(d: DataFrame, n: int, num: int, den: int, table) -> DataFrame:
     return d.select("text").mapInArrow(run, _POSTING)
 
 
-def _other_orders(d: DataFrame, wanted: DataFrame, n: int, num: int, den: int, table) -> DataFrame:
+def _other_orders(d: DataFrame, wanted: DataFrame, n: int, num: int, den: int, table, rows: int) -> DataFrame:
     """(node, p2, p3): the prefixes under the second and third order of the ``wanted`` nodes (node, tk)."""
     buckets = len(table.value) // 2
 
@@ -297,7 +300,8 @@ def _other_orders(d: DataFrame, wanted: DataFrame, n: int, num: int, den: int, t
     # the bit filter may let others pass
     found = maybe_among(d.select("tk", "text"), "tk", wanted.select("tk")).select("text").mapInArrow(run, _ORDERS)
     found = found.join(wanted.select("node"), "node", "left_semi")
-    return keep(found.groupBy("node").agg(F.first("p2").alias("p2"), F.first("p3").alias("p3")), "jaccard-orders")
+    found = found.groupBy("node").agg(F.first("p2").alias("p2"), F.first("p3").alias("p3"))
+    return keep(few(found, rows, WIDE_ROWS), "jaccard-orders")
 
 
 # ---------------------------------------------------------------- candidates
@@ -321,8 +325,8 @@ def _share_prefixes(pairs: DataFrame, orders: DataFrame) -> DataFrame:
     return d.where(F.arrays_overlap("x.p2", "y.p2") & F.arrays_overlap("x.p3", "y.p3")).select("a", "b", "off")
 
 
-def _verify(pairs: DataFrame, reps: DataFrame, d: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link, from the whole sets of both texts.
+def _verify(pairs: DataFrame, checked: int, reps: DataFrame, d: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Those of the ``checked`` pairs (a, b) that link, from the whole sets of both texts.
 
     Rows are dealt by b; its text comes first, the texts of its partners follow in
     a stream, at most HUB_ROWS or so to one copy of it.
@@ -347,14 +351,15 @@ def _verify(pairs: DataFrame, reps: DataFrame, d: DataFrame, n: int, num: int, d
     wanted = pairs.select("a").union(pairs.select("b")).distinct()
     wanted = keep(wanted.join(reps, F.col("a") == F.col("node")).select("tk", "node"), "jaccard-wanted")
     texts = maybe_among(d.select("tk", "text"), "tk", wanted).join(wanted, "tk").groupBy("node").agg(F.min("text").alias("text"))
-    texts = keep(texts, "jaccard-texts")
+    texts = keep(few(texts, 2 * checked, WIDE_ROWS), "jaccard-texts")
     width = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / HUB_ROWS).alias("w"))
     salted = pairs.join(width, "b").select("a", "b", "w", F.pmod(F.xxhash64("a"), F.col("w")).alias("salt"))
     partners = salted.join(texts, F.col("a") == F.col("node")).select("b", "salt", "a", "text")
     hubs = width.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("w") - 1)).alias("salt"))
     hubs = hubs.join(texts, F.col("b") == F.col("node")).select("b", "salt", F.lit(None).cast("long").alias("a"), "text")
     rows = partners.union(hubs).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
-    links = keep(rows.mapInArrow(run, "a long, b long"), "jaccard-links")
+    # rows of one (b, salt) stay next to each other when partitions are put together
+    links = keep(few(rows, 2 * checked, WIDE_ROWS).mapInArrow(run, "a long, b long"), "jaccard-links")
     forget(wanted, texts)
     return links
 
@@ -445,12 +450,12 @@ def _met(posted: DataFrame, num: int, den: int) -> DataFrame:
     return keep(posted.mapInArrow(run, "token long, a long, b long"), "jaccard-met")
 
 
-def _rare_pairs(met: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
+def _rare_pairs(met: DataFrame, info: DataFrame, num: int, den: int, rows: int) -> DataFrame:
     """All pairs (a, b) of rare shingles that may link, with their differing bits."""
     pairs = met.where("b is not null").select("a", "b").distinct()
     x, y = info.alias("x"), info.alias("y")
     d = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(_may_link("x", "y", num, den))
-    return keep(d.select("a", "b", _off("x", "y").alias("off")), "jaccard-pairs")
+    return keep(few(d.select("a", "b", _off("x", "y").alias("off")), rows), "jaccard-pairs")
 
 
 def _mixed_tokens(d: DataFrame) -> DataFrame:
@@ -508,43 +513,49 @@ def jaccard_components(
     table = docs.sparkSession.sparkContext.broadcast(_count_ranks(first, buckets))
     sets = keep(first.where("chunk is null").select("id", "tk", "n", "node"), "jaccard-rows")
     info = first.where("node is not null").groupBy("node").agg(F.min("tk").alias("tk"), F.first("n").alias("n"), F.first("bits").alias("bits"))
-    info = keep(info, "jaccard-nodes")
+    info = keep(few(info, rows, WIDE_ROWS), "jaccard-nodes")
     forget(first, shuffles=True)
     reps, bits = info.select("node", "tk"), info.select("node", "n", "bits")
 
     met = _met(_postings(d, n, num, den, table), num, den)
-    near = _rare_pairs(met, bits, num, den)
+    meetings = met.count()
+    near = _rare_pairs(met, bits, num, den, meetings + rows)
     often = met.where("b is null").select("token", F.col("a").alias("node")).distinct()
-    often = keep(often.join(bits, "node"), "jaccard-postings")
+    often = keep(few(often.join(bits, "node"), meetings + rows), "jaccard-postings")
     forget(met, shuffles=True)
+    pairings, postings = near.count(), often.count()
     wanted = near.select(F.col("a").alias("node")).union(near.select("b")).union(often.select("node")).distinct()
-    wanted = keep(wanted.join(reps, "node"), "jaccard-wanted")
-    orders = _other_orders(d, wanted, n, num, den, table)
-    rare = keep(_share_prefixes(near, orders), "jaccard-rare")
+    wanted = keep(few(wanted.join(reps, "node"), 2 * pairings + postings + rows), "jaccard-wanted")
+    among = wanted.count()
+    orders = _other_orders(d, wanted, n, num, den, table, among)
+    rare = keep(few(_share_prefixes(near, orders), pairings + 2 * among), "jaccard-rare")
     forget(wanted, near, shuffles=True)
 
     comp = edges = None
-    rounds, last = 0, False
+    rounds, most, links, last = 0, 0, 0, False
     while True:
         left = keep(_classed(rare, comp, "a", "b").where("a_comp != b_comp").select("a", "b", "off"), "jaccard-left")
         classed = keep(_classed(often, comp, "node"), "jaccard-often")
         d2 = _mixed_tokens(classed)
-        more = keep(_all_pairs(d2, num, den) if last else _hub_pairs(d2, rounds, num, den), "jaccard-pairs")
+        # a posting meets one hub at most; all pairs have no such bound
+        more = keep(_all_pairs(d2, num, den) if last else few(_hub_pairs(d2, rounds, num, den), postings), "jaccard-pairs")
         pairs = left.unionByName(_share_prefixes(more, orders))
         if not last:
             # the nearest candidate of every node
             pairs = pairs.groupBy("a").agg(F.min_by("b", F.struct("off", "b")).alias("b"))
-        pairs = keep(pairs.select("a", "b").distinct(), "jaccard-candidates")
-        new, old = _verify(pairs, reps, d, n, num, den), edges
+        pairs = keep(few(pairs.select("a", "b").distinct(), left.count() + more.count()), "jaccard-candidates")
+        checked = pairs.count()
+        new, old = _verify(pairs, checked, reps, d, n, num, den), edges
         rounds += 1
-        checked, found = pairs.count(), new.count()
-        edges = new if old is None else keep(old.union(new), "jaccard-edges")
-        comp = components(edges)
+        found = new.count()
+        links, most = links + found, max(most, checked)
+        edges = new if old is None else keep(few(old.union(new), links), "jaccard-edges")
+        comp = components(edges, links)
         # what this round made is in the links by now
         forget(left, classed, more, pairs, *([old, new] if old is not None else []), shuffles=True)
         if last:
             break
-        last = rounds >= MOST_ROUNDS or (rounds >= ROUNDS and found * LINKING <= checked)
+        last = rounds >= MOST_ROUNDS or (rounds >= ROUNDS and found * LINKING <= most)
     forget(info, rare, often, orders, edges, shuffles=True)
     labelled = sets.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = labelled.where("comp is not null").groupBy("comp").agg(F.min("id").alias("component_id"))

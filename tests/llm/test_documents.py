@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from episodica.llm import bitplanes, entropy_mix, jaccard, line_windows, vector_shards, weak_supervision, wu_manber
+from episodica.llm import bitplanes, components, entropy_mix, jaccard, line_windows, vector_shards, weak_supervision, wu_manber
 from tests.llm.conftest import sentence
 
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -385,6 +385,35 @@ def test_near_copies_are_joined_before_all_pairs_are_formed(llm, monkeypatch):
     assert sum(seen) < 100
 
 
+def test_rounds_on_few_links_take_few_tasks(llm, monkeypatch):
+    rng, files, rounds, real, verify = random.Random(9), [], [], components.keep, jaccard._verify
+
+    def kept(df, name="kept"):
+        out = real(df, name)
+        files.append(len(list(Path(out._kept_path.removeprefix("file:")).glob("*.parquet"))))
+        return out
+
+    monkeypatch.setattr(components, "keep", kept)
+    monkeypatch.setattr(jaccard, "_verify", lambda *a: rounds.append(1) or verify(*a))
+    base, rows = sentence(rng, 150).split(), []
+    for i in range(200):
+        words = list(base)
+        for at in rng.sample(range(150), 2):
+            words[at] = f"w{i}x{at}"
+        rows.append((i, " ".join(words)))
+    held = {k: llm.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        llm.conf.set("spark.sql.shuffle.partitions", "60")
+        llm.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = jaccard.jaccard_components(llm.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        for k, v in held.items():
+            llm.conf.set(k, v)
+    assert {r["component_id"] for r in got} == {0} and len(got) == 200
+    # a file for each partition that has labels before, 40 and more
+    assert max(files) == 1 and len(rounds) <= 4
+
+
 def test_jaccard_of_nothing(empty):
     assert jaccard.jaccard_components(empty, 3, 90).count() == 0
     assert jaccard.one_of_each(empty).columns == empty.columns
