@@ -188,16 +188,26 @@ _TOKENIZERS: dict[str, object] = {}
 SLICE_BYTES = 16 << 20
 
 
-def _core(word: str) -> tuple[str, str]:
-    """A word of letters without the one mark that may end it, and that mark.
+#: marks of which one may be taken off the end of a word
+MARKS = ".,;:!?"
 
-    The tokenizer cuts between letters and marks anyway; ASCII letters are
-    lower-cased as it does, so fewer different words are left.
+
+def _cores(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of ASCII letters in lower case and without the one mark that may end them, other words
+    as they are; and the mark's place in MARKS, or -1.
+
+    The tokenizer cuts between letters and marks and lower-cases ASCII letters anyway,
+    so fewer different words are left.
     """
-    core = word.rstrip(".,;:!?")
-    if len(word) - len(core) > 1 or not core.isalpha():
-        return word, ""
-    return (core.lower() if core.isascii() else core), word[len(core) :]
+    import pyarrow.compute as pc
+
+    core = pc.ascii_rtrim(words, MARKS)
+    cut = pc.subtract(pc.binary_length(words), pc.binary_length(core))
+    plain = pc.and_(pc.ascii_is_alpha(core), pc.less_equal(cut, 1))
+    marked = np.flatnonzero(pc.and_(plain, pc.equal(cut, 1)).to_numpy(zero_copy_only=False))
+    mark = np.full(len(words), -1, dtype=np.int8)
+    mark[marked] = [MARKS.index(w[-1]) for w in words.take(pa.array(marked)).to_pylist()]
+    return pc.if_else(plain, pc.ascii_lower(core), words), mark
 
 
 def word_encoder(tokenizer_file: str, cached_words: int = CACHED_WORDS):
@@ -227,29 +237,31 @@ def word_encoder(tokenizer_file: str, cached_words: int = CACHED_WORDS):
     def look(words: list[str]) -> list[bytes]:
         parts = list(map(known.get, words))
         missed = [i for i, p in enumerate(parts) if p is None]
-        cut = [_core(words[i]) for i in missed]
-        new = list({c for pair in cut for c in pair}.difference(known))
-        coded = {}
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False)):
-                coded[w] = array(code, e.ids).tobytes()
-        for w in new[: max(0, cached_words - len(known))]:
-            if len(w) <= CACHED_CHARS:
-                known[w] = coded[w]
-                if len(common) < COMMON_WORDS:
-                    common[w] = coded[w]
-        for i, (core, mark) in zip(missed, cut):
-            ids = known[core] if core in known else coded[core]
-            parts[i] = ids + (known[mark] if mark in known else coded[mark]) if mark else ids
+        for k in range(0, len(missed), 10_000):
+            at = missed[k : k + 10_000]
+            for i, e in zip(at, tok.encode_batch_fast([words[i] for i in at], add_special_tokens=False)):
+                w, ids = words[i], array(code, e.ids).tobytes()
+                parts[i] = ids
+                if len(known) < cached_words and len(w) <= CACHED_CHARS:
+                    known[w] = ids
+                    if len(common) < COMMON_WORDS:
+                        common[w] = ids
         return parts
 
+    marks = look(list(MARKS))
+
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
         if isinstance(coded, pa.ChunkedArray):
             coded = coded.combine_chunks()
-        parts = look(coded.dictionary.to_pylist())
+        core, mark = _cores(coded.dictionary)
+        cores = core.dictionary_encode()
+        ids = look(cores.dictionary.to_pylist())
+        parts = list(map(ids.__getitem__, cores.indices.to_numpy(zero_copy_only=False).tolist()))
+        marked = np.flatnonzero(mark >= 0)
+        for i, m in zip(marked.tolist(), mark[marked].tolist()):
+            parts[i] += marks[m]
         size = np.fromiter(map(len, parts), dtype=np.int32, count=len(parts)) // dtype.itemsize
         at = np.cumsum(size, dtype=np.int64) - size
         flat = np.frombuffer(b"".join(parts), dtype=dtype)

@@ -82,6 +82,20 @@ def test_id_files(llm, messy, messy_rows, tmp_path, plane):
     assert (reader.ids(450, 1100) == whole[450:1100]).all() and len(whole) == file["n_ids"]
 
 
+def test_words_and_marks_have_the_ids_of_whole_texts():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    texts = ["\u0130. K. \u212a. A. b, c; D: e! F? g.. h?! ., ...", "", "Caf\u00e9, CAF\u00c9. na\u00efve! word Word WORD, a1. \ufb01. I'm don't."]
+    tok = Tokenizer.from_file(bitplanes.word_tokenizer())
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    encode = bitplanes.word_encoder(bitplanes.word_tokenizer())
+    for _ in range(2):  # new words, then known ones
+        ids, n = encode(pa.array(texts))
+        # a mark after a letter that lower-cases to two code points was encoded apart before
+        assert n.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+
+
 def test_id_files_of_nothing(llm, empty, tmp_path):
     made = bitplanes.write_ids(empty, f"file://{tmp_path}/ids", bitplanes.word_tokenizer())
     assert bitplanes.read_ids(made).count() == 0
