@@ -46,6 +46,9 @@ CACHED_WORDS = 500_000
 COMMON_WORDS = 60_000
 CACHED_CHARS = 40
 
+#: new words that go through the tokenizer at once
+TOGETHER = 10_000
+
 
 # ---------------------------------------------------------------- chunks
 def encode_planes(ids: np.ndarray, plane: str = "byte", level: int = 3) -> list[bytes]:
@@ -188,26 +191,31 @@ _TOKENIZERS: dict[str, object] = {}
 SLICE_BYTES = 16 << 20
 
 
-#: marks of which one may be taken off the end of a word
-MARKS = ".,;:!?"
+#: ASCII letters and those of Latin-1: each stays one letter under NFC and in lower case
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+#: marks that may be taken off the end of a word; not the apostrophe, which may open a suffix
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: what the symbols that end a piece of a word have at their end
+WORD_END = "</w>"
 
 
-def _cores(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Words of ASCII letters in lower case and without the one mark that may end them, other words
-    as they are; and the mark's place in MARKS, or -1.
+def _cores(words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, list[str]]:
+    """Words of LETTERS in lower case and without the MARKS that may end them, other words as they are;
+    whether a word is of the first kind; each word's place among the ends that were cut, or -1; these ends.
 
-    The tokenizer cuts between letters and marks and lower-cases ASCII letters anyway,
+    The tokenizer cuts between letters and marks and lower-cases letters anyway,
     so fewer different words are left.
     """
     import pyarrow.compute as pc
 
     core = pc.ascii_rtrim(words, MARKS)
-    cut = pc.subtract(pc.binary_length(words), pc.binary_length(core))
-    plain = pc.and_(pc.ascii_is_alpha(core), pc.less_equal(cut, 1))
-    marked = np.flatnonzero(pc.and_(plain, pc.equal(cut, 1)).to_numpy(zero_copy_only=False))
-    mark = np.full(len(words), -1, dtype=np.int8)
-    mark[marked] = [MARKS.index(w[-1]) for w in words.take(pa.array(marked)).to_pylist()]
-    return pc.if_else(plain, pc.ascii_lower(core), words), mark
+    plain = pc.match_substring_regex(core, f"^[{LETTERS}]+$")
+    cut = pc.and_(plain, pc.less(pc.binary_length(core), pc.binary_length(words)))
+    marked = np.flatnonzero(cut.to_numpy(zero_copy_only=False))
+    ends = pc.replace_substring_regex(words.take(pa.array(marked)), f"^[{LETTERS}]+", "").dictionary_encode()
+    end = np.full(len(words), -1, dtype=np.int32)
+    end[marked] = ends.indices.to_numpy(zero_copy_only=False)
+    return pc.if_else(plain, pc.utf8_lower(core), words), plain.to_numpy(zero_copy_only=False), end, ends.dictionary.to_pylist()
 
 
 def word_encoder(tokenizer_file: str, cached_words: int = CACHED_WORDS):
@@ -216,7 +224,9 @@ def word_encoder(tokenizer_file: str, cached_words: int = CACHED_WORDS):
     For tokenizers that split at white space and drop it, so that a text's ids
     are the ids of its words: words are cut at ASCII white space and made a
     dictionary by Arrow; only words that are new to the encoder, which remembers
-    ``cached_words`` of them, go through the tokenizer.  All but the COMMON_WORDS met
+    ``cached_words`` of them, go through the tokenizer.  Words of letters are one piece
+    each; they go through it as one text, whose ids are cut behind those of word ends
+    (if the vocabulary marks them and as many are found, else word by word).  All but the COMMON_WORDS met
     first by the worker go with the encoder (a task's), so later stages have the memory.
     """
     import os
@@ -228,40 +238,57 @@ def word_encoder(tokenizer_file: str, cached_words: int = CACHED_WORDS):
     if tokenizer_file not in _TOKENIZERS:
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[tokenizer_file] = (Tokenizer.from_file(tokenizer_file), {"": b""})
-    tok, common = _TOKENIZERS[tokenizer_file]
+        tok = Tokenizer.from_file(tokenizer_file)
+        last = np.zeros(tok.get_vocab_size(), dtype=bool)
+        last[[i for w, i in tok.get_vocab().items() if w.endswith(WORD_END)]] = True
+        _TOKENIZERS[tokenizer_file] = (tok, {"": b""}, last)
+    tok, common, last = _TOKENIZERS[tokenizer_file]
     known = dict(common)
     code = "H" if tok.get_vocab_size() <= 1 << 16 else "I"
     dtype = np.dtype("<u2" if code == "H" else "<u4")
 
-    def look(words: list[str]) -> list[bytes]:
+    def one_by_one(words: list[str]) -> list[bytes]:
+        return [array(code, e.ids).tobytes() for e in tok.encode_batch_fast(words, add_special_tokens=False)]
+
+    def as_text(words: list[str]) -> list[bytes]:
+        ids = np.array(tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype=dtype)
+        ends = (np.flatnonzero(last[ids]) + 1) * dtype.itemsize
+        if len(ends) != len(words) or ends[-1] != ids.nbytes:
+            return one_by_one(words)
+        flat, ends = ids.tobytes(), ends.tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+    def look(words: list[str], plain: np.ndarray) -> list[bytes]:
         parts = list(map(known.get, words))
-        missed = [i for i, p in enumerate(parts) if p is None]
-        for k in range(0, len(missed), 10_000):
-            at = missed[k : k + 10_000]
-            for i, e in zip(at, tok.encode_batch_fast([words[i] for i in at], add_special_tokens=False)):
-                w, ids = words[i], array(code, e.ids).tobytes()
-                parts[i] = ids
-                if len(known) < cached_words and len(w) <= CACHED_CHARS:
-                    known[w] = ids
-                    if len(common) < COMMON_WORDS:
-                        common[w] = ids
+        missed = np.array([i for i, p in enumerate(parts) if p is None], dtype=np.int64)
+        kind = plain[missed]
+        for convert, which in ((as_text, missed[kind].tolist()), (one_by_one, missed[~kind].tolist())):
+            for k in range(0, len(which), TOGETHER):
+                at = which[k : k + TOGETHER]
+                new = [words[i] for i in at]
+                for i, w, ids in zip(at, new, convert(new)):
+                    parts[i] = ids
+                    if len(known) < cached_words and len(w) <= CACHED_CHARS:
+                        known[w] = ids
+                        if len(common) < COMMON_WORDS:
+                            common[w] = ids
         return parts
 
-    marks = look(list(MARKS))
-
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
         if isinstance(coded, pa.ChunkedArray):
             coded = coded.combine_chunks()
-        core, mark = _cores(coded.dictionary)
+        core, plain, end, ends = _cores(coded.dictionary)
         cores = core.dictionary_encode()
-        ids = look(cores.dictionary.to_pylist())
-        parts = list(map(ids.__getitem__, cores.indices.to_numpy(zero_copy_only=False).tolist()))
-        marked = np.flatnonzero(mark >= 0)
-        for i, m in zip(marked.tolist(), mark[marked].tolist()):
-            parts[i] += marks[m]
+        which = cores.indices.to_numpy(zero_copy_only=False)
+        kinds = np.zeros(len(cores.dictionary), dtype=bool)
+        kinds[which] = plain
+        ids = look(cores.dictionary.to_pylist(), kinds)
+        parts = list(map(ids.__getitem__, which.tolist()))
+        marked, ends = np.flatnonzero(end >= 0), look(ends, np.zeros(len(ends), dtype=bool))
+        for i, m in zip(marked.tolist(), end[marked].tolist()):
+            parts[i] += ends[m]
         size = np.fromiter(map(len, parts), dtype=np.int32, count=len(parts)) // dtype.itemsize
         at = np.cumsum(size, dtype=np.int64) - size
         flat = np.frombuffer(b"".join(parts), dtype=dtype)

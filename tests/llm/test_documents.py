@@ -96,6 +96,32 @@ def test_words_and_marks_have_the_ids_of_whole_texts():
         assert n.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
 
 
+def test_words_of_letters_go_through_the_tokenizer_once_and_together(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    given = []
+
+    class Counting:
+        def __init__(self, tok):
+            self.get_vocab, self.get_vocab_size, self.tok = tok.get_vocab, tok.get_vocab_size, tok
+
+        def encode_batch_fast(self, words, **kw):
+            given.extend(words)
+            return self.tok.encode_batch_fast(words, **kw)
+
+    tok = Tokenizer.from_file(bitplanes.word_tokenizer())
+    texts = ["Été,*** été ÉTÉ!! straße STRASSE... été", "don't L'été's, ab'!! ab12, ẞ <|endoftext|> abc<|endoftext|> w</w>, x≮ word≮ abc\u0301, \u0301x", "×a ÿ! Ÿ µ ª, #%& ..."]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(Tokenizer, "from_file", lambda path: Counting(tok))
+    monkeypatch.setattr(bitplanes, "_TOKENIZERS", {})
+    encode = bitplanes.word_encoder(bitplanes.word_tokenizer())
+    ids, n = encode(pa.array(texts))
+    assert n.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+    # every spelling was a call of its own before
+    assert [w for w in given if "été" in w.lower() and "'" not in w] == ["été straße strasse ÿ"]
+
+
 def test_id_files_of_nothing(llm, empty, tmp_path):
     made = bitplanes.write_ids(empty, f"file://{tmp_path}/ids", bitplanes.word_tokenizer())
     assert bitplanes.read_ids(made).count() == 0
