@@ -212,8 +212,9 @@ def _first_pass(d: DataFrame, n: int, buckets: int) -> DataFrame:
         z, each = zstandard.ZstdCompressor(level=1), 2 * buckets // _CHUNKS
         rows = [(c, counts[c * each : (c + 1) * each]) for c in range(_CHUNKS)]
         rows = [{"chunk": c, "counts": z.compress(x.tobytes())} for c, x in rows if x.any()]
-        if rows:
-            yield pa.RecordBatch.from_pylist([dict.fromkeys(schema.names) | r for r in rows], schema)
+        # a few at a time: the JVM holds a batch of them outside its heap
+        for at in range(0, len(rows), _CHUNKS // 16):
+            yield pa.RecordBatch.from_pylist([dict.fromkeys(schema.names) | r for r in rows[at : at + _CHUNKS // 16]], schema)
 
     return keep(d.mapInArrow(run, _FIRST), "jaccard-sets")
 

@@ -54,3 +54,25 @@ def test_pipeline_stages(llm, sf):
 
 def test_run_is_the_stages(llm, sf):
     assert corpus_pipeline.run(llm, sf).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_functions_of_columns_and_of_batches_share_their_workers(llm):
+    """A difference between their variables would start a second daemon and as many workers again, which all stay."""
+    import os
+
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    def parent(x: pa.Array) -> pa.Array:
+        return pa.array([os.getppid()] * len(x), pa.int64())
+
+    def batches(found):
+        for b in found:
+            yield pa.RecordBatch.from_arrays([parent(b.column(0))], names=["id"])
+
+    rows = llm.range(64)
+    of_columns = {r[0] for r in rows.select(F.arrow_udf(parent, "long")("id")).collect()}
+    of_batches = {r[0] for r in rows.mapInArrow(batches, "id long").collect()}
+    assert len(of_columns) == 1 and of_columns == of_batches
+    env, setting = llm.sparkContext.environment, "spark.sql.execution.pyspark.udf.simplifiedTraceback.enabled"
+    assert (env.get("SPARK_SIMPLIFIED_TRACEBACK") == "1") == (llm.conf.get(setting) == "true")
